@@ -1,0 +1 @@
+"""Empty on purpose: every bookkeeping operator here is a batch operator (see README)."""
