@@ -26,3 +26,27 @@ def running_number(
     inside = keyed.withColumn("_rn", F.row_number().over(W.partitionBy("_block").orderBy(*keys)))
     return inside.join(before, "_block").withColumn(
         name, F.col("_before") + F.col("_rn")).drop("_block", "_rn", "_before")
+
+
+def previous_value(
+    df: DataFrame, keys: list[str], order: str, value: str, name: str = "previous",
+    first: str = "is_first", block: int = BLOCK,
+) -> DataFrame:
+    """The value of the row before, per key, where one key may hold any share of the rows.
+
+    Windows run inside (key, block of `order`); the row that opens a block takes the last value
+    of the key's previous block, found on one row per key and block.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    inside = W.partitionBy(*keys, "_block").orderBy(order)
+    lasts = blocked.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
+    carried = lasts.withColumns({
+        "_carried": F.lag("_last").over(W.partitionBy(*keys).orderBy("_block")),
+        "_opens": F.row_number().over(W.partitionBy(*keys).orderBy("_block")) == 1,
+    }).drop("_last")
+    rows = blocked.withColumns({
+        "_rn": F.row_number().over(inside), "_lag": F.lag(value).over(inside)})
+    return rows.join(carried, [*keys, "_block"]).withColumns({
+        name: F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag")),
+        first: (F.col("_rn") == 1) & F.col("_opens"),
+    }).drop("_block", "_rn", "_lag", "_carried", "_opens")
