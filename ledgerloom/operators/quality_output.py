@@ -10,11 +10,9 @@ from ..schemas import TOLERANCE
 from .aggregate import duplicate_aggregates, tie_out
 from .matching import rule_mismatches
 
-CENT = TOLERANCE
-
 
 def _cent():
-    return F.lit(CENT).cast("decimal(18,2)")
+    return F.lit(TOLERANCE).cast("decimal(18,2)")
 
 
 def _money_text(column):

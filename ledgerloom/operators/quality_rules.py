@@ -3,13 +3,14 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.conditions import FIELD_KINDS, condition_sql, unknown_fields
 from ..functions.issues import check, emit, union_all
 from .accounts import lookup
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def well_formed(conditions: pd.Series) -> pd.Series:
     """Reads each distinct condition of the batch once."""
     known = {c: condition_sql(c) is not None for c in conditions.dropna().unique()}
@@ -53,15 +54,12 @@ def type_issues(rules: DataFrame) -> DataFrame:
 
 def account_issues(rules: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rules whose account is neither a code nor a name. They stay in use."""
-    names = accounts.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(F.lit(1), "ord").alias("_"),
-    ).select("n").scalar()
+    n_accounts = accounts.agg(F.count(F.lit(1))).scalar()
     first = accounts.orderBy("ord").limit(10)
     codes = first.agg(F.array_join(F.sort_array(F.collect_list("code")), ", ")).scalar()
     samples = first.orderBy("ord").limit(5).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ")).scalar()
     rows = lookup(rules, accounts).filter(F.col("ledger_id").isNull()).withColumns(
-        {"n_accounts": names, "codes": codes, "samples": samples})
+        {"n_accounts": n_accounts, "codes": codes, "samples": samples})
     more = F.when(F.col("n_accounts") > 10,
                   F.concat(F.lit(", ... ("), F.col("n_accounts").cast("string"), F.lit(" total)"))).otherwise(F.lit(""))
     return emit(rows, [check(
