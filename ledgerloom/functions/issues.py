@@ -1,4 +1,6 @@
-"""Row-local checks that turn into issue rows with one scan and one explode."""
+"""Row-local checks that turn into issue rows with one scan."""
+
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,35 +18,30 @@ def _text(value) -> Column:
 def check(
     failed: Column, issue_type: str, field, message, actual=None, kind: str = "error",
     row_number: Column | None = None,
-) -> Column:
-    """An issue struct where `failed` holds, NULL elsewhere."""
-    return F.when(
-        failed,
-        F.struct(
-            F.lit(kind).alias("kind"),
-            F.coalesce(
-                row_number.cast("bigint") if row_number is not None else F.lit(0).cast("bigint"),
-                F.lit(0).cast("bigint"),
-            ).alias("row_number"),
-            _text(field).alias("field_name"),
-            F.lit(issue_type).alias("issue_type"),
-            _text(message).alias("message"),
-            _text(actual).alias("actual_value"),
-        ),
-    )
-
-
-def emit(df: DataFrame, checks: list[Column], entry_id="entry_id", src_row="src_row") -> DataFrame:
-    """Explode the failed checks of every row into issue rows."""
+) -> tuple[Column, Column]:
+    """(does the check fail, the issue it yields)."""
+    number = F.lit(0) if row_number is None else F.coalesce(row_number, F.lit(0))
+    return F.coalesce(failed, F.lit(False)), F.struct(
+        F.lit(kind).alias("kind"), number.cast("bigint").alias("row_number"),
+        _text(field).alias("field_name"), F.lit(issue_type).alias("issue_type"),
+        _text(message).alias("message"), _text(actual).alias("actual_value"))
+
+
+def any_failed(checks: list[tuple[Column, Column]]) -> Column:
+    return reduce(lambda a, b: a | b, [failed for failed, _ in checks])
+
+
+def emit(df: DataFrame, checks: list[tuple[Column, Column]], entry_id="entry_id", src_row="src_row") -> DataFrame:
+    """The issues of every row. Rows that pass all checks are dropped before any text is built."""
     owner = F.col(entry_id) if isinstance(entry_id, str) else entry_id
     place = F.col(src_row) if isinstance(src_row, str) else src_row
-    return df.select(
+    found = [F.when(failed, issue) for failed, issue in checks]
+    rows = df.filter(any_failed(checks)).select(
         place.cast("bigint").alias("src_row"), owner.cast("string").alias("entry_id"),
-        F.explode(F.array_compact(F.array(*checks))).alias("i"),
-    ).select(
+        (F.explode(F.array(*found)) if len(found) > 1 else found[0]).alias("i"))
+    return rows.filter(F.col("i").isNotNull()).select(
         "i.kind", "src_row", "i.row_number", "i.field_name", "i.issue_type", "i.message",
-        "i.actual_value", "entry_id",
-    )
+        "i.actual_value", "entry_id")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -18,6 +18,11 @@ def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) ->
     return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """A measured-small table in one partition: its groupings and joins need no shuffle."""
+    return df.coalesce(1)
+
+
 def sized(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Hint a broadcast only for a table measured to be small; otherwise leave the join to AQE."""
     return F.broadcast(df) if fits(df, max_rows, max_bytes) else df

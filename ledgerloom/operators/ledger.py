@@ -1,120 +1,128 @@
 """Journal rows to credit / debit ledger lines.
 
-Everything is decided inside the journal row: the result keeps one record per journal row with
-its applied rules and its lines, and ledger, unmatched rows, audit tables and comparisons are
-projections of that record.
+Everything is decided inside the journal row: `book` keeps one row per journal row with the two
+applied rules. A line is such a row and a line number, so the ledger is one explode over at most
+three numbers and every column of a line is an expression that is computed only when it is used.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import (
-    DEPOSIT_ACCOUNT, DEPOSIT_MARK, DEPOSIT_MARK_LATIN, DEPOSIT_SPLIT, NO_MATCH_RULE, SPLIT_TYPE,
-    SPLIT_YEAR, UNMATCHED_CODE, UNMATCHED_PATH,
+    DEPOSIT_ACCOUNT, DEPOSIT_MARK, DEPOSIT_MARK_LATIN, DEPOSIT_SPLIT, LEDGER_COLUMNS, NO_MATCH_RULE,
+    SPLIT_TYPE, SPLIT_YEAR, UNMATCHED_CODE, UNMATCHED_PATH,
 )
-from .matching import MAX_RULES, RULE_FIELDS, pick_rules
+from .matching import MAX_RULES, pick_rules
 
-
-def _line(no: int, suffix: Column, account: Column, path: Column, amount: Column, side, rule: Column) -> Column:
-    return F.struct(
-        F.lit(no).alias("line_no"),
-        F.concat(F.lit("LE-"), F.col("entry_id"), F.lit("-"), suffix).alias("entry_id"),
-        account.alias("account_code"), path.alias("account_path"),
-        amount.cast("decimal(18,2)").alias("amount"),
-        (F.lit(side) if isinstance(side, str) else side).alias("ledger_type"),
-        rule.alias("rule_applied"),
-    )
+BOOKED = ["cr_rule", "dr_rule", "splits", "no_match"]
 
 
-def direction(role: str, with_accounts: bool) -> Column:
-    """Side on which the rule of a role is booked.
-
-    Deposits are written the wrong way round in the rules, so they swap unless the amount is
-    negative. A negative amount on an income account (found by name) is a reversal and swaps.
-    """
-    kind = F.trim("old_type")
-    deposit = kind.contains(DEPOSIT_MARK) | F.lower(kind).contains(DEPOSIT_MARK_LATIN)
-    reversal = F.lit(False)
-    if with_accounts:
-        reversal = (F.col("amount") < 0) & F.coalesce(F.col("cr_rule.name_code").startswith("4"), F.lit(False))
-    swap = F.when(deposit, F.col("amount") >= 0).otherwise(reversal)
-    other = "DR" if role == "CR" else "CR"
-    return F.when(swap, other).otherwise(role)
+def _yes(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
 
 
 def book(
     journal: DataFrame, rules: DataFrame, accounts: DataFrame | None = None,
     split_deposits: bool = True, max_rules: int = MAX_RULES,
 ) -> DataFrame:
-    """Journal rows with applied_rules, lines and no_match."""
+    """Journal rows with cr_rule, dr_rule, splits (deposit is booked apart) and no_match."""
     picked = pick_rules(journal, rules, accounts, max_rules)
     # Without a rule for either side the first rule of no side is booked as a debit.
     neither = F.col("cr_rule").isNull() & F.col("dr_rule").isNull()
     picked = picked.withColumn("dr_rule", F.when(neither, F.col("generic_rule")).otherwise(F.col("dr_rule")))
-    cr, dr = F.col("cr_rule"), F.col("dr_rule")
-    gross = F.abs("amount")
+    splits = (
+        F.lit(split_deposits) & (F.trim("old_type") == SPLIT_TYPE) & (F.col("amount") > 0)
+        & (F.year("date") == SPLIT_YEAR) & F.col("cr_rule.name_path").isNotNull()
+        & F.col("dr_rule.name_path").isNotNull() & F.col("cr_rule.split_path").isNotNull()
+    )
+    return picked.select(
+        *journal.columns, "cr_rule", "dr_rule", _yes(splits).alias("splits"),
+        (F.col("cr_rule").isNull() & F.col("dr_rule").isNull()).alias("no_match"))
 
-    def side(no, role, rule):
-        return F.when(rule["known"], _line(
-            no, rule["rule_id"], rule["account_code"], rule["path"], gross,
-            direction(role, accounts is not None), rule["rule_id"]))
-
-    pair = F.array_compact(F.array(side(1, "CR", cr), side(2, "DR", dr)))
-    if accounts is not None and split_deposits:
-        part = F.least(F.lit(DEPOSIT_SPLIT).cast("decimal(18,2)"), gross)
-        splits = (
-            (F.trim("old_type") == SPLIT_TYPE) & (F.col("amount") > 0) & (F.year("date") == SPLIT_YEAR)
-            & cr["name_path"].isNotNull() & dr["name_path"].isNotNull() & cr["split_path"].isNotNull()
-        )
-        three = F.array(
-            _line(1, dr["rule_id"], dr["account_code"], dr["name_path"], gross, "DR", dr["rule_id"]),
-            _line(2, F.concat(cr["rule_id"], F.lit("-OL")), cr["account_code"], cr["name_path"],
-                  gross - part, "CR", cr["rule_id"]),
-            _line(3, F.concat(cr["rule_id"], F.lit("-OL-D")), F.lit(DEPOSIT_ACCOUNT), cr["split_path"],
-                  part, "CR", cr["rule_id"]),
-        )
-        pair = F.when(F.coalesce(splits, F.lit(False)), three).otherwise(pair)
-
-    def placeholder(no, side_name):
-        return _line(no, F.lit(f"{NO_MATCH_RULE}-{side_name}"), F.lit(UNMATCHED_CODE),
-                     F.lit(UNMATCHED_PATH), gross, side_name, F.lit(NO_MATCH_RULE))
-
-    no_match = cr.isNull() & dr.isNull()
-    lines = F.when(no_match, F.array(placeholder(1, "DR"), placeholder(2, "CR"))).otherwise(pair)
-
-    def rule_only(rule):
-        return F.when(rule.isNotNull(), F.struct(*[rule[f].alias(f) for f in RULE_FIELDS]))
 
-    return picked.select(
-        *journal.columns,
-        F.array_compact(F.array(rule_only(cr), rule_only(dr))).alias("applied_rules"),
-        lines.alias("lines"), no_match.alias("no_match"),
-    )
+def _swaps() -> Column:
+    """Whether both sides change places.
 
+    Deposits are written the wrong way round in the rules, so they swap unless the amount is
+    negative. A negative amount on an income account (found by name) is a reversal and swaps.
+    """
+    kind = F.trim("old_type")
+    deposit = kind.contains(DEPOSIT_MARK) | F.lower(kind).contains(DEPOSIT_MARK_LATIN)
+    reversal = (F.col("amount") < 0) & _yes(F.startswith("cr_rule.name_code", F.lit("4")))
+    return F.when(deposit, F.col("amount") >= 0).otherwise(reversal)
 
-def ledger(records: DataFrame, include_unmatched: bool = False) -> DataFrame:
-    """One row per ledger line. Placeholder lines of unmatched rows only on request."""
-    base = records if include_unmatched else records.filter(~F.col("no_match"))
-    return base.select(
-        "src_row", F.col("entry_id").alias("source_entry_id"), "date", "description",
-        F.quarter("date").alias("quarter"), F.year("date").alias("year"), F.explode("lines").alias("l"),
-    ).select(
-        "src_row", "l.line_no", "l.entry_id", "l.account_code", "l.account_path", "l.amount", "date",
-        "description", "source_entry_id", "l.rule_applied", "quarter", "year", "l.ledger_type",
-    )
+
+def line_numbers(include_unmatched: bool = False) -> Column:
+    """Numbers of the lines of a booked row: credit 1, debit 2; debit, income, deposit when split.
+
+    A rule with an unknown account leaves no line. Unmatched rows have two placeholder lines.
+    """
+    def numbers(*n):
+        return F.array(*[F.lit(i) for i in n]) if n else F.array().cast("array<int>")
+
+    credit, debit = _yes(F.col("cr_rule.known")), _yes(F.col("dr_rule.known"))
+    return (
+        F.when(F.col("no_match"), numbers(1, 2) if include_unmatched else numbers())
+        .when(F.col("splits"), numbers(1, 2, 3)).when(credit & debit, numbers(1, 2))
+        .when(credit, numbers(1)).when(debit, numbers(2)).otherwise(numbers()))
+
+
+def line(no: Column) -> dict[str, Column]:
+    """The columns of line `no` of a booked row."""
+    cr, dr, splits, empty = F.col("cr_rule"), F.col("dr_rule"), F.col("splits"), F.col("no_match")
+    credit = F.when(splits, no != 1).otherwise(no == 1)
+    deposit = splits & (no == 3)
+    first_is_debit = F.when(no == 1, "DR").otherwise("CR")
+    gross = F.abs("amount")
+    part = F.least(F.lit(DEPOSIT_SPLIT).cast("decimal(18,2)"), gross)
+
+    def of_rule(field):
+        return F.when(credit, cr[field]).otherwise(dr[field])
+
+    rule = F.when(empty, NO_MATCH_RULE).otherwise(of_rule("rule_id"))
+    suffix = (
+        F.when(empty, F.concat(F.lit("-"), first_is_debit))
+        .when(splits & (no == 2), "-OL").when(deposit, "-OL-D").otherwise(""))
+    side = F.when(empty | splits, first_is_debit).when((no == 1) != _swaps(), "CR").otherwise("DR")
+    return {
+        "line_no": no,
+        "entry_id": F.concat(F.lit("LE-"), F.col("entry_id"), F.lit("-"), rule, suffix),
+        "account_code": F.when(empty, UNMATCHED_CODE).when(deposit, DEPOSIT_ACCOUNT).otherwise(of_rule("account_code")),
+        "account_path": F.when(empty, UNMATCHED_PATH).when(deposit, cr["split_path"])
+        .when(splits, of_rule("name_path")).otherwise(of_rule("path")),
+        "amount": F.when(deposit, part).when(splits & (no == 2), gross - part).otherwise(gross).cast("decimal(18,2)"),
+        "date": F.col("date"), "description": F.col("description"), "source_entry_id": F.col("entry_id"),
+        "rule_applied": rule, "quarter": F.quarter("date"), "year": F.year("date"), "ledger_type": side,
+    }
+
+
+def ledger(booked: DataFrame, include_unmatched: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """One row per ledger line. Placeholder lines of unmatched rows only on request.
+
+    `keep` names journal columns to carry along, e.g. the sheet.
+    """
+    lines = booked.withColumn("_no", F.explode(line_numbers(include_unmatched)))
+    columns = line(F.col("_no"))
+    return lines.select("src_row", *[columns[c].alias(c) for c in LEDGER_COLUMNS if c != "src_row"], *(keep or []))
+
+
+def lines_array(include_unmatched: bool = True) -> Column:
+    """The lines of a booked row as an array of structs, for nested records."""
+    return F.transform(line_numbers(include_unmatched), lambda no: F.struct(
+        *[c.alias(name) for name, c in line(no).items()]))
 
 
-def unmatched(records: DataFrame) -> DataFrame:
+def unmatched(booked: DataFrame) -> DataFrame:
     """Journal rows for which no rule was applied."""
-    return records.filter("no_match").drop("applied_rules", "lines", "no_match")
+    return booked.filter("no_match").drop(*BOOKED)
 
 
 def transform(journal, rules, accounts=None, **options):
     """(ledger of the matched rows, unmatched journal rows)."""
-    records = book(journal, rules, accounts, **options)
-    return ledger(records), unmatched(records)
+    booked = book(journal, rules, accounts, **options)
+    return ledger(booked), unmatched(booked)
 
 
 def transform_entry(journal, rules, accounts, entry_id: str) -> DataFrame:
-    """The record of one journal entry; the filter reaches the scan."""
+    """The booked row of one journal entry; the filter reaches the scan."""
     return book(journal.filter(F.col("entry_id") == entry_id), rules, accounts)

@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.conditions import condition_column, condition_sql
-from ..functions.sizing import fits
+from ..functions.conditions import EQUI, condition_column, condition_sql
+from ..functions.sizing import compact, fits
 from ..schemas import DEPOSIT_ACCOUNT
 from ..sources.rules import split_condition
 from .accounts import account_index, name_index
@@ -26,6 +26,9 @@ def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFr
     `split_path` is the path of the deposit account.
     """
     out = split_condition(rules)
+    small = accounts is not None and fits(accounts)
+    if small:
+        accounts = compact(accounts)
     if accounts is None:
         out = out.select(
             "*", F.lit(True).alias("known"), F.col("account_code").alias("path"),
@@ -36,7 +39,7 @@ def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFr
         names = name_index(accounts).withColumnRenamed("name", "account_code")
         deposit = accounts.filter(F.col("name") == DEPOSIT_ACCOUNT).agg(
             F.min_by("full_path", "ord").alias("split_path"))
-        if fits(accounts):
+        if small:
             index, names = F.broadcast(index), F.broadcast(names)
         out = (
             out.join(index, "account_code", "left").join(names, "account_code", "left")
@@ -46,10 +49,9 @@ def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFr
     return out
 
 
-def _conditions(prepared: DataFrame) -> list[str]:
+def _conditions(rules: DataFrame) -> list[str]:
     """Distinct free-form condition texts. They are code, so they live in the plan."""
-    texts = [r[0] for r in prepared.filter(F.col("residual").isNotNull())
-             .select("residual").distinct().limit(MAX_CONDITIONS + 1).collect()]
+    texts = [r[0] for r in rules.filter(~F.col("condition").rlike(EQUI)).select("condition").distinct().limit(MAX_CONDITIONS + 1).collect()]
     if len(texts) > MAX_CONDITIONS:
         raise ValueError(
             f"More than {MAX_CONDITIONS} different free-form conditions; write them as "
@@ -100,10 +102,11 @@ def pick_rules(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None
     the row decides alone, so the journal is not shuffled. Larger rule sets: equality join on
     the type, then one partially aggregated minimum per row and side.
     """
-    prepared = prepare_rules(rules, accounts)
-    texts = _conditions(prepared)
+    small = fits(rules, max_rules)
+    prepared = prepare_rules(compact(rules) if small else rules, accounts)
+    texts = _conditions(rules)
     prepared = _condition_ids(prepared, texts).filter(F.col("cond_id").isNotNull())
-    if fits(rules, max_rules):
+    if small:
         return _pick_in_row(journal, prepared, texts)
     return _pick_by_join(journal, prepared, texts)
 
@@ -141,27 +144,32 @@ def _pick_in_row(journal, prepared, texts):
     }).drop("hits")
 
 
-def rule_mismatches(records: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
+def applied_rules() -> Column:
+    """The rules of a booked row as rows `r` (NULL for a side without rule)."""
+    return F.explode(F.array("cr_rule", "dr_rule")).alias("r")
+
+
+def rule_mismatches(booked: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     """(src_row, entry_id, rule_id, condition) of applied rules whose condition does not hold."""
     prepared = prepare_rules(rules)
-    texts = _conditions(prepared)
+    texts = _conditions(rules)
     prepared = _condition_ids(prepared, texts).filter(F.col("cond_id").isNotNull())
     if fits(rules, max_rules):
-        held = with_hits(records, prepared, texts).withColumn(
+        held = with_hits(booked, prepared, texts).withColumn(
             "held", F.transform("hits", lambda h: h["rule"]["rule_id"]))
-        return held.select("src_row", "entry_id", "held", F.explode("applied_rules").alias("r")).filter(
-            ~F.array_contains(F.col("held"), F.col("r.rule_id"))
+        return held.select("src_row", "entry_id", "held", applied_rules()).filter(
+            F.col("r").isNotNull() & ~F.array_contains(F.col("held"), F.col("r.rule_id"))
         ).select("src_row", "entry_id", "r.rule_id", "r.condition")
-    applied = records.select("src_row", "entry_id", F.explode("applied_rules").alias("r")).select(
+    applied = booked.select("src_row", "entry_id", applied_rules()).filter("r is not null").select(
         "src_row", "entry_id", "r.rule_id", "r.condition")
-    held = _matches(records, prepared, texts, small=False).select("src_row", "rule.rule_id")
+    held = _matches(booked, prepared, texts, small=False).select("src_row", "rule.rule_id")
     return applied.join(held, ["src_row", "rule_id"], "left_anti")
 
 
 def matches(journal: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     """(src_row, rule_ord, rule) for every rule that holds for a journal row."""
     prepared = prepare_rules(rules)
-    texts = _conditions(prepared)
+    texts = _conditions(rules)
     prepared = _condition_ids(prepared, texts).filter(F.col("cond_id").isNotNull())
     return _matches(journal, prepared, texts, fits(rules, max_rules))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.issues import check, emit, union_all
+from ..functions.issues import any_failed, check, emit, union_all
 from ..functions.sizing import sized
 from ..functions.text import READER_DATE_FORMATS, blank, parse_date, to_double, to_int
 from ..schemas import LARGE_AMOUNT, MAX_YEAR, MIN_YEAR, MONEY
@@ -53,7 +53,7 @@ def _typed(df: DataFrame, entry_id_column: str, src_row: str) -> DataFrame:
     )
 
 
-def _field_checks() -> list[Column]:
+def _field_checks() -> list:
     # Field constraint messages.
     n = F.col("src_row") + 2
     short = "String should have at least 1 character"
@@ -90,7 +90,7 @@ def field_issues(df: DataFrame, entry_id_column: str = "entry_id", src_row: str
 def valid_rows(df: DataFrame, entry_id_column: str = "entry_id", src_row: str = "src_row") -> DataFrame:
     """The rows without such problems, typed, with the year corrected."""
     typed = _typed(df, entry_id_column, src_row)
-    return typed.filter(F.size(F.array_compact(F.array(*_field_checks()))) == 0).select(
+    return typed.filter(~any_failed(_field_checks())).select(
         "src_row", "entry_id", "year", "description", "old_type", "amount", "date", "quarter", "notes")
 
 

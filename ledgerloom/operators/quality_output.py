@@ -8,6 +8,8 @@ from ..functions.issues import check, emit, union_all
 from ..functions.sizing import sized
 from ..schemas import TOLERANCE
 from .aggregate import duplicate_aggregates, tie_out
+from .ledger import ledger as lines_of
+from .ledger import lines_array
 from .matching import rule_mismatches
 
 
@@ -118,14 +120,17 @@ def validate_output(journal: DataFrame, ledger: DataFrame, aggregates: DataFrame
     return union_all(parts)
 
 
-def _record_sum():
+def _with_lines(booked: DataFrame) -> DataFrame:
+    """Booked rows with their lines, the number of lines and their sum."""
     zero = F.lit(0).cast("decimal(28,2)")
-    return F.aggregate("lines", zero, lambda acc, line: (acc + line["amount"]).cast("decimal(28,2)"))
+    return booked.withColumn("lines", lines_array()).withColumns({
+        "n_lines": F.size("lines"),
+        "line_sum": F.aggregate("lines", zero, lambda acc, x: (acc + x["amount"]).cast("decimal(28,2)"))})
 
 
-def transformation_issues(records: DataFrame, rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
-    """Checks of each booked record; all but the account lookup happen inside the record."""
-    rows = records.withColumns({"line_sum": _record_sum(), "n_lines": F.size("lines")})
+def transformation_issues(booked: DataFrame, rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """Checks of each booked row; all but the account lookup happen inside the row."""
+    rows = _with_lines(booked)
     own, total = _money_text(F.col("amount")), _money_text(F.col("line_sum"))
     gap = F.abs(F.col("line_sum") - F.col("amount"))
     n_lines = F.col("n_lines").cast("string")
@@ -140,21 +145,21 @@ def transformation_issues(records: DataFrame, rules: DataFrame, accounts: DataFr
               F.concat(F.lit("journal="), own, F.lit(", ledger_sum="), total)),
     ])
     multiple = rows.filter(F.col("n_lines") == 1).select(
-        "src_row", "entry_id", "n_lines", F.explode("applied_rules").alias("r")).filter("r.generates_multiple")
+        "src_row", "entry_id", "n_lines", F.explode(F.array("cr_rule", "dr_rule")).alias("r")).filter("r.generates_multiple")
     incomplete = emit(multiple, [check(
         F.lit(True), "incomplete_one_to_many", "completeness",
         F.concat(F.lit("Rule "), F.col("r.rule_id"), F.lit(" has generates_multiple=True for entry "), F.col("entry_id"),
                  F.lit(", but only "), n_lines, F.lit(" ledger entry(ies) were created. Expected multiple ledger entries.")),
         F.concat(F.lit("entries_created="), n_lines))])
-    mismatch = emit(rule_mismatches(records, rules), [check(
+    mismatch = emit(rule_mismatches(booked, rules), [check(
         F.lit(True), "rule_mismatch", "rule_correctness",
         F.concat(F.lit("Rule "), F.col("rule_id"), F.lit(" was applied to entry "), F.col("entry_id"),
                  F.lit(" but condition '"), F.col("condition"), F.lit("' does not match entry data")),
         F.col("condition"))])
     parts = [local, mismatch, incomplete]
     if accounts is not None:
-        lines = records.select("src_row", "entry_id", F.explode("lines").alias("l")).select(
-            "src_row", "entry_id", F.col("l.account_code").alias("account_code"), F.col("l.entry_id").alias("line_id"))
+        lines = lines_of(booked, include_unmatched=True).select(
+            "src_row", F.col("source_entry_id").alias("entry_id"), "account_code", F.col("entry_id").alias("line_id"))
         unknown = lines.join(sized(accounts.select(F.col("code").alias("account_code"))), "account_code", "left_anti")
         parts.append(emit(unknown, [check(
             F.lit(True), "invalid_account_code", "account_code",
@@ -164,17 +169,16 @@ def transformation_issues(records: DataFrame, rules: DataFrame, accounts: DataFr
     return union_all(parts)
 
 
-def post_transform_errors(records: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
-    """Per matched record: error texts for amount, source link and unknown accounts, as rows."""
-    rows = records.filter(~F.col("no_match")).withColumn("line_sum", _record_sum())
+def post_transform_errors(booked: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """Per matched row: error texts for amount and unknown accounts, as rows."""
+    rows = _with_lines(booked.filter(~F.col("no_match")))
     own, total = _money_text(F.col("amount")), _money_text(F.col("line_sum"))
     amount = rows.filter(F.abs(F.col("line_sum") - F.col("amount")) > _cent()).select(
         "src_row", "entry_id", F.concat(F.lit("Amount mismatch: journal entry amount "), own,
                                         F.lit(" != sum of ledger entries "), total).alias("message"))
     if accounts is None:
         return amount
-    lines = rows.select("src_row", "entry_id", F.explode("lines").alias("l")).select(
-        "src_row", "entry_id", F.col("l.account_code").alias("account_code"))
+    lines = lines_of(booked).select("src_row", F.col("source_entry_id").alias("entry_id"), "account_code")
     unknown = lines.join(sized(accounts.select(F.col("code").alias("account_code"))), "account_code", "left_anti").select(
         "src_row", "entry_id",
         F.concat(F.lit("Account code "), F.col("account_code"), F.lit(" not found in hierarchy")).alias("message"))

@@ -17,12 +17,12 @@ def well_formed(conditions: pd.Series) -> pd.Series:
     return conditions.map(known).fillna(False).astype(bool)
 
 
-def _syntax() -> Column:
+def _syntax() -> tuple[Column, Column]:
     return check(~F.col("well_formed"), "syntax_error", "condition",
                  F.concat(F.lit("Invalid rule syntax: "), F.col("condition")), F.col("condition"))
 
 
-def _without_type() -> Column:
+def _without_type() -> tuple[Column, Column]:
     lacking = (F.coalesce("old_type", F.lit("")) == "") & (F.coalesce("new_type", F.lit("")) == "")
     return check(lacking, "missing_field", "old_type,new_type",
                  "At least one of 'old_type' or 'new_type' must be specified")
@@ -123,7 +123,7 @@ def duplicate_rule_ids(rules: DataFrame) -> DataFrame:
 def valid_rules(rules: DataFrame) -> DataFrame:
     """Rules that can be applied: readable condition, known fields, a type on one side."""
     return _checked(rules).filter(
-        F.col("well_formed") & (F.size("unknown") == 0) & _without_type().isNull()
+        F.col("well_formed") & (F.size("unknown") == 0) & ~_without_type()[0]
     ).select(*rules.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.median import double_median
 from ..schemas import MISSING_TYPE
 from .accounts import lookup
+from .ledger import line, line_numbers
 from .ordering import severity_rank
 from .typing import HINT
 
@@ -61,8 +62,8 @@ def _flags(df: DataFrame, entry, status, reason, severity, source, first_at, las
         (F.lit(1).cast("bigint") if occurrences is None else occurrences).alias("occurrences"))
 
 
-def no_match_flags(records: DataFrame) -> DataFrame:
-    return _flags(records.filter("no_match"), F.col("entry_id"), "no_match",
+def no_match_flags(booked: DataFrame) -> DataFrame:
+    return _flags(booked.filter("no_match"), F.col("entry_id"), "no_match",
                   "No matching rule found for this journal entry", "error", F.col("entry_id"), _at(1))
 
 
@@ -183,21 +184,21 @@ def unusual_amount_flags(ledger: DataFrame) -> DataFrame:
                   F.col("source_entry_id"), _at(6, line_row="src_row", line="line_no"))
 
 
-def multiple_rule_flags(records: DataFrame) -> DataFrame:
-    rows = records.filter(F.size("applied_rules") > 1)
-    reason = F.concat(F.lit("Multiple rules ("), F.size("applied_rules").cast("string"), F.lit(") matched this entry"))
-    return _flags(rows, F.col("entry_id"), "multiple_rules", reason, "info", F.col("entry_id"), _at(7))
+def multiple_rule_flags(booked: DataFrame) -> DataFrame:
+    """Rows with a credit and a debit rule, that is every ordinary pair."""
+    rows = booked.filter(F.col("cr_rule").isNotNull() & F.col("dr_rule").isNotNull())
+    return _flags(rows, F.col("entry_id"), "multiple_rules", "Multiple rules (2) matched this entry", "info", F.col("entry_id"), _at(7))
 
 
-def review_flags(records: DataFrame, ledger: DataFrame, issues: DataFrame | None = None,
+def review_flags(booked: DataFrame, ledger: DataFrame, issues: DataFrame | None = None,
                  accounts: DataFrame | None = None) -> DataFrame:
     """All flags of a run; `occurrences` counts equal ones."""
-    parts = [no_match_flags(records), missing_type_flags(records)]
+    parts = [no_match_flags(booked), missing_type_flags(booked)]
     if issues is not None:
         parts.append(issue_flags(issues, ledger))
     if accounts is not None:
         parts.append(missing_account_flags(ledger, accounts))
-    parts += [unusual_amount_flags(ledger), multiple_rule_flags(records)]
+    parts += [unusual_amount_flags(ledger), multiple_rule_flags(booked)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -227,28 +228,27 @@ def preview(ledger: DataFrame, flags: DataFrame) -> DataFrame:
         "rule_applied", F.coalesce("reason", F.lit("")).alias("review_reason"), "src_row", "line_no")
 
 
-def comparison(records: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+def comparison(booked: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Every journal row beside its ledger lines; rows without lines read NO MATCH.
 
-    The lines are the record's own, so nothing is joined but the first flag of the entry.
+    The lines are the row's own, so nothing is joined but the first flag of the entry.
     """
-    lines = F.when(~F.col("no_match"), F.col("lines"))
-    rows = records.select(
-        "src_row", F.col("entry_id").alias("journal_entry_id"), F.col("description").alias("journal_description"),
-        F.col("amount").alias("journal_amount"), F.col("date").alias("journal_date"),
-        F.coalesce("old_type", F.lit("")).alias("journal_type"), F.posexplode_outer(lines).alias("pos", "l"))
+    no = F.col("no")
+    own = line(no)
+    rows = booked.withColumn("no", F.explode_outer(line_numbers())).select(
+        "src_row", F.coalesce(no, F.lit(0)).alias("line_no"), F.col("entry_id").alias("journal_entry_id"),
+        F.col("description").alias("journal_description"), F.col("amount").alias("journal_amount"),
+        F.col("date").alias("journal_date"), F.coalesce("old_type", F.lit("")).alias("journal_type"),
+        F.when(no.isNull(), "NO MATCH").otherwise(own["entry_id"]).alias("ledger_entry_id"),
+        *[F.when(no.isNotNull(), own[c]).alias(a) for c, a in (
+            ("account_code", "account_code"), ("account_path", "account_path"), ("amount", "ledger_amount"),
+            ("rule_applied", "rule_applied"), ("quarter", "quarter"), ("year", "year"))])
     if flags is None:
         rows = rows.withColumn("severity", F.lit(None).cast("string"))
     else:
         first = first_flag_per_source(flags).select(F.col("source_entry_id").alias("journal_entry_id"), "severity")
         rows = rows.join(first, "journal_entry_id", "left")
-    return rows.select(
-        "src_row", F.coalesce("l.line_no", F.lit(0)).alias("line_no"), icon(F.col("severity")).alias("status_icon"),
-        "journal_entry_id", "journal_description", "journal_amount", "journal_date", "journal_type",
-        F.coalesce("l.entry_id", F.lit("NO MATCH")).alias("ledger_entry_id"), "l.account_code", "l.account_path",
-        F.col("l.amount").alias("ledger_amount"), "l.rule_applied",
-        F.when(F.col("l").isNotNull(), F.quarter("journal_date")).alias("quarter"),
-        F.when(F.col("l").isNotNull(), F.year("journal_date")).alias("year"))
+    return rows.select(icon(F.col("severity")).alias("status_icon"), *[c for c in rows.columns if c != "severity"])
 
 
 def flagged_entries(flags: DataFrame, ledger: DataFrame, journal: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def flagged_order() -> list[Column]:
     return [F.col("severity_rank"), F.col("entry_id")]
 
 
-def dashboard(records: DataFrame, ledger: DataFrame, flags: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def dashboard(journal: DataFrame, ledger: DataFrame, flags: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """One row: journal and ledger size, flags by severity, issues found."""
     def of(severity):
         return F.coalesce(F.sum(F.when(F.col("severity") == severity, F.col("occurrences"))), F.lit(0)).cast("bigint")
@@ -296,7 +296,7 @@ def dashboard(records: DataFrame, ledger: DataFrame, flags: DataFrame, issues: D
         F.coalesce(F.sum("occurrences"), F.lit(0)).cast("bigint").alias("entries_needing_review"),
         of("critical").alias("critical_issues"), of("error").alias("error_flags"),
         of("warning").alias("warning_flags"), of("info").alias("info_items"))
-    extra = {"total_journal_entries": records.agg(F.count(F.lit(1))).scalar(),
+    extra = {"total_journal_entries": journal.agg(F.count(F.lit(1))).scalar(),
              "total_ledger_entries": ledger.agg(F.count(F.lit(1))).scalar()}
     if issues is not None:
         extra["errors_detected"] = issues.agg(F.count_if(F.col("kind") == "error")).scalar()

@@ -21,18 +21,22 @@ def prepare(journal: DataFrame, rules: DataFrame, type_map: DataFrame | None = N
 
 def booked(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None = None,
            type_map: DataFrame | None = None) -> DataFrame:
-    """The records of a run as one lazy plan."""
+    """The booked rows of a run as one lazy plan."""
     entries = journal_source.drop_skipped(prepare(journal, rules, type_map))
     return booking.book(entries, quality_rules.valid_rules(rules), accounts)
 
 
-def statistics(entries: DataFrame, records: DataFrame, rules: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of run statistics; `entries` are the typed rows before skipping."""
-    return records.agg(
+def _counts() -> list[Column]:
+    """Rows, ledger lines (without placeholders) and unmatched rows."""
+    return [
         F.count(F.lit(1)).alias("journal_entries"),
-        F.coalesce(F.sum(F.when(~F.col("no_match"), F.size("lines"))), F.lit(0)).cast("bigint").alias("ledger_entries"),
-        F.count_if("no_match").alias("unmatched_entries"),
-    ).withColumns({
+        F.coalesce(F.sum(F.size(booking.line_numbers())), F.lit(0)).cast("bigint").alias("ledger_entries"),
+        F.count_if("no_match").alias("unmatched_entries")]
+
+
+def statistics(entries: DataFrame, booked_rows: DataFrame, rules: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row of run statistics; `entries` are the typed rows before skipping."""
+    return booked_rows.agg(*_counts()).withColumns({
         "journal_entries_skipped": entries.agg(F.count_if(journal_source.skip_condition())).scalar(),
         "rules_applied": rules.agg(F.count(F.lit(1))).scalar(),
         "validation_errors": issues.agg(F.count_if(F.col("kind") == "error")).scalar(),
@@ -40,19 +44,16 @@ def statistics(entries: DataFrame, records: DataFrame, rules: DataFrame, issues:
     })
 
 
-def sheet_summary(records: DataFrame) -> DataFrame:
+def sheet_summary(booked_rows: DataFrame) -> DataFrame:
     """Per sheet: rows, lines and unmatched rows; all sheets in one job."""
-    return records.groupBy("sheet").agg(
-        F.count(F.lit(1)).alias("journal_entries"),
-        F.coalesce(F.sum(F.when(~F.col("no_match"), F.size("lines"))), F.lit(0)).cast("bigint").alias("ledger_entries"),
-        F.count_if("no_match").alias("unmatched_entries"))
+    return booked_rows.groupBy("sheet").agg(*_counts())
 
 
 def run(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None, directory: str, as_of: Column,
         type_map: DataFrame | None = None, run_arguments: dict | None = None, fmt: str = "parquet") -> dict:
     """Publish every table of a run under `directory` and return paths and statistics.
 
-    Records and issues feed many tables: each is written once to the (shared) output directory
+    Booked rows and issues feed many tables: each is written once to the (shared) output directory
     and read back, which also cuts the lineage for executors that are lost later.
     """
     spark = journal.sparkSession
@@ -67,8 +68,9 @@ def run(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None, direct
         quality_input.validate_inputs(kept, rules, accounts, as_of), f"{directory}/issues")
     issues = spark.read.parquet(issues_path)
     ledger, rest = booking.ledger(records), booking.unmatched(records)
-    trail = audit_tables.audit_records(records, run_arguments)
-    paths = publish.unified_report(ledger, rest, trail, issues, accounts, directory, fmt)
+    paths = publish.unified_report(ledger, rest, records, issues, accounts, directory, fmt)
+    paths["audit_metadata"] = publish.write_table(
+        audit_tables.metadata(records, run_arguments), f"{directory}/audit_metadata", fmt)
     paths |= {"entries": entries_path, "records": records_path, "issues": issues_path}
     stats = statistics(typed, records, rules, issues)
     paths["statistics"] = publish.write_table(stats, f"{directory}/statistics", fmt)
@@ -83,6 +85,5 @@ def run_sheets(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None,
     records = booked(chosen, rules, accounts)
     path = publish.write_table(records, f"{directory}/records", partition_by=["sheet"])
     written = spark.read.parquet(path).withColumn("sheet", F.col("sheet").cast("string"))
-    publish.write_table(booking.ledger(written).join(
-        written.select("src_row", "sheet"), "src_row"), f"{directory}/ledger", partition_by=["sheet"])
+    publish.write_table(booking.ledger(written, keep=["sheet"]), f"{directory}/ledger", partition_by=["sheet"])
     return sheet_summary(written)

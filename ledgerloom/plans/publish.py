@@ -31,7 +31,7 @@ def unmatched_list(unmatched: DataFrame) -> DataFrame:
                             "description", "date", "amount", "year")
 
 
-def unified_report(ledger: DataFrame, unmatched: DataFrame, audit_records: DataFrame,
+def unified_report(ledger: DataFrame, unmatched: DataFrame, booked: DataFrame,
                    issues: DataFrame | None, accounts: DataFrame | None, directory: str,
                    fmt: str = "parquet") -> dict[str, str]:
     """Categorization, yearly summary, quarterly report, audit & review."""
@@ -46,7 +46,7 @@ def unified_report(ledger: DataFrame, unmatched: DataFrame, audit_records: DataF
         "quarterly_report": write_table(
             aggregate.quarter_report(quarterly, accounts), f"{directory}/quarterly_report", fmt,
             order=aggregate.report_order()),
-        "audit_summary": write_table(audit.audit_summary(audit_records), f"{directory}/audit_summary", fmt),
+        "audit_summary": write_table(audit.audit_summary(booked), f"{directory}/audit_summary", fmt),
         "unmatched": write_table(unmatched_list(unmatched), f"{directory}/unmatched", fmt, order=[F.col("src_row")]),
     }
     if issues is not None:
@@ -69,28 +69,28 @@ def quarterly_report_set(ledger: DataFrame, accounts: DataFrame | None, director
     }
 
 
-def review_set(records: DataFrame, ledger: DataFrame, issues: DataFrame | None, accounts: DataFrame | None,
+def review_set(booked: DataFrame, ledger: DataFrame, issues: DataFrame | None, accounts: DataFrame | None,
                directory: str, fmt: str = "parquet") -> dict[str, str]:
     """Dashboard, preview, comparison and flagged entries.
 
     The flags feed all four tables, so they are written first and read back.
     """
-    spark = records.sparkSession
-    paths = {"flags": write_table(review.review_flags(records, ledger, issues, accounts), f"{directory}/flags")}
+    spark = booked.sparkSession
+    paths = {"flags": write_table(review.review_flags(booked, ledger, issues, accounts), f"{directory}/flags")}
     flags = spark.read.parquet(paths["flags"])
     paths |= write_tables({
-        "dashboard": review.dashboard(records, ledger, flags, issues),
+        "dashboard": review.dashboard(booked, ledger, flags, issues),
         "flags_by_status": review.flags_by_status(flags),
         "preview": review.preview(ledger, flags),
-        "comparison": review.comparison(records, flags),
+        "comparison": review.comparison(booked, flags),
     }, directory, fmt)
-    paths["flagged"] = write_table(review.flagged_entries(flags, ledger, records), f"{directory}/flagged", fmt,
+    paths["flagged"] = write_table(review.flagged_entries(flags, ledger, booked), f"{directory}/flagged", fmt,
                                    order=review.flagged_order())
     return paths
 
 
 def error_report_set(detected: DataFrame, warned: DataFrame, entries: DataFrame, directory: str,
-                     fixes: DataFrame | None = None, audit_records: DataFrame | None = None,
+                     fixes: DataFrame | None = None, booked: DataFrame | None = None,
                      fmt: str = "parquet") -> dict[str, str]:
     """Summary, errors, validation metrics, fixes, transformations and the original rows."""
     tables = {
@@ -106,14 +106,14 @@ def error_report_set(detected: DataFrame, warned: DataFrame, entries: DataFrame,
     }
     if fixes is not None:
         tables["fixes"] = fixes
-    if audit_records is not None:
-        tables["transformations"] = audit.transformations(audit_records)
+    if booked is not None:
+        tables["transformations"] = audit.transformations(booked)
     return write_tables(tables, directory, fmt)
 
 
-def audit_export(audit_records: DataFrame, directory: str, run: dict | None = None) -> dict[str, str]:
+def audit_export(booked: DataFrame, directory: str, run: dict | None = None) -> dict[str, str]:
     """The five audit tables, the flat lineage as CSV and the nested records as JSON."""
-    paths = write_tables(audit.audit_set(audit_records, run), directory)
-    paths["lineage_csv"] = write_table(audit.lineage(audit_records), f"{directory}/lineage_csv", "csv")
-    paths["records_json"] = write_table(audit_records, f"{directory}/records_json", "json")
+    paths = write_tables(audit.audit_set(booked, run), directory)
+    paths["lineage_csv"] = write_table(audit.lineage(booked, run), f"{directory}/lineage_csv", "csv")
+    paths["records_json"] = write_table(audit.audit_records(booked, run), f"{directory}/records_json", "json")
     return paths

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.conditions import EQUI
-from ..functions.issues import check, emit
+from ..functions.issues import any_failed, check, emit
 from ..functions.numbering import running_number
 from ..functions.text import to_int, truthy
 from ..operators.accounts import map_legacy_codes
@@ -51,7 +51,7 @@ def _parse(df: DataFrame, ord_col: str) -> DataFrame:
     )
 
 
-def _checks() -> list[Column]:
+def _checks() -> list:
     # Field constraint messages.
     required = "Field required"
     short = "String should have at least 1 character"
@@ -77,8 +77,7 @@ def _checks() -> list[Column]:
 
 def read_rules(df: DataFrame, ord_col: str = "rule_ord") -> DataFrame:
     """Valid rules of a long rule table, unknown columns dropped; `ord_col` is the 0-based row."""
-    broken = F.size(F.array_compact(F.array(*_checks()))) > 0
-    return _parse(df, ord_col).filter(~broken).select(
+    return _parse(df, ord_col).filter(~any_failed(_checks())).select(
         "rule_ord", "rule_id", "condition", "account_code", "priority",
         F.trim("old_type").alias("old_type"), F.trim("new_type").alias("new_type"),
         "description", "generates_multiple", "ledger_type",
