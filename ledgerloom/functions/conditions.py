@@ -15,11 +15,11 @@ FIELD_KINDS = {
 }
 NULLABLE_FIELDS = {"quarter", "notes"}
 
-_OPERAND = r"""(?:"[^"]*"|'[^']*'|-?\d+(?:\.\d+)?|[A-Za-z_]\w*)"""
-_COMPARISON = re.compile(
-    rf"(?P<left>{_OPERAND})\s*(?P<op>==|!=|>=|<=|>|<|\bin\b)\s*(?P<right>{_OPERAND})"
-)
-_REDUCE = re.compile(r"\(\s*#\s*\)|\bnot\s+#|\bnot(?=\()|#\s+(?:and|or)\s+#")
+# The same patterns serve Python (a condition that is compiled) and Spark (a column of them).
+_OPERAND = r"""("[^"]*"|'[^']*'|-?[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*)"""
+_COMPARISON = rf"{_OPERAND}\s*(==|!=|>=|<=|>|<|\bin\b)\s*{_OPERAND}"
+_PAREN = r"([()])"
+_REDUCE = r"\(\s*#\s*\)|\bnot\s+#|#\s+(?:and|or)\s+#"
 EQUI = (
     r'^\s*old_type\s*==\s*"([^"]*)"'
     r"(?:\s+and\s+year\s*==\s*(\d{1,4}))?"
@@ -73,16 +73,16 @@ def condition_sql(text: str) -> str | None:
     parts: list[str] = []
 
     def keep(match):
-        parts.append(_compare(match["left"], match["op"], match["right"], guards))
+        parts.append(_compare(*match.groups(), guards))
         return "#"
 
-    if "#" in _COMPARISON.sub("", text):
+    if "#" in re.sub(_COMPARISON, "", text):
         return None
-    shape = _COMPARISON.sub(keep, text)
-    rest, before = shape.strip(), None
+    shape = re.sub(_PAREN, r" \1 ", re.sub(_COMPARISON, keep, text))
+    rest, before = shape, None
     while rest != before:
-        before, rest = rest, _REDUCE.sub(lambda m: "not " if m[0] == "not" else "#", rest).strip()
-    if rest != "#":
+        before, rest = rest, re.sub(_REDUCE, "#", rest)
+    if rest.strip() != "#":
         return None
     pieces = iter(parts)
     sql = re.sub("#", lambda _: f"({next(pieces)})", shape)
@@ -97,6 +97,18 @@ def condition_column(text: str) -> Column:
     return F.coalesce(F.expr(sql), F.lit(False))
 
 
+def well_formed(condition: Column) -> Column:
+    """Whether a column of conditions can be read; the test of `condition_sql` inside Spark.
+
+    Comparisons become #, then (#), not # and # and # become # as often as there are words.
+    """
+    outside = F.regexp_replace(condition, _COMPARISON, "")
+    shape = F.regexp_replace(F.regexp_replace(condition, _COMPARISON, "#"), _PAREN, " $1 ")
+    steps = F.sequence(F.lit(1), F.size(F.split(shape, r"\s+")))
+    rest = F.aggregate(steps, shape, lambda text, _: F.regexp_replace(text, _REDUCE, "#"))
+    return F.coalesce(~F.contains(outside, F.lit("#")) & (F.trim(rest) == "#"), F.lit(False))
+
+
 def unknown_fields(condition: Column) -> Column:
     """Distinct names in a condition that are not journal fields, in order of appearance."""
     # Words of the condition language.

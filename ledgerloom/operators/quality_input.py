@@ -7,6 +7,7 @@ from ..functions.issues import any_failed, check, emit, union_all
 from ..functions.sizing import sized
 from ..functions.text import READER_DATE_FORMATS, blank, parse_date, to_double, to_int
 from ..schemas import LARGE_AMOUNT, MAX_YEAR, MIN_YEAR, MONEY
+from .quality_rules import rule_table_issues, valid_rules
 
 REQUIRED = ("year", "description", "old_type", "amount", "date")
 INLINE_MEMBERS = 50
@@ -146,9 +147,8 @@ def duplicate_id_issues(entries: DataFrame) -> DataFrame:
         F.col("entry_id"))])
 
 
-def business_warnings(entries: DataFrame, as_of: Column) -> DataFrame:
-    """Zero amounts, amounts above a billion, dates after `as_of`."""
-    return emit(entries, [
+def _business_checks(as_of: Column) -> list:
+    return [
         check(F.col("amount") == 0, "zero_amount", "amount",
               "Amount is zero. Please verify this is intentional.", F.col("amount"), "warning"),
         check(F.abs("amount") > LARGE_AMOUNT, "large_amount", "amount",
@@ -159,14 +159,23 @@ def business_warnings(entries: DataFrame, as_of: Column) -> DataFrame:
               F.concat(F.lit("Date "), F.date_format("date", "yyyy-MM-dd"),
                        F.lit(" is in the future. Please verify this is correct.")),
               F.date_format("date", "yyyy-MM-dd HH:mm:ss"), "warning"),
-    ])
+    ]
 
 
-def blank_issues(entries: DataFrame) -> DataFrame:
-    return emit(entries, [
+def business_warnings(entries: DataFrame, as_of: Column) -> DataFrame:
+    """Zero amounts, amounts above a billion, dates after `as_of`."""
+    return emit(entries, _business_checks(as_of))
+
+
+def _blank_checks() -> list:
+    return [
         check(blank(F.col("description")), "missing_field", "description", "Description cannot be empty", F.col("description")),
         check(blank(F.col("old_type")), "missing_field", "old_type", "Old type cannot be empty", F.col("old_type")),
-    ])
+    ]
+
+
+def blank_issues(entries: DataFrame) -> DataFrame:
+    return emit(entries, _blank_checks())
 
 
 def mixed_period_warnings(entries: DataFrame) -> DataFrame:
@@ -187,25 +196,35 @@ def mixed_period_warnings(entries: DataFrame) -> DataFrame:
                 F.lit(None), F.lit(None))
 
 
-def unmatched_type_issues(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """One issue per entry whose type no rule names. Without rules there is nothing to compare."""
-    types = rules.filter(F.col("old_type").isNotNull()).select("old_type").distinct()
-    any_rule = rules.agg(F.count(F.lit(1)) > 0).scalar()
-    rows = entries.join(sized(types), "old_type", "left_anti").filter(any_rule)
-    return emit(rows, [check(
-        F.lit(True), "unmatched_type", "old_type",
+def _with_named_type(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds whether a rule names the type; always true when there are no rules to compare with."""
+    types = rules.filter(F.col("old_type").isNotNull()).select("old_type").distinct().withColumn("named", F.lit(True))
+    no_rules = rules.agg(F.count(F.lit(1)) == 0).scalar()
+    return entries.join(sized(types), "old_type", "left").withColumn("named", F.coalesce("named", no_rules))
+
+
+def _unmatched_type_check() -> tuple:
+    return check(
+        ~F.col("named"), "unmatched_type", "old_type",
         F.concat(F.lit("Old type '"), F.col("old_type"),
                  F.lit("' in entry does not match any mapping rule. Entry may not be processed correctly.")),
-        F.col("old_type"))])
+        F.col("old_type"))
+
+
+def unmatched_type_issues(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """One issue per entry whose type no rule names."""
+    return emit(_with_named_type(entries, rules), [_unmatched_type_check()])
 
 
 def validate_inputs(entries: DataFrame, rules: DataFrame, accounts: DataFrame | None, as_of: Column) -> DataFrame:
-    """All input checks as one issue table; the input is valid when it holds no errors."""
-    from .quality_rules import rule_table_issues, valid_rules
+    """All input checks as one issue table; the input is valid when it holds no errors.
+
+    The checks that look at one row share a scan; repeated ids and mixed periods aggregate.
+    """
+    checks = [*_business_checks(as_of), *_blank_checks(), _unmatched_type_check()]
     return union_all([
-        rule_table_issues(rules, accounts), business_warnings(entries, as_of), blank_issues(entries),
+        rule_table_issues(rules, accounts), emit(_with_named_type(entries, valid_rules(rules)), checks),
         duplicate_id_issues(entries), mixed_period_warnings(entries),
-        unmatched_type_issues(entries, valid_rules(rules)),
     ])
 
 

@@ -9,7 +9,7 @@ from ..functions.sizing import sized
 from ..schemas import TOLERANCE
 from .aggregate import duplicate_aggregates, tie_out
 from .ledger import ledger as lines_of
-from .ledger import lines_array
+from .ledger import line, line_numbers
 from .matching import rule_mismatches
 
 
@@ -121,11 +121,12 @@ def validate_output(journal: DataFrame, ledger: DataFrame, aggregates: DataFrame
 
 
 def _with_lines(booked: DataFrame) -> DataFrame:
-    """Booked rows with their lines, the number of lines and their sum."""
+    """Booked rows with the amounts of their lines, their number and their sum."""
     zero = F.lit(0).cast("decimal(28,2)")
-    return booked.withColumn("lines", lines_array()).withColumns({
-        "n_lines": F.size("lines"),
-        "line_sum": F.aggregate("lines", zero, lambda acc, x: (acc + x["amount"]).cast("decimal(28,2)"))})
+    amounts = F.transform(line_numbers(include_unmatched=True), lambda no: line(no)["amount"])
+    return booked.withColumn("amounts", amounts).withColumns({
+        "n_lines": F.size("amounts"),
+        "line_sum": F.aggregate("amounts", zero, lambda acc, x: (acc + x).cast("decimal(28,2)"))})
 
 
 def transformation_issues(booked: DataFrame, rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:

@@ -1,24 +1,15 @@
 """Checks of a rule table. Broken rules are left out, doubtful ones are only reported."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.conditions import FIELD_KINDS, condition_sql, unknown_fields
+from ..functions.conditions import FIELD_KINDS, unknown_fields, well_formed
 from ..functions.issues import check, emit, union_all
 from .accounts import lookup
 
 
-@F.pandas_udf(T.BooleanType())
-def well_formed(conditions: pd.Series) -> pd.Series:
-    """Reads each distinct condition of the batch once."""
-    known = {c: condition_sql(c) is not None for c in conditions.dropna().unique()}
-    return conditions.map(known).fillna(False).astype(bool)
-
-
 def _syntax() -> tuple[Column, Column]:
-    return check(~F.col("well_formed"), "syntax_error", "condition",
+    return check(~well_formed(F.col("condition")), "syntax_error", "condition",
                  F.concat(F.lit("Invalid rule syntax: "), F.col("condition")), F.col("condition"))
 
 
@@ -28,13 +19,8 @@ def _without_type() -> tuple[Column, Column]:
                  "At least one of 'old_type' or 'new_type' must be specified")
 
 
-def _checked(rules: DataFrame) -> DataFrame:
-    return rules.withColumn("well_formed", well_formed("condition")).withColumn(
-        "unknown", unknown_fields(F.col("condition")))
-
-
 def syntax_issues(rules: DataFrame) -> DataFrame:
-    return emit(rules.withColumn("well_formed", well_formed("condition")), [_syntax()], "rule_id", "rule_ord")
+    return emit(rules, [_syntax()], "rule_id", "rule_ord")
 
 
 def field_issues(rules: DataFrame) -> DataFrame:
@@ -122,14 +108,13 @@ def duplicate_rule_ids(rules: DataFrame) -> DataFrame:
 
 def valid_rules(rules: DataFrame) -> DataFrame:
     """Rules that can be applied: readable condition, known fields, a type on one side."""
-    return _checked(rules).filter(
-        F.col("well_formed") & (F.size("unknown") == 0) & ~_without_type()[0]
-    ).select(*rules.columns)
+    condition = F.col("condition")
+    return rules.filter(well_formed(condition) & (F.size(unknown_fields(condition)) == 0) & ~_without_type()[0])
 
 
 def rule_table_issues(rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """All rule issues. An unreadable condition hides the other checks of that rule."""
-    readable = rules.filter(well_formed("condition"))
+    readable = rules.filter(well_formed(F.col("condition")))
     parts = [syntax_issues(rules), field_issues(readable), type_issues(readable)]
     if accounts is not None:
         parts.append(account_issues(readable, accounts))

@@ -1,6 +1,7 @@
 """Journal scans: header resolution, sheet selection, row normalisation, year guard."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,16 +135,18 @@ def parse_journal(
         bad_side = F.lit(False)
         amount = to_double(raw("amount"))
 
-    row = F.concat(F.lit("Row "), (F.col(src_row) + 1).cast("string"), F.lit(": "))
+    row = F.concat(F.lit("Row "), (F.col("src_row") + 1).cast("string"), F.lit(": "))
 
     def missing(field):
-        return F.concat(row, F.lit(f"Missing required field '{field}' (column: {cols[field]})"))
+        return F.concat("row_label", F.lit(f"Missing required field '{field}' (column: {cols[field]})"))
 
     def invalid(what, field):
         return F.concat(
-            row, F.lit(f"Invalid {what} in column '{cols[field]}': "), raw(field))
+            "row_label", F.lit(f"Invalid {what} in column '{cols[field]}': "), F.col(f"{field}_text"))
 
-    base = df.filter(F.col(f"`{cols['entry_id']}`").isNotNull()).select(
+    # inline() of one struct: every cell is parsed once, and later filters on the parsed cells
+    # cannot be rewritten into filters that parse them again.
+    base = df.filter(F.col(f"`{cols['entry_id']}`").isNotNull()).select(F.inline(F.array(F.struct(
         F.col(src_row).cast("bigint").alias("src_row"),
         (F.col(sheet).cast("string") if sheet else F.lit(None).cast("string")).alias("sheet"),
         text("entry_id").alias("entry_id"),
@@ -151,23 +154,25 @@ def parse_journal(
         F.coalesce(text("old_type"), F.lit(MISSING_TYPE)).alias("old_type"),
         amount.try_cast(MONEY).alias("amount"),
         date.alias("date"),
-        F.year(date).cast("int").alias("year"),
         to_int(raw("quarter")).alias("quarter"),
         text("notes").alias("notes"),
-        # Errors in the order in which the fields are read; the first one rejects the row.
-        F.coalesce(
-            F.when(F.lit(not from_sides) & raw("amount").isNotNull() & amount.isNull(),
-                   invalid("amount", "amount")),
-            F.when(raw("date").isNull(), missing("date")),
-            F.when(date.isNull(), invalid("date format", "date")),
-            F.when(raw("year").isNotNull() & to_int(raw("year")).isNull(), invalid("year", "year")),
-            F.when(raw("quarter").isNotNull() & to_int(raw("quarter")).isNull(),
-                   invalid("quarter", "quarter")),
-            F.when(bad_side, F.concat(row, F.lit("Unexpected error: could not convert string to float"))),
-        ).alias("read_error"),
-        F.when(raw("old_type").isNull(), missing("old_type")).alias("warning"),
-        row.alias("row_label"),
+        *[raw(c).alias(f"{c}_text") for c in ("amount", "date", "year", "quarter", "old_type")],
+        bad_side.alias("bad_side"),
+    )))).withColumns({"row_label": row, "year": F.year("date")})
+
+    def said(c):
+        return F.col(f"{c}_text").isNotNull()
+
+    # Errors in the order in which the fields are read; the first one rejects the row.
+    read_error = F.coalesce(
+        F.when(F.lit(not from_sides) & said("amount") & F.col("amount").isNull(), invalid("amount", "amount")),
+        F.when(~said("date"), missing("date")),
+        F.when(F.col("date").isNull(), invalid("date format", "date")),
+        F.when(said("year") & to_int(F.col("year_text")).isNull(), invalid("year", "year")),
+        F.when(said("quarter") & F.col("quarter").isNull(), invalid("quarter", "quarter")),
+        F.when(F.col("bad_side"), F.concat("row_label", F.lit("Unexpected error: could not convert string to float"))),
     )
+    warning = F.when(~said("old_type"), missing("old_type"))
     # Field constraint messages.
     short = "String should have at least 1 character"
     model = F.concat_ws(
@@ -183,13 +188,13 @@ def parse_journal(
         F.when(F.col("quarter") > 4, F.lit("quarter: Input should be less than or equal to 4")),
     )
     error = F.coalesce(
-        F.col("read_error"),
+        read_error,
         F.when(model != "", F.concat("row_label", F.lit("Validation error - "), model)),
     )
     return base.select(
         "src_row", "sheet", "entry_id", "year", "description", "old_type", "amount", "date",
         "quarter", "notes", error.isNotNull().alias("rejected"),
-        F.coalesce(error, F.col("warning")).alias("issue"),
+        F.coalesce(error, warning).alias("issue"),
     )
 
 
@@ -229,7 +234,6 @@ def year_guard_report(entries: DataFrame, sheet: str = "sheet") -> DataFrame:
     """Per sheet: how many rows are dated outside the sheet's year, with five sample ids."""
     bad = entries.filter(year_mismatch(sheet))
     # row_number() <= 5 keeps five rows per sheet and input split before the shuffle.
-    from pyspark.sql import Window as W
     first = bad.withColumn("rn", F.row_number().over(W.partitionBy(sheet).orderBy("src_row")))
     samples = first.filter("rn <= 5").groupBy(sheet).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "entry_id"))),
