@@ -16,7 +16,7 @@ FIELD_KINDS = {
 NULLABLE_FIELDS = {"quarter", "notes"}
 
 # The same patterns serve Python (a condition that is compiled) and Spark (a column of them).
-_OPERAND = r"""("[^"]*"|'[^']*'|-?[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*)"""
+_OPERAND = r"""("[^"]*"|'[^']*'|-?[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)"""
 _COMPARISON = rf"{_OPERAND}\s*(==|!=|>=|<=|>|<|\bin\b)\s*{_OPERAND}"
 _PAREN = r"([()])"
 _REDUCE = r"\(\s*#\s*\)|\bnot\s+#|#\s+(?:and|or)\s+#"
