@@ -9,17 +9,17 @@ GRAM = 3
 
 
 def containing_pairs(
-    texts: DataFrame, text: str, needles: DataFrame, needle: str, max_needles: int = 2_000,
+    texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str, max_needles: int = 2_000,
 ) -> DataFrame:
-    """All rows of `texts` x `needles` with the needle inside the text.
+    """(key, columns of `needles`) for every needle inside a text; texts are unique by key.
 
-    Both inputs should be distinct. Few measured needles are broadcast and tested in place.
-    Otherwise every needle is keyed by its first (up to three) characters and every text by its
-    distinct pieces of those lengths: an equality join proposes candidates, contains() decides.
+    Few measured needles are broadcast and tested in place. Otherwise needles are keyed by their
+    first (up to three) characters and texts by their distinct pieces of those lengths: an
+    equality join without the texts proposes candidates, then contains() decides on each.
     """
     hit = F.col(text).contains(F.col(needle))
     if fits(needles, max_needles):
-        return texts.join(F.broadcast(needles), hit)
+        return texts.select(key, text).join(F.broadcast(needles), hit).select(key, *needles.columns)
     keyed = needles.withColumn("_gram", F.substring(needle, 1, GRAM))
     sizes = F.array_distinct(F.transform(
         F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.least(n, F.char_length(text))))
@@ -30,5 +30,6 @@ def containing_pairs(
             lambda i: F.substr(F.col(text), i, n),
         ),
     ))
-    pieces = F.when(F.char_length(text) > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
-    return texts.withColumn("_gram", F.explode(pieces)).join(keyed, "_gram").filter(hit).drop("_gram")
+    grams = texts.filter(F.char_length(text) > 0).select(key, F.explode(F.array_distinct(pieces)).alias("_gram"))
+    candidates = grams.join(keyed, "_gram").drop("_gram")
+    return candidates.join(texts.select(key, text), key).filter(hit).select(key, *needles.columns)

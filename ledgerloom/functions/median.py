@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 65_536
+SMALL = 1_000_000
 
 
 def _histogram(df: DataFrame, value: Column, low: int, high: int) -> tuple[int, list]:
@@ -40,12 +41,19 @@ def exact_ranks(df: DataFrame, value: Column, low: int, high: int, ranks: list[i
     return found
 
 
-def double_median(df: DataFrame, value: Column) -> tuple[int, int] | None:
-    """(number of values, twice the exact median) of a whole-number column."""
-    span = df.select(value.alias("v")).agg(
+def value_range(df: DataFrame, value: Column) -> tuple[int, int, int]:
+    """(number of values, least, greatest) of a whole-number column; (0, 0, 0) without values."""
+    r = df.select(value.alias("v")).agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = span["n"]
-    if not n:
-        return None
-    ranks = [(n + 1) // 2, n // 2 + 1]
-    return n, sum(exact_ranks(df, value, span["lo"], span["hi"], ranks))
+    return r["n"], r["lo"] or 0, r["hi"] or 0
+
+
+def double_median(df: DataFrame, value: Column, n: int, low: int, high: int, small: int = SMALL) -> int:
+    """Twice the exact median of n > 0 whole numbers within [low, high].
+
+    Up to `small` values fit the percentile aggregate of Spark, which holds every distinct value
+    in one task; beyond that the histograms take over.
+    """
+    if n <= small and max(abs(low), abs(high)) < 2 ** 50:
+        return round(2 * df.select(F.percentile(value, F.lit(0.5))).first()[0])
+    return sum(exact_ranks(df, value, low, high, [(n + 1) // 2, n // 2 + 1]))

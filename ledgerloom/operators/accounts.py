@@ -117,8 +117,8 @@ def map_legacy_codes(df: DataFrame, accounts: DataFrame, key: str = "old_code")
     named = labels.join(names.withColumnRenamed("name", "old_code"), "old_code").select(
         "old_code", F.lit(2).alias("match_rank"), "ord", "code")
     columns = ["old_code", F.lit(3).alias("match_rank"), "ord", "code"]
-    inside = containing_pairs(labels, "old_code", names, "name").select(*columns)
-    around = containing_pairs(names, "name", labels, "old_code").select(*columns)
+    inside = containing_pairs(labels, "old_code", "old_code", names, "name").select(*columns)
+    around = containing_pairs(names, "name", "name", labels, "old_code").join(names, "name").select(*columns)
     fragment = F.array_compact(F.array(*[
         F.when(
             F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.col("old_code").contains(p)),

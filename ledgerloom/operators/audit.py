@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import TOTAL
 from .ledger import ledger, line, line_numbers, lines_array
-from .matching import RULE_FIELDS, applied_rules
+from .matching import RULE_FIELDS, applied_rules, has_rule
 
 RUN_FIELDS = ("user", "system_version", "rule_version")
 
@@ -27,7 +27,7 @@ def _rules_array() -> Column:
     def only(rule):
         return F.struct(*[F.col(rule)[f].alias(f) for f in RULE_FIELDS])
 
-    cr, dr = F.col("cr_rule").isNotNull(), F.col("dr_rule").isNotNull()
+    cr, dr = has_rule("cr"), has_rule("dr")
     return (F.when(cr & dr, F.array(only("cr_rule"), only("dr_rule"))).when(cr, F.array(only("cr_rule")))
             .when(dr, F.array(only("dr_rule"))).otherwise(F.slice(F.array(only("cr_rule")), 1, 0)))
 
@@ -62,14 +62,15 @@ def n_lines() -> Column:
 
 def transformation_path() -> Column:
     """Journal Entry X → Rule R (account) → n Ledger Entry(ies), for a booked row."""
-    def step(rule):
-        return F.when(F.col(rule).isNotNull(), F.concat(
-            F.lit("→ Rule "), F.col(rule)["rule_id"], F.lit(" ("), F.col(rule)["account_code"], F.lit(")")))
+    def step(side):
+        rule = F.col(f"{side}_rule")
+        return F.when(has_rule(side), F.concat(
+            F.lit("→ Rule "), rule["rule_id"], F.lit(" ("), rule["account_code"], F.lit(")")))
 
     start = F.concat(F.lit("Journal Entry "), F.col("entry_id"))
     end = F.concat(F.lit("→ "), n_lines().cast("string"), F.lit(" Ledger Entry(ies)"))
     return F.when(F.col("no_match"), F.concat(start, F.lit(" → No matching rules → No transformation"))) \
-        .otherwise(F.concat_ws(" ", start, step("cr_rule"), step("dr_rule"), end))
+        .otherwise(F.concat_ws(" ", start, step("cr"), step("dr"), end))
 
 
 def yes_no(flag: Column) -> Column:

@@ -12,7 +12,7 @@ from ..schemas import (
     DEPOSIT_ACCOUNT, DEPOSIT_MARK, DEPOSIT_MARK_LATIN, DEPOSIT_SPLIT, LEDGER_COLUMNS, NO_MATCH_RULE,
     SPLIT_TYPE, SPLIT_YEAR, UNMATCHED_CODE, UNMATCHED_PATH,
 )
-from .matching import MAX_RULES, pick_rules
+from .matching import MAX_RULES, has_rule, pick_rules
 
 BOOKED = ["cr_rule", "dr_rule", "splits", "no_match"]
 
@@ -27,9 +27,6 @@ def book(
 ) -> DataFrame:
     """Journal rows with cr_rule, dr_rule, splits (deposit is booked apart) and no_match."""
     picked = pick_rules(journal, rules, accounts, max_rules)
-    # Without a rule for either side the first rule of no side is booked as a debit.
-    neither = F.col("cr_rule").isNull() & F.col("dr_rule").isNull()
-    picked = picked.withColumn("dr_rule", F.when(neither, F.col("generic_rule")).otherwise(F.col("dr_rule")))
     splits = (
         F.lit(split_deposits) & (F.trim("old_type") == SPLIT_TYPE) & (F.col("amount") > 0)
         & (F.year("date") == SPLIT_YEAR) & F.col("cr_rule.name_path").isNotNull()
@@ -37,7 +34,7 @@ def book(
     )
     return picked.select(
         *journal.columns, "cr_rule", "dr_rule", _yes(splits).alias("splits"),
-        (F.col("cr_rule").isNull() & F.col("dr_rule").isNull()).alias("no_match"))
+        (~has_rule("cr") & ~has_rule("dr")).alias("no_match"))
 
 
 def _swaps() -> Column:

@@ -13,6 +13,9 @@ RULE_FIELDS = (
     "rule_id", "condition", "account_code", "description", "priority", "generates_multiple",
     "ledger_type",
 )
+ACCOUNT_FIELDS = ("known", "path", "name_code", "name_path", "split_path")
+# Sides of a rule; a rule without side is used when nothing else holds.
+SIDES = {"cr": "CR", "dr": "DR", "free": None}
 MAX_RULES = 20_000
 MAX_CONDITIONS = 5_000
 CONDITIONS_PER_ARRAY = 100
@@ -26,32 +29,28 @@ def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFr
     `split_path` is the path of the deposit account.
     """
     out = split_condition(rules)
-    small = accounts is not None and fits(accounts)
-    if small:
-        accounts = compact(accounts)
     if accounts is None:
-        out = out.select(
+        return out.select(
             "*", F.lit(True).alias("known"), F.col("account_code").alias("path"),
             *[F.lit(None).cast("string").alias(c) for c in ("name_code", "name_path", "split_path")])
-    else:
-        index = account_index(accounts).select(
-            F.col("key").alias("account_code"), F.col("account_full_path").alias("path"))
-        names = name_index(accounts).withColumnRenamed("name", "account_code")
-        deposit = accounts.filter(F.col("name") == DEPOSIT_ACCOUNT).agg(
-            F.min_by("full_path", "ord").alias("split_path"))
-        if small:
-            index, names = F.broadcast(index), F.broadcast(names)
-        out = (
-            out.join(index, "account_code", "left").join(names, "account_code", "left")
-            .withColumn("split_path", deposit.scalar())
-            .withColumn("known", F.col("path").isNotNull())
-        )
-    return out
+    small = fits(accounts)
+    if small:
+        accounts = compact(accounts)
+    index = account_index(accounts).select(
+        F.col("key").alias("account_code"), F.col("account_full_path").alias("path"))
+    names = name_index(accounts).withColumnRenamed("name", "account_code")
+    deposit = accounts.filter(F.col("name") == DEPOSIT_ACCOUNT).agg(
+        F.min_by("full_path", "ord").alias("split_path"))
+    if small:
+        index, names = F.broadcast(index), F.broadcast(names)
+    return out.join(index, "account_code", "left").join(names, "account_code", "left").select(
+        "*", deposit.scalar().alias("split_path"), F.col("path").isNotNull().alias("known"))
 
 
 def _conditions(rules: DataFrame) -> list[str]:
     """Distinct free-form condition texts. They are code, so they live in the plan."""
-    texts = [r[0] for r in rules.filter(~F.col("condition").rlike(EQUI)).select("condition").distinct().limit(MAX_CONDITIONS + 1).collect()]
+    texts = [r[0] for r in rules.filter(~F.col("condition").rlike(EQUI)).select("condition").distinct()
+             .limit(MAX_CONDITIONS + 1).collect()]
     if len(texts) > MAX_CONDITIONS:
         raise ValueError(
             f"More than {MAX_CONDITIONS} different free-form conditions; write them as "
@@ -60,13 +59,14 @@ def _conditions(rules: DataFrame) -> list[str]:
 
 
 def _condition_ids(prepared: DataFrame, texts: list[str]) -> DataFrame:
-    """Adds cond_id: 0 without residual, position of a usable residual, NULL for a broken one."""
+    """Adds cond_id: 0 without residual, else the position of the residual. Broken ones are dropped."""
+    plain = F.when(F.col("residual").isNull(), F.lit(0))
     if not texts:
-        return prepared.withColumn("cond_id", F.when(F.col("residual").isNull(), F.lit(0)))
+        return prepared.withColumn("cond_id", plain).filter(F.col("cond_id").isNotNull())
     known = prepared.sparkSession.createDataFrame(
         list(zip(texts, range(1, len(texts) + 1))), "residual string, cond_id int")
     return prepared.join(F.broadcast(known), "residual", "left").withColumn(
-        "cond_id", F.when(F.col("residual").isNull(), F.lit(0)).otherwise(F.col("cond_id")))
+        "cond_id", F.coalesce(plain, "cond_id")).filter(F.col("cond_id").isNotNull())
 
 
 def _true_conditions(texts: list[str]) -> Column:
@@ -80,128 +80,133 @@ def _true_conditions(texts: list[str]) -> Column:
     return F.concat(*chunks) if chunks else F.array().cast("array<int>")
 
 
-def _rule_struct() -> Column:
-    extra = ("known", "path", "name_code", "name_path", "split_path")
-    return F.struct(*[F.col(c) for c in RULE_FIELDS + extra])
-
-
 def _order() -> list[Column]:
-    return [(-F.col("priority")).alias("by_priority"), F.col("rule_ord").alias("rule_ord")]
-
-
-def _first(candidates: Column, side: str | None) -> Column:
-    of_side = (lambda c: c["rule"]["ledger_type"] == side) if side else (lambda c: c["rule"]["ledger_type"].isNull())
-    return F.get(F.filter(candidates, of_side), F.lit(0))["rule"]
+    return [(-F.col("priority")).alias("by_priority"), F.col("rule_ord")]
+
+
+def _is_side(name: str) -> Column:
+    side = F.col("ledger_type")
+    return side.isNull() if SIDES[name] is None else side == SIDES[name]
+
+
+class _Plan:
+    """A rule set made ready: measured, prepared, its free-form conditions read."""
+
+    def __init__(self, rules: DataFrame, accounts: DataFrame | None, max_rules: int):
+        self.small = fits(rules, max_rules)
+        prepared = prepare_rules(compact(rules) if self.small else rules, accounts)
+        self.texts = _conditions(rules)
+        self.rules = _condition_ids(prepared, self.texts)
+
+    def hint(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+    def candidates(self, journal: DataFrame) -> DataFrame:
+        """Adds per side the held rules of the row as sorted arrays, without shuffling the journal."""
+        entry = F.struct(*_order(), "match_year", "match_keyword", "cond_id")
+        arrays = [F.sort_array(F.collect_list(F.when(_is_side(s), entry))).alias(f"_{s}") for s in SIDES]
+        typed = self.rules.filter(F.col("match_type").isNotNull()).groupBy(
+            F.col("match_type").alias("old_type")).agg(*arrays)
+        out = journal.join(F.broadcast(typed), "old_type", "left")
+
+        def holds(c):
+            return (
+                (c["match_year"].isNull() | (c["match_year"] == F.col("year")))
+                & (c["match_keyword"].isNull() | F.col("description").contains(c["match_keyword"])))
+
+        held = {s: F.filter(f"_{s}", holds) for s in SIDES}
+        if self.texts:
+            other = self.rules.filter(F.col("match_type").isNull()).agg(*arrays).select(F.struct(*[f"_{s}" for s in SIDES]))
+            out = out.withColumns({"_other": other.scalar(), "_true": _true_conditions(self.texts)})
+            held = {s: F.sort_array(F.concat(
+                F.coalesce(h, F.array()),
+                F.filter(F.col("_other")[f"_{s}"], lambda c: F.array_contains("_true", c["cond_id"])))) for s, h in held.items()}
+        return out.withColumns({f"held_{s}": h for s, h in held.items()}).drop("_other", "_true", *[f"_{s}" for s in SIDES])
+
+    def pick(self, journal: DataFrame) -> DataFrame:
+        """Journal columns with cr_ord and dr_ord, the best rule per side."""
+        if self.small:
+            best = {s: F.get(f"held_{s}", F.lit(0))["rule_ord"] for s in SIDES}
+            picked = self.candidates(journal).select(*journal.columns, *[b.alias(f"{s}_ord") for s, b in best.items()])
+        else:
+            first = F.struct(*_order())
+            sides = [F.min(F.when(_is_side(s), first))["rule_ord"].alias(f"{s}_ord") for s in SIDES]
+            picked = journal.join(self.matches(journal).groupBy("src_row").agg(*sides), "src_row", "left")
+        neither = F.col("cr_ord").isNull() & F.col("dr_ord").isNull()
+        return picked.select(*journal.columns, "cr_ord", F.when(neither, F.col("free_ord")).otherwise(F.col("dr_ord")).alias("dr_ord"))
+
+    def matches(self, journal: DataFrame) -> DataFrame:
+        """(src_row, rule_ord, priority, ledger_type, rule_id, condition) per rule that holds."""
+        columns = ["src_row", "rule_ord", "priority", "ledger_type", "rule_id", "condition"]
+        rule = self.rules.select(
+            F.col("match_type").alias("old_type"), F.col("match_year").alias("rule_year"),
+            "match_keyword", "cond_id", *columns[1:])
+        keyword = F.col("match_keyword").isNull() | F.col("description").contains(F.col("match_keyword"))
+        slim = journal.select("src_row", "old_type", "year", F.col("description"))
+        typed = rule.filter(F.col("old_type").isNotNull())
+        dated = slim.join(
+            self.hint(typed.filter("rule_year is not null").withColumn("year", F.col("rule_year"))), ["old_type", "year"])
+        undated = slim.join(self.hint(typed.filter("rule_year is null")), ["old_type"])
+        out = dated.filter(keyword).select(*columns).unionByName(undated.filter(keyword).select(*columns))
+        if self.texts:
+            other = rule.filter(F.col("old_type").isNull()).drop("old_type", "rule_year", "match_keyword")
+            held = journal.select("src_row", F.explode(_true_conditions(self.texts)).alias("cond_id"))
+            out = out.unionByName(held.join(self.hint(other), "cond_id").select(*columns))
+        return out
+
+    def details(self, name: str) -> DataFrame:
+        """The attributes of the rules under the prefix of a side."""
+        return self.rules.select(
+            F.col("rule_ord").alias(f"{name}_ord"), *[F.col(c).alias(f"{name}_{c}") for c in RULE_FIELDS + ACCOUNT_FIELDS])
 
 
 def pick_rules(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None = None,
                max_rules: int = MAX_RULES) -> DataFrame:
-    """Adds cr_rule, dr_rule and generic_rule structs (highest priority, then file order).
+    """Adds the structs cr_rule and dr_rule: highest priority, then file order.
+
+    A side without rule has NULL fields. Without a rule for either side the first rule of no side
+    is taken as the debit.
 
-    Measured-small rule sets: the rules of a type travel as one sorted array in a broadcast and
-    the row decides alone, so the journal is not shuffled. Larger rule sets: equality join on
-    the type, then one partially aggregated minimum per row and side.
+    Measured-small rule sets: the rules of a type travel as sorted arrays in a broadcast and
+    the row decides alone, so the journal is not shuffled. Larger rule sets: equality joins on
+    type and year, then one partially aggregated minimum per row and side. Rule attributes are
+    joined to the decision afterwards, so only those that are used travel at all.
     """
-    small = fits(rules, max_rules)
-    prepared = prepare_rules(compact(rules) if small else rules, accounts)
-    texts = _conditions(rules)
-    prepared = _condition_ids(prepared, texts).filter(F.col("cond_id").isNotNull())
-    if small:
-        return _pick_in_row(journal, prepared, texts)
-    return _pick_by_join(journal, prepared, texts)
-
-
-def with_hits(journal, prepared, texts):
-    """Adds `hits`: every rule that holds for the row, best first, without shuffling the journal."""
-    entry = F.struct(*_order(), "match_year", "match_keyword", "cond_id", _rule_struct().alias("rule"))
-    typed = prepared.filter(F.col("match_type").isNotNull()).groupBy(
-        F.col("match_type").alias("old_type")).agg(F.sort_array(F.collect_list(entry)).alias("typed_rules"))
-    out = journal.join(F.broadcast(typed), "old_type", "left")
-
-    def holds(c):
-        return (
-            (c["match_year"].isNull() | (c["match_year"] == F.col("year")))
-            & (c["match_keyword"].isNull() | F.col("description").contains(c["match_keyword"]))
-        )
-
-    out = out.withColumn("hits", F.filter(F.coalesce("typed_rules", F.array()), holds)).drop("typed_rules")
-    if texts:
-        free = prepared.filter(F.col("match_type").isNull()).agg(
-            F.sort_array(F.collect_list(entry)).alias("free_rules"))
-        out = (
-            out.withColumn("true_ids", _true_conditions(texts)).withColumn("free_rules", free.scalar())
-            .withColumn("hits", F.sort_array(F.concat("hits", F.filter(
-                "free_rules", lambda c: F.array_contains(F.col("true_ids"), c["cond_id"])))))
-            .drop("true_ids", "free_rules")
-        )
-    return out
-
-
-def _pick_in_row(journal, prepared, texts):
-    return with_hits(journal, prepared, texts).withColumns({
-        "cr_rule": _first(F.col("hits"), "CR"), "dr_rule": _first(F.col("hits"), "DR"),
-        "generic_rule": _first(F.col("hits"), None),
-    }).drop("hits")
+    plan = _Plan(rules, accounts, max_rules)
+    out = plan.pick(journal)
+    for side in ("cr", "dr"):
+        out = out.join(plan.hint(plan.details(side)), f"{side}_ord", "left")
+
+    def rule(side):
+        return F.struct(F.col(f"{side}_ord").alias("rule_ord"),
+                        *[F.col(f"{side}_{c}").alias(c) for c in RULE_FIELDS + ACCOUNT_FIELDS]).alias(f"{side}_rule")
+
+    return out.select(*journal.columns, rule("cr"), rule("dr"))
+
+
+def has_rule(side: str) -> Column:
+    """Whether a booked row has a rule for the side ("cr" or "dr")."""
+    return F.col(f"{side}_rule.rule_id").isNotNull()
 
 
 def applied_rules() -> Column:
     """The rules of a booked row as rows `r` (NULL for a side without rule)."""
-    return F.explode(F.array("cr_rule", "dr_rule")).alias("r")
+    return F.explode(F.array(*[F.when(has_rule(s), F.col(f"{s}_rule")) for s in ("cr", "dr")])).alias("r")
 
 
 def rule_mismatches(booked: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     """(src_row, entry_id, rule_id, condition) of applied rules whose condition does not hold."""
-    prepared = prepare_rules(rules)
-    texts = _conditions(rules)
-    prepared = _condition_ids(prepared, texts).filter(F.col("cond_id").isNotNull())
-    if fits(rules, max_rules):
-        held = with_hits(booked, prepared, texts).withColumn(
-            "held", F.transform("hits", lambda h: h["rule"]["rule_id"]))
-        return held.select("src_row", "entry_id", "held", applied_rules()).filter(
-            F.col("r").isNotNull() & ~F.array_contains(F.col("held"), F.col("r.rule_id"))
-        ).select("src_row", "entry_id", "r.rule_id", "r.condition")
+    plan = _Plan(rules, None, max_rules)
+    if plan.small:
+        ids = F.concat(*[F.coalesce(F.transform(f"held_{s}", lambda c: c["rule_ord"]), F.array()) for s in SIDES])
+        held = plan.candidates(booked).withColumn("held", ids).select("src_row", "entry_id", "held", applied_rules())
+        return held.filter(F.col("r").isNotNull() & ~F.array_contains("held", F.col("r.rule_ord"))).select(
+            "src_row", "entry_id", "r.rule_id", "r.condition")
     applied = booked.select("src_row", "entry_id", applied_rules()).filter("r is not null").select(
         "src_row", "entry_id", "r.rule_id", "r.condition")
-    held = _matches(booked, prepared, texts, small=False).select("src_row", "rule.rule_id")
-    return applied.join(held, ["src_row", "rule_id"], "left_anti")
+    return applied.join(plan.matches(booked).select("src_row", "rule_id"), ["src_row", "rule_id"], "left_anti")
 
 
 def matches(journal: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
-    """(src_row, rule_ord, rule) for every rule that holds for a journal row."""
-    prepared = prepare_rules(rules)
-    texts = _conditions(rules)
-    prepared = _condition_ids(prepared, texts).filter(F.col("cond_id").isNotNull())
-    return _matches(journal, prepared, texts, fits(rules, max_rules))
-
-
-def _matches(journal, prepared, texts, small):
-    hint = F.broadcast if small else (lambda df: df)
-    slim = journal.select("src_row", *[c for c in journal.columns if c != "src_row"])
-    rule = prepared.select(
-        F.col("match_type").alias("old_type"), F.col("match_year").alias("rule_year"),
-        "match_keyword", "cond_id", "rule_ord", "priority", _rule_struct().alias("rule"))
-    keyword = F.col("match_keyword").isNull() | F.col("description").contains(F.col("match_keyword"))
-    typed = rule.filter(F.col("old_type").isNotNull())
-    dated = slim.join(
-        hint(typed.filter("rule_year is not null").withColumn("year", F.col("rule_year"))),
-        ["old_type", "year"]).filter(keyword)
-    undated = slim.join(hint(typed.filter("rule_year is null")), ["old_type"]).filter(keyword)
-    columns = ["src_row", "rule_ord", "priority", "rule"]
-    out = dated.select(*columns).unionByName(undated.select(*columns))
-    if texts:
-        free = rule.filter(F.col("old_type").isNull()).drop("old_type", "rule_year", "match_keyword")
-        held = slim.select("src_row", F.explode(_true_conditions(texts)).alias("cond_id"))
-        out = out.unionByName(held.join(hint(free), "cond_id").select(*columns))
-    return out
-
-
-def _pick_by_join(journal, prepared, texts):
-    hits = _matches(journal, prepared, texts, small=False)
-    best = F.struct(*_order(), "rule")
-    side = F.col("rule.ledger_type")
-    picked = hits.groupBy("src_row").agg(
-        F.min(F.when(side == "CR", best)).alias("c"), F.min(F.when(side == "DR", best)).alias("d"),
-        F.min(F.when(side.isNull(), best)).alias("g"),
-    ).select("src_row", F.col("c.rule").alias("cr_rule"), F.col("d.rule").alias("dr_rule"),
-             F.col("g.rule").alias("generic_rule"))
-    return journal.join(picked, "src_row", "left")
+    """(src_row, rule_ord, priority, ledger_type, rule_id, condition) for every rule that holds for a row."""
+    return _Plan(rules, None, max_rules).matches(journal)

@@ -98,15 +98,20 @@ def valid_rows(df: DataFrame, entry_id_column: str = "entry_id", src_row: str =
 COMPOSITE = ["year", "description", "date", "amount"]
 
 
+def _with_group_key(entries: DataFrame) -> DataFrame:
+    """Adds a digest of (year, description, date, amount), so that long texts are not shuffled to count."""
+    parts = [F.col(c).cast("string") for c in COMPOSITE]
+    return entries.withColumn("group_key", F.sha2(F.concat_ws("\u0001", *parts), 256))
+
+
 def duplicate_groups(entries: DataFrame) -> DataFrame:
-    """(year, description, date, amount) shared by more than one row, with a group key and size."""
-    return entries.groupBy(*COMPOSITE).agg(F.count(F.lit(1)).alias("group_size")).filter(
-        "group_size > 1").withColumn("group_key", F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in COMPOSITE]), 256))
+    """(year, description, date, amount) shared by more than one row: digest and size."""
+    return _with_group_key(entries).groupBy("group_key").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
 
 
 def duplicate_members(entries: DataFrame) -> DataFrame:
     """Every row of every duplicate group, as rows: the complete list behind the messages."""
-    return entries.join(duplicate_groups(entries), COMPOSITE).select(
+    return _with_group_key(entries).join(duplicate_groups(entries), "group_key").select(
         "group_key", "group_size", "src_row", "entry_id", *COMPOSITE)
 
 

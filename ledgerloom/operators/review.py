@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.median import double_median
+from ..functions.median import double_median, value_range
 from ..schemas import MISSING_TYPE
 from .accounts import lookup
 from .ledger import line, line_numbers
+from .matching import has_rule
 from .ordering import severity_rank
 from .typing import HINT
 
@@ -157,11 +158,12 @@ def amount_bounds(ledger: DataFrame, accuracy: int | None = None) -> tuple | Non
         d = ledger.agg(F.percentile_approx(F.abs(_cents("amount") - m), 0.5, accuracy)).first()[0] if m is not None else None
         counted, med2, dev4 = ledger.limit(3).count(), 2 * (m or 0), 4 * (d or 0)
     else:
-        middle = double_median(ledger, _cents("amount"))
-        if middle is None:
+        counted, low, high = value_range(ledger, _cents("amount"))
+        if counted < 3:
             return None
-        counted, med2 = middle
-        _, dev4 = double_median(ledger, F.abs(_cents("amount") * 2 - F.lit(med2)))
+        med2 = double_median(ledger, _cents("amount"), counted, low, high)
+        furthest = max(2 * high - med2, med2 - 2 * low)
+        dev4 = double_median(ledger, F.abs(_cents("amount") * 2 - F.lit(med2)), counted, 0, furthest)
     if counted < 3 or dev4 <= 0:
         return None
     return 2 * med2 - MAD_FACTOR * dev4, 2 * med2 + MAD_FACTOR * dev4, med2
@@ -186,7 +188,7 @@ def unusual_amount_flags(ledger: DataFrame) -> DataFrame:
 
 def multiple_rule_flags(booked: DataFrame) -> DataFrame:
     """Rows with a credit and a debit rule, that is every ordinary pair."""
-    rows = booked.filter(F.col("cr_rule").isNotNull() & F.col("dr_rule").isNotNull())
+    rows = booked.filter(has_rule("cr") & has_rule("dr"))
     return _flags(rows, F.col("entry_id"), "multiple_rules", "Multiple rules (2) matched this entry", "info", F.col("entry_id"), _at(7))
 
 

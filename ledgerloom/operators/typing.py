@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import KEYWORD
 from ..functions.containment import containing_pairs
-from ..functions.sizing import fits, sized
+from ..functions.sizing import fits
 from ..schemas import MISSING_TYPE, REMAP_FLOOR_YEAR
 
 AUTO_CONFIDENCE = 0.8
@@ -48,37 +48,67 @@ def keyword_index(rules: DataFrame) -> DataFrame:
     return types.join(keywords, "keyword")
 
 
-def suggestions(descriptions: DataFrame, index: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
-    """description -> suggested_type, votes, total_votes, confidence, matched_keywords, reason.
+def _reason(words: Column) -> Column:
+    more = F.when(F.size(words) > 3, F.concat(F.lit(" 等（共 "), F.size(words).cast("string"), F.lit(" 个）")))
+    return F.concat(F.lit("关键词匹配 / Keyword match: "), F.array_join(F.slice(words, 1, 3), "、"),
+                    F.coalesce(more, F.lit("")))
 
-    Works on distinct descriptions; those without any keyword are absent.
+
+def _suggestion(best: Column, total: Column) -> Column:
+    """Struct of the winning type; a single keyword is never confident."""
+    share = best["votes"] / total
+    words = F.transform(best["hits"], lambda h: h["keyword"])
+    return F.when(best.isNotNull(), F.struct(
+        best["old_type"].alias("suggested_type"), best["votes"].alias("votes"), total.alias("total_votes"),
+        F.when(best["votes"] == 1, F.least(share, F.lit(SINGLE_KEYWORD_CONFIDENCE))).otherwise(share).alias("confidence"),
+        words.alias("matched_keywords"), _reason(words).alias("reason")))
+
+
+def suggest(df: DataFrame, index: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
+    """Adds `suggestion` (NULL without any keyword): most votes, then the keyword that comes first.
+
+    A measured-small keyword index travels to the rows as one value and every row votes alone.
+    A larger one is joined to the distinct descriptions, which are named by digest.
     """
-    texts = descriptions.select("description").distinct()
+    if fits(index, max_keywords):
+        return _suggest_in_row(df, index)
+    return _suggest_by_join(df, index)
+
+
+def _hit() -> Column:
+    return F.struct("kw_ord", "type_ord", "keyword")
+
+
+def _suggest_in_row(df: DataFrame, index: DataFrame) -> DataFrame:
+    per_type = index.groupBy("old_type").agg(F.sort_array(F.collect_list(_hit())).alias("keywords"))
+    ballot = per_type.agg(F.collect_list(F.struct("old_type", "keywords")))
+
+    def count(t):
+        hits = F.filter(t["keywords"], lambda k: F.col("description").contains(k["keyword"]))
+        return F.struct(
+            (-F.size(hits)).alias("by_votes"), F.get(hits, F.lit(0)).alias("first_seen"), t["old_type"].alias("old_type"),
+            F.size(hits).cast("bigint").alias("votes"), hits.alias("hits"))
+
+    votes = F.filter(F.transform("_ballot", count), lambda v: v["votes"] > 0)
+    rows = df.withColumn("_ballot", ballot.scalar()).withColumn("_votes", votes).drop("_ballot")
+    total = F.aggregate("_votes", F.lit(0).cast("bigint"), lambda acc, v: acc + v["votes"])
+    rows = rows.withColumns({"_best": F.array_min("_votes"), "_total": total}).drop("_votes")
+    return rows.withColumn("suggestion", _suggestion(F.col("_best"), F.col("_total"))).drop("_best", "_total")
+
+
+def _suggest_by_join(df: DataFrame, index: DataFrame) -> DataFrame:
+    rows = df.withColumn("_digest", F.sha2("description", 256))
+    texts = rows.groupBy("_digest").agg(F.first("description").alias("description"))
     needles = index.select("keyword").distinct()
-    pairs = containing_pairs(texts, "description", needles, "keyword", max_keywords)
-    votes = pairs.join(sized(index), "keyword").groupBy("description", "old_type").agg(
-        F.count(F.lit(1)).alias("votes"),
-        F.min(F.struct("kw_ord", "type_ord")).alias("first_seen"),
-        F.sort_array(F.collect_list(F.struct("kw_ord", "keyword"))).alias("kws"),
-    )
-    # Most votes; among equals the type whose keyword comes first in the index.
-    best = votes.groupBy("description").agg(
-        F.sum("votes").alias("total_votes"),
-        F.min(F.struct((-F.col("votes")).alias("by_votes"), "first_seen", "old_type", "votes", "kws")).alias("b"),
-    )
-    share = F.col("b.votes") / F.col("total_votes")
-    words = F.transform(F.col("b.kws"), lambda k: k["keyword"])
-    reason = F.concat(
-        F.lit("关键词匹配 / Keyword match: "), F.array_join(F.slice(words, 1, 3), "、"),
-        F.when(F.size(words) > 3, F.concat(F.lit(" 等（共 "), F.size(words).cast("string"), F.lit(" 个）")))
-        .otherwise(F.lit("")),
-    )
-    return best.select(
-        "description", F.col("b.old_type").alias("suggested_type"), F.col("b.votes").alias("votes"),
-        "total_votes",
-        F.when(F.col("b.votes") == 1, F.least(share, F.lit(SINGLE_KEYWORD_CONFIDENCE))).otherwise(share).alias("confidence"),
-        words.alias("matched_keywords"), reason.alias("reason"),
-    )
+    pairs = containing_pairs(texts, "_digest", "description", needles, "keyword", max_needles=0)
+    votes = pairs.join(index, "keyword").groupBy("_digest", "old_type").agg(
+        F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_list(_hit())).alias("hits"))
+    best = votes.groupBy("_digest").agg(
+        F.sum("votes").alias("total"),
+        F.min(F.struct((-F.col("votes")).alias("by_votes"), F.get("hits", F.lit(0)).alias("first_seen"),
+                       "old_type", "votes", "hits")).alias("best"))
+    found = best.select("_digest", _suggestion(F.col("best"), F.col("total")).alias("suggestion"))
+    return rows.join(found, "_digest", "left").drop("_digest")
 
 
 def is_missing_type() -> Column:
@@ -88,20 +118,21 @@ def is_missing_type() -> Column:
 def infer_types(journal: DataFrame, rules: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
     """Confident suggestions become the type; the others become a hint in the notes.
 
-    Only rows without a type are matched; the rest of the journal passes untouched.
+    Only rows without a type are matched; the others pass untouched.
     """
-    missing = journal.filter(is_missing_type())
-    found = suggestions(missing, keyword_index(rules), max_keywords).select(
-        "description", "suggested_type", "confidence", "reason")
-    sure = F.col("confidence") >= AUTO_CONFIDENCE
+    index = keyword_index(rules)
+    confidence, kind = F.col("suggestion.confidence"), F.col("suggestion.suggested_type")
     hint = F.concat(
-        F.lit(f"{HINT} "), F.col("suggested_type"), F.lit(" ("),
-        F.format_string("%.0f%%", F.bround(F.col("confidence") * 100, 0)), F.lit(") — "), F.col("reason"), F.lit("]"))
+        F.lit(f"{HINT} "), kind, F.lit(" ("), F.format_string("%.0f%%", F.bround(confidence * 100, 0)),
+        F.lit(") — "), F.col("suggestion.reason"), F.lit("]"))
     noted = F.when(F.coalesce(F.col("notes") == "", F.lit(True)), hint).otherwise(F.concat_ws(" ", hint, "notes"))
-    typed = missing.join(found, "description", "left").select(*[
-        F.when(sure, F.col("suggested_type")).otherwise(F.col("old_type")).alias("old_type") if c == "old_type"
-        else F.when(F.col("suggested_type").isNotNull() & ~sure, noted).otherwise(F.col("notes")).alias("notes") if c == "notes"
-        else F.col(c)
-        for c in journal.columns
-    ])
+
+    def applied(rows):
+        return rows.select(*[
+            F.when(confidence >= AUTO_CONFIDENCE, kind).otherwise(F.col("old_type")).alias("old_type") if c == "old_type"
+            else F.when(confidence < AUTO_CONFIDENCE, noted).otherwise(F.col("notes")).alias("notes") if c == "notes"
+            else F.col(c)
+            for c in journal.columns])
+
+    typed = applied(suggest(journal.filter(is_missing_type()), index, max_keywords))
     return journal.filter(~is_missing_type()).unionByName(typed)

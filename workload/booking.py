@@ -62,7 +62,7 @@ def applied_rules(t):
     return matching.pick_rules(t.entries, t.rules, t.accounts).select(
         "src_row", "entry_id", F.coalesce("cr_rule.rule_id", F.lit("")).alias("cr_rule"),
         F.coalesce("dr_rule.rule_id", F.lit("")).alias("dr_rule"),
-        (F.col("cr_rule").isNull() & F.col("dr_rule").isNull()).alias("no_match"))
+        (F.col("cr_rule.rule_id").isNull() & F.col("dr_rule.rule_id").isNull()).alias("no_match"))
 
 
 @query("""SELECT src_row, entry_id, coalesce(cr_id, '') AS cr_rule, coalesce(dr_id, '') AS dr_rule, no_match
@@ -72,7 +72,7 @@ def applied_rules_shuffled(t):
     return matching.pick_rules(t.entries, t.rules, t.accounts, max_rules=0).select(
         "src_row", "entry_id", F.coalesce("cr_rule.rule_id", F.lit("")).alias("cr_rule"),
         F.coalesce("dr_rule.rule_id", F.lit("")).alias("dr_rule"),
-        (F.col("cr_rule").isNull() & F.col("dr_rule").isNull()).alias("no_match"))
+        (F.col("cr_rule.rule_id").isNull() & F.col("dr_rule.rule_id").isNull()).alias("no_match"))
 
 
 @query("""SELECT src_row, entry_id, old_type, description, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount,

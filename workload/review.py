@@ -152,6 +152,7 @@ def all_flags(t):
 @query("SELECT entry_id, status, reason, severity, coalesce(source_entry_id, '') AS source_entry_id, count(*) AS occurrences FROM flags GROUP BY ALL",
        *NEEDED, **FLAG_TABLES)
 def review_flags(t):
+    t.settled()
     return all_flags(t).groupBy(
         "entry_id", "status", "reason", "severity", F.coalesce("source_entry_id", F.lit("")).alias("source_entry_id")).agg(
         F.sum("occurrences").alias("occurrences"))
@@ -199,6 +200,7 @@ STAGED = """SELECT *, CASE status WHEN 'no_match' THEN 1 WHEN 'missing_type' THE
 
 @query("SELECT entry_id, max_by(status, stage) AS status, max_by(severity, stage) AS severity FROM staged GROUP BY 1", *NEEDED, **FLAG_TABLES, staged=STAGED)
 def last_flags(t):
+    t.settled()
     return review.last_flag_per_line(all_flags(t)).select("entry_id", "status", "severity")
 
 
@@ -211,6 +213,7 @@ ICON = "CASE coalesce({0}, 'none') WHEN 'critical' THEN '✗' WHEN 'error' THEN
   SELECT entry_id, max_by(severity, stage) AS severity, max_by(reason, stage) AS reason FROM staged GROUP BY 1) f ON f.entry_id = l.entry_id""",
        *NEEDED, **FLAG_TABLES, staged=STAGED)
 def review_preview(t):
+    t.settled()
     return review.preview(t.ledger, all_flags(t))
 
 
@@ -222,6 +225,7 @@ def review_preview(t):
   SELECT source_entry_id, min_by(severity, stage) AS severity FROM staged GROUP BY 1) f ON f.source_entry_id = r.entry_id""",
        *NEEDED, **FLAG_TABLES, staged=STAGED)
 def comparison(t):
+    t.settled()
     plain = {c: F.coalesce(c, F.lit("")) for c in ("account_code", "account_path", "rule_applied")}
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("ledger_amount", "quarter", "year")}
     return review.comparison(t.records, all_flags(t)).withColumns({**plain, **zero})
@@ -239,6 +243,7 @@ def comparison(t):
     WHEN 'unusual_amount' THEN 'Verify amount is correct' ELSE 'Review rule priority - may need adjustment' END AS action_needed
   FROM flags f LEFT JOIN ledger l ON l.entry_id = f.entry_id LEFT JOIN entries e ON e.entry_id = f.entry_id""", *NEEDED, **FLAG_TABLES)
 def flagged_entries(t):
+    t.settled()
     return review.flagged_entries(all_flags(t), t.ledger, t.entries).select(
         "status_icon", "severity", "entry_id", "account_code", "description", F.coalesce("amount", F.lit(0)).alias("amount"),
         "source_entry_id", "rule_applied", "issue_type", "action_needed")
@@ -249,6 +254,7 @@ def flagged_entries(t):
   (SELECT count(*) FROM ledger) AS total_ledger_entries, (SELECT count(*) FROM input WHERE kind = 'error') AS errors_detected,
   (SELECT count(*) FROM input WHERE kind = 'warning') AS warnings_detected FROM flags""", *NEEDED, **FLAG_TABLES)
 def review_dashboard(t):
+    t.settled()
     return review.dashboard(t.entries, t.ledger, all_flags(t), kept_issues(t))
 
 
@@ -256,6 +262,7 @@ def review_dashboard(t):
   WHEN 'validation_warning' THEN 'Validation Warning' WHEN 'unusual_amount' THEN 'Unusual Amount' ELSE 'Multiple Rules' END AS label, count(*) AS count,
   upper(left(min(severity), 1)) || substr(min(severity), 2) AS severity FROM flags GROUP BY 1""", *NEEDED, **FLAG_TABLES)
 def flags_by_status(t):
+    t.settled()
     return review.flags_by_status(all_flags(t))
 
 

@@ -267,12 +267,12 @@ FREE_PICK = """SELECT j.src_row, coalesce(c.o, 0) AS cr, coalesce(d.o, 0) AS dr,
   LEFT JOIN (SELECT src_row, o FROM held WHERE side = 'CR' QUALIFY row_number() OVER (PARTITION BY src_row ORDER BY p DESC, o) = 1) c ON c.src_row = j.src_row
   LEFT JOIN (SELECT src_row, o FROM held WHERE side = 'DR' QUALIFY row_number() OVER (PARTITION BY src_row ORDER BY p DESC, o) = 1) d ON d.src_row = j.src_row
   LEFT JOIN (SELECT src_row, o FROM held WHERE side = '' QUALIFY row_number() OVER (PARTITION BY src_row ORDER BY p DESC, o) = 1) g ON g.src_row = j.src_row"""
-FREE_IDS = """SELECT src_row, CASE cr WHEN 0 THEN '' ELSE concat('F-', cr, '-CR') END AS cr_rule, CASE dr WHEN 0 THEN '' ELSE concat('F-', dr, '-DR') END AS dr_rule,
-  CASE generic WHEN 0 THEN '' ELSE concat('F-', generic) END AS generic_rule FROM fp"""
+FREE_IDS = """SELECT src_row, CASE cr WHEN 0 THEN '' ELSE concat('F-', cr, '-CR') END AS cr_rule,
+  CASE WHEN dr > 0 THEN concat('F-', dr, '-DR') WHEN cr = 0 AND generic > 0 THEN concat('F-', generic) ELSE '' END AS dr_rule FROM fp"""
 
 
 def _picked(df):
-    return df.select("src_row", *[F.coalesce(f"{c}.rule_id", F.lit("")).alias(c) for c in ("cr_rule", "dr_rule", "generic_rule")])
+    return df.select("src_row", *[F.coalesce(f"{c}.rule_id", F.lit("")).alias(c) for c in ("cr_rule", "dr_rule")])
 
 
 @query(FREE_IDS, "journal", j=HOLED, held=HELD, fp=FREE_PICK)
@@ -333,9 +333,8 @@ MISSING = "SELECT src_row AS id, description FROM journal WHERE old_type = '__MI
 
 def voted(t, max_keywords):
     rows = t.journal.filter(typing.is_missing_type())
-    found = typing.suggestions(rows, typing.keyword_index(t.rule_table(VOTERS)), max_keywords)
-    return rows.select("src_row", "description").join(found, "description").select(
-        F.col("src_row").alias("id"), "suggested_type", "votes", "total_votes", "confidence", "reason")
+    found = typing.suggest(rows, typing.keyword_index(t.rule_table(VOTERS)), max_keywords)
+    return found.filter("suggestion is not null").select(F.col("src_row").alias("id"), "suggestion.*").drop("matched_keywords")
 
 
 @query("SELECT * FROM best", "journal", texts=MISSING, kw=KW, votes=VOTES, best=BEST)
@@ -368,8 +367,8 @@ LANGUAGE_KW = "SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, '{r[3]}', '{r[2]}'
        texts="SELECT doc_id AS id, text AS description FROM documents", kw=LANGUAGE_KW, votes=VOTES, best=BEST)
 def document_votes(t):
     docs = t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
-    found = typing.suggestions(docs, typing.keyword_index(t.rule_table(LANGUAGE)))
-    return docs.join(found, "description").select("id", "suggested_type", "votes", "total_votes", "confidence")
+    found = typing.suggest(docs, typing.keyword_index(t.rule_table(LANGUAGE)))
+    return found.filter("suggestion is not null").select("id", "suggestion.*").drop("matched_keywords", "reason")
 
 
 # A chart of accounts by level columns: customers under nations, some numbers shared.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.staging import settle
 from ledgerloom.operators import aggregate
 from ledgerloom.operators import ledger as booking
 from ledgerloom.sources import journal as journal_source
@@ -225,6 +226,11 @@ class Tables:
     def records(self) -> DataFrame:
         return booking.book(self.entries, self.rules, self.accounts)
 
+    def settled(self) -> "Tables":
+        """The same tables with the booked rows written once, for results that read them often."""
+        self.records = settle(self.records, "booked")
+        return self
+
     @cached_property
     def ledger(self) -> DataFrame:
         return booking.ledger(self.records)
