@@ -353,7 +353,7 @@ def issue_groups_by_severity(t):
     return issues.groups(issues.detect(event_issues(t), default="info"), "severity")
 
 
-@query(f"""SELECT count(*) AS total_errors, 0 AS data_error, count(*) AS rule_error, 0 AS transformation_error, 0 AS output_error,
+@query(f"""SELECT count(*) AS total_errors, CAST(0 AS BIGINT) AS data_error, count(*) AS rule_error, CAST(0 AS BIGINT) AS transformation_error, CAST(0 AS BIGINT) AS output_error,
   count(*) FILTER ({SEV} = 'critical') AS severity_critical, count(*) FILTER ({SEV} = 'error') AS severity_error,
   count(*) FILTER ({SEV} = 'warning') AS severity_warning, count(*) FILTER ({SEV} = 'info') AS severity_info, count(*) AS requires_review,
   count(DISTINCT CASE WHEN user_id % 3 <> 0 THEN user_id END) AS unique_entries_with_errors,
