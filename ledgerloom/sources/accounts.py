@@ -35,8 +35,8 @@ def standard_accounts(df: DataFrame) -> DataFrame:
     if missing:
         raise InvalidAccounts(f"Missing required columns in account hierarchy: {', '.join(missing)}")
     parent = F.trim("parent_code") if "parent_code" in df.columns else F.lit(None).cast("string")
-    # A column `ord` names the file order; without one the order is that of the codes.
-    order = F.col("ord").cast("bigint") if "ord" in df.columns else F.xxhash64("code")
+    # A column `ord` names the file order; otherwise it is taken from the scan.
+    order = F.col("ord").cast("bigint") if "ord" in df.columns else F.monotonically_increasing_id()
     return df.select(
         order.alias("ord"), F.trim(F.col("code").cast("string")).alias("code"),
         F.col("name").cast("string").alias("name"), to_int(F.col("level").cast("string")).alias("level"),

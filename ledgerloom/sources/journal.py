@@ -44,6 +44,15 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     return reader.parquet(path)
 
 
+def number_rows(scan: DataFrame, name: str = "src_row") -> DataFrame:
+    """A row number for tables without one, to be added directly on the scan.
+
+    It follows file order, is unique, and comes out the same whenever the same files are read;
+    it has gaps between input splits, so keep a position column in the source if there is one.
+    """
+    return scan.select(F.monotonically_increasing_id().alias(name), "*")
+
+
 def resolve_headers(columns: list[str], custom: dict[str, list[str]] | None = None) -> dict:
     """Field -> actual column, or None. Income/expense columns beat an amount column."""
     headers = HEADERS if custom is None else custom
