@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import FIELD_KINDS, unknown_fields, well_formed
 from ..functions.issues import check, emit, union_all
+from ..functions.sizing import compact, fits
 from .accounts import lookup
 
 
@@ -38,60 +39,77 @@ def type_issues(rules: DataFrame) -> DataFrame:
     return emit(rules, [_without_type()], "rule_id", "rule_ord")
 
 
-def account_issues(rules: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Rules whose account is neither a code nor a name. They stay in use."""
-    n_accounts = accounts.agg(F.count(F.lit(1))).scalar()
+def _with_accounts(rules: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rules with their account (ledger_id is NULL when unknown) and a description of the chart."""
     first = accounts.orderBy("ord").limit(10)
     codes = first.agg(F.array_join(F.sort_array(F.collect_list("code")), ", ")).scalar()
     samples = first.orderBy("ord").limit(5).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ")).scalar()
-    rows = lookup(rules, accounts).filter(F.col("ledger_id").isNull()).withColumns(
-        {"n_accounts": n_accounts, "codes": codes, "samples": samples})
+    return lookup(rules, accounts).select(
+        *rules.columns, "ledger_id", accounts.agg(F.count(F.lit(1))).scalar().alias("n_accounts"),
+        codes.alias("codes"), samples.alias("samples"))
+
+
+def _unknown_account() -> tuple[Column, Column]:
     more = F.when(F.col("n_accounts") > 10,
                   F.concat(F.lit(", ... ("), F.col("n_accounts").cast("string"), F.lit(" total)"))).otherwise(F.lit(""))
-    return emit(rows, [check(
-        F.lit(True), "invalid_account_code", "account_code",
+    return check(
+        F.col("ledger_id").isNull(), "invalid_account_code", "account_code",
         F.concat(F.lit("Account code/name '"), F.col("account_code"),
                  F.lit("' does not exist in account hierarchy. Available codes: "), F.col("codes"), more,
                  F.lit(". Sample names: "), F.col("samples")),
-        F.col("account_code"))], "rule_id", "rule_ord")
+        F.col("account_code"))
 
 
-def conflicts(rules: DataFrame) -> DataFrame:
-    """Same condition, priority and side but several accounts.
+def account_issues(rules: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rules whose account is neither a code nor a name. They stay in use."""
+    return emit(_with_accounts(rules, accounts), [_unknown_account()], "rule_id", "rule_ord")
 
-    Counts and extremes first; the ids are listed for the conflicting groups only.
-    """
-    keyed = rules.withColumn("norm", F.lower(F.trim("condition")))
-    keys = ["norm", "priority", F.coalesce("ledger_type", F.lit("")).alias("side")]
-    return keyed.groupBy(*keys).agg(
+
+CONFLICT_KEYS = ["norm", "priority", "side"]
+
+
+def _keyed(rules: DataFrame) -> DataFrame:
+    return rules.select(
+        "rule_ord", "rule_id", "account_code", F.lower(F.trim("condition")).alias("norm"), "priority",
+        F.coalesce("ledger_type", F.lit("")).alias("side"))
+
+
+def _lists() -> list[Column]:
+    return [F.sort_array(F.collect_list(F.struct("rule_ord", "rule_id"))).alias("ids"),
+            F.sort_array(F.collect_set("account_code")).alias("codes")]
+
+
+def conflicts(rules: DataFrame, *more: Column) -> DataFrame:
+    """Same condition, priority and side but several accounts: counts and extremes per group."""
+    return _keyed(rules).groupBy(*CONFLICT_KEYS).agg(
         F.count(F.lit(1)).alias("n_rules"), F.min("account_code").alias("lo"), F.max("account_code").alias("hi"),
-        F.min("rule_ord").alias("first_ord"),
+        F.min("rule_ord").alias("first_ord"), *more,
     ).filter(F.col("lo") != F.col("hi"))
 
 
 def conflict_members(rules: DataFrame) -> DataFrame:
     """The rules of each conflict, as rows."""
-    keyed = rules.withColumn("norm", F.lower(F.trim("condition"))).withColumn(
-        "side", F.coalesce("ledger_type", F.lit("")))
-    return keyed.join(conflicts(rules).select("norm", "priority", "side"), ["norm", "priority", "side"]).select(
-        "norm", "priority", "side", "rule_ord", "rule_id", "account_code")
+    return _keyed(rules).join(conflicts(rules).select(*CONFLICT_KEYS), CONFLICT_KEYS).select(
+        *CONFLICT_KEYS, "rule_ord", "rule_id", "account_code")
 
 
 def conflict_issues(rules: DataFrame, inline: int = 50) -> DataFrame:
     """One issue per conflict; ids and accounts are listed for up to `inline` rules.
 
-    A larger conflict is named by its size; `conflict_members` holds its rules.
+    A larger conflict is named by its size; `conflict_members` holds its rules. Lists are gathered
+    directly in a measured-small rule table, otherwise for the small groups only.
     """
-    groups = conflicts(rules)
-    keys = ["norm", "priority", "side"]
-    small = groups.filter(F.col("n_rules") <= inline).select(*keys)
-    lists = conflict_members(rules).join(small, keys, "left_semi").groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("rule_ord", "rule_id"))).alias("ids"),
-        F.sort_array(F.collect_set("account_code")).alias("codes"))
-    rows = groups.join(lists, keys, "left")
-    ids = F.coalesce(F.array_join(F.transform("ids", lambda s: s["rule_id"]), ", "),
-                     F.concat(F.col("n_rules").cast("string"), F.lit(" rules")))
-    codes = F.coalesce(F.array_join("codes", ", "), F.concat_ws(" .. ", "lo", "hi"))
+    if fits(rules):
+        rows = conflicts(compact(rules), *_lists())
+    else:
+        groups = conflicts(rules)
+        small = groups.filter(F.col("n_rules") <= inline).select(*CONFLICT_KEYS)
+        lists = _keyed(rules).join(small, CONFLICT_KEYS, "left_semi").groupBy(*CONFLICT_KEYS).agg(*_lists())
+        rows = groups.join(lists, CONFLICT_KEYS, "left")
+    listed = (F.col("n_rules") <= inline) & F.col("ids").isNotNull()
+    ids = F.when(listed, F.array_join(F.transform("ids", lambda s: s["rule_id"]), ", ")).otherwise(
+        F.concat(F.col("n_rules").cast("string"), F.lit(" rules")))
+    codes = F.when(listed, F.array_join("codes", ", ")).otherwise(F.concat_ws(" .. ", "lo", "hi"))
     side = F.when(F.col("side") != "", F.concat(F.lit(" ("), F.col("side"), F.lit(")"))).otherwise(F.lit(""))
     return emit(rows, [check(
         F.lit(True), "rule_conflict", "condition,account_code",
@@ -114,8 +132,13 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 
 def rule_table_issues(rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """All rule issues. An unreadable condition hides the other checks of that rule."""
-    readable = rules.filter(well_formed(F.col("condition")))
-    parts = [syntax_issues(rules), field_issues(readable), type_issues(readable)]
+    if fits(rules):
+        rules = compact(rules)
+    readable = well_formed(F.col("condition"))
+    rows, later = rules, [_without_type()]
     if accounts is not None:
-        parts.append(account_issues(readable, accounts))
-    return union_all([*parts, conflict_issues(valid_rules(rules))])
+        rows, later = _with_accounts(rules, accounts), [_without_type(), _unknown_account()]
+    checks = [_syntax(), *[(readable & failed, issue) for failed, issue in later]]
+    return union_all([
+        emit(rows, checks, "rule_id", "rule_ord"), field_issues(rules.filter(readable)),
+        conflict_issues(valid_rules(rules))])

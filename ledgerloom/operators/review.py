@@ -1,5 +1,7 @@
 """Review flags, outliers, dashboard, preview, comparison and the flagged list."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,37 +46,58 @@ def _choice(key: Column, values: dict, default) -> Column:
     return out
 
 
-def _at(stage: int, rank=0, row="src_row", sub=0, line_row=None, line=None) -> Column:
-    def col(x, kind):
-        return (x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)).cast(kind)
+def _at(stage: int, row=None, line_row=None, line_no=None) -> Column:
+    """Place of a flag in the order in which the checks report."""
+    def number(c, kind):
+        return (F.lit(0) if c is None else F.col(c)).cast(kind)
     return F.struct(
-        F.lit(stage).alias("stage"), col(rank, "int").alias("rank"), F.coalesce(col(row, "bigint"), F.lit(-1).cast("bigint")).alias("row"),
-        col(sub, "int").alias("sub"), col(0 if line_row is None else line_row, "bigint").alias("line_row"),
-        col(0 if line is None else line, "int").alias("line"))
+        F.lit(stage).alias("stage"), F.lit(0).alias("rank"),
+        (F.lit(-1).cast("bigint") if row is None else number(row, "bigint")).alias("row"), F.lit(0).alias("sub"),
+        number(line_row, "bigint").alias("line_row"), number(line_no, "int").alias("line"))
+
+
+def _flag(failed: Column, status: str, reason, severity: str, at: Column) -> tuple[Column, Column]:
+    return F.coalesce(failed, F.lit(False)), F.struct(
+        F.lit(status).alias("status"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"),
+        F.lit(severity).alias("severity"), at.alias("at"))
+
+
+def _flagged(df: DataFrame, flags: list, source: str) -> DataFrame:
+    """All flags of a table from one scan of it."""
+    raised = reduce(lambda x, y: x | y, [failed for failed, _ in flags])
+    rows = df.filter(raised).select(
+        "entry_id", F.col(source).alias("source_entry_id"),
+        F.explode(F.array(*[F.when(failed, flag) for failed, flag in flags])).alias("f"))
+    return rows.filter(F.col("f").isNotNull()).select(
+        "entry_id", "f.status", "f.reason", "f.severity", "source_entry_id", F.col("f.at").alias("first_at"),
+        F.col("f.at").alias("last_at"), F.lit(1).cast("bigint").alias("occurrences"))
+
+
+def _no_match() -> tuple:
+    return _flag(F.col("no_match"), "no_match", "No matching rule found for this journal entry", "error", _at(1, "src_row"))
 
 
-def _flags(df: DataFrame, entry, status, reason, severity, source, first_at, last_at=None, occurrences=None) -> DataFrame:
-    def lit(x):
-        return x if isinstance(x, Column) else F.lit(x)
-    return df.select(
-        lit(entry).alias("entry_id"), F.lit(status).alias("status"), lit(reason).alias("reason"),
-        lit(severity).alias("severity"), lit(source).alias("source_entry_id"), first_at.alias("first_at"),
-        (first_at if last_at is None else last_at).alias("last_at"),
-        (F.lit(1).cast("bigint") if occurrences is None else occurrences).alias("occurrences"))
+def _missing_type() -> tuple:
+    hinted = F.concat(F.lit(f"{MISSING_TYPE_REASON}. 自动推断建议 (低置信度): "), F.col("notes"))
+    reason = F.when(F.contains("notes", F.lit(HINT)), hinted).otherwise(F.lit(MISSING_TYPE_REASON))
+    return _flag(F.trim("old_type") == MISSING_TYPE, "missing_type", reason, "error", _at(2, "src_row"))
+
+
+def _multiple_rules() -> tuple:
+    return _flag(has_rule("cr") & has_rule("dr"), "multiple_rules", "Multiple rules (2) matched this entry", "info", _at(7, "src_row"))
 
 
 def no_match_flags(booked: DataFrame) -> DataFrame:
-    return _flags(booked.filter("no_match"), F.col("entry_id"), "no_match",
-                  "No matching rule found for this journal entry", "error", F.col("entry_id"), _at(1))
+    return _flagged(booked, [_no_match()], "entry_id")
 
 
 def missing_type_flags(journal: DataFrame) -> DataFrame:
-    reason = F.when(
-        F.coalesce(F.col("notes").contains(HINT), F.lit(False)),
-        F.concat(F.lit(f"{MISSING_TYPE_REASON}. 自动推断建议 (低置信度): "), F.col("notes"))
-    ).otherwise(F.lit(MISSING_TYPE_REASON))
-    rows = journal.filter(F.trim("old_type") == MISSING_TYPE)
-    return _flags(rows, F.col("entry_id"), "missing_type", reason, "error", F.col("entry_id"), _at(2))
+    return _flagged(journal, [_missing_type()], "entry_id")
+
+
+def multiple_rule_flags(booked: DataFrame) -> DataFrame:
+    """Rows with a credit and a debit rule, that is every ordinary pair."""
+    return _flagged(booked, [_multiple_rules()], "entry_id")
 
 
 def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -112,8 +135,8 @@ def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
     spot = F.struct("src_row", "line_no")
     by_source = ledger.groupBy("source_entry_id", F.col("entry_id").alias("line_id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.min(spot).alias("l0"), F.max(spot).alias("l1"))
-    by_line = ledger.groupBy(F.col("entry_id").alias("own_line")).agg(
-        F.min_by("source_entry_id", spot).alias("line_source"))
+    by_line = by_source.groupBy(F.col("line_id").alias("own_line")).agg(
+        F.min_by("source_entry_id", "l0").alias("line_source"))
     joined = named.join(by_source, named["entry_id"] == by_source["source_entry_id"], "left").join(
         by_line, F.col("entry_id") == F.col("own_line"), "left")
     is_source = F.col("line_id").isNotNull()
@@ -123,7 +146,7 @@ def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
         at("p0", F.col("l0.src_row"), F.col("l0.line_no")).alias("first_at"),
         at("p1", F.col("l1.src_row"), F.col("l1.line_no")).alias("last_at"),
         (F.col("n") * F.coalesce("n_lines", F.lit(1))).alias("occurrences"))
-    first_line = ledger.agg(F.min_by("entry_id", spot)).scalar()
+    first_line = by_source.agg(F.min_by("line_id", "l0")).scalar()
     nameless = counted.filter(
         ~F.coalesce(F.col("entry_id") != "", F.lit(False)) & (F.col("status") == "validation_error")
     ).withColumn("line_id", first_line).filter(F.col("line_id").isNotNull())
@@ -135,13 +158,15 @@ def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
     return placed.unionByName(general)
 
 
+def _unknown_account() -> tuple:
+    unknown = F.col("ledger_id").isNull() & F.coalesce(F.col("account_code") != "", F.lit(False))
+    reason = F.concat(F.lit("Account code '"), F.col("account_code"), F.lit("' not found in hierarchy"))
+    return _flag(unknown, "missing_account", reason, "warning", _at(5, None, "src_row", "line_no"))
+
+
 def missing_account_flags(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Lines whose account is neither a code nor a name."""
-    rows = lookup(ledger.filter(F.coalesce(F.col("account_code") != "", F.lit(False))), accounts).filter(
-        F.col("ledger_id").isNull())
-    reason = F.concat(F.lit("Account code '"), F.col("account_code"), F.lit("' not found in hierarchy"))
-    return _flags(rows, F.col("entry_id"), "missing_account", reason, "warning", F.col("source_entry_id"),
-                  _at(5, line_row="src_row", line="line_no"))
+    return _flagged(lookup(ledger, accounts), [_unknown_account()], "source_entry_id")
 
 
 def _cents(column) -> Column:
@@ -169,41 +194,44 @@ def amount_bounds(ledger: DataFrame, accuracy: int | None = None) -> tuple | Non
     return 2 * med2 - MAD_FACTOR * dev4, 2 * med2 + MAD_FACTOR * dev4, med2
 
 
+def _outlier(bounds: tuple | None) -> tuple[Column, Column]:
+    """("large", "small" or NULL, reason) of a line."""
+    if bounds is None:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    low, high, med2 = bounds
+    four = _cents("amount").cast("decimal(38,0)") * 4
+    size = F.when(four > F.lit(high), "large").when(four < F.lit(low), "small")
+    return size, F.concat(
+        F.lit("Unusually "), size, F.lit(" amount: "), F.format_number("amount", 2),
+        F.lit(" (median: "), F.format_number(F.lit(med2 / 200), 2), F.lit(")"))
+
+
 def amount_outliers(ledger: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Lines beyond median -/+ 5 median absolute deviations, with the reason text."""
-    bounds = amount_bounds(ledger, accuracy)
-    four = _cents("amount").cast("decimal(38,0)") * 4
-    low, high, med2 = bounds or (0, 0, 0)
-    size = F.when(four > F.lit(high), "large").when(four < F.lit(low), "small") if bounds else F.lit(None).cast("string")
-    rows = ledger.withColumn("size", size).filter(F.col("size").isNotNull())
-    return rows.withColumn("reason", F.concat(
-        F.lit("Unusually "), F.col("size"), F.lit(" amount: "), F.format_number("amount", 2),
-        F.lit(" (median: "), F.format_number(F.lit(med2 / 200), 2), F.lit(")")))
+    size, reason = _outlier(amount_bounds(ledger, accuracy))
+    return ledger.withColumns({"size": size, "reason": reason}).filter(F.col("size").isNotNull())
 
 
-def unusual_amount_flags(ledger: DataFrame) -> DataFrame:
-    return _flags(amount_outliers(ledger), F.col("entry_id"), "unusual_amount", F.col("reason"), "warning",
-                  F.col("source_entry_id"), _at(6, line_row="src_row", line="line_no"))
+def _unusual_amount(bounds: tuple | None) -> tuple:
+    size, reason = _outlier(bounds)
+    return _flag(size.isNotNull(), "unusual_amount", reason, "warning", _at(6, None, "src_row", "line_no"))
 
 
-def multiple_rule_flags(booked: DataFrame) -> DataFrame:
-    """Rows with a credit and a debit rule, that is every ordinary pair."""
-    rows = booked.filter(has_rule("cr") & has_rule("dr"))
-    return _flags(rows, F.col("entry_id"), "multiple_rules", "Multiple rules (2) matched this entry", "info", F.col("entry_id"), _at(7))
+def unusual_amount_flags(ledger: DataFrame) -> DataFrame:
+    return _flagged(ledger, [_unusual_amount(amount_bounds(ledger))], "source_entry_id")
 
 
 def review_flags(booked: DataFrame, ledger: DataFrame, issues: DataFrame | None = None,
                  accounts: DataFrame | None = None) -> DataFrame:
-    """All flags of a run; `occurrences` counts equal ones."""
-    parts = [no_match_flags(booked), missing_type_flags(booked)]
-    if issues is not None:
-        parts.append(issue_flags(issues, ledger))
+    """All flags of a run; `occurrences` counts equal ones. Rows and lines are scanned once each."""
+    out = _flagged(booked, [_no_match(), _missing_type(), _multiple_rules()], "entry_id")
+    of_lines = [_unusual_amount(amount_bounds(ledger))]
+    lines = ledger
     if accounts is not None:
-        parts.append(missing_account_flags(ledger, accounts))
-    parts += [unusual_amount_flags(ledger), multiple_rule_flags(booked)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        lines, of_lines = lookup(ledger, accounts), [_unknown_account(), *of_lines]
+    out = out.unionByName(_flagged(lines, of_lines, "source_entry_id"))
+    if issues is not None:
+        out = out.unionByName(issue_flags(issues, ledger))
     return out.select(*FLAG_COLUMNS)
 
 

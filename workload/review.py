@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.staging import settle
 from ledgerloom.operators import audit
 from ledgerloom.operators import issue_tables as issues
 from ledgerloom.operators import ledger as booking
@@ -142,7 +143,7 @@ NEEDED = ("ledger", "accounts", "rules", "journal")
 
 
 def kept_issues(t):
-    return qi.validate_inputs(t.entries, t.rules, t.accounts, as_of())
+    return settle(qi.validate_inputs(t.entries, t.rules, t.accounts, as_of()), "issues")
 
 
 def all_flags(t):
