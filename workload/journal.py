@@ -468,7 +468,7 @@ def output_validation(t):
   (SELECT count(*) FROM journal) - (SELECT count(*) FROM entries) AS journal_entries_skipped, (SELECT count(*) FROM rules) AS rules_applied,
   (SELECT count(*) FROM input WHERE kind = 'error') AS validation_errors, (SELECT count(*) FROM input WHERE kind = 'warning') AS validation_warnings""",
        "ledger", "accounts", input=INPUT.replace("journal WHERE", "entries WHERE"))
-def pipeline_stats(t):
+def run_statistics(t):
     found = qi.validate_inputs(t.entries, t.rules, t.accounts, as_of())
     return pipeline.statistics(t.journal, t.records, t.rules, found)
 
