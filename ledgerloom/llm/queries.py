@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, packing
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs.where(~language_id.held_out()))
     return language_id.predict(docs, model, held_out=language_id.held_out())
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand on ten sites or more."""
+    out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLE["op3_line_dedup"] = """
+WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM parts),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
+spread AS (SELECT key, min(doc_id * 1000000000 + place) AS first_at FROM keyed WHERE key <> ''
+           GROUP BY key HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id * 1000000000 + k.place <> s.first_at AS gone
+           FROM keyed k LEFT JOIN spread s ON k.key = s.key),
+rebuilt AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines,
+                   count(*) FILTER (WHERE gone) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, r.text, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
+"""
