@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,17 @@ rebuilt AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FIL
 SELECT d.doc_id, r.text, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
 """
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, in the text itself and in what is encoded in it."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(kind) for kind in secret_scan.KINDS), F.sha2(_listed(base), 256).alias("base_sha256"),
+                        _listed(F.col("spans")).alias("spans"), "n_skipped")
