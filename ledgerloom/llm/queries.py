@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, secret_scan, url_filter
+from . import (decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, secret_scan, spot_signatures,
+               url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,15 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL, by the longest rule that fits or by the models of ruled URLs."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    rows = spot_signatures.with_edits(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited_signs", spot_signatures.signatures(F.col("edited")))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spot_signatures.fingerprint(F.col("signs")).alias("fingerprint"), spot_signatures.fingerprint(F.col("edited_signs")).alias("edited_fingerprint"),
+        spot_signatures.jaccard(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
+        spot_signatures.jaccard(F.col("signs"), F.col("next_signs")).alias("near_next"))
