@@ -13,8 +13,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage
 
@@ -25,8 +26,7 @@ BLOCK_BYTES = 1 << 20
 # Bytes of words are 0-9, a-z and everything from 0x80 on; the others become spaces.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SPAN = "array<struct<first:long,last:long,start:long,end:long>>"
-HITS = f"row long, doc_id long, n_words long, items array<long>, spans {SPAN}"
+SPAN = T.StructType().add("first", "long").add("last", "long").add("start", "long").add("end", "long")
 _SPAN = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "end")]))
 
 
@@ -116,24 +116,22 @@ def scan(automaton, text: bytes) -> tuple[int, list[int], list[tuple]]:
 
 
 def _scanned(items, width: int):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", _SPAN)])
-
     def run(batches):
         automaton = _kept(items, width)
         for batch in batches:
-            found = [scan(automaton, text.as_py() or b"") for text in batch.column(2)]
+            found = [scan(automaton, text.as_py() or b"") for text in batch.column(1)]
             spans = [[dict(zip(("first", "last", "start", "end"), s)) for s in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(spans, _SPAN)],
-                schema=schema)
+                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(spans, _SPAN)],
+                names=["row", "n_words", "items", "spans"])
     return run
 
 
 def _numbered(batches):
-    row = TaskContext.get().partitionId() << 40
+    number = TaskContext.get().partitionId() << 40
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(batch))), batch.column(1), batch.column(2)], names=["row", "doc_id", "text"])
-        row += len(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(batch))), batch.column(0), batch.column(1)], names=["number", "row", "text"])
+        number += len(batch)
 
 
 def _merged(batches):
@@ -153,24 +151,32 @@ def _merged(batches):
         yield batch.set_column(at, "spans", pa.array(out, _SPAN))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-         item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) per document row.
+def mark_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+              width: int = WIDTH, block_bytes: int = BLOCK_BYTES, carry: Column | None = None) -> DataFrame:
+    """(row, n_words, n_hit, items, spans): each row of `docs` whole, or what `carry` makes of it, and its hits.
 
     Words inside any occurrence of an item's window are hit; `items` are the ids of items with occurring windows,
     ascending; `spans` are runs of hit words: number of the first word and of the one after the last, and their
     place in the original text in code points. A null text has no words, a null item no window.
     """
     spark = docs.sparkSession
-    source = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select((F.struct("*") if carry is None else carry).alias("row"), F.col(text_col).cast("binary").alias("text"))
     items = [spark.sparkContext.broadcast(part) for part in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    if len(items) > 1:  # a row's finds come from several passes and meet by its number
-        source = stage(source.mapInArrow(_numbered, "row long, doc_id long, text binary"), "numbered")
-    scans = [source.mapInArrow(_scanned(part, width), HITS) for part in items]
-    found = reduce(DataFrame.union, scans)
-    if len(items) > 1:
-        found = found.groupBy("row", "doc_id", "n_words").agg(
+    schema = lambda row: T.StructType([row]).add("n_words", "long").add("items", T.ArrayType(T.LongType())).add("spans", T.ArrayType(SPAN))
+    if len(items) == 1:
+        found = source.mapInArrow(_scanned(items[0], width), schema(source.schema["row"]))
+    else:  # a row's finds come from several passes and meet by its number
+        source = stage(source.mapInArrow(_numbered, T.StructType().add("number", "long").add(source.schema["row"]).add("text", "binary")), "numbered")
+        asked = source.select(F.col("number").alias("row"), "text")
+        found = reduce(DataFrame.union, [asked.mapInArrow(_scanned(part, width), schema(asked.schema["row"])) for part in items])
+        found = found.groupBy("row", "n_words").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-        found = found.mapInArrow(_merged, f"row long, doc_id long, n_words long, items array<long>, spans {SPAN}")
+        found = found.mapInArrow(_merged, schema(T.StructField("number", T.LongType()))).join(source.select("number", "row"), "number")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return found.select("row", "n_words", n_hit.alias("n_hit"), "items", "spans")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) per row."""
+    found = mark_rows(docs, benchmark, carry=F.struct(F.col(id_col).cast("long").alias("doc_id")), **options)
+    return found.select("row.doc_id", "n_words", "n_hit", "items", "spans")

@@ -9,8 +9,9 @@ with most letters.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 #: Labelled texts used of each language, on average; the same ones every time.
@@ -227,14 +228,13 @@ def label_words(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndar
     return label
 
 
-SPANS = "array<struct<start:long,end:long,lang:string>>"
+SPAN = T.StructType().add("start", "long").add("end", "long").add("lang", "string")
 
 
-def _predicted(model, switch: float):
+def _labelled(model, switch: float):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
-    def labelled(ids, held, texts, m):
+    def labelled(carried, texts, m):
         words, k = Words(texts), len(m.languages)
         n = len(texts)
         letters = np.zeros((n, max(1, k)))
@@ -260,29 +260,36 @@ def _predicted(model, switch: float):
         pred = np.where(known, np.array([*m.languages, "und"], dtype=object)[letters.argmax(axis=1)], "und")
         score = np.where(known, letters.max(axis=1) / np.maximum(total, 1), 0.0)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans)], schema=schema)
+            [carried, pa.array(pred, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans)],
+            names=["row", "lang_pred", "score", "spans"])
 
     def run(batches):
         m = model.value
         most = CHARACTERS * 4 // max(4, len(m.languages))
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for some, parts in _lots(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), texts, most):
-                yield labelled([i for i, _ in some], [h for _, h in some], parts, m)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for some, parts in _lots(range(len(texts)), texts, most):
+                yield labelled(batch.column(0).slice(some[0], len(some)), parts, m)
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, held_out=None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, spans) per row.
+def label_rows(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH, carry: Column | None = None) -> DataFrame:
+    """(row, lang_pred, score, spans): each row of `docs` whole, or what `carry` makes of it, and its language.
 
     `lang_pred` is a learned language, or `und` for a text that is null or has no letter (then `score` is 0 and there
     are no spans); `score` is the share of letters in spans of that language; equal shares go to the first language by
-    name. `spans` hold start and end in code points. `held_out` is a column carried along.
+    name. `spans` hold start and end in code points.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    held = F.lit(False) if held_out is None else held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predicted(sent, switch), f"doc_id long, held_out boolean, lang_pred string, score double, spans {SPANS}")
+    rows = docs.select((F.struct("*") if carry is None else carry).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(SPAN))
+    return rows.mapInArrow(_labelled(sent, switch), schema)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, spans) per row; `held_out` tells rows that learning is to leave alone."""
+    out = label_rows(docs, model, text_col, switch, F.struct(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out")))
+    return out.select("row.*", "lang_pred", "score", "spans")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, secret_scan, spot_signatures,
-               url_filter)
+from . import (decontaminate, html_extract, importance_sample, jaccard_join, language_id, line_dedup, packing,
+               secret_scan, spot_signatures, url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs.where(~language_id.held_out()))
-    return language_id.predict(docs, model, held_out=language_id.held_out())
+    return language_id.predict(docs, model)
 
 
 @query
@@ -109,3 +109,12 @@ def op6_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         spot_signatures.fingerprint(F.col("signs")).alias("fingerprint"), spot_signatures.fingerprint(F.col("edited_signs")).alias("edited_fingerprint"),
         spot_signatures.jaccard(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
         spot_signatures.jaccard(F.col("signs"), F.col("next_signs")).alias("near_next"))
+
+
+@query
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents as the labels let expect to be good, drawn by how much they read like the good ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    share = labels.agg(F.avg(good.cast("double"))).first()[0] or 0.0
+    return importance_sample.sample(docs, labels.where(good), round(share * docs.count()))
