@@ -1,11 +1,17 @@
-"""Rule condition text to Spark SQL text.
+"""Rule conditions as data.
 
-A condition is comparisons joined by and / or / not / parentheses. Each comparison is
-rewritten on its own; the joining words are the same in SQL, so Spark reads the rest.
+A condition is comparisons joined by and / or / not / parentheses. It is read once per rule into a program in
+postfix order (a list of steps) which one Spark expression runs over the fields of an entry, so the number of
+different conditions is not limited by the size of a plan. Equality with a type, with a year and a searched keyword
+among the top conjuncts are taken out as keys for joins; the program keeps the rest.
+
+A condition that is well-formed but calls a method, or names an unknown field, cannot be evaluated: it is readable
+and never matches.
 """
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,108 +19,281 @@ FIELD_KINDS = {
     "entry_id": "text", "year": "number", "description": "text", "old_type": "text",
     "amount": "number", "date": "date", "quarter": "number", "notes": "text",
 }
-NULLABLE_FIELDS = {"quarter", "notes"}
-
-# The same patterns serve Python (a condition that is compiled) and Spark (a column of them).
-_OPERAND = r"""("[^"]*"|'[^']*'|-?[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)"""
-_COMPARISON = rf"{_OPERAND}\s*(==|!=|>=|<=|>|<|\bin\b)\s*{_OPERAND}"
-_PAREN = r"([()])"
-_REDUCE = r"\(\s*#\s*\)|\bnot\s+#|#\s+(?:and|or)\s+#"
-EQUI = (
-    r'^\s*old_type\s*==\s*"([^"]*)"'
-    r"(?:\s+and\s+year\s*==\s*(\d{1,4}))?"
-    r'(?:\s+and\s+"([^"]+)"\s+in\s+description)?\s*$'
-)
 KEYWORD = r'(?i)"([^"]+)"\s+in\s+description'
+# Words of the condition language.
+WORDS = ("and", "or", "not", "in", "is", "true", "false", "none", "null")
 
+_TOKEN = re.compile(
+    r"""\s*(?:(?P<text>"[^"]*"|'[^']*')|(?P<number>-?[0-9]+(?:\.[0-9]+)?)(?![A-Za-z0-9_.])|(?P<name>[^\W\d]\w*)|(?P<sign>==|!=|>=|<=|[<>().,]))""", re.ASCII)
+_SIDE = "field:string,text:string,number:double"
+STEP = f"struct<op:string,kind:string,left:struct<{_SIDE}>,right:struct<{_SIDE}>>"
+READ = f"struct<readable:boolean,unknown:array<string>,match_type:string,match_year:int,match_keyword:string,program:array<{STEP}>>"
 
-def _operand(token: str):
-    """(kind, SQL) of a literal or field; kind is None for an unknown field."""
-    if token[0] in "\"'":
-        body = token[1:-1].replace("\\", "\\\\").replace("'", "\\'")
-        return "text", f"'{body}'"
-    if token[0].isdigit() or token[0] == "-":
-        return "number", f"{token}D"
-    kind = FIELD_KINDS.get(token)
-    if kind == "number":
-        return kind, f"CAST({token} AS DOUBLE)"
-    if kind == "date":
-        return kind, f"CAST({token} AS DATE)"
-    return kind, token
-
-
-def _compare(left: str, op: str, right: str, guards: list[str]) -> str:
-    (lk, lsql), (rk, rsql) = _operand(left), _operand(right)
-    if lk is None or rk is None:
-        guards.append("false")
-        return "false"
-    if {lk, rk} == {"date", "text"}:
-        lsql = lsql if lk == "date" else f"TRY_CAST({lsql} AS DATE)"
-        rsql = rsql if rk == "date" else f"TRY_CAST({rsql} AS DATE)"
-        lk = rk = "date"
-    if op in ("==", "!="):
-        if lk != rk:
-            return "false" if op == "==" else "true"
-        return f"{lsql} <=> {rsql}" if op == "==" else f"NOT ({lsql} <=> {rsql})"
-    guards.extend(f"{t} IS NOT NULL" for t in (left, right) if t in NULLABLE_FIELDS)
-    if lk != rk or (op == "in" and lk != "text"):
-        guards.append("false")
-        return "false"
-    return f"contains({rsql}, {lsql})" if op == "in" else f"{lsql} {op} {rsql}"
-
-
-def condition_sql(text: str) -> str | None:
-    """SQL for a condition, or None when it is not a well-formed condition.
-
-    Comparing NULL by order, or a number with a text by order, is an evaluation error, and an
-    evaluation error means that the rule does not match: those become guards on the whole rule.
-    """
-    guards: list[str] = []
-    parts: list[str] = []
-
-    def keep(match):
-        parts.append(_compare(*match.groups(), guards))
-        return "#"
-
-    if "#" in re.sub(_COMPARISON, "", text):
-        return None
-    shape = re.sub(_PAREN, r" \1 ", re.sub(_COMPARISON, keep, text))
-    rest, before = shape, None
-    while rest != before:
-        before, rest = rest, re.sub(_REDUCE, "#", rest)
-    if rest.strip() != "#":
-        return None
-    pieces = iter(parts)
-    sql = re.sub("#", lambda _: f"({next(pieces)})", shape)
-    return " AND ".join([f"({sql})", *dict.fromkeys(guards)])
 
+class _Unreadable(Exception):
+    pass
 
-def condition_column(text: str) -> Column:
-    """Boolean column that is false where the condition is false or cannot be evaluated."""
-    sql = condition_sql(text)
-    if sql is None:
-        raise ValueError(f"Invalid rule condition: {text}")
-    return F.coalesce(F.expr(sql), F.lit(False))
 
+def _tokens(text: str) -> list[tuple[str, str]]:
+    out, at, text = [], 0, text.rstrip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if m is None:
+            raise _Unreadable
+        out.append((m.lastgroup, m.group(m.lastgroup)))
+        at = m.end()
+    return out
 
-def well_formed(condition: Column) -> Column:
-    """Whether a column of conditions can be read; the test of `condition_sql` inside Spark.
 
-    Comparisons become #, then (#), not # and # and # become # as often as there are words.
-    """
-    outside = F.regexp_replace(condition, _COMPARISON, "")
-    shape = F.regexp_replace(F.regexp_replace(condition, _COMPARISON, "#"), _PAREN, " $1 ")
-    steps = F.sequence(F.lit(1), F.size(F.split(shape, r"\s+")))
-    rest = F.aggregate(steps, shape, lambda text, _: F.regexp_replace(text, _REDUCE, "#"))
-    return F.coalesce(~F.contains(outside, F.lit("#")) & (F.trim(rest) == "#"), F.lit(False))
+class _Reader:
+    """Recursive descent over the tokens: or, and, not, comparison."""
+
+    def __init__(self, text: str):
+        self.tokens, self.at = _tokens(text), 0
+
+    def peek(self, ahead: int = 0) -> tuple[str, str]:
+        return self.tokens[self.at + ahead] if self.at + ahead < len(self.tokens) else ("end", "")
+
+    def take(self, value: str) -> bool:
+        if self.peek()[0] in ("name", "sign") and self.peek()[1] == value:
+            self.at += 1
+            return True
+        return False
+
+    def expect(self, value: str) -> None:
+        if not self.take(value):
+            raise _Unreadable
+
+    def whole(self):
+        tree = self.joined("or", lambda: self.joined("and", self.negated))
+        if self.peek()[0] != "end":
+            raise _Unreadable
+        return tree
+
+    def joined(self, word: str, part):
+        tree = part()
+        while self.take(word):
+            tree = (word, tree, part())
+        return tree
+
+    def negated(self):
+        if self.take("not"):
+            return ("not", self.negated())
+        if self.peek() == ("sign", "("):
+            self.at += 1
+            tree = self.joined("or", lambda: self.joined("and", self.negated))
+            self.expect(")")
+            return tree
+        left = self.operand()
+        sign = self.peek()[1]
+        if self.peek()[0] == "sign" and sign in ("==", "!=", ">=", "<=", ">", "<") or self.peek() == ("name", "in"):
+            self.at += 1
+            return ("compare", sign, left, self.operand())
+        if left[0] == "call":  # a call may stand alone
+            return ("error",)
+        raise _Unreadable
+
+    def operand(self) -> tuple[str, object]:
+        kind, value = self.peek()
+        self.at += 1
+        if kind == "text":
+            return "text", value[1:-1]
+        if kind == "number":
+            return "number", float(value)
+        if kind != "name" or value in ("and", "or", "not", "in", "is"):
+            raise _Unreadable
+        if value in ("null", "none", "None"):
+            return "null", None
+        if value in ("true", "false", "True", "False"):
+            return "bool", value.lower() == "true"
+        result: tuple[str, object] = ("field", value)
+        while self.take("."):
+            if self.peek()[0] != "name":
+                raise _Unreadable
+            self.at += 1
+            result = ("dotted", value)
+        if self.take("("):
+            while not self.take(")"):
+                self.operand()
+                if self.peek() != ("sign", ")"):
+                    self.expect(",")
+            result = ("call", value)
+        return result
+
+
+def _step(sign: str, left, right) -> dict:
+    """A comparison as a step. What the kinds decide already becomes true, false or error."""
+    def side(operand):
+        kind, value = operand
+        return {"field": value if kind == "field" else None, "text": value if kind == "text" else None, "number": value if kind == "number" else None}
+
+    kinds = [FIELD_KINDS.get(value) if kind == "field" else kind for kind, value in (left, right)]
+    fixed = lambda op: {"op": op, "kind": None, "left": None, "right": None}
+    if None in kinds or "dotted" in kinds or "call" in kinds:
+        return fixed("error")
+    equality = sign in ("==", "!=")
+    if "null" in kinds:
+        if not equality:
+            return fixed("error")
+        if kinds == ["null", "null"]:
+            return fixed("true" if sign == "==" else "false")
+        other = right if kinds[0] == "null" else left
+        if other[0] != "field":
+            return fixed("false" if sign == "==" else "true")
+        return {"op": sign, "kind": "null", "left": side(other), "right": None}
+    if set(kinds) == {"date", "text"}:
+        kinds = ["date", "date"]
+    if kinds[0] != kinds[1]:
+        return fixed({"==": "false", "!=": "true"}.get(sign, "error"))
+    if kinds[0] == "bool":
+        return fixed("error" if not equality else "true" if (left[1] == right[1]) == (sign == "==") else "false")
+    if sign == "in" and kinds[0] != "text":
+        return fixed("error")
+    return {"op": sign, "kind": kinds[0], "left": side(left), "right": side(right)}
+
+
+def _program(tree) -> list[dict]:
+    if tree[0] == "compare":
+        return [_step(*tree[1:])]
+    if tree[0] == "error":
+        return [{"op": "error", "kind": None, "left": None, "right": None}]
+    steps = [s for part in tree[1:] for s in _program(part)]
+    return [*steps, {"op": tree[0], "kind": None, "left": None, "right": None}]
+
+
+def _conjuncts(tree) -> list:
+    return _conjuncts(tree[1]) + _conjuncts(tree[2]) if tree[0] == "and" else [tree]
+
+
+def read_condition(text: str | None) -> dict:
+    """What is known of a condition: the fields of READ."""
+    text = text or ""
+    names = [m.group("name") for m in _TOKEN.finditer(re.sub(r"\.\s*[^\W\d]\w*", "", re.sub(r"\"[^\"]*\"|'[^']*'", " ", text))) if m.group("name")]
+    unknown = [n for n in dict.fromkeys(names) if n.lower() not in WORDS and n not in FIELD_KINDS]
+    out = {"readable": True, "unknown": unknown, "match_type": None, "match_year": None, "match_keyword": None, "program": None}
+    try:
+        tree = _Reader(text).whole()
+    except _Unreadable:
+        return out | {"readable": False, "program": [{"op": "error", "kind": None, "left": None, "right": None}]}
+    rest = []
+    for part in _conjuncts(tree):
+        if part[0] == "compare":
+            sign, left, right = part[1:]
+            if sign == "==" and left[0] != "field":
+                left, right = right, left
+            if sign == "==" and left == ("field", "old_type") and right[0] == "text" and out["match_type"] is None:
+                out["match_type"] = right[1]
+                continue
+            if sign == "==" and left == ("field", "year") and right[0] == "number" and right[1] == int(right[1]) and abs(right[1]) < 1e9 and out["match_year"] is None:
+                out["match_year"] = int(right[1])
+                continue
+            if sign == "in" and left[0] == "text" and right == ("field", "description") and out["match_keyword"] is None:
+                out["match_keyword"] = left[1]
+                continue
+        rest.append(part)
+    if rest:
+        program = _program(rest[0])
+        for part in rest[1:]:
+            program += [*_program(part), {"op": "and", "kind": None, "left": None, "right": None}]
+        out["program"] = program
+    return out
+
+
+_SIDE_TYPE = pa.struct([("field", pa.string()), ("text", pa.string()), ("number", pa.float64())])
+_READ_TYPE = pa.struct([
+    ("readable", pa.bool_()), ("unknown", pa.list_(pa.string())), ("match_type", pa.string()), ("match_year", pa.int32()), ("match_keyword", pa.string()),
+    ("program", pa.list_(pa.struct([("op", pa.string()), ("kind", pa.string()), ("left", _SIDE_TYPE), ("right", _SIDE_TYPE)])))])
+
+
+def read(condition: Column) -> Column:
+    """READ of each condition of a rule table."""
+    @F.arrow_udf(READ)
+    def reading(texts: pa.Array) -> pa.Array:
+        return pa.array([read_condition(t) for t in texts.to_pylist()], _READ_TYPE)
+
+    return reading(condition)
+
+
+def well_formed(condition: Column) -> Column:
+    """Whether a column of conditions can be read."""
+    return read(condition)["readable"]
 
 
 def unknown_fields(condition: Column) -> Column:
     """Distinct names in a condition that are not journal fields, in order of appearance."""
-    # Words of the condition language.
-    words = ("and", "or", "not", "in", "is", "true", "false", "none", "null")
-    bare = F.regexp_replace(condition, r"""(["'][^"']*["'])""", " ")
-    names = F.regexp_extract_all(bare, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)?)\b"), F.lit(1))
-    names = F.filter(names, lambda n: ~F.lower(n).isin(*words))
-    bases = F.array_distinct(F.transform(names, lambda n: F.element_at(F.split(n, r"\."), 1)))
-    return F.filter(bases, lambda n: ~n.isin(*FIELD_KINDS))
+    return read(condition)["unknown"]
+
+
+# --- running a program over an entry ----------------------------------------------------------
+
+def _value(side: Column, kind: str, entry: Column) -> Column:
+    """An operand as text, number or date: its literal or the field it names."""
+    fields = [f for f, k in FIELD_KINDS.items() if k == kind]
+    if kind == "date":
+        out = F.when(side["field"].isNull(), side["text"].try_cast("date"))
+        for f, k in FIELD_KINDS.items():
+            if k in ("date", "text"):
+                out = out.when(side["field"] == f, entry[f] if k == "date" else entry[f].try_cast("date"))
+        return out
+    out = F.when(side["field"].isNull(), side[kind])
+    for f in fields:
+        out = out.when(side["field"] == f, entry[f])
+    return out
+
+
+def _compared(step: Column, entry: Column) -> Column:
+    """true, false, or null where a missing value cannot be ordered or searched."""
+    op, out = step["op"], None
+    for kind in ("text", "number", "date"):
+        left, right = _value(step["left"], kind, entry), _value(step["right"], kind, entry)
+        here = (F.when(op == "==", left.eqNullSafe(right)).when(op == "!=", ~left.eqNullSafe(right))
+                .when(op == ">", left > right).when(op == ">=", left >= right).when(op == "<", left < right).when(op == "<=", left <= right))
+        if kind == "text":
+            here = here.when(op == "in", F.contains(right, left))
+        out = F.when(step["kind"] == kind, here) if out is None else out.when(step["kind"] == kind, here)
+    missing = F.lit(False)
+    for f in FIELD_KINDS:
+        missing = F.when(step["left"]["field"] == f, entry[f].isNull()).otherwise(missing)
+    return out.when(step["kind"] == "null", missing == (op == "==")).when(op == "true", F.lit(True)).when(op == "false", F.lit(False))
+
+
+def entry_fields(columns: list[str], prefix: str = "") -> Column:
+    """The fields of a journal row that conditions may name; one that the row lacks is null."""
+    types = {"text": "string", "number": "double", "date": "date"}
+    return F.struct(*[(F.col(f"{prefix}{f}") if f in columns else F.lit(None)).cast(types[k]).alias(f) for f, k in FIELD_KINDS.items()])
+
+
+def holds(program: Column, entry: Column) -> Column:
+    """Whether a program holds for an entry; a missing program does, one that cannot be evaluated does not.
+
+    A stack of results is kept. Comparing a missing value by order, or calling a method, is an error, and an error
+    anywhere means that the rule does not match, whatever the rest says.
+    """
+    start = F.struct(F.array().cast("array<boolean>").alias("stack"), F.lit(True).alias("ok"))
+
+    def run(state: Column, step: Column) -> Column:
+        stack, op = state["stack"], step["op"]
+        top, below = F.get(stack, F.lit(0)), F.get(stack, F.lit(1))
+        rest = lambda k: F.slice(stack, k + 1, F.greatest(F.size(stack) - k, F.lit(0)))
+        result = _compared(step, entry)
+        push = lambda value, k: F.concat(F.array(value), rest(k))
+        after = (F.when(op == "and", push(top & below, 2)).when(op == "or", push(top | below, 2)).when(op == "not", push(~top, 1))
+                 .otherwise(push(F.coalesce(result, F.lit(False)), 0)))
+        fine = state["ok"] & (op.isin("and", "or", "not") | result.isNotNull())
+        return F.struct(after.alias("stack"), fine.alias("ok"))
+
+    ended = F.aggregate(program, start, run, lambda s: s["ok"] & F.get(s["stack"], F.lit(0)))
+    return F.when(program.isNull(), F.lit(True)).otherwise(F.coalesce(ended, F.lit(False)))
+
+
+def condition_column(text: str) -> Column:
+    """Boolean column that is false where the condition is false or cannot be evaluated."""
+    known = read_condition(text)
+    if not known["readable"]:
+        raise ValueError(f"Invalid rule condition: {text}")
+    step = lambda s: F.struct(
+        F.lit(s["op"]).alias("op"), F.lit(s["kind"]).cast("string").alias("kind"), *[F.struct(*[
+            F.lit((s[side] or {}).get(name)).cast(kind).alias(name) for name, kind in (("field", "string"), ("text", "string"), ("number", "double"))]).alias(side)
+            for side in ("left", "right")])
+    program = _program(_Reader(text).whole())
+    return holds(F.array(*[step(s) for s in program]), entry_fields(list(FIELD_KINDS)))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.conditions import EQUI, condition_column, condition_sql
+from ..functions.conditions import entry_fields, holds
 from ..functions.sizing import compact, fits
 from ..schemas import DEPOSIT_ACCOUNT
 from ..sources.rules import split_condition
@@ -17,8 +17,8 @@ ACCOUNT_FIELDS = ("known", "path", "name_code", "name_path", "split_path")
 # Sides of a rule; a rule without side is used when nothing else holds.
 SIDES = {"cr": "CR", "dr": "DR", "free": None}
 MAX_RULES = 20_000
-MAX_CONDITIONS = 5_000
-CONDITIONS_PER_ARRAY = 100
+#: Rules without a type in one block; every journal row is held against every block.
+RULES_PER_BLOCK = 1_000
 
 
 def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
@@ -47,39 +47,6 @@ def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFr
         "*", deposit.scalar().alias("split_path"), F.col("path").isNotNull().alias("known"))
 
 
-def _conditions(rules: DataFrame) -> list[str]:
-    """Distinct free-form condition texts. They are code, so they live in the plan."""
-    texts = [r[0] for r in rules.filter(~F.col("condition").rlike(EQUI)).select("condition").distinct()
-             .limit(MAX_CONDITIONS + 1).collect()]
-    if len(texts) > MAX_CONDITIONS:
-        raise ValueError(
-            f"More than {MAX_CONDITIONS} different free-form conditions; write them as "
-            'old_type == "..." [and year == ...] ["..." in description] to match them by join')
-    return sorted(t for t in texts if condition_sql(t) is not None)
-
-
-def _condition_ids(prepared: DataFrame, texts: list[str]) -> DataFrame:
-    """Adds cond_id: 0 without residual, else the position of the residual. Broken ones are dropped."""
-    plain = F.when(F.col("residual").isNull(), F.lit(0))
-    if not texts:
-        return prepared.withColumn("cond_id", plain).filter(F.col("cond_id").isNotNull())
-    known = prepared.sparkSession.createDataFrame(
-        list(zip(texts, range(1, len(texts) + 1))), "residual string, cond_id int")
-    return prepared.join(F.broadcast(known), "residual", "left").withColumn(
-        "cond_id", F.coalesce(plain, "cond_id")).filter(F.col("cond_id").isNotNull())
-
-
-def _true_conditions(texts: list[str]) -> Column:
-    """Ids of the free-form conditions that hold for the row (chunked to keep methods small)."""
-    chunks = [
-        F.array_compact(F.array(*[
-            F.when(condition_column(t), F.lit(i + 1)) for i, t in list(enumerate(texts))[at:at + CONDITIONS_PER_ARRAY]
-        ]))
-        for at in range(0, len(texts), CONDITIONS_PER_ARRAY)
-    ]
-    return F.concat(*chunks) if chunks else F.array().cast("array<int>")
-
-
 def _order() -> list[Column]:
     return [(-F.col("priority")).alias("by_priority"), F.col("rule_ord")]
 
@@ -89,39 +56,37 @@ def _is_side(name: str) -> Column:
     return side.isNull() if SIDES[name] is None else side == SIDES[name]
 
 
+def _holds(rule: Column) -> Column:
+    """Whether a rule holds for the row, whose type it has."""
+    return (
+        (rule["match_year"].isNull() | (rule["match_year"] == F.col("year")))
+        & (rule["match_keyword"].isNull() | F.col("description").contains(rule["match_keyword"]))
+        & holds(rule["program"], F.col("_entry")))
+
+
 class _Plan:
-    """A rule set made ready: measured, prepared, its free-form conditions read."""
+    """A rule set made ready: measured, prepared, its conditions read."""
 
     def __init__(self, rules: DataFrame, accounts: DataFrame | None, max_rules: int):
         self.small = fits(rules, max_rules)
         prepared = prepare_rules(compact(rules) if self.small else rules, accounts)
-        self.texts = _conditions(rules)
-        self.rules = _condition_ids(prepared, self.texts)
+        self.rules = prepared
 
     def hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
     def candidates(self, journal: DataFrame) -> DataFrame:
         """Adds per side the held rules of the row as sorted arrays, without shuffling the journal."""
-        entry = F.struct(*_order(), "match_year", "match_keyword", "cond_id")
-        arrays = [F.sort_array(F.collect_list(F.when(_is_side(s), entry))).alias(f"_{s}") for s in SIDES]
+        rule = F.struct(*_order(), "match_year", "match_keyword", "program")
+        arrays = [F.sort_array(F.collect_list(F.when(_is_side(s), rule))).alias(f"_{s}") for s in SIDES]
         typed = self.rules.filter(F.col("match_type").isNotNull()).groupBy(
             F.col("match_type").alias("old_type")).agg(*arrays)
-        out = journal.join(F.broadcast(typed), "old_type", "left")
-
-        def holds(c):
-            return (
-                (c["match_year"].isNull() | (c["match_year"] == F.col("year")))
-                & (c["match_keyword"].isNull() | F.col("description").contains(c["match_keyword"])))
-
-        held = {s: F.filter(f"_{s}", holds) for s in SIDES}
-        if self.texts:
-            other = self.rules.filter(F.col("match_type").isNull()).agg(*arrays).select(F.struct(*[f"_{s}" for s in SIDES]))
-            out = out.withColumns({"_other": other.scalar(), "_true": _true_conditions(self.texts)})
-            held = {s: F.sort_array(F.concat(
-                F.coalesce(h, F.array()),
-                F.filter(F.col("_other")[f"_{s}"], lambda c: F.array_contains("_true", c["cond_id"])))) for s, h in held.items()}
-        return out.withColumns({f"held_{s}": h for s, h in held.items()}).drop("_other", "_true", *[f"_{s}" for s in SIDES])
+        other = self.rules.filter(F.col("match_type").isNull()).agg(*arrays).select(F.struct(*[f"_{s}" for s in SIDES]))
+        fields = journal.columns
+        out = journal.join(F.broadcast(typed), "old_type", "left").withColumns({"_other": other.scalar(), "_entry": entry_fields(fields)})
+        held = {s: F.sort_array(F.concat(
+            F.coalesce(F.filter(f"_{s}", _holds), F.array()), F.filter(F.col("_other")[f"_{s}"], _holds))) for s in SIDES}
+        return out.withColumns({f"held_{s}": h for s, h in held.items()}).drop("_other", "_entry", *[f"_{s}" for s in SIDES])
 
     def pick(self, journal: DataFrame) -> DataFrame:
         """Journal columns with cr_ord and dr_ord, the best rule per side."""
@@ -140,19 +105,23 @@ class _Plan:
         columns = ["src_row", "rule_ord", "priority", "ledger_type", "rule_id", "condition"]
         rule = self.rules.select(
             F.col("match_type").alias("old_type"), F.col("match_year").alias("rule_year"),
-            "match_keyword", "cond_id", *columns[1:])
+            "match_keyword", "program", *columns[1:])
         keyword = F.col("match_keyword").isNull() | F.col("description").contains(F.col("match_keyword"))
-        slim = journal.select("src_row", "old_type", "year", F.col("description"))
+        fits_rule = keyword & holds(F.col("program"), F.col("_entry"))
+        slim = journal.select("src_row", "old_type", "year", "description", entry_fields(journal.columns).alias("_entry"))
         typed = rule.filter(F.col("old_type").isNotNull())
         dated = slim.join(
             self.hint(typed.filter("rule_year is not null").withColumn("year", F.col("rule_year"))), ["old_type", "year"])
         undated = slim.join(self.hint(typed.filter("rule_year is null")), ["old_type"])
-        out = dated.filter(keyword).select(*columns).unionByName(undated.filter(keyword).select(*columns))
-        if self.texts:
-            other = rule.filter(F.col("old_type").isNull()).drop("old_type", "rule_year", "match_keyword")
-            held = journal.select("src_row", F.explode(_true_conditions(self.texts)).alias("cond_id"))
-            out = out.unionByName(held.join(self.hint(other), "cond_id").select(*columns))
-        return out
+        out = dated.filter(fits_rule).select(*columns).unionByName(undated.filter(fits_rule).select(*columns))
+        # Rules without a type are a stated set that every row is held against, block by block.
+        other = self.rules.filter(F.col("match_type").isNull())
+        blocks = max(1, -(-other.count() // RULES_PER_BLOCK))
+        parts = other.withColumn("block", F.pmod(F.xxhash64("rule_ord"), F.lit(blocks)).cast("int")).groupBy("block").agg(
+            F.collect_list(F.struct("match_year", "match_keyword", "program", *columns[1:])).alias("_part"))
+        asked = slim.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        held = asked.join(self.hint(parts), "block").select("src_row", F.explode(F.filter("_part", _holds)).alias("r"))
+        return out.unionByName(held.select("src_row", *[f"r.{c}" for c in columns[1:]]))
 
     def details(self, name: str) -> DataFrame:
         """The attributes of the rules under the prefix of a side."""
@@ -203,8 +172,9 @@ def rule_mismatches(booked: DataFrame, rules: DataFrame, max_rules: int = MAX_RU
         return held.filter(F.col("r").isNotNull() & ~F.array_contains("held", F.col("r.rule_ord"))).select(
             "src_row", "entry_id", "r.rule_id", "r.condition")
     applied = booked.select("src_row", "entry_id", applied_rules()).filter("r is not null").select(
-        "src_row", "entry_id", "r.rule_id", "r.condition")
-    return applied.join(plan.matches(booked).select("src_row", "rule_id"), ["src_row", "rule_id"], "left_anti")
+        "src_row", "entry_id", "r.rule_ord", "r.rule_id", "r.condition")
+    found = applied.join(plan.matches(booked).select("src_row", "rule_ord"), ["src_row", "rule_ord"], "left_anti")
+    return found.select("src_row", "entry_id", "rule_id", "condition")
 
 
 def matches(journal: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.conditions import EQUI
+from ..functions.conditions import read
 from ..functions.issues import any_failed, check, emit
 from ..functions.numbering import running_number
 from ..functions.text import to_int, truthy
@@ -187,21 +187,13 @@ def rules_from_old_types(df: DataFrame, accounts: DataFrame | None = None, ord_c
 
 
 def split_condition(rules: DataFrame) -> DataFrame:
-    """Adds match_type / match_year / match_keyword for conditions of the generated form.
+    """Adds match_type / match_year / match_keyword, wherever they stand among the top conjuncts, and `program`.
 
-    Those rules become an equality join; `residual` keeps the text of every other condition.
+    The first three become equality joins and a text search; `program` is what remains of the condition, null when
+    nothing does.
     """
-    def part(group):
-        return F.regexp_extract("condition", EQUI, group)
-
-    plain = F.col("condition").rlike(EQUI)
-    return rules.select(
-        "*",
-        F.when(plain, part(1)).alias("match_type"),
-        F.when(plain & (part(2) != ""), part(2).try_cast("int")).alias("match_year"),
-        F.when(plain & (part(3) != ""), part(3)).alias("match_keyword"),
-        F.when(~plain, F.col("condition")).alias("residual"),
-    )
+    known = rules.withColumn("_read", read(F.col("condition")))
+    return known.select(*rules.columns, "_read.match_type", "_read.match_year", "_read.match_keyword", "_read.program")
 
 
 def upsert_rules(rules: DataFrame, deletes: DataFrame, additions: DataFrame) -> DataFrame:

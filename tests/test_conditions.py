@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.conditions import condition_column, condition_sql, unknown_fields, well_formed
+from ledgerloom.functions.conditions import condition_column, read_condition, unknown_fields, well_formed
 
 ROW = ("JE-1", 2024, "alipay tip", "OL", 1500.0, "2024-01-15", None, None)
 
@@ -25,6 +25,10 @@ def holds(spark, condition, row=ROW):
     # ... and cannot be ordered or searched: the rule does not match, not even negated.
     ("quarter > 1", False), ("not (quarter > 1)", False), ('not ("x" in notes)', False),
     ('year == "2024"', False), ('year != "2024"', True), ("amount > 'x'", False), ("foo == 1", False), ("not (foo == 1)", False),
+    ("quarter == null", True), ("quarter != null", False), ("old_type != null and year >= 2023", True), ("null == null", True), ("year == null", False),
+    ("year > null", False), ("true == true", True), ("true == false or year == 2024", True), ("old_type == 'OL' and year == 2024 and amount > 1000", True),
+    # A call is readable, but cannot be evaluated.
+    ("description.contains('tip') and year == 2024", False), ("year == 2024 or description.contains('tip')", False),
 ])
 def test_condition(spark, condition, expected):
     assert holds(spark, condition) is expected
@@ -32,7 +36,7 @@ def test_condition(spark, condition, expected):
 
 @pytest.mark.parametrize("condition", ['old_type = "OL"', "(year == 2024", "year ==", "year == 2024 and", "", "year == 2024 year == 2023", "#", "old_type"])
 def test_unreadable(spark, condition):
-    assert condition_sql(condition) is None
+    assert not read_condition(condition)["readable"]
     assert spark.range(1).select(well_formed(F.lit(condition))).first()[0] is False
     with pytest.raises(ValueError):
         condition_column(condition)
@@ -46,9 +50,23 @@ pieces = st.sampled_from(["and", "or", "not", "(", ")", 'old_type == "a b"', "am
 def test_spark_and_python_read_alike(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "c string").select("c", well_formed(F.col("c")).alias("ok"))
     for row in df.collect():
-        assert row["ok"] == (condition_sql(row["c"]) is not None), row["c"]
+        assert row["ok"] == read_condition(row["c"])["readable"], row["c"]
 
 
 def test_unknown_fields(spark):
     df = spark.createDataFrame([("foo == 1 and bar.x > 2 and foo < 3 and year == 1",), ('old_type == "baz qux"',)], "c string")
     assert [r[0] for r in df.select(unknown_fields(F.col("c"))).collect()] == [["foo", "bar"], []]
+
+
+def test_keys_are_taken_out_wherever_they_stand():
+    known = read_condition("amount > 1 and 'tip' in description and old_type == 'OL' and 2024 == year and old_type == 'B'")
+    assert (known["match_type"], known["match_year"], known["match_keyword"]) == ("OL", 2024, "tip")
+    assert [s["op"] for s in known["program"]] == [">", "==", "and"]
+    assert read_condition('old_type == "OL"')["program"] is None
+
+
+def test_calls_are_readable(spark):
+    texts = ["description.contains('test') and quarter == 1", "old_type.x.y(1, 'a') == 2", "x.contains('a')"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    assert [r[0] for r in df.select(well_formed(F.col("c"))).collect()] == [True, True, True]
+    assert [r[0] for r in df.select(unknown_fields(F.col("c"))).collect()] == [[], [], ["x"]]

@@ -19,7 +19,8 @@ SHEET_COLUMNS = {
     "condition": """CASE p_partkey % 8 WHEN 0 THEN concat('old_type == "', p_type, '"')
         WHEN 1 THEN concat('old_type == "', p_type, '" and year == ', CAST(2019 + p_size % 6 AS {S}))
         WHEN 2 THEN concat('old_type == "', p_type, '" and (amount > 1000 or amount < 100)')
-        WHEN 3 THEN concat('not (quarter == 2) and "', p_name, '" in description')
+        WHEN 3 THEN CASE p_partkey % 5 WHEN 0 THEN 'description.contains(''test'') and quarter == 1' WHEN 1 THEN 'old_type != null and year >= 2023'
+          ELSE concat('not (quarter == 2) and "', p_name, '" in description') END
         WHEN 4 THEN concat('old_type = "', p_type, '"') WHEN 5 THEN '(year == 2024'
         WHEN 6 THEN 'foo == 1 and bar.baz > 2 and foo < 3'
         ELSE concat(' OLD_TYPE == "', lower(p_type), '" or old_type == "', p_type, '"') END""",
@@ -242,6 +243,12 @@ FREE = [
     (8, "F-8-DR", "foo == 1 or year == 2024", "1100", 99, "X", "DR"),
     (9, "F-9-CR", 'old_type == "OL" and "wechat" in description', "捐赠收入", 20, "OL", "CR"),
     (10, "F-10-CR", 'old_type == "OL" and year == 2024', "收入OL", 25, "OL", "CR"),
+    (11, "F-11-CR", "old_type == 'OL' and year == 2023 and amount > 1000", "收入OL", 26, "OL", "CR"),
+    (12, "F-12-DR", "quarter == null and year >= 2023", "银行存款", 3, "X", "DR"),
+    (13, "F-13-DR", "'wechat' in description and old_type == 'OL' and quarter != null", "银行存款", 4, "OL", "DR"),
+    (14, "F-14-CR", "description.contains('alipay') and quarter == 1", "收入OL", 98, "X", "CR"),
+    (15, "F-15-CR", "old_type != null and not (description.startswith('a'))", "收入OL", 97, "X", "CR"),
+    (16, "F-16", "notes == null and true == false or amount == -1 and old_type == 'OL-D'", "1100", 6, "X", None),
 ]
 HOLED = "SELECT * REPLACE (CASE WHEN src_row % 5 = 0 THEN NULL ELSE quarter END AS quarter) FROM journal"
 HELD = """SELECT src_row, 1 AS o, 'CR' AS side, 30 AS p FROM j WHERE amount > 400000 AND old_type = 'RareType' AND quarter IS DISTINCT FROM 2
@@ -251,7 +258,11 @@ HELD = """SELECT src_row, 1 AS o, 'CR' AS side, 30 AS p FROM j WHERE amount > 40
   UNION ALL SELECT src_row, 5, 'DR', 1 FROM j WHERE old_type <> 'OL'
   UNION ALL SELECT src_row, 6, 'DR', 2 FROM j WHERE quarter >= 4 OR quarter = 1
   UNION ALL SELECT src_row, 9, 'CR', 20 FROM j WHERE old_type = 'OL' AND contains(description, 'wechat')
-  UNION ALL SELECT src_row, 10, 'CR', 25 FROM j WHERE old_type = 'OL' AND year = 2024"""
+  UNION ALL SELECT src_row, 10, 'CR', 25 FROM j WHERE old_type = 'OL' AND year = 2024
+  UNION ALL SELECT src_row, 11, 'CR', 26 FROM j WHERE old_type = 'OL' AND year = 2023 AND amount > 1000
+  UNION ALL SELECT src_row, 12, 'DR', 3 FROM j WHERE quarter IS NULL AND year >= 2023
+  UNION ALL SELECT src_row, 13, 'DR', 4 FROM j WHERE contains(description, 'wechat') AND old_type = 'OL' AND quarter IS NOT NULL
+  UNION ALL SELECT src_row, 16, '', 6 FROM j WHERE amount = -1 AND old_type = 'OL-D'"""
 
 
 def holed(t):
@@ -285,6 +296,24 @@ def rule_pick_general_shuffled(t):
     return _picked(matching.pick_rules(holed(t), t.free_rules(FREE), t.accounts, max_rules=0))
 
 
+# More different free-form conditions than any plan could hold as code: four per part.
+MANY = "SELECT p_partkey * 4 + k AS o, p_partkey * 100 AS least, p_size % 4 + 1 AS q FROM part, (VALUES (0), (1), (2), (3)) AS v(k)"
+
+
+@query("""SELECT j.src_row, CAST(o AS BIGINT) AS rule_ord FROM journal j JOIN many ON o % 5003 = j.src_row % 5003
+  WHERE j.amount > least OR j.quarter = q""", "journal", many=MANY)
+def rule_match_many(t):
+    numbered = t.read("part").select("p_partkey", (F.col("p_size") % 4 + 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    order = F.col("p_partkey") * 4 + F.col("k")
+    text = F.format_string("(amount > %d or quarter == %d) and entry_id != 'x%d' and old_type == 'T%d'", F.col("p_partkey") * 100, F.col("q"), order, order % 5003)
+    rules = numbered.select(
+        order.cast("bigint").alias("rule_ord"), F.format_string("M-%d", order).alias("rule_id"), text.alias("condition"), F.lit("1100").alias("account_code"),
+        F.lit(1).alias("priority"), F.lit("X").alias("old_type"), F.lit(None).cast("string").alias("new_type"), F.lit("").alias("description"),
+        F.lit(False).alias("generates_multiple"), F.lit("CR").alias("ledger_type"))
+    rows = t.journal.withColumn("old_type", F.concat(F.lit("T"), (F.col("src_row") % 5003).cast("string")))
+    return matching.matches(rows, rules).select("src_row", "rule_ord")
+
+
 # A type map over `orders` (several rows per key) and a journal whose types it knows in part.
 MAP = """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 101 = 0 THEN 1990 ELSE 2016 + o_orderkey % 8 END AS year,
   CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE concat(' T', CAST(o_custkey % 50 AS {S})) END AS old_type, concat('N', CAST(o_orderkey % 1000 AS {S})) AS new_type
