@@ -9,6 +9,8 @@ lengths does. Bins of all blocks that stay loose are dissolved and their pieces
 """
 
 import math
+import os
+import re
 import zlib
 
 import numpy as np
@@ -28,7 +30,11 @@ ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: Bins filled less than this are packed anew across blocks.
 LOOSE = 0.97
 #: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: A comma or full stop before a space, but after another sign, which the tokenizer keeps together with it.
+_SIGNS_MEET = re.compile(r"(?:[^\w \n\t\r]|[_İ])[.,] ")
+#: Composed Latin letters have one lower case each, which is composed again; other texts are left to the tokenizer.
+_SAME_IN_LOWER_CASE = re.compile(r"[\x00-\u012f\u2000-\u20cf]*")
 #: Characters whose unknown words are encoded together.
 TOGETHER = 1 << 19
 
@@ -38,31 +44,60 @@ PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 l
 class WordEncoder:
     """Token ids of texts as little-endian bytes, word by word.
 
-    The tokenizer never joins characters across white space, so a text's ids are those of its parts
-    between spaces, tabs and line ends, and each distinct part is encoded once.
+    The tokenizer lower-cases and never joins characters across white space, nor letters with a comma or full stop
+    after them; so a text's ids are those of its parts, and each distinct part is encoded once.
     """
 
     def __init__(self, path: str):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = set().union(*parts)
-        missing = fresh - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
+        parts = [_parts(t) for t in texts]
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            missing = fresh
-        missing = list(missing)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        found = [list(map(self.known.get, p)) for p in parts]
+        missing = list({w for p, f in zip(parts, found) if None in f for w, ids in zip(p, f) if ids is None})
         for i in range(0, len(missing), 4096):
-            some = missing[i:i + 4096]
-            for word, ids in zip(some, encode(some, add_special_tokens=False)):
-                self.known[word] = np.array(ids.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+            self._learn(missing[i:i + 4096])
+        for p, f in zip(parts, found):
+            if None in f:
+                f[:] = map(self.known.__getitem__, p)
+        return [b"".join(f) for f in found]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone are encoded as one text, whose ids show where a word ends; the others one by one."""
+        plain = [w for w in words if w.isalpha()]
+        ids = np.array(self._ids([" ".join(plain)])[0], dtype="<u4")
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) != len(plain):  # letters that the tokenizer takes apart
+            plain, last = [], last[:0]
+        data, at = ids.tobytes(), 0
+        for word, end in zip(plain, (4 * last + 4).tolist()):
+            self.known[word] = data[at:end]
+            at = end
+        others = [w for w in words if w not in self.known]
+        for word, own in zip(others, self._ids(others)):
+            self.known[word] = np.array(own, dtype="<u4").tobytes()
+
+
+def _parts(text: str) -> list[str]:
+    """Parts of a text that are encoded apart: between white space, and commas and full stops at the end of a word."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if _SIGNS_MEET.search(text) is None:
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    if "<|" not in text and _SAME_IN_LOWER_CASE.fullmatch(text) is not None:
+        text = text.lower()
+    return text.split(" ")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -204,7 +239,7 @@ def _sorted(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def _island(limit: int, population: int, generations: int, turn: int):
-    def run(key, block: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, block: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
         lengths = _sorted(block)["length"].to_numpy()
         seeds = [np.frombuffer(p, dtype=np.int32).astype(np.int64) for p in elites["packing"]]
         rng = np.random.default_rng([turn, int(key[0]), int(key[1])])
@@ -214,7 +249,7 @@ def _island(limit: int, population: int, generations: int, turn: int):
     return run
 
 
-def _placed(key, block: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+def _placed(key: tuple, block: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
     block = _sorted(block)
     block["bin"] = np.frombuffer(elites["packing"].iloc[0], dtype=np.int32).astype(np.int64)
     block["fill"] = block.groupby("bin")["length"].transform("sum")
