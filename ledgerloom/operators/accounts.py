@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.containment import containing_pairs
 from ..functions.issues import check, emit, union_all
 from ..functions.sizing import sized
@@ -107,7 +108,7 @@ def map_legacy_codes(df: DataFrame, accounts: DataFrame, key: str = "old_code")
 
     Works on the distinct labels. Containment goes both ways through `containing_pairs`.
     """
-    labels = df.select(F.trim(F.col(key).cast("string")).alias("old_code")).filter(
+    labels = df.select(strip(F.col(key).cast("string")).alias("old_code")).filter(
         F.col("old_code") != "").distinct()
     names = accounts.groupBy("name").agg(F.min(F.struct("ord", "code")).alias("a")).select(
         "name", F.col("a.ord").alias("ord"), F.col("a.code").alias("code"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.issues import check, emit
 from ..functions.numbering import previous_value
 from ..schemas import TOLERANCE, TOTAL
@@ -111,7 +112,7 @@ def quarter_totals(aggregates: DataFrame) -> DataFrame:
 
 def quarter_results(aggregates: DataFrame, accounts: DataFrame) -> DataFrame:
     """Per quarter: income - expense (codes 4 and 5), its negation, change of equity (code 3)."""
-    first = F.substring(F.trim("ledger_id"), 1, 1)
+    first = F.substring(strip("ledger_id"), 1, 1)
     zero = F.lit(0).cast(TOTAL)
 
     def result(*digits):

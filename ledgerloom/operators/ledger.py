@@ -8,6 +8,7 @@ three numbers and every column of a line is an expression that is computed only
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import (
     DEPOSIT_ACCOUNT, DEPOSIT_MARK, DEPOSIT_MARK_LATIN, DEPOSIT_SPLIT, LEDGER_COLUMNS, NO_MATCH_RULE,
     SPLIT_TYPE, SPLIT_YEAR, UNMATCHED_CODE, UNMATCHED_PATH,
@@ -28,7 +29,7 @@ def book(
     """Journal rows with cr_rule, dr_rule, splits (deposit is booked apart) and no_match."""
     picked = pick_rules(journal, rules, accounts, max_rules)
     splits = (
-        F.lit(split_deposits) & (F.trim("old_type") == SPLIT_TYPE) & (F.col("amount") > 0)
+        F.lit(split_deposits) & (strip("old_type") == SPLIT_TYPE) & (F.col("amount") > 0)
         & (F.year("date") == SPLIT_YEAR) & F.col("cr_rule.name_path").isNotNull()
         & F.col("dr_rule.name_path").isNotNull() & F.col("cr_rule.split_path").isNotNull()
     )
@@ -43,7 +44,7 @@ def _swaps() -> Column:
     Deposits are written the wrong way round in the rules, so they swap unless the amount is
     negative. A negative amount on an income account (found by name) is a reversal and swaps.
     """
-    kind = F.trim("old_type")
+    kind = strip("old_type")
     deposit = kind.contains(DEPOSIT_MARK) | F.lower(kind).contains(DEPOSIT_MARK_LATIN)
     reversal = (F.col("amount") < 0) & _yes(F.startswith("cr_rule.name_code", F.lit("4")))
     return F.when(deposit, F.col("amount") >= 0).otherwise(reversal)

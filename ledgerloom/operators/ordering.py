@@ -3,12 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .accounts import lookup
 
 
 def prefix_rank(source_id: Column) -> Column:
     """Wallet rows (A), interest (I), bank (B), then everything else."""
-    first = F.upper(F.substring(F.trim(source_id), 1, 1))
+    first = F.upper(F.substring(strip(source_id), 1, 1))
     return F.when(first == "A", 0).when(first == "I", 1).when(first == "B", 2).otherwise(3)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import TOTAL
 from .accounts import lookup
 
@@ -22,7 +23,7 @@ def unmatched_profile(unmatched: DataFrame, samples: int = 5) -> DataFrame:
     Counting is a partial aggregate and the rank limit acts before the shuffle, so a type that
     holds most rows is cheap.
     """
-    kind = F.coalesce(F.trim("old_type"), F.lit(""))
+    kind = F.coalesce(strip("old_type"), F.lit(""))
     rows = unmatched.select("year", F.when(kind == "", "(blank)").otherwise(kind).alias("old_type"), "src_row", "entry_id")
     counts = rows.groupBy("year", "old_type").agg(F.count(F.lit(1)).alias("count"))
     first = rows.withColumn("rn", F.row_number().over(W.partitionBy("year", "old_type").orderBy("src_row"))).filter(
@@ -36,7 +37,7 @@ def unmatched_profile(unmatched: DataFrame, samples: int = 5) -> DataFrame:
 
 def side_check(aggregates: DataFrame, accounts: DataFrame) -> DataFrame:
     """Income should be credited and expense debited: totals and verdict per account."""
-    first = F.substring(F.trim("ledger_id"), 1, 1)
+    first = F.substring(strip("ledger_id"), 1, 1)
     found = lookup(aggregates, accounts).filter(first.isin("4", "5"))
     sums = found.groupBy("account_code", "account_name", first.alias("digit")).agg(
         F.sum("cr_amount").cast(TOTAL).alias("cr_amount"), F.sum("dr_amount").cast(TOTAL).alias("dr_amount"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.conditions import FIELD_KINDS, unknown_fields, well_formed
 from ..functions.issues import check, emit, union_all
 from ..functions.sizing import compact, fits
@@ -70,7 +71,7 @@ CONFLICT_KEYS = ["norm", "priority", "side"]
 
 def _keyed(rules: DataFrame) -> DataFrame:
     return rules.select(
-        "rule_ord", "rule_id", "account_code", F.lower(F.trim("condition")).alias("norm"), "priority",
+        "rule_ord", "rule_id", "account_code", F.lower(strip("condition")).alias("norm"), "priority",
         F.coalesce("ledger_type", F.lit("")).alias("side"))
 
 

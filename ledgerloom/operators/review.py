@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.median import double_median, value_range
 from ..schemas import MISSING_TYPE
 from .accounts import lookup
@@ -80,7 +81,7 @@ def _no_match() -> tuple:
 def _missing_type() -> tuple:
     hinted = F.concat(F.lit(f"{MISSING_TYPE_REASON}. 自动推断建议 (低置信度): "), F.col("notes"))
     reason = F.when(F.contains("notes", F.lit(HINT)), hinted).otherwise(F.lit(MISSING_TYPE_REASON))
-    return _flag(F.trim("old_type") == MISSING_TYPE, "missing_type", reason, "error", _at(2, "src_row"))
+    return _flag(strip("old_type") == MISSING_TYPE, "missing_type", reason, "error", _at(2, "src_row"))
 
 
 def _multiple_rules() -> tuple:

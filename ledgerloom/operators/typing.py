@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.conditions import KEYWORD
 from ..functions.containment import containing_pairs
 from ..functions.sizing import fits
@@ -31,17 +32,17 @@ def remap_types(journal: DataFrame, type_map: DataFrame, floor_year: int = REMAP
     found = F.get(F.filter("by_year", usable), F.lit(0))["new_type"]
     columns = [F.coalesce(found, F.col("old_type")).alias("old_type") if c == "old_type" else F.col(c)
                for c in journal.columns]
-    return journal.withColumn("raw_type", F.trim("old_type")).join(side, "raw_type", "left").select(*columns)
+    return journal.withColumn("raw_type", strip("old_type")).join(side, "raw_type", "left").select(*columns)
 
 
 def keyword_index(rules: DataFrame) -> DataFrame:
     """(keyword, old_type, kw_ord, type_ord) in the order in which the rules introduce them."""
     found = rules.filter(
-        (F.trim("old_type") != "") & (F.trim("old_type") != MISSING_TYPE)
+        (strip("old_type") != "") & (strip("old_type") != MISSING_TYPE)
     ).select(
-        F.trim("old_type").alias("old_type"), "rule_ord",
+        strip("old_type").alias("old_type"), "rule_ord",
         F.posexplode(F.regexp_extract_all("condition", F.lit(KEYWORD), F.lit(1))).alias("pos", "keyword"),
-    ).withColumn("keyword", F.trim("keyword")).filter(F.col("keyword") != "")
+    ).withColumn("keyword", strip("keyword")).filter(F.col("keyword") != "")
     at = F.struct("rule_ord", "pos")
     types = found.groupBy("keyword", "old_type").agg(F.min(at).alias("type_ord"))
     keywords = found.groupBy("keyword").agg(F.min(at).alias("kw_ord"))
@@ -112,7 +113,7 @@ def _suggest_by_join(df: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def is_missing_type() -> Column:
-    return F.trim("old_type") == MISSING_TYPE
+    return strip("old_type") == MISSING_TYPE
 
 
 def infer_types(journal: DataFrame, rules: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:

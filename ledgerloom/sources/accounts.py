@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import to_int
+from ..functions.text import strip, to_int
 from ..schemas import EXTRA_ACCOUNT, MAX_YEAR, MIN_YEAR
 
 REQUIRED = ("code", "name", "level", "full_path")
@@ -34,11 +34,11 @@ def standard_accounts(df: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise InvalidAccounts(f"Missing required columns in account hierarchy: {', '.join(missing)}")
-    parent = F.trim("parent_code") if "parent_code" in df.columns else F.lit(None).cast("string")
+    parent = strip("parent_code") if "parent_code" in df.columns else F.lit(None).cast("string")
     # A column `ord` names the file order; otherwise it is taken from the scan.
     order = F.col("ord").cast("bigint") if "ord" in df.columns else F.monotonically_increasing_id()
     return df.select(
-        order.alias("ord"), F.trim(F.col("code").cast("string")).alias("code"),
+        order.alias("ord"), strip(F.col("code").cast("string")).alias("code"),
         F.col("name").cast("string").alias("name"), to_int(F.col("level").cast("string")).alias("level"),
         parent.alias("parent_code"), F.col("full_path").cast("string").alias("full_path"),
     )
@@ -56,14 +56,14 @@ def accounts_from_levels(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     for number, name, i in pairs:
         filled = F.col(number).isNotNull() & F.col(name).isNotNull()
         level = F.when(filled, i).otherwise(level)
-        parts.append(F.when(filled, F.trim(F.col(name).cast("string"))))
+        parts.append(F.when(filled, strip(F.col(name).cast("string"))))
     path = F.concat_ws(" > ", *parts) if parts else F.lit("")
     listed = df.filter(F.col("ledger_id").isNotNull() & F.col("ledger_name").isNotNull()).select(
         F.col(ord_col).cast("bigint").alias("ord"),
-        F.trim(F.col("ledger_id").cast("string")).alias("code"),
-        F.trim(F.col("ledger_name").cast("string")).alias("name"),
+        strip(F.col("ledger_id").cast("string")).alias("code"),
+        strip(F.col("ledger_name").cast("string")).alias("name"),
         level.alias("level"),
-        F.when(path == "", F.trim(F.col("ledger_name").cast("string"))).otherwise(path).alias("full_path"),
+        F.when(path == "", strip(F.col("ledger_name").cast("string"))).otherwise(path).alias("full_path"),
     )
     code, name, extra_level, extra_path = EXTRA_ACCOUNT
     extra = listed.agg(
@@ -93,7 +93,7 @@ def read_type_map(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     """(year, old_type) -> new_type; a later row for the same key wins."""
     rows = df.select(
         F.col(ord_col).alias("ord"), to_int(F.col("year").cast("string")).alias("year"),
-        F.trim("old_type").alias("old_type"), F.trim("new_type").alias("new_type"),
+        strip("old_type").alias("old_type"), strip("new_type").alias("new_type"),
     ).filter(
         F.col("year").between(MIN_YEAR, MAX_YEAR) & (F.col("old_type") != "") & F.col("new_type").isNotNull())
     return rows.groupBy("year", "old_type").agg(F.max_by("new_type", "ord").alias("new_type"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import account_key, parse_money, to_double
+from ..functions.text import account_key, parse_money, strip, to_double
 
 # Words that identify a column of a ledger-style book, in order of preference.
 BOOK_HEADERS = {
@@ -47,7 +47,7 @@ def read_book(df: DataFrame, order: str = "ord", column_map: dict | None = None)
         name = cols[role]
         return F.coalesce(to_double(F.col(f"`{name}`").cast("string")), F.lit(0.0)) if name in df.columns else F.lit(0.0)
 
-    text = F.trim(F.col(f"`{cols['account']}`").cast("string"))
+    text = strip(F.col(f"`{cols['account']}`").cast("string"))
     rows = df.filter(text.isNotNull() & ~F.upper(text).isin("TOTAL", "NAN", "")).select(
         account_key(text).alias("account"), number("cr").alias("cr"), number("dr").alias("dr"),
         number("net").alias("net"), F.col(order).alias("ord"))
@@ -64,7 +64,7 @@ def period_column(columns: list[str], label: str, category: str, order: str | No
 def read_summary(df: DataFrame, label: str, category: str, order: str = "ord") -> DataFrame:
     """(account, net) of a wide summary for one period; a later row for the same category wins."""
     amount = period_column(df.columns, label, category, order)
-    name = F.trim(F.col(f"`{category}`").cast("string"))
+    name = strip(F.col(f"`{category}`").cast("string"))
     return df.filter((name != "") & ~name.isin(*SUMMARY_SKIPPED)).groupBy(name.alias("account")).agg(
         F.max_by(parse_money(F.col(f"`{amount}`").cast("string")), F.col(order)).alias("net"))
 
@@ -72,7 +72,7 @@ def read_summary(df: DataFrame, label: str, category: str, order: str = "ord") -
 def summary_periods(df: DataFrame, category: str, order: str = "ord") -> DataFrame:
     """The wide summary as rows (account, period, net) for all periods at once."""
     periods = [c for c in df.columns if c not in (category, order)]
-    text = df.select(F.col(order), F.trim(F.col(f"`{category}`").cast("string")).alias("account"),
+    text = df.select(F.col(order), strip(F.col(f"`{category}`").cast("string")).alias("account"),
                      *[F.col(f"`{c}`").cast("string").alias(c) for c in periods])
     long = text.unpivot([order, "account"], periods, "period", "amount_text")
     return long.filter((F.col("account") != "") & ~F.col("account").isin(*SUMMARY_SKIPPED)).groupBy(
@@ -86,14 +86,14 @@ def published_by_id(summary: DataFrame, year: int | None = None) -> DataFrame:
 
 def published_by_name(summary: DataFrame, year: int | None = None) -> DataFrame:
     """The same by account name."""
-    return _published(summary, "account_name", F.trim("account_name"), year)
+    return _published(summary, "account_name", strip("account_name"), year)
 
 
 def _published(summary, column, key, year):
     rows = summary.filter(F.col("row_kind") != "TOTAL") if "row_kind" in summary.columns else summary
     if year is not None:
         rows = rows.filter(F.col("year") == year)
-    rows = rows.filter(F.coalesce(F.trim(column) != "", F.lit(False)) & (F.upper(F.trim(column)) != "TOTAL"))
+    rows = rows.filter(F.coalesce(strip(column) != "", F.lit(False)) & (F.upper(strip(column)) != "TOTAL"))
     # Several accounts may share a name: the last account code wins, as in a keyed reading.
     return rows.groupBy("year", key.alias("account")).agg(
         F.max_by(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in
@@ -115,14 +115,14 @@ def read_quarter_labels(df: DataFrame, label: str, order: str = "ord", accumulat
     """
     periods = quarter_periods(df.columns)
     mapping = df.sparkSession.createDataFrame(labels or QUARTER_LABELS, "row_label string, account string, negate boolean")
-    text = df.select(F.col(order).alias("ord"), F.trim(F.col(f"`{label}`").cast("string")).alias("row_label"),
+    text = df.select(F.col(order).alias("ord"), strip(F.col(f"`{label}`").cast("string")).alias("row_label"),
                      *[F.col(f"`{c}`").cast("string").alias(c) for c in periods])
     mapped = text.join(F.broadcast(mapping), "row_label")  # the label map is the fixed list above
     long = mapped.unpivot(["ord", "row_label", "account", "negate"], periods, "period", "cell")
     value = to_double(F.col("cell"))
     values = long.filter(value.isNotNull()).withColumn("v", F.when(F.col("negate"), -value).otherwise(value))
     total = F.sum("v") if accumulate else F.max_by("v", "ord")
-    return values.groupBy("account", F.trim("period").alias("period")).agg(total.alias("net"))
+    return values.groupBy("account", strip("period").alias("period")).agg(total.alias("net"))
 
 
 def quarter_number(period):

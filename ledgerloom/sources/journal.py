@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import READER_DATE_FORMATS, parse_date, to_double, to_int
+from ..functions.text import READER_DATE_FORMATS, parse_date, strip, to_double, to_int
 from ..schemas import (
     DEFAULT_DESCRIPTION, MAX_YEAR, MIN_YEAR, MISSING_TYPE, MONEY, SKIP_DESCRIPTIONS,
 )
@@ -82,7 +82,7 @@ def select_sheets(df: DataFrame, sheet: str = "sheet") -> DataFrame:
 
     `sheet` is expected to be a partition column, so the filter prunes partitions.
     """
-    year_like = F.trim(F.col(sheet)).rlike(YEAR_SHEET)
+    year_like = strip(F.col(sheet)).rlike(YEAR_SHEET)
     return df.filter(year_like) if df.filter(year_like).limit(1).count() else df
 
 
@@ -122,7 +122,7 @@ def parse_journal(
         return cell.cast("string")
 
     def text(field) -> Column:
-        return F.trim(raw(field))
+        return strip(raw(field))
 
     date_type = types[cols["date"]]
     if isinstance(date_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -219,7 +219,7 @@ def row_issues(parsed: DataFrame) -> DataFrame:
 
 def skip_condition() -> Column:
     """Rows without economic substance: zero amounts and internal fund movements."""
-    described = F.trim("description")
+    described = strip("description")
     cond = F.col("amount") == 0
     for mark in SKIP_DESCRIPTIONS:
         cond = cond | described.contains(mark)
@@ -235,7 +235,7 @@ class YearMismatch(ValueError):
 
 
 def year_mismatch(sheet: str = "sheet") -> Column:
-    name = F.trim(F.col(sheet))
+    name = strip(F.col(sheet))
     return name.rlike("^[0-9]{4}$") & (name.try_cast("int") != F.col("year"))
 
 

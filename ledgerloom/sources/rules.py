@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from ..functions.conditions import read
 from ..functions.issues import any_failed, check, emit
 from ..functions.numbering import running_number
-from ..functions.text import to_int, truthy
+from ..functions.text import strip, to_int, truthy
 from ..operators.accounts import map_legacy_codes
 
 REQUIRED = ("rule_id", "condition", "account_code", "priority")
@@ -41,7 +41,7 @@ def _parse(df: DataFrame, ord_col: str) -> DataFrame:
     return df.select(
         F.col(ord_col).cast("bigint").alias("rule_ord"),
         text("rule_id").alias("rule_id"),
-        F.trim(text("condition")).alias("condition"),
+        strip(text("condition")).alias("condition"),
         text("account_code").alias("account_code"),
         text("priority").alias("priority_text"),
         F.when(whole == F.floor(whole), whole.try_cast("int")).alias("priority"),
@@ -71,7 +71,7 @@ def _checks() -> list:
               "Input should be greater than or equal to 1", F.col("priority_text"), row_number=row),
     ]
     for name in ("old_type", "new_type"):
-        out.append(check(F.trim(name) == "", "value_error", name, empty_type, F.col(name), row_number=row))
+        out.append(check(strip(name) == "", "value_error", name, empty_type, F.col(name), row_number=row))
     return out
 
 
@@ -79,7 +79,7 @@ def read_rules(df: DataFrame, ord_col: str = "rule_ord") -> DataFrame:
     """Valid rules of a long rule table, unknown columns dropped; `ord_col` is the 0-based row."""
     return _parse(df, ord_col).filter(~any_failed(_checks())).select(
         "rule_ord", "rule_id", "condition", "account_code", "priority",
-        F.trim("old_type").alias("old_type"), F.trim("new_type").alias("new_type"),
+        strip("old_type").alias("old_type"), strip("new_type").alias("new_type"),
         "description", "generates_multiple", "ledger_type",
     )
 
@@ -108,9 +108,9 @@ def rules_from_pairs(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     year = to_int(F.col("year").cast("string"))
     wide = df.select(
         F.col(ord_col).cast("bigint").alias("ord"), year.alias("year"),
-        F.trim("old_type").alias("old_type"), F.trim("new_type").alias("new_type"),
-        F.trim("cr").alias("cr"), F.trim("dr").alias("dr"),
-        F.when(F.trim("keyword") != "", F.trim("keyword")).alias("keyword"),
+        strip("old_type").alias("old_type"), strip("new_type").alias("new_type"),
+        strip("cr").alias("cr"), strip("dr").alias("dr"),
+        F.when(strip("keyword") != "", strip("keyword")).alias("keyword"),
     ).filter(
         F.col("year").isNotNull() & F.col("old_type").isNotNull()
         & (F.col("cr") != "") & (F.col("dr") != "")
@@ -142,7 +142,7 @@ def rules_from_pairs(df: DataFrame, ord_col: str = "ord") -> DataFrame:
 def _numbered_rules(rows: DataFrame) -> DataFrame:
     """(ord, match_type, cr, dr) to rules with running ids R-001-CR, R-002-DR, ..."""
     sides = rows.select("ord", "match_type", _sides(F.col("cr"), F.col("dr"))).select(
-        "ord", "match_type", "side.pos", "side.ledger_type", F.trim("side.account_code").alias("account_code"),
+        "ord", "match_type", "side.pos", "side.ledger_type", strip("side.account_code").alias("account_code"),
     ).filter((F.col("account_code") != "") & (F.col("account_code") != "nan"))
     numbered = running_number(sides, "ord", "pos")
     return numbered.select(
@@ -163,7 +163,7 @@ def rules_from_wide(df: DataFrame, ord_col: str = "ord") -> DataFrame:
         F.coalesce(F.col("new_type") != "", F.lit(False))
         & (F.coalesce(F.col("new_cr") != "", F.lit(False)) | F.coalesce(F.col("new_dr") != "", F.lit(False)))
     ).select(
-        F.col(ord_col).cast("bigint").alias("ord"), F.trim("new_type").alias("match_type"),
+        F.col(ord_col).cast("bigint").alias("ord"), strip("new_type").alias("match_type"),
         F.coalesce(F.when(F.col("new_cr") != "", F.col("new_cr")), F.col("old_cr")).alias("cr"),
         F.coalesce(F.when(F.col("new_dr") != "", F.col("new_dr")), F.col("old_dr")).alias("dr"),
     )
@@ -175,8 +175,8 @@ def rules_from_old_types(df: DataFrame, accounts: DataFrame | None = None, ord_c
     rows = df.filter(
         F.coalesce(F.col("old_type") != "", F.lit(False))
         & (F.coalesce(F.col("old_cr") != "", F.lit(False)) | F.coalesce(F.col("old_dr") != "", F.lit(False)))
-    ).select(F.col(ord_col).cast("bigint").alias("ord"), F.trim("old_type").alias("match_type"),
-             F.trim("old_cr").alias("cr"), F.trim("old_dr").alias("dr"))
+    ).select(F.col(ord_col).cast("bigint").alias("ord"), strip("old_type").alias("match_type"),
+             strip("old_cr").alias("cr"), strip("old_dr").alias("dr"))
     if accounts is not None:
         used = rows.select(F.explode(F.array("cr", "dr")).alias("old_code"))
         mapped = map_legacy_codes(used, accounts).select("old_code", "code")

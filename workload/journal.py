@@ -14,17 +14,20 @@ from ledgerloom.sources import journal as source
 from .tables import JOURNAL_COLUMNS, duck, query
 
 RAW = "SELECT " + ", ".join(duck(c) for c in JOURNAL_COLUMNS) + " FROM orders"
-# The journal as text: padded ids and types, five date spellings, split amounts, broken cells.
+# The journal as text: cells padded with all kinds of white space, ten date spellings, split amounts, broken cells.
 TEXT_COLUMNS = {
     "row_no": "src_row",
-    "编号": "CASE WHEN src_row % 53 = 0 THEN NULL ELSE concat(' ', entry_id, ' ') END",
-    "摘要": "raw_description",
-    "类型": "CASE WHEN raw_type IS NULL THEN NULL ELSE concat(raw_type, ' ') END",
+    "编号": "CASE WHEN src_row % 53 = 0 THEN NULL WHEN src_row % 3 = 0 THEN concat('\t', entry_id, '\u00a0') ELSE concat(' ', entry_id, '\u3000') END",
+    "摘要": "CASE WHEN src_row % 3 = 1 THEN concat('\u00a0', raw_description, '\n') ELSE raw_description END",
+    "类型": "CASE WHEN raw_type IS NULL THEN NULL WHEN src_row % 3 = 2 THEN concat('\u3000', raw_type, '\t') ELSE concat(raw_type, ' ') END",
     "日期": """CASE WHEN src_row % 67 = 0 THEN NULL WHEN src_row % 71 = 0 THEN 'n/a'
-        WHEN src_row % 5 = 0 THEN CAST(date AS {S}) WHEN src_row % 5 = 1 THEN replace(CAST(date AS {S}), '-', '/')
+        WHEN src_row % 10 = 0 THEN CAST(date AS {S}) WHEN src_row % 10 = 1 THEN replace(CAST(date AS {S}), '-', '/')
+        WHEN src_row % 5 < 2 THEN concat(CAST(year(date) AS {S}), CASE src_row % 5 WHEN 0 THEN '-' ELSE '/' END, CAST(month(date) AS {S}),
+          CASE src_row % 5 WHEN 0 THEN '-' ELSE '/' END, CAST(day(date) AS {S}))
         WHEN src_row % 5 = 2 THEN concat(CAST(month(date) AS {S}), '/', CAST(day(date) AS {S}), '/', CAST(year(date) AS {S}))
         WHEN src_row % 5 = 3 THEN concat(CAST(day(date) AS {S}), '/', CAST(month(date) AS {S}), '/', CAST(year(date) AS {S}))
-        ELSE concat(CAST(date AS {S}), ' 00:00:00') END""",
+        WHEN src_row % 4 = 0 THEN concat(CAST(date AS {S}), ' 00:00:00') WHEN src_row % 4 = 1 THEN concat(CAST(date AS {S}), 'T00:00:00')
+        WHEN src_row % 4 = 2 THEN replace(CAST(date AS {S}), '-', '') ELSE replace(CAST(date AS {S}), '-', '.') END""",
     "收入": """CASE WHEN src_row % 31 = 0 THEN NULL WHEN src_row % 89 = 0 THEN 'abc'
         WHEN amount >= 0 THEN CAST(amount AS {S}) END""",
     "支出": "CASE WHEN src_row % 31 <> 0 AND amount < 0 THEN CAST(-amount AS {S}) END",
