@@ -1,59 +1,26 @@
-"""Exact medians of whole numbers by narrowing histograms, without collecting values."""
+"""Exact medians of whole numbers from counts per value, as one-row tables."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 65_536
-SMALL = 1_000_000
+#: Values of one block; a block is one window, and the blocks' sums are another.
+BLOCK = 1 << 16
 
 
-def _histogram(df: DataFrame, value: Column, low: int, high: int) -> tuple[int, list]:
-    """Row counts of at most BUCKETS equal ranges between low and high."""
-    width = -(-(high - low + 1) // BUCKETS)
-    rows = (
-        df.select(value.alias("v")).filter(F.col("v").between(low, high))
-        .select(F.expr(f"(v - {low}L) div {width}L").alias("b"))
-        .groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    return width, sorted((r["b"], r["n"]) for r in rows)
+def value_counts(df: DataFrame, value: Column) -> DataFrame:
+    """(v, n): how often each whole number occurs; nulls are left out."""
+    return df.select(value.cast("bigint").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_ranks(df: DataFrame, value: Column, low: int, high: int, ranks: list[int]) -> list[int]:
-    """The values at the given 1-based ranks of a whole-number column within [low, high].
-
-    Every pass is one scan whose result is at most BUCKETS counts, and divides the range by
-    BUCKETS: two passes for amounts up to 40 million, four for any 18-digit amount.
-    """
-    seen: dict = {}
-    found = []
-    for rank in ranks:
-        lo, hi, left = low, high, rank
-        while lo < hi:
-            if (lo, hi) not in seen:
-                seen[lo, hi] = _histogram(df, value, lo, hi)
-            width, counts = seen[lo, hi]
-            for bucket, n in counts:
-                if left <= n:
-                    lo, hi = lo + bucket * width, min(hi, lo + (bucket + 1) * width - 1)
-                    break
-                left -= n
-        found.append(lo)
-    return found
-
-
-def value_range(df: DataFrame, value: Column) -> tuple[int, int, int]:
-    """(number of values, least, greatest) of a whole-number column; (0, 0, 0) without values."""
-    r = df.select(value.alias("v")).agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    return r["n"], r["lo"] or 0, r["hi"] or 0
-
-
-def double_median(df: DataFrame, value: Column, n: int, low: int, high: int, small: int = SMALL) -> int:
-    """Twice the exact median of n > 0 whole numbers within [low, high].
-
-    Up to `small` values fit the percentile aggregate of Spark, which holds every distinct value
-    in one task; beyond that the histograms take over.
-    """
-    if n <= small and max(abs(low), abs(high)) < 2 ** 50:
-        return round(2 * df.select(F.percentile(value, F.lit(0.5))).first()[0])
-    return sum(exact_ranks(df, value, low, high, [(n + 1) // 2, n // 2 + 1]))
+def double_median(counts: DataFrame) -> DataFrame:
+    """One row (n, med2): number of values and twice their median (null without values)."""
+    blocked = counts.withColumn("b", F.floor(F.col("v") / F.lit(BLOCK)))
+    sums = blocked.groupBy("b").agg(F.sum("n").alias("s"))
+    before = sums.select("b", F.coalesce(F.sum("s").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+                         F.sum("s").over(W.partitionBy(F.lit(0))).alias("total"))
+    upto = F.sum("n").over(W.partitionBy("b").orderBy("v")) + F.col("before")
+    ranked = blocked.join(before, "b").select("v", "n", "total", upto.alias("upto"))
+    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+    return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (at(lower) + at(upper)).alias("med2"))

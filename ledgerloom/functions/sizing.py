@@ -19,8 +19,9 @@ def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) ->
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """A measured-small table in one partition: its groupings and joins need no shuffle."""
-    return df.coalesce(1)
+    """A measured-small table in one partition: what is grouped or joined after it needs no shuffle, what comes before
+    runs in as many tasks as it has."""
+    return df.repartition(1)
 
 
 def sized(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -61,6 +61,7 @@ def severity_rank(severity: Column) -> Column:
     return out
 
 
-def capped(df: DataFrame, order: list, n: int) -> tuple[DataFrame, int]:
-    """The first n rows and how many more there are (a printed list, not an intermediate result)."""
-    return df.orderBy(*order).limit(n), max(0, df.count() - n)
+def capped(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows of a printed list, each with `n_more`, the number of rows that are not printed."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).limit(n).withColumn("n_more", F.greatest(total - n, F.lit(0)))

@@ -10,7 +10,6 @@ from ..schemas import LARGE_AMOUNT, MAX_YEAR, MIN_YEAR, MONEY
 from .quality_rules import rule_table_issues, valid_rules
 
 REQUIRED = ("year", "description", "old_type", "amount", "date")
-INLINE_MEMBERS = 50
 
 
 def structure_issues(df: DataFrame) -> DataFrame:
@@ -115,24 +114,15 @@ def duplicate_members(entries: DataFrame) -> DataFrame:
         "group_key", "group_size", "src_row", "entry_id", *COMPOSITE)
 
 
-def duplicate_row_issues(entries: DataFrame, inline: int = INLINE_MEMBERS) -> DataFrame:
-    """One issue per row of a duplicate group.
+def duplicate_row_issues(entries: DataFrame) -> DataFrame:
+    """One issue per row of a duplicate group, named by the group's size and key.
 
-    The message lists the other ids for groups of up to `inline` rows. A larger group is named
-    by size and key instead; its ids are the rows of `duplicate_members` with that key.
+    The other rows of the group are those of `duplicate_members` with that key.
     """
-    members = duplicate_members(entries)
-    lists = members.filter(F.col("group_size") <= inline).groupBy("group_key").agg(
-        F.sort_array(F.collect_list(F.struct("src_row", "entry_id"))).alias("all_ids"))
-    rows = members.join(lists, "group_key", "left")
-    others = F.transform(F.filter("all_ids", lambda m: m["entry_id"] != F.col("entry_id")), lambda m: m["entry_id"])
-    listed = F.when(F.size(others) == 0, "[]").otherwise(
-        F.concat(F.lit("['"), F.array_join(others, "', '"), F.lit("']")))
-    named = F.concat((F.col("group_size") - 1).cast("string"), F.lit(" rows of group "), F.col("group_key"))
-    return emit(rows, [check(
+    others = F.concat((F.col("group_size") - 1).cast("string"), F.lit(" rows of group "), F.col("group_key"))
+    return emit(duplicate_members(entries), [check(
         F.lit(True), "duplicate_entry", "composite_key",
-        F.concat(F.lit("Duplicate entry found. Same (year, description, date, amount) as other entries: "),
-                 F.coalesce(listed, named)),
+        F.concat(F.lit("Duplicate entry found. Same (year, description, date, amount) as other entries: "), others),
         F.concat(F.lit("year="), F.col("year").cast("string"), F.lit(", description="), F.col("description"),
                  F.lit(", date="), F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.lit(", amount="),
                  F.col("amount").cast("string")))])

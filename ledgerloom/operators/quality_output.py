@@ -24,22 +24,23 @@ def _money_text(column):
 def missing_and_orphans(journal: DataFrame, ledger: DataFrame) -> DataFrame:
     """Journal ids without ledger lines, and ledger sources without a journal row.
 
-    Both sides are reduced to distinct ids first, so a hot id is combined before the shuffle.
+    Both sides meet in one grouping by id, combined before the shuffle.
     """
-    booked = ledger.select(F.col("source_entry_id").alias("entry_id")).distinct()
-    known = journal.select("entry_id").distinct()
-    missing = emit(known.join(booked, "entry_id", "left_anti"), [check(
-        F.lit(True), "missing_entry", "completeness",
+    both = journal.select("entry_id", F.lit(True).alias("known"), F.lit(False).alias("booked")).unionByName(
+        ledger.select(F.col("source_entry_id").alias("entry_id"), F.lit(False).alias("known"), F.lit(True).alias("booked")))
+    ids = both.groupBy("entry_id").agg(F.max("known").alias("known"), F.max("booked").alias("booked")).filter(~F.col("known") | ~F.col("booked"))
+    missing = check(
+        F.col("known"), "missing_entry", "completeness",
         F.concat(F.lit("Journal entry "), F.col("entry_id"),
                  F.lit(" was not transformed to any ledger entries. "
                        "Entry may have had no matching rules or transformation failed.")),
-        F.col("entry_id"))], "entry_id", F.lit(None))
-    orphans = emit(booked.join(known, "entry_id", "left_anti"), [check(
-        F.lit(True), "orphaned_entry", "completeness",
+        F.col("entry_id"))
+    orphan = check(
+        F.col("booked"), "orphaned_entry", "completeness",
         F.concat(F.lit("Ledger entry references source entry "), F.col("entry_id"),
                  F.lit(" which does not exist in journal entries.")),
-        F.col("entry_id"))], F.lit(None), F.lit(None))
-    return union_all([missing, orphans])
+        F.col("entry_id"))
+    return emit(ids, [missing, orphan], F.when(F.col("known"), F.col("entry_id")), F.lit(None))
 
 
 def accuracy_issues(journal: DataFrame, ledger: DataFrame) -> DataFrame:

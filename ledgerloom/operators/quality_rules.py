@@ -75,11 +75,6 @@ def _keyed(rules: DataFrame) -> DataFrame:
         F.coalesce("ledger_type", F.lit("")).alias("side"))
 
 
-def _lists() -> list[Column]:
-    return [F.sort_array(F.collect_list(F.struct("rule_ord", "rule_id"))).alias("ids"),
-            F.sort_array(F.collect_set("account_code")).alias("codes")]
-
-
 def conflicts(rules: DataFrame, *more: Column) -> DataFrame:
     """Same condition, priority and side but several accounts: counts and extremes per group."""
     return _keyed(rules).groupBy(*CONFLICT_KEYS).agg(
@@ -94,30 +89,16 @@ def conflict_members(rules: DataFrame) -> DataFrame:
         *CONFLICT_KEYS, "rule_ord", "rule_id", "account_code")
 
 
-def conflict_issues(rules: DataFrame, inline: int = 50) -> DataFrame:
-    """One issue per conflict; ids and accounts are listed for up to `inline` rules.
-
-    A larger conflict is named by its size; `conflict_members` holds its rules. Lists are gathered
-    directly in a measured-small rule table, otherwise for the small groups only.
-    """
-    if fits(rules):
-        rows = conflicts(compact(rules), *_lists())
-    else:
-        groups = conflicts(rules)
-        small = groups.filter(F.col("n_rules") <= inline).select(*CONFLICT_KEYS)
-        lists = _keyed(rules).join(small, CONFLICT_KEYS, "left_semi").groupBy(*CONFLICT_KEYS).agg(*_lists())
-        rows = groups.join(lists, CONFLICT_KEYS, "left")
-    listed = (F.col("n_rules") <= inline) & F.col("ids").isNotNull()
-    ids = F.when(listed, F.array_join(F.transform("ids", lambda s: s["rule_id"]), ", ")).otherwise(
-        F.concat(F.col("n_rules").cast("string"), F.lit(" rules")))
-    codes = F.when(listed, F.array_join("codes", ", ")).otherwise(F.concat_ws(" .. ", "lo", "hi"))
+def conflict_issues(rules: DataFrame) -> DataFrame:
+    """One issue per conflict, with its size and the extremes of its accounts; `conflict_members` holds its rules."""
     side = F.when(F.col("side") != "", F.concat(F.lit(" ("), F.col("side"), F.lit(")"))).otherwise(F.lit(""))
-    return emit(rows, [check(
+    size = F.concat(F.col("n_rules").cast("string"), F.lit(" rules"))
+    return emit(conflicts(rules), [check(
         F.lit(True), "rule_conflict", "condition,account_code",
         F.concat(F.lit("Multiple rules with same condition, priority ("), F.col("priority").cast("string"),
-                 F.lit("), and ledger_type"), side, F.lit(" but different account codes: "), codes,
-                 F.lit(". Rule IDs: "), ids),
-        F.col("norm"))], ids, "first_ord")
+                 F.lit("), and ledger_type"), side, F.lit(" but different account codes: "), F.concat_ws(" .. ", "lo", "hi"),
+                 F.lit(". Rule IDs: "), size),
+        F.col("norm"))], size, "first_ord")
 
 
 def duplicate_rule_ids(rules: DataFrame) -> DataFrame:

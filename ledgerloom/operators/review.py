@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.median import double_median, value_range
+from ..functions.median import double_median, value_counts
 from ..schemas import MISSING_TYPE
 from .accounts import lookup
 from .ledger import line, line_numbers
@@ -174,62 +174,56 @@ def _cents(column) -> Column:
     return (F.col(column) * 100).cast("bigint")
 
 
-def amount_bounds(ledger: DataFrame, accuracy: int | None = None) -> tuple | None:
-    """(low, high, median) in cents x 4 as exact whole numbers, or None without spread.
+def amount_bounds(ledger: DataFrame) -> Column:
+    """Struct (low, high, med2) in cents x 4 (x 2 for med2) as exact whole numbers, null without spread.
 
-    `accuracy` switches to the approximate percentile of Spark for a quick look.
+    The lines are counted once per cent value; both medians come from these counts.
     """
-    if accuracy is not None:
-        m = ledger.agg(F.percentile_approx(_cents("amount"), 0.5, accuracy)).first()[0]
-        d = ledger.agg(F.percentile_approx(F.abs(_cents("amount") - m), 0.5, accuracy)).first()[0] if m is not None else None
-        counted, med2, dev4 = ledger.limit(3).count(), 2 * (m or 0), 4 * (d or 0)
-    else:
-        counted, low, high = value_range(ledger, _cents("amount"))
-        if counted < 3:
-            return None
-        med2 = double_median(ledger, _cents("amount"), counted, low, high)
-        furthest = max(2 * high - med2, med2 - 2 * low)
-        dev4 = double_median(ledger, F.abs(_cents("amount") * 2 - F.lit(med2)), counted, 0, furthest)
-    if counted < 3 or dev4 <= 0:
-        return None
-    return 2 * med2 - MAD_FACTOR * dev4, 2 * med2 + MAD_FACTOR * dev4, med2
-
-
-def _outlier(bounds: tuple | None) -> tuple[Column, Column]:
+    counts = value_counts(ledger, _cents("amount"))
+    middle = double_median(counts)
+    away = counts.select(F.abs(2 * F.col("v") - middle.select("med2").scalar()).alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
+    spread = double_median(away).select(F.col("med2").alias("dev4"))
+    row = middle.withColumn("dev4", spread.scalar())
+    far = F.lit(MAD_FACTOR) * F.col("dev4")
+    bounds = F.when((F.col("n") >= 3) & (F.col("dev4") > 0), F.struct(
+        (2 * F.col("med2") - far).alias("low"), (2 * F.col("med2") + far).alias("high"), F.col("med2")))
+    return row.select(bounds).scalar()
+
+
+def _outlier(bounds: Column) -> tuple[Column, Column]:
     """("large", "small" or NULL, reason) of a line."""
-    if bounds is None:
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
-    low, high, med2 = bounds
     four = _cents("amount").cast("decimal(38,0)") * 4
-    size = F.when(four > F.lit(high), "large").when(four < F.lit(low), "small")
+    size = F.when(four > bounds["high"], "large").when(four < bounds["low"], "small")
     return size, F.concat(
         F.lit("Unusually "), size, F.lit(" amount: "), F.format_number("amount", 2),
-        F.lit(" (median: "), F.format_number(F.lit(med2 / 200), 2), F.lit(")"))
+        F.lit(" (median: "), F.format_number(bounds["med2"] / 200, 2), F.lit(")"))
 
 
-def amount_outliers(ledger: DataFrame, accuracy: int | None = None) -> DataFrame:
+def amount_outliers(ledger: DataFrame) -> DataFrame:
     """Lines beyond median -/+ 5 median absolute deviations, with the reason text."""
-    size, reason = _outlier(amount_bounds(ledger, accuracy))
-    return ledger.withColumns({"size": size, "reason": reason}).filter(F.col("size").isNotNull())
+    size, reason = _outlier(F.col("_bounds"))
+    rows = ledger.withColumn("_bounds", amount_bounds(ledger)).withColumns({"size": size, "reason": reason})
+    return rows.filter(F.col("size").isNotNull()).drop("_bounds")
 
 
-def _unusual_amount(bounds: tuple | None) -> tuple:
+def _unusual_amount(bounds: Column) -> tuple:
     size, reason = _outlier(bounds)
     return _flag(size.isNotNull(), "unusual_amount", reason, "warning", _at(6, None, "src_row", "line_no"))
 
 
 def unusual_amount_flags(ledger: DataFrame) -> DataFrame:
-    return _flagged(ledger, [_unusual_amount(amount_bounds(ledger))], "source_entry_id")
+    return _flagged(ledger.withColumn("_bounds", amount_bounds(ledger)), [_unusual_amount(F.col("_bounds"))], "source_entry_id")
 
 
 def review_flags(booked: DataFrame, ledger: DataFrame, issues: DataFrame | None = None,
                  accounts: DataFrame | None = None) -> DataFrame:
     """All flags of a run; `occurrences` counts equal ones. Rows and lines are scanned once each."""
     out = _flagged(booked, [_no_match(), _missing_type(), _multiple_rules()], "entry_id")
-    of_lines = [_unusual_amount(amount_bounds(ledger))]
+    of_lines = [_unusual_amount(F.col("_bounds"))]
     lines = ledger
     if accounts is not None:
         lines, of_lines = lookup(ledger, accounts), [_unknown_account(), *of_lines]
+    lines = lines.withColumn("_bounds", amount_bounds(ledger))
     out = out.unionByName(_flagged(lines, of_lines, "source_entry_id"))
     if issues is not None:
         out = out.unionByName(issue_flags(issues, ledger))
@@ -330,9 +324,11 @@ def dashboard(journal: DataFrame, ledger: DataFrame, flags: DataFrame, issues: D
     extra = {"total_journal_entries": journal.agg(F.count(F.lit(1))).scalar(),
              "total_ledger_entries": ledger.agg(F.count(F.lit(1))).scalar()}
     if issues is not None:
-        extra["errors_detected"] = issues.agg(F.count_if(F.col("kind") == "error")).scalar()
-        extra["warnings_detected"] = issues.agg(F.count_if(F.col("kind") == "warning")).scalar()
-    return row.withColumns(extra)
+        extra["_issues"] = issues.agg(F.struct(F.count_if(F.col("kind") == "error").alias("e"), F.count_if(F.col("kind") == "warning").alias("w"))).scalar()
+    row = row.withColumns(extra)
+    if issues is None:
+        return row
+    return row.withColumns({"errors_detected": F.col("_issues.e"), "warnings_detected": F.col("_issues.w")}).drop("_issues")
 
 
 def flags_by_status(flags: DataFrame) -> DataFrame:

@@ -39,9 +39,8 @@ def statistics(entries: DataFrame, booked_rows: DataFrame, rules: DataFrame, iss
     return booked_rows.agg(*_counts()).withColumns({
         "journal_entries_skipped": entries.agg(F.count_if(journal_source.skip_condition())).scalar(),
         "rules_applied": rules.agg(F.count(F.lit(1))).scalar(),
-        "validation_errors": issues.agg(F.count_if(F.col("kind") == "error")).scalar(),
-        "validation_warnings": issues.agg(F.count_if(F.col("kind") == "warning")).scalar(),
-    })
+        "_issues": issues.agg(F.struct(F.count_if(F.col("kind") == "error").alias("e"), F.count_if(F.col("kind") == "warning").alias("w"))).scalar(),
+    }).withColumns({"validation_errors": F.col("_issues.e"), "validation_warnings": F.col("_issues.w")}).drop("_issues")
 
 
 def sheet_summary(booked_rows: DataFrame) -> DataFrame:

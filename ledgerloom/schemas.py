@@ -63,6 +63,3 @@ REMAP_FLOOR_YEAR = 2020
 LARGE_AMOUNT = 1_000_000_000
 TOLERANCE = "0.01"
 EXTRA_ACCOUNT = ("4250", "收入SCOL", 2, "收入 > 收入SCOL")
-JOURNAL_FIELDS = (
-    "entry_id", "year", "description", "old_type", "amount", "date", "quarter", "notes",
-)

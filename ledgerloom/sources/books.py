@@ -1,5 +1,7 @@
 """Scans of independently kept books and of our own published summaries."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +104,8 @@ def _published(summary, column, key, year):
 
 
 def quarter_periods(columns: list[str]) -> list[str]:
-    """Columns headed like a quarter of 2019 to 2024, e.g. 2020Q1 or 2021Q2-3."""
-    return [c for c in columns if "Q" in c and any(str(y) in c for y in range(2019, 2025))]
+    """Columns headed like a quarter or several of any year, e.g. 2020Q1 or 2021Q2-3."""
+    return [c for c in columns if "Q" in c and re.search(r"(?<![0-9])(19|20)[0-9]{2}(?![0-9])", c)]
 
 
 def read_quarter_labels(df: DataFrame, label: str, order: str = "ord", accumulate: bool = True,

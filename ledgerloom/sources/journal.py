@@ -1,10 +1,12 @@
 """Journal scans: header resolution, sheet selection, row normalisation, year guard."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.staging import settle
 from ..functions.text import READER_DATE_FORMATS, parse_date, strip, to_double, to_int
 from ..schemas import (
     DEFAULT_DESCRIPTION, MAX_YEAR, MIN_YEAR, MISSING_TYPE, MONEY, SKIP_DESCRIPTIONS,
@@ -45,12 +47,22 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
 
 
 def number_rows(scan: DataFrame, name: str = "src_row") -> DataFrame:
-    """A row number for tables without one, to be added directly on the scan.
+    """0-based row numbers for a scan of files: by path, then by place in the file.
 
-    It follows file order, is unique, and comes out the same whenever the same files are read;
-    it has gaps between input splits, so keep a position column in the source if there is one.
+    The number does not depend on how files are split among tasks. Rows of a split are counted where they are read;
+    the place of a split among the others is a small table of splits. A table that is no direct scan of files is
+    numbered once and written to the shared folder, so that every later reading sees the same numbers.
     """
-    return scan.select(F.monotonically_increasing_id().alias(name), "*")
+    try:
+        rows = scan.select(F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"),
+                           F.col("_metadata.file_block_start").alias("_start"), "*")
+        rows.schema  # noqa: B018  resolves the columns
+    except AnalysisException:
+        return settle(scan.select(F.monotonically_increasing_id().alias(name), "*"), "numbered")
+    splits = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return rows.join(splits, ["_file", "_start"]).select((F.col("_before") + F.col("_at") - F.col("_first")).alias(name), *[f"`{c}`" for c in scan.columns])
 
 
 def resolve_headers(columns: list[str], custom: dict[str, list[str]] | None = None) -> dict:
@@ -261,9 +273,9 @@ def year_guard_report(entries: DataFrame, sheet: str = "sheet") -> DataFrame:
 def year_guard(entries: DataFrame, sheet: str = "sheet", strict: bool = True) -> DataFrame:
     """Strict: fail when a year sheet holds foreign rows. Lenient: drop them."""
     if strict:
-        report = year_guard_report(entries, sheet).orderBy("sheet").first()
-        if report is not None:
-            raise YearMismatch(report["message"])
+        first = entries.filter(year_mismatch(sheet)).agg(F.min(sheet).alias("sheet")).first()["sheet"]
+        if first is not None:
+            raise YearMismatch(year_guard_report(entries.filter(F.col(sheet) == first), sheet).first()["message"])
         return entries
     return entries.filter(~F.coalesce(year_mismatch(sheet), F.lit(False)))
 

@@ -119,5 +119,5 @@ def test_categorization_order(make):
 
 
 def test_capped(make):
-    rows, more = ordering.capped(make.ledger(*[(f"J{i}", "A", i, "2024-01-01", "DR") for i in range(7)]), ["src_row"], 5)
-    assert rows.count() == 5 and more == 2
+    rows = ordering.capped(make.ledger(*[(f"J{i}", "A", i, "2024-01-01", "DR") for i in range(7)]), ["src_row"], 5).collect()
+    assert [r.n_more for r in rows] == [2] * 5

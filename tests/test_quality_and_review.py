@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.median import double_median, exact_ranks, value_range
+from ledgerloom.functions.median import double_median, value_counts
 from ledgerloom.functions.numbering import previous_value, running_number
 from ledgerloom.operators import aggregate as agg
 from ledgerloom.operators import fixes
@@ -20,9 +20,8 @@ from ledgerloom.operators import review, typing
 def test_composite_duplicates(make):
     rows = make.journal(("A", "T", 5, "2024-01-01"), ("B", "T", 5, "2024-01-01"), ("B", "T", 5, "2024-01-01"), ("C", "T", 6, "2024-01-01"))
     found = qi.duplicate_row_issues(rows).orderBy("src_row").collect()
-    assert [(r.entry_id, r.message.split(": ")[1]) for r in found] == [("A", "['B', 'B']"), ("B", "['A']"), ("B", "['A']")]
-    large = qi.duplicate_row_issues(rows, inline=2).first()
-    assert "2 rows of group" in large.message and qi.duplicate_members(rows).count() == 3
+    assert [r.entry_id for r in found] == ["A", "B", "B"] and len({r.message for r in found}) == 1
+    assert "2 rows of group" in found[0].message and qi.duplicate_members(rows).count() == 3
 
 
 def test_duplicate_ids(make):
@@ -92,9 +91,8 @@ def test_exact_median(spark, n):
     rng = random.Random(n)
     values = [rng.choice([rng.randrange(100), rng.randrange(10 ** 15)]) for _ in range(n)]
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
-    count, low, high = value_range(df, F.col("v"))
-    assert double_median(df, F.col("v"), count, low, high, small=0) == round(2 * statistics.median(values))
-    assert exact_ranks(df, F.col("v"), low, high, [1, n]) == [min(values), max(values)]
+    assert tuple(double_median(value_counts(df, F.col("v"))).first()) == (n, round(2 * statistics.median(values)))
+    assert tuple(double_median(value_counts(df.filter("v < 0"), F.col("v"))).first()) == (0, None)
 
 
 def test_outliers(make):
@@ -102,7 +100,6 @@ def test_outliers(make):
     ledger = make.ledger(*[(f"J{i}", "A", a, "2024-01-01", "DR") for i, a in enumerate(amounts + [1_000_000])])
     found = review.amount_outliers(ledger).collect()
     assert [r.reason for r in found] == ["Unusually large amount: 1,000,000.00 (median: 830.00)"]
-    assert review.amount_outliers(ledger, accuracy=1000).count() == 1
     same = make.ledger(*[(f"J{i}", "A", 5, "2024-01-01", "DR") for i in range(9)])
     assert review.amount_outliers(same).count() == 0 and review.amount_outliers(same.limit(2)).count() == 0
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import accounts as acc
 from ledgerloom.operators import aggregate as agg
 from ledgerloom.operators import ledger as booking
-from ledgerloom.operators import matching, ordering, profile
+from ledgerloom.operators import audit, matching, ordering, profile
 
 from .tables import query
 
@@ -81,9 +81,20 @@ def unmatched_entries(t):
     return t.unmatched.select("src_row", "entry_id", "old_type", "description", "date", "amount", "year")
 
 
-@query(f"SELECT {LINE} FROM all_lines WHERE source_entry_id = 'A-1-0'", "all_lines")
+def _some_id(t):
+    return t.entries.agg(F.min("entry_id")).first()[0]
+
+
+@query(f"SELECT {LINE} FROM all_lines WHERE source_entry_id = (SELECT min(entry_id) FROM entries)", "all_lines")
 def one_entry(t):
-    return booking.ledger(booking.transform_entry(t.entries, t.rules, t.accounts, "A-1-0"), True)
+    return booking.ledger(booking.transform_entry(t.entries, t.rules, t.accounts, _some_id(t)), True)
+
+
+@query("""SELECT src_row, entry_id, no_match, coalesce(cr_id, '') AS cr_id, coalesce(dr_id, '') AS dr_id FROM records
+  WHERE entry_id = (SELECT min(entry_id) FROM entries)""", "records")
+def one_record(t):
+    return audit.record_of(t.records, _some_id(t)).select(
+        "src_row", "entry_id", "no_match", *[F.coalesce(f"{s}_rule.rule_id", F.lit("")).alias(f"{s}_id") for s in ("cr", "dr")])
 
 
 # Line items as a larger journal: returned items are negative, types follow the ship date.
@@ -291,11 +302,11 @@ def hierarchy_order(t):
         "entry_id", "account_code", "level", "date")
 
 
-@query("SELECT src_row, entry_id, CAST(amount AS DOUBLE) AS amount FROM records WHERE no_match ORDER BY src_row LIMIT 500", "records")
+@query("""SELECT src_row, entry_id, CAST(amount AS DOUBLE) AS amount, greatest(n - 500, 0) AS n_more FROM (
+  SELECT *, count(*) OVER () AS n FROM records WHERE no_match) ORDER BY src_row LIMIT 500""", "records")
 def first_unmatched(t):
     """The printed list of the review sheet shows 500 rows and counts the others."""
-    rows, _ = ordering.capped(t.unmatched.select("src_row", "entry_id", "amount"), ["src_row"], 500)
-    return rows
+    return ordering.capped(t.unmatched.select("src_row", "entry_id", "amount"), ["src_row"], 500)
 
 
 @query("""SELECT account_code, account_name, CASE left(ledger_id, 1) WHEN '4' THEN '收入' ELSE '支出' END AS kind,

@@ -100,14 +100,13 @@ def rule_gate(t):
     return qr.valid_rules(good_rules(t)).select("rule_ord", "rule_id")
 
 
-CONFLICT = """SELECT lower(condition) AS norm, priority, coalesce(ledger_type, '') AS side, count(*) AS n, min(account_code) AS lo, max(account_code) AS hi,
-  string_agg(rule_id, ', ' ORDER BY rule_ord) AS ids, string_agg(DISTINCT account_code, ', ' ORDER BY account_code) AS codes
+CONFLICT = """SELECT lower(condition) AS norm, priority, coalesce(ledger_type, '') AS side, count(*) AS n, min(account_code) AS lo, max(account_code) AS hi
   FROM gate GROUP BY ALL HAVING min(account_code) <> max(account_code)"""
 
 
 @query("""SELECT norm AS actual_value, concat('Multiple rules with same condition, priority (', CAST(priority AS VARCHAR), '), and ledger_type',
-  CASE WHEN side <> '' THEN concat(' (', side, ')') ELSE '' END, ' but different account codes: ', CASE WHEN n <= 50 THEN codes ELSE concat(lo, ' .. ', hi) END,
-  '. Rule IDs: ', CASE WHEN n <= 50 THEN ids ELSE concat(CAST(n AS VARCHAR), ' rules') END) AS message FROM conflict""",
+  CASE WHEN side <> '' THEN concat(' (', side, ')') ELSE '' END, ' but different account codes: ', concat(lo, ' .. ', hi),
+  '. Rule IDs: ', CAST(n AS VARCHAR), ' rules') AS message FROM conflict""",
        sheet=SHEET, good=GOOD, gate=GATE, conflict=CONFLICT)
 def rule_conflicts(t):
     return qr.conflict_issues(qr.valid_rules(good_rules(t))).select("actual_value", "message")
