@@ -102,3 +102,33 @@ def test_money_and_keys(spark):
     df = spark.createDataFrame([("¥1,234.50", "1100.0"), ("-5 元", " A1 "), ("none", "7"), (None, None)], "m string, k string")
     assert [tuple(r) for r in df.select(text.parse_money(F.col("m")), text.account_key(F.col("k"))).collect()] == [
         (1234.5, "1100"), (-5.0, "A1"), (0.0, "7"), (0.0, None)]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, fmt):
+    path = str(tmp_path / f"rows.{fmt}")
+    rows = spark.range(0, 5000, 1, 3).selectExpr("CAST(id AS STRING) AS k", "repeat('x', 40) AS filler")
+    rows.write.format(fmt).option("header", True).option("parquet.block.size", 16384).save(path)
+    seen = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            numbered = source.number_rows(source.read_table(spark, path))
+            seen.append({r.k: r.src_row for r in numbered.select("k", "src_row").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and sorted(seen[0].values()) == list(range(5000))
+
+
+def test_a_derived_table_is_numbered_once(spark):
+    numbered = source.number_rows(spark.createDataFrame([("a",), ("b",), ("c",)], "k string").filter("k <> 'b'"))
+    assert numbered.count() == 2 and numbered.collect() == numbered.collect()
+
+
+@pytest.mark.parametrize("text, day", [
+    ("2024/1/5", "2024-01-05"), ("2024-1-5", "2024-01-05"), ("2024-01-15T10:00:00", "2024-01-15"), ("2024-01-15 10:30", "2024-01-15"), ("2024-01-15 10:00:00.5", "2024-01-15"),
+    ("20240115", "2024-01-15"), ("2024.01.15", "2024-01-15"), ("Jan 5 2024", "2024-01-05"), ("1/5/24", "2024-01-05"), ("15/1/2024", "2024-01-15"),
+    ("　 2024-01-15\t", "2024-01-15"), ("2024-13-01", None), ("n/a", None)])
+def test_dates_that_the_reader_takes(spark, text, day):
+    from ledgerloom.functions.text import parse_date
+    assert spark.range(1).select(F.date_format(parse_date(F.lit(text)), "yyyy-MM-dd")).first()[0] == day

@@ -420,11 +420,12 @@ def account_keys(t):
           WHEN 3 THEN 'AFRICA' ELSE 'nowhere' END) END""").alias("account_code"))
 
 
-CODES = "SELECT * FROM tree WHERE level < 4 OR CAST(substr(code, 2) AS BIGINT) % 50 <> 7"
+CODES = """SELECT * REPLACE (CASE WHEN level = 4 AND CAST(substr(code, 2) AS BIGINT) % 50 = 7 THEN concat('gone-', code) ELSE code END AS code) FROM tree"""
 
 
 def code_tree(t):
-    return tree(t).filter((F.col("level") < 4) | (F.substr("code", F.lit(2)).cast("bigint") % 50 != 7))
+    gone = (F.col("level") == 4) & (F.substr("code", F.lit(2)).try_cast("bigint") % 50 == 7)
+    return tree(t).withColumn("code", F.when(gone, F.concat(F.lit("gone-"), "code")).otherwise(F.col("code")))
 
 
 @query("""SELECT k.src_row, k.account_code, coalesce(c.code, n.code, '') AS ledger_id, coalesce(c.name, n.name, '') AS account_name,

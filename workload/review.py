@@ -169,14 +169,14 @@ def flag_propagation(t):
 HOT = """SELECT concat(CASE WHEN user_id % 3 = 0 THEN 'R-' ELSE 'JE-' END, CAST(user_id AS VARCHAR)) AS id, concat(event_type, ' (Row 0, Field: amount)') AS reason,
   count(*) AS n FROM events GROUP BY ALL"""
 HOT_LINES = """SELECT concat('JE-', CAST(user_id AS VARCHAR)) AS source, concat('LE-', CAST(user_id AS VARCHAR), '-', event_type) AS line_id, count(*) AS n
-  FROM events WHERE event_id % 2 = 0 GROUP BY ALL"""
+  FROM events GROUP BY ALL"""
 
 
 @query("""SELECT coalesce(l.line_id, h.id) AS entry_id, h.reason, CAST(h.n * coalesce(l.n, 1) AS BIGINT) AS occurrences FROM h LEFT JOIN l ON l.source = h.id""",
        h=HOT, l=HOT_LINES)
 def flag_propagation_hot(t):
     """Repeated ids on both sides: counted flags instead of all pairs."""
-    lines = t.read("events").filter("event_id % 2 = 0").select(
+    lines = t.read("events").select(
         F.col("event_id").alias("src_row"), F.lit(1).alias("line_no"),
         F.concat(F.lit("JE-"), F.col("user_id").cast("string")).alias("source_entry_id"),
         F.concat(F.lit("LE-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("entry_id"))

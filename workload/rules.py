@@ -315,8 +315,9 @@ def rule_match_many(t):
 
 # A type map over `orders` (several rows per key) and a journal whose types it knows in part.
 MAP = """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 101 = 0 THEN 1990 ELSE 2016 + o_orderkey % 8 END AS year,
-  CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE concat(' T', CAST(o_custkey % 50 AS {S})) END AS old_type, concat('N', CAST(o_orderkey % 1000 AS {S})) AS new_type
-  FROM {orders} WHERE (o_custkey % 50 + o_orderkey % 8) % 3 = 0"""
+  CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN (o_custkey % 50 + o_orderkey % 8) % 3 = 0 THEN concat(' T', CAST(o_custkey % 50 AS {S}))
+    ELSE concat(' U', CAST(o_custkey % 50 AS {S})) END AS old_type, concat('N', CAST(o_orderkey % 1000 AS {S})) AS new_type
+  FROM {orders}"""
 MAP_SQL = """SELECT year, trim(old_type) AS old_type, max_by(new_type, ord) AS new_type FROM (""" + MAP.replace("{S}", "VARCHAR").replace("{orders}", "orders") + \
     ") WHERE year BETWEEN 2000 AND 2100 AND trim(old_type) <> '' GROUP BY ALL"
 
@@ -459,11 +460,12 @@ CODES = """CASE c_custkey % 5 WHEN 0 THEN concat('c', CAST(c_custkey AS {S})) WH
   LEFT JOIN (SELECT v.value, min(c.code) AS code FROM v JOIN codes c ON length(c.code) = length(v.value) AND hamming(lower(c.code), lower(v.value)) <= 1
     GROUP BY 1 HAVING count(*) = 1) k ON k.value = v.value WHERE u.code IS NOT NULL OR k.code IS NOT NULL""",
        v=f"SELECT DISTINCT {CODES.replace('{S}', 'VARCHAR')} AS value FROM customer",
-       codes="SELECT c_custkey AS ord, concat('C', CAST(c_custkey AS VARCHAR)) AS code FROM customer WHERE c_custkey % 3 = 0")
+       codes="SELECT c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN concat('C', CAST(c_custkey AS VARCHAR)) ELSE concat('far-', CAST(c_custkey AS VARCHAR), '-away') END AS code FROM customer")
 def account_fixes(t):
     customers = t.read("customer")
-    codes = customers.filter("c_custkey % 3 = 0").select(
-        F.col("c_custkey").alias("ord"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code"))
+    number = F.col("c_custkey").cast("string")
+    codes = customers.select(F.col("c_custkey").alias("ord"), F.when(
+        F.col("c_custkey") % 3 == 0, F.concat(F.lit("C"), number)).otherwise(F.concat(F.lit("far-"), number, F.lit("-away"))).alias("code"))
     values = customers.selectExpr(f"{CODES.replace('{S}', 'STRING')} AS value")
     return fixes.account_fixes(values, codes).select("value", "suggested_value", "confidence")
 
