@@ -65,22 +65,22 @@ def _suggestion(best: Column, total: Column) -> Column:
         words.alias("matched_keywords"), _reason(words).alias("reason")))
 
 
-def suggest(df: DataFrame, index: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
-    """Adds `suggestion` (NULL without any keyword): most votes, then the keyword that comes first.
+def suggest(df: DataFrame, index: DataFrame, max_keywords: int = MAX_KEYWORDS, only: Column | None = None) -> DataFrame:
+    """Adds `suggestion` (NULL without any keyword, or where `only` is false): most votes, then the keyword that comes first.
 
     A measured-small keyword index travels to the rows as one value and every row votes alone.
     A larger one is joined to the distinct descriptions, which are named by digest.
     """
     if fits(index, max_keywords):
-        return _suggest_in_row(df, index)
-    return _suggest_by_join(df, index)
+        return _suggest_in_row(df, index, F.lit(True) if only is None else only)
+    return _suggest_by_join(df, index, F.lit(True) if only is None else only)
 
 
 def _hit() -> Column:
     return F.struct("kw_ord", "type_ord", "keyword")
 
 
-def _suggest_in_row(df: DataFrame, index: DataFrame) -> DataFrame:
+def _suggest_in_row(df: DataFrame, index: DataFrame, only: Column) -> DataFrame:
     per_type = index.groupBy("old_type").agg(F.sort_array(F.collect_list(_hit())).alias("keywords"))
     ballot = per_type.agg(F.collect_list(F.struct("old_type", "keywords")))
 
@@ -90,16 +90,16 @@ def _suggest_in_row(df: DataFrame, index: DataFrame) -> DataFrame:
             (-F.size(hits)).alias("by_votes"), F.get(hits, F.lit(0)).alias("first_seen"), t["old_type"].alias("old_type"),
             F.size(hits).cast("bigint").alias("votes"), hits.alias("hits"))
 
-    votes = F.filter(F.transform("_ballot", count), lambda v: v["votes"] > 0)
+    votes = F.when(only, F.filter(F.transform("_ballot", count), lambda v: v["votes"] > 0))
     rows = df.withColumn("_ballot", ballot.scalar()).withColumn("_votes", votes).drop("_ballot")
     total = F.aggregate("_votes", F.lit(0).cast("bigint"), lambda acc, v: acc + v["votes"])
     rows = rows.withColumns({"_best": F.array_min("_votes"), "_total": total}).drop("_votes")
     return rows.withColumn("suggestion", _suggestion(F.col("_best"), F.col("_total"))).drop("_best", "_total")
 
 
-def _suggest_by_join(df: DataFrame, index: DataFrame) -> DataFrame:
-    rows = df.withColumn("_digest", F.sha2("description", 256))
-    texts = rows.groupBy("_digest").agg(F.first("description").alias("description"))
+def _suggest_by_join(df: DataFrame, index: DataFrame, only: Column) -> DataFrame:
+    rows = df.withColumn("_digest", F.when(only, F.sha2("description", 256)))
+    texts = rows.filter("_digest is not null").groupBy("_digest").agg(F.first("description").alias("description"))
     needles = index.select("keyword").distinct()
     pairs = containing_pairs(texts, "_digest", "description", needles, "keyword", max_needles=0)
     votes = pairs.join(index, "keyword").groupBy("_digest", "old_type").agg(
@@ -119,7 +119,7 @@ def is_missing_type() -> Column:
 def infer_types(journal: DataFrame, rules: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
     """Confident suggestions become the type; the others become a hint in the notes.
 
-    Only rows without a type are matched; the others pass untouched.
+    Only rows without a type vote; the others pass untouched, in the same pass.
     """
     index = keyword_index(rules)
     confidence, kind = F.col("suggestion.confidence"), F.col("suggestion.suggested_type")
@@ -128,12 +128,9 @@ def infer_types(journal: DataFrame, rules: DataFrame, max_keywords: int = MAX_KE
         F.lit(") — "), F.col("suggestion.reason"), F.lit("]"))
     noted = F.when(F.coalesce(F.col("notes") == "", F.lit(True)), hint).otherwise(F.concat_ws(" ", hint, "notes"))
 
-    def applied(rows):
-        return rows.select(*[
-            F.when(confidence >= AUTO_CONFIDENCE, kind).otherwise(F.col("old_type")).alias("old_type") if c == "old_type"
-            else F.when(confidence < AUTO_CONFIDENCE, noted).otherwise(F.col("notes")).alias("notes") if c == "notes"
-            else F.col(c)
-            for c in journal.columns])
-
-    typed = applied(suggest(journal.filter(is_missing_type()), index, max_keywords))
-    return journal.filter(~is_missing_type()).unionByName(typed)
+    rows = suggest(journal, index, max_keywords, is_missing_type())
+    return rows.select(*[
+        F.when(confidence >= AUTO_CONFIDENCE, kind).otherwise(F.col("old_type")).alias("old_type") if c == "old_type"
+        else F.when(confidence < AUTO_CONFIDENCE, noted).otherwise(F.col("notes")).alias("notes") if c == "notes"
+        else F.col(c)
+        for c in journal.columns])
