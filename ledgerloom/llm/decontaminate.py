@@ -7,6 +7,7 @@ original text. Items are a stated query set: they go to the executors in blocks
 each.
 """
 
+import uuid
 from collections import defaultdict
 from functools import reduce
 
@@ -56,7 +57,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield part
 
 
-_automata: dict[int, object] = {}
+_automata: dict[tuple, object] = {}
 
 
 def build(items: list[tuple[int, bytes]], width: int):
@@ -75,9 +76,9 @@ def build(items: list[tuple[int, bytes]], width: int):
     return automaton
 
 
-def _kept(items, width: int):
-    """A worker builds the automaton of a block once and keeps the last one."""
-    key = (items.id, width) if hasattr(items, "id") else None
+def _kept(items, width: int, name: str):
+    """A worker builds the automaton of a block once and keeps the last one; `name` tells blocks apart."""
+    key = (name, width)
     if key not in _automata:
         _automata.clear()
         _automata[key] = build(items.value, width)
@@ -116,8 +117,10 @@ def scan(automaton, text: bytes) -> tuple[int, list[int], list[tuple]]:
 
 
 def _scanned(items, width: int):
+    name = uuid.uuid4().hex
+
     def run(batches):
-        automaton = _kept(items, width)
+        automaton = _kept(items, width, name)
         for batch in batches:
             found = [scan(automaton, text.as_py() or b"") for text in batch.column(1)]
             spans = [[dict(zip(("first", "last", "start", "end"), s)) for s in f[2]] for f in found]
