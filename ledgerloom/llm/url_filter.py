@@ -99,14 +99,15 @@ def scored(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
 def cut(scores: DataFrame) -> DataFrame:
     """One row with the score from which a URL is accepted.
 
-    Of all steps the one that separates accepted from rejected URLs best, both kinds weighing the same; of equal ones
-    the nearest to 0. Without URLs of both kinds it is 0.
+    Of the middles between neighbouring scores the one that separates accepted from rejected URLs best, both kinds
+    weighing the same; of equal ones the nearest to 0. Without URLs of both kinds it is 0.
     """
     steps = scores.groupBy(F.floor(F.col("score") / STEP).alias("step"), "yes").agg(F.count("*").alias("n"))
     sides = steps.groupBy("step").agg(F.sum(F.when(F.col("yes"), F.col("n")).otherwise(0)).alias("y"), F.sum(F.when(~F.col("yes"), F.col("n")).otherwise(0)).alias("n"))
     upto, every = W.partitionBy(F.lit(0)).orderBy("step").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("step").over(W.partitionBy(F.lit(0)).orderBy("step")) + 1, F.col("step"))
     rated = sides.select(
-        "step", (F.coalesce(F.sum("n").over(upto), F.lit(0)) / F.sum("n").over(every) - F.coalesce(F.sum("y").over(upto), F.lit(0)) / F.sum("y").over(every)).alias("gain"))
+        ((before + F.col("step")) / 2).alias("step"), (F.coalesce(F.sum("n").over(upto), F.lit(0)) / F.sum("n").over(every) - F.coalesce(F.sum("y").over(upto), F.lit(0)) / F.sum("y").over(every)).alias("gain"))
     return rated.agg(F.coalesce(F.max_by(F.col("step") * STEP, F.struct("gain", -F.abs("step"))), F.lit(0.0)).alias("cut"))
 
 
