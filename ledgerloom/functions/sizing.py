@@ -1,21 +1,38 @@
 """Measured size checks that decide between a broadcast and a shuffled plan."""
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 100_000
 MAX_BYTES = 32 * 1024 * 1024
+#: Seconds for which a measured size holds.
+REMEMBERED = 60.0
+_measured: dict = {}
 
 
 def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """True when the whole table is measured to be at most this many rows and bytes."""
+    """True when the whole table is measured to be at most this many rows and bytes.
+
+    One job; the answer for an equal plan is remembered for a minute, so that operators of one run that take the same
+    table measure it once. It decides between plans of the same result only.
+    """
+    key = (id(df.sparkSession), df.semanticHash(), max_rows, max_bytes)
+    at, known = _measured.get(key, (0.0, False))
+    if at and time.monotonic() - at < REMEMBERED:
+        return known
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     seen = (
         df.limit(max_rows + 1)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b"))
         .first()
     )
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+    known = seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+    if len(_measured) > 1_000:
+        _measured.clear()
+    _measured[key] = (time.monotonic(), known)
+    return known
 
 
 def compact(df: DataFrame) -> DataFrame:
