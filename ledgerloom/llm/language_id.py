@@ -23,7 +23,7 @@ SWITCH = 25.0
 #: A script counts as a language's own from this share of its letters on.
 SCRIPT_SHARE = 0.005
 #: Characters scored at a time with four languages; fewer with more.
-CHARACTERS = 1 << 20
+CHARACTERS = 1 << 19
 
 # First and last code points of blocks by script, as in the Unicode character database.
 SCRIPTS = [
@@ -39,6 +39,9 @@ SCRIPTS = [
 ]
 SCRIPT_NAMES = ["none", "other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 
+#: Texts turned into Python strings at a time.
+ROWS = 512
+
 _tables: list[np.ndarray] = []
 
 
@@ -267,9 +270,10 @@ def _labelled(model, switch: float):
         m = model.value
         most = CHARACTERS * 4 // max(4, len(m.languages))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for some, parts in _lots(range(len(texts)), texts, most):
-                yield labelled(batch.column(0).slice(some[0], len(some)), parts, m)
+            for at in range(0, len(batch), ROWS):
+                texts = [t or "" for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                for some, parts in _lots(range(at, at + len(texts)), texts, most):
+                    yield labelled(batch.column(0).slice(some[0], len(some)), parts, m)
     return run
 
 

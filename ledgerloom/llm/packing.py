@@ -29,14 +29,14 @@ BLOCK = 8192
 ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: Bins filled less than this are packed anew across blocks.
 LOOSE = 0.97
-#: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a task remembers; beyond it starts anew.
+REMEMBERED = 400_000
 #: A comma or full stop before a space, but after another sign, which the tokenizer keeps together with it.
 _SIGNS_MEET = re.compile(r"(?:[^\w \n\t\r]|[_İ])[.,] ")
 #: Composed Latin letters have one lower case each, which is composed again; other texts are left to the tokenizer.
 _SAME_IN_LOWER_CASE = re.compile(r"[\x00-\u012f\u2000-\u20cf]*")
 #: Characters whose unknown words are encoded together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -140,6 +140,7 @@ def _pieces(tokenizer: str, limit: int, end: int):
                     ids, texts, held = [], [], 0
             if ids:
                 yield cut(ids, texts)
+        encoder.known.clear()  # the worker lives on; its memory is for whoever comes next
     return run
 
 
