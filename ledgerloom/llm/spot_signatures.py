@@ -111,10 +111,13 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = stage(base.where("id is not null").groupBy("id").agg(F.max(cut("text")).alias("take")), "sizes")
     order = following(sizes)
     wanted = stage(order.join(sizes, "id").select(F.col("next").alias("source"), F.col("id").alias("target"), "take"), "wanted")
-    signed = base.withColumn("signs", signatures(F.col("text")))
+    # Both sides of the last join read the same rows by id, so texts are signed and shuffled once.
+    signed = base.where("id is not null").withColumn("signs", signatures(F.col("text")))
     sent = signed.join(wanted, F.col("id") == F.col("source")).select("target", F.struct(F.substring("text", F.lit(1), F.col("take")).alias("begin"), F.col("signs").alias("next_signs")).alias("sent"))
     sent = sent.groupBy("target").agg(F.min("sent").alias("sent"))
     rows = signed.join(sent, F.col("id") == F.col("target"), "left")
-    begin = F.coalesce(F.col("sent.begin"), F.lit(""))
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut("text")), F.substring(begin, F.lit(1), cut("text")))
-    return rows.select("id", "text", "signs", edited.alias("edited"), F.col("sent.next_signs").alias("next_signs"))
+    kept = F.substring("text", F.lit(1), F.length("text") - cut("text"))
+    edited = F.concat(kept, F.substring(F.coalesce(F.col("sent.begin"), F.lit("")), F.lit(1), cut("text")))
+    found = rows.select("id", "text", "signs", edited.alias("edited"), F.col("sent.next_signs").alias("next_signs"))
+    alone = base.where("id is null").select("id", "text", signatures(F.col("text")).alias("signs"), kept.alias("edited"), F.lit(None).cast("array<int>").alias("next_signs"))
+    return found.union(alone)
