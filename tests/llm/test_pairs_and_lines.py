@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import pytest
 
+import corpus_pipeline
 from ledgerloom.llm import jaccard_join as J
 from ledgerloom.llm import line_dedup, packing
 
@@ -90,6 +91,19 @@ def test_line_counts_near_the_threshold_are_exact(spark):
     assert {r.doc_id % 1000 for r in found if r.n_removed} == set(range(15, 30))
 
 
+def test_a_passage_needs_fewer_sites_than_a_short_line(spark):
+    passage, short, four = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("p", 20), ("s", 19), ("f", 30)))
+    sites = ["hot"] * 11 + ["s1", "s2", "s3", "s4"]
+    rows = [(i, f"own {i}\n{passage}\n{short}" + ("" if site == "s4" else f"\n{four}"), site) for i, site in enumerate(sites)]
+    rows += [(100 + i, f"filler {i}", "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(60)]
+    table = docs(spark, rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_lines(spark, table, "").collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == rows[i][1].replace(f"\n{passage}", "") for i in range(1, 15))
+    assert all(got[i] == t for i, t, _ in rows[15:])
+    assert sum(r.n_removed for r in line_dedup.remove_boilerplate(table).collect()) == 0
+
+
 def test_line_columns_clash_and_repeat(spark):
     schema = "doc_id long, text string, source string, n_lines int, gone string, id long, row string, a int, site string"
     rows = [(1, "x\ny", f"s{i}", 7, "g", 3, "r", 1, "t") for i in range(6)] + [(None, "x", "s9", 1, "", 1, "", 1, "")]
