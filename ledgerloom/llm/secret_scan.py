@@ -10,6 +10,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Characters that a text's layers may add up to beyond its own size; what would go beyond is counted, not unwrapped.
 MOST_UNWRAPPED = 1 << 24
+#: Bytes that are inflated at a time.
+CHUNK = 1 << 16
 
 # The patterns of secrets and the least length of what must be long enough.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -32,6 +35,13 @@ _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}")
+# Tokens in which bytes may be escaped, and what stands for one byte in them.
+_URL_TOKEN = re.compile(r"[!-~]+")
+_URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
+_HEX_TOKEN = re.compile(r"[ -~]+")
+_HEX_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|.")
+_SHORT = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
+_MAGIC_INSIDE = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]1AY|\xfd7zXZ\x00")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00")
 
 
@@ -57,28 +67,58 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """What compressed data holds; None if it is none, or more than `most` bytes."""
+def _text(data: bytes) -> str:
+    """The bytes as text: UTF-8, else one character a byte, which leaves what the patterns look for as it is."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, most + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, most + 1)
-        else:
-            import zstandard
-            out = zstandard.ZstdDecompressor().decompressobj().decompress(data) if _zstd_size(data) <= most else b""
-    except Exception:  # not compressed after all
-        return None
-    return out if len(out) <= most else b""
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
-def _zstd_size(data: bytes) -> int:
-    import zstandard
-    size = zstandard.frame_content_size(data)
-    return size if size >= 0 else 1 << 62
+def _plain(data: bytes) -> bool:
+    """Whether bytes are text by far the most part. They are scanned in any case; this tells if other readings are tried too."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("ascii", "replace").replace("\ufffd", "\0")
+    return sum(c.isprintable() or c.isspace() for c in text) >= 0.85 * len(text)
+
+
+def _pieces(data: bytes):
+    """Chunks of what compressed data holds, up to where it ends or breaks; returns what follows its end."""
+    if data.startswith(b"\x28\xb5\x2f\xfd"):
+        import zstandard
+        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+        try:
+            while piece := reader.read(CHUNK):
+                yield piece
+        except zstandard.ZstdError:
+            pass
+        return b""
+    while data.startswith(_MAGIC):  # members of a file follow each other
+        if data.startswith(b"BZh"):
+            d = bz2.BZ2Decompressor()
+        elif data.startswith(b"\xfd7zXZ\x00"):
+            d = lzma.LZMADecompressor()
+        elif data.startswith((b"\x1f\x8b", b"\x78")):
+            d = zlib.decompressobj(47)
+        else:
+            break
+        try:
+            piece = d.decompress(data, CHUNK)
+            while True:
+                if piece:
+                    yield piece
+                tail = getattr(d, "unconsumed_tail", b"")
+                if d.eof or not tail and len(piece) < CHUNK:
+                    break
+                piece = d.decompress(tail, CHUNK)
+        except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+            return b""
+        if not d.eof:
+            return b""
+        data = d.unused_data
+    return data
 
 
 class _Layers:
@@ -101,21 +141,33 @@ class _Layers:
         self.left -= len(text)
         self.work.append((text, starts, ends))
 
-    def add_whole(self, data: bytes, start: int, end: int) -> bool:
-        """Data that stands for one place as a whole: compressed, else text."""
-        if data.startswith(_MAGIC):
-            inside = _inflated(data, self.left)
-            if inside == b"":
+    def add_whole(self, data: bytes, start: int, end) -> int:
+        """Compressed data that stands for one place as a whole, up to `end` of its size: how many bytes it has, 0 if none."""
+        size = 0
+        while data.startswith(_MAGIC):
+            inside, rest = self._inflated(data)
+            if inside is None:
+                break
+            size = size or len(data) - len(rest)
+            data = inside
+        if size and data:
+            text = _text(data)
+            self.add(text, [start] * len(text), [end(size)] * len(text))
+        return size
+
+    def _inflated(self, data: bytes) -> tuple[bytes | None, bytes]:
+        """What compressed data holds and what follows it; None if it is none, nothing if it is too large."""
+        pieces, out, size = _pieces(data), [], 0
+        while True:
+            try:
+                piece = next(pieces)
+            except StopIteration as stop:
+                return (b"".join(out) if out else None), stop.value
+            out.append(piece)
+            size += len(piece)
+            if size > self.left:
                 self.skipped += 1
-            if inside:
-                data = inside
-                text = _readable(data)
-                if text is None and data.startswith(_MAGIC):
-                    return self.add_whole(data, start, end)
-                if text is not None:
-                    self.add(text, [start] * len(text), [end] * len(text))
-                return True
-        return False
+                return b"", b""
 
 
 def _utf16(units: list[int]) -> str:
@@ -157,7 +209,7 @@ def _replaced(layers: _Layers, line: str, base: int, starts, ends, pattern: re.P
             s.append(first(i))
             e.append(last(i))
         out.append(line[at:m.start()])
-        text, places = decode(layers, m.group(), first(m.start()), last(m.end() - 1))
+        text, places = decode(m.group())
         out.append(text)
         for a, b in places:
             s.append(first(m.start() + a))
@@ -171,9 +223,8 @@ def _replaced(layers: _Layers, line: str, base: int, starts, ends, pattern: re.P
         layers.add("".join(out), s, e)
 
 
-def _percent(layers: _Layers, piece: str, start: int, end: int) -> tuple[str, list[tuple[int, int]]]:
+def _percent(piece: str) -> tuple[str, list[tuple[int, int]]]:
     data = bytes.fromhex(piece.replace("%", ""))
-    layers.add_whole(data, start, end)
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -186,7 +237,33 @@ def _percent(layers: _Layers, piece: str, start: int, end: int) -> tuple[str, li
     return text, places
 
 
-def _references(layers: _Layers, piece: str, start: int, end: int) -> tuple[str, list[tuple[int, int]]]:
+def _byte(piece: str) -> int:
+    """The byte that a character or an escape stands for."""
+    if len(piece) == 1:
+        return ord(piece)
+    return int(piece[-2:], 16) if piece[1:2] == "x" or piece[0] == "%" else _SHORT[piece[1]]
+
+
+def _rebuilt(layers: "_Layers", line: str, base: int, starts, ends, tokens: re.Pattern, piece: re.Pattern) -> None:
+    """Compressed data in bytes that are partly escaped and partly stand as they are."""
+    sign = "%" if tokens is _URL_TOKEN else "\\x"
+    for token in tokens.finditer(line):
+        if sign not in token.group():
+            continue
+        places = [m.start() for m in piece.finditer(line, token.start(), token.end())] + [token.end()]
+        plain = bytes(_byte(line[a:b]) for a, b in zip(places, places[1:]))
+        spaced = bytes(32 if line[a] == "+" else c for a, c in zip(places, plain)) if sign == "%" else plain
+        for data in {plain, spaced}:  # a form writes a space as +
+            at = 0
+            while m := _MAGIC_INSIDE.search(data, at):
+                first = base + places[m.start()]
+                last = lambda size: base + places[m.start() + size] - 1  # noqa: B023, E731
+                size = layers.add_whole(data[m.start():], first if starts is None else starts[first],
+                                        lambda n: last(n) + 1 if ends is None else ends[last(n)])  # noqa: B023
+                at = m.start() + max(size, 1)
+
+
+def _references(piece: str) -> tuple[str, list[tuple[int, int]]]:
     text = _unescaped(piece)
     width = len(piece) // len(text) if text and len(piece) % len(text) == 0 else 0
     if width and len(text) > 1:
@@ -205,26 +282,26 @@ def _decoded64(run: str) -> bytes | None:
 
 
 def _unwrap64(layers: _Layers, run: str, places: list[int], starts, ends) -> bool:
-    """Text or compressed data in a base64 run whose characters stand at `places` of the layer."""
+    """A layer of a base64 run whose characters stand at `places` of the layer; whether it is text or compressed data by all signs."""
     data = _decoded64(run)
     if data is None:
         return False
     first = (lambda i: places[i]) if starts is None else (lambda i: starts[places[i]])
     last = (lambda i: places[i] + 1) if ends is None else (lambda i: ends[places[i]])
-    if layers.add_whole(data, first(0), last(len(run) - 1)):
+    if layers.add_whole(data, first(0), lambda _: last(len(run) - 1)):
         return True
-    text = _readable(data)
-    if text is None:
-        return False
+    text = _text(data)
+    wide = len(text) < len(data)
     s, e, at = [], [], 0
     body = len(run.rstrip("="))
     for c in text:
-        width = len(c.encode("utf-8"))
+        width = len(c.encode("utf-8")) if wide else 1
         s.append(first(at * 4 // 3))
         e.append(last(min(body - 1, (at + width) * 4 // 3 if (at + width) % 3 else (at + width) * 4 // 3 - 1)))
         at += width
-    layers.add(text, s, e)
-    return True
+    if text:
+        layers.add(text, s, e)
+    return _plain(data)
 
 
 def scan(text: str) -> tuple[list[tuple], list[tuple], int]:
@@ -239,9 +316,12 @@ def scan(text: str) -> tuple[list[tuple], list[tuple], int]:
         if "%" in layer:
             for at, line in _lines_with(layer, _ESCAPED):
                 _replaced(layers, line, at, starts, ends, _ESCAPED, _percent)
+                _rebuilt(layers, line, at, starts, ends, _URL_TOKEN, _URL_BYTE)
         if "\\" in layer or "&#" in layer:
             for at, line in _lines_with(layer, _UNICODE):
                 _replaced(layers, line, at, starts, ends, _UNICODE, _references)
+                if "\\x" in line:
+                    _rebuilt(layers, line, at, starts, ends, _HEX_TOKEN, _HEX_BYTE)
         wrapped = []
         for m in _WRAPPED.finditer(layer) if "\n" in layer else ():
             places = [i for i in range(m.start(), m.end()) if not layer[i].isspace()]

@@ -1,8 +1,10 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import random
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -125,6 +127,25 @@ def test_cycles_and_bombs_end():
     assert secret_scan.scan("%25" * 50)[1] == []
 
 
+def quoted_bytes(data):
+    return "".join(chr(b) if 33 <= b < 127 and chr(b) not in "\\'\"" else f"\\x{b:02x}" for b in data)
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
+    lambda s: urllib.parse.quote(gzip.compress(s.encode())), lambda s: urllib.parse.quote_plus(zlib.compress(s.encode())),
+    lambda s: "b'" + quoted_bytes(bz2.compress(s.encode())) + "'", lambda s: "b'" + quoted_bytes(zlib.compress(s.encode())) + "'",
+    lambda s: base64.b64encode(s.encode("latin-1", "replace") + b"\xff\xfe").decode(), lambda s: base64.b64encode(gzip.compress(b"\xe9" + s.encode())).decode(),
+    lambda s: base64.b64encode(gzip.compress(b"x" * 30) + gzip.compress(s.encode())).decode()])
+@pytest.mark.parametrize("sign", ["\u00a0", "\u202f", "\u3000", "\u200b", "\ufeff", "\f", "\0", ""])
+def test_layers_that_are_not_all_readable(wrap, sign):
+    inner = wrap(f"{sign}Seite{sign} {SECRET} {sign}\n")
+    text = f"Anfang data={inner} Ende"
+    _, spans, skipped = secret_scan.scan(text)
+    assert not skipped and {0, 2} <= {k for _, k, _ in spans}
+    assert all(text.index(inner) <= s < e <= text.index(inner) + len(inner) for s, _, e in spans)
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 P = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
