@@ -9,17 +9,18 @@ same place is not taken up twice, so cycles end. Finds are mapped to places in t
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
-import io
 import lzma
 import re
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that a text's layers may add up to beyond its own size; what would go beyond is counted, not unwrapped.
+#: Bytes that a compressed layer is held whole up to; a larger one is counted, and unwrapped and scanned piece by piece.
 MOST_UNWRAPPED = 1 << 24
 #: Bytes that are inflated at a time.
 CHUNK = 1 << 16
@@ -40,6 +41,9 @@ _URL_TOKEN = re.compile(r"[!-~]+")
 _URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
 _HEX_TOKEN = re.compile(r"[ -~]+")
 _HEX_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|.")
+_HEX = re.compile(r"\\x[0-9A-Fa-f]{2}")
+_SPACES = re.compile(r" *")
+_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 _SHORT = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
 _MAGIC_INSIDE = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]1AY|\xfd7zXZ\x00")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00")
@@ -84,91 +88,153 @@ def _plain(data: bytes) -> bool:
     return sum(c.isprintable() or c.isspace() for c in text) >= 0.85 * len(text)
 
 
-def _pieces(data: bytes):
-    """Chunks of what compressed data holds, up to where it ends or breaks; returns what follows its end."""
-    if data.startswith(b"\x28\xb5\x2f\xfd"):
-        import zstandard
-        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
-        try:
-            while piece := reader.read(CHUNK):
-                yield piece
-        except zstandard.ZstdError:
-            pass
-        return b""
-    while data.startswith(_MAGIC):  # members of a file follow each other
-        if data.startswith(b"BZh"):
-            d = bz2.BZ2Decompressor()
-        elif data.startswith(b"\xfd7zXZ\x00"):
-            d = lzma.LZMADecompressor()
-        elif data.startswith((b"\x1f\x8b", b"\x78")):
-            d = zlib.decompressobj(47)
-        else:
-            break
+class _Source:
+    """Bytes to read from chunks; `taken` counts them."""
+
+    def __init__(self, chunks):
+        self.chunks, self.head, self.taken = iter(chunks), b"", 0
+
+    def read(self, n: int = CHUNK) -> bytes:
+        self.head = self.head or next(self.chunks, b"")
+        out, self.head = self.head[:n], self.head[n:]
+        self.taken += len(out)
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.head = data + self.head
+        self.taken -= len(data)
+
+    def compressed(self) -> bool:
+        while len(self.head) < 6 and (more := next(self.chunks, b"")):
+            self.head += more
+        return self.head.startswith(_MAGIC)
+
+
+def _pieces(source: _Source):
+    """Chunks of what compressed data holds, up to where it ends or breaks."""
+    while source.compressed():  # members of a file follow each other
+        head = source.head
+        if head.startswith(b"\x28\xb5\x2f\xfd"):
+            import zstandard
+            reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+            try:
+                while piece := reader.read(CHUNK):
+                    yield piece
+            except zstandard.ZstdError:
+                pass
+            return
+        d = bz2.BZ2Decompressor() if head.startswith(b"BZh") else lzma.LZMADecompressor() if head.startswith(b"\xfd") else zlib.decompressobj(47)
+        tail, full = b"", False
         try:
-            piece = d.decompress(data, CHUNK)
-            while True:
+            while not d.eof:
+                hungry = d.needs_input if hasattr(d, "needs_input") else not tail and not full
+                data = source.read() if hungry else tail
+                if hungry and not data:
+                    return
+                piece = d.decompress(data, CHUNK)
+                tail, full = getattr(d, "unconsumed_tail", b""), len(piece) == CHUNK
                 if piece:
                     yield piece
-                tail = getattr(d, "unconsumed_tail", b"")
-                if d.eof or not tail and len(piece) < CHUNK:
-                    break
-                piece = d.decompress(tail, CHUNK)
         except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-            return b""
-        if not d.eof:
-            return b""
-        data = d.unused_data
-    return data
+            return
+        source.back(d.unused_data)
+
+
+def _opened(data: bytes, depth: int) -> _Source:
+    """What is left when `depth` compressions are taken off."""
+    source = _Source(data[i:i + CHUNK] for i in range(0, len(data), CHUNK))
+    for _ in range(depth):
+        source = _Source(_pieces(source))
+    return source
+
+
+def _cut(text: str) -> int:
+    """The place behind the last line that no secret and no encoded run goes beyond, 0 if there is none."""
+    at = len(text)
+    while (at := text.rfind("\n", 0, at)) >= 0:
+        if _NOT_BASE64.search(text[max(0, at - 41):at].rstrip("\r")[-40:]):
+            return at + 1
+    return 0
+
+
+def _parts(data: bytes, start: int, end: int):
+    """Layers of whole lines of what compressed data holds, which are never held together."""
+    depth, heads = 1, set()
+    while (source := _opened(data, depth)).compressed() and source.head not in heads and _opened(data, depth + 1).read():
+        heads.add(source.head)
+        depth += 1
+    source, decoder, kept = _opened(data, depth), codecs.getincrementaldecoder("utf-8")("replace"), []
+    while piece := source.read():
+        text = decoder.decode(piece)
+        at = _cut(text)
+        kept.append(text[:at] if at else text)
+        if at:
+            yield "".join(kept), _Same(start), _Same(end)
+            kept = [text[at:]]
+    yield "".join(kept) + decoder.decode(b"", True), _Same(start), _Same(end)
+
+
+class _Same:
+    """The one place of all characters of a layer."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, _) -> int:
+        return self.place
 
 
 class _Layers:
-    """The worklist of one text."""
+    """The worklist of one text: layers, and generators of layers."""
 
     def __init__(self, text: str):
-        self.work: list[tuple[str, list[int] | None, list[int] | None]] = [(text, None, None)]
+        self.work: list = [(text, None, None)]
         self.seen: set[bytes] = set()
-        self.left = MOST_UNWRAPPED + len(text)
-        self.skipped = 0
-
-    def add(self, text: str, starts: list[int], ends: list[int]) -> None:
+        self.large = 0
+
+    def next(self):
+        """The next layer, None at the end of a generator."""
+        layer = self.work.pop()
+        if isinstance(layer, tuple):
+            return layer
+        found = next(layer, None)
+        if found is not None:
+            self.work.append(layer)
+        return found
+
+    def add(self, text: str, starts, ends) -> None:
         key = hashlib.sha1(f"{starts[0]}:{ends[-1]}:{text}".encode("utf-8", "surrogatepass")).digest()
-        if key in self.seen:
-            return
-        self.seen.add(key)
-        if len(text) > self.left:
-            self.skipped += 1
-            return
-        self.left -= len(text)
-        self.work.append((text, starts, ends))
+        if key not in self.seen:
+            self.seen.add(key)
+            self.work.append((text, starts, ends))
 
     def add_whole(self, data: bytes, start: int, end) -> int:
         """Compressed data that stands for one place as a whole, up to `end` of its size: how many bytes it has, 0 if none."""
-        size = 0
-        while data.startswith(_MAGIC):
-            inside, rest = self._inflated(data)
-            if inside is None:
+        size, known = 0, set()
+        while data.startswith(_MAGIC) and (key := hashlib.sha1(data).digest()) not in known:
+            known.add(key)
+            source, out, total = _opened(data, 0), [], 0
+            for piece in _pieces(source):
+                total += len(piece)
+                if total <= MOST_UNWRAPPED:
+                    out.append(piece)
+                else:
+                    out.clear()
+            if not total:
                 break
-            size = size or len(data) - len(rest)
-            data = inside
+            size = size or source.taken
+            if total > MOST_UNWRAPPED:
+                key = hashlib.sha1(b"%d:%d:%s" % (start, end(size), key)).digest()
+                if key not in self.seen:
+                    self.seen.add(key)
+                    self.large += 1
+                    self.work.append(_parts(data, start, end(size)))
+                return size
+            data = b"".join(out)
         if size and data:
-            text = _text(data)
-            self.add(text, [start] * len(text), [end(size)] * len(text))
+            self.add(_text(data), _Same(start), _Same(end(size)))
         return size
 
-    def _inflated(self, data: bytes) -> tuple[bytes | None, bytes]:
-        """What compressed data holds and what follows it; None if it is none, nothing if it is too large."""
-        pieces, out, size = _pieces(data), [], 0
-        while True:
-            try:
-                piece = next(pieces)
-            except StopIteration as stop:
-                return (b"".join(out) if out else None), stop.value
-            out.append(piece)
-            size += len(piece)
-            if size > self.left:
-                self.skipped += 1
-                return b"", b""
-
 
 def _utf16(units: list[int]) -> str:
     return b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "replace")
@@ -199,9 +265,51 @@ def _lines_with(text: str, pattern: re.Pattern):
         at = end
 
 
+def _ahead(text: str, at: int, stop: int) -> tuple[int, int]:
+    """The end of the word at a place, and of the second word after it."""
+    ends = []
+    for _ in range(3):
+        found = text.find(" ", at, stop)
+        ends.append(stop if found < 0 else found)
+        if found < 0:
+            break
+        at = _SPACES.match(text, found).end()
+    return ends[0], ends[-1]
+
+
+def _back(text: str, at: int, stop: int) -> int:
+    """The start of the second word before the word at a place."""
+    for left in (2, 1, 0):
+        at = text.rfind(" ", stop, at) + 1 or stop
+        while left and at > stop and text[at - 1] == " ":
+            at -= 1
+    return at
+
+
+def _stretches(text: str, pattern: re.Pattern):
+    """(start, piece) of what surrounds the pattern within a line, as far as a secret can reach: two words and spaces either way."""
+    before, line_end = 0, -1
+    m = pattern.search(text)
+    while m:
+        start = _back(text, m.start(), max(text.rfind("\n", before, m.start()) + 1, before))
+        if line_end < m.end():
+            line_end = text.find("\n", m.end())
+            line_end = len(text) if line_end < 0 else line_end
+        word, end = _ahead(text, m.end(), line_end)
+        before = m.end()
+        while (m := pattern.search(text, before)) and m.start() < end:
+            before = m.end()
+            if before > word:
+                word, end = _ahead(text, before, line_end)
+        yield start, text[start:end]
+
+
 def _replaced(layers: _Layers, line: str, base: int, starts, ends, pattern: re.Pattern, decode) -> None:
     """A layer of the line with every match decoded; `decode` gives (text, width of each character in the match)."""
-    out, s, e, at = [], [], [], 0
+    if isinstance(starts, _Same):
+        layers.add(pattern.sub(lambda m: decode(m.group())[0], line), starts, ends)
+        return
+    out, s, e, at = [], array("q"), array("q"), 0
     first = (lambda i: base + i) if starts is None else (lambda i: starts[base + i])
     last = (lambda i: base + i + 1) if ends is None else (lambda i: ends[base + i])
     for m in pattern.finditer(line):
@@ -288,11 +396,16 @@ def _unwrap64(layers: _Layers, run: str, places: list[int], starts, ends) -> boo
         return False
     first = (lambda i: places[i]) if starts is None else (lambda i: starts[places[i]])
     last = (lambda i: places[i] + 1) if ends is None else (lambda i: ends[places[i]])
-    if layers.add_whole(data, first(0), lambda _: last(len(run) - 1)):
+    if size := layers.add_whole(data, first(0), lambda _: last(len(run) - 1)):
+        if size < len(data):
+            layers.add(_text(data[size:]), _Same(first(0)), _Same(last(len(run) - 1)))
         return True
     text = _text(data)
+    if text and isinstance(starts, _Same):
+        layers.add(text, starts, ends)
+        return _plain(data)
     wide = len(text) < len(data)
-    s, e, at = [], [], 0
+    s, e, at = array("q"), array("q"), 0
     body = len(run.rstrip("="))
     for c in text:
         width = len(c.encode("utf-8")) if wide else 1
@@ -305,23 +418,27 @@ def _unwrap64(layers: _Layers, run: str, places: list[int], starts, ends) -> boo
 
 
 def scan(text: str) -> tuple[list[tuple], list[tuple], int]:
-    """Base spans, all spans as (start, kind, end), and the number of layers that were too large to unwrap."""
+    """Base spans, all spans as (start, kind, end), and the number of layers that were too large to be held whole."""
     base = base_spans(text)
     spans, layers, top = set(base), _Layers(text), True
     while layers.work:
-        layer, starts, ends = layers.work.pop()
+        found = layers.next()
+        if found is None:
+            continue
+        layer, starts, ends = found
         if not top:
             spans.update((starts[s], k, ends[e - 1]) for s, k, e in base_spans(layer))
         top = False
         if "%" in layer:
-            for at, line in _lines_with(layer, _ESCAPED):
-                _replaced(layers, line, at, starts, ends, _ESCAPED, _percent)
-                _rebuilt(layers, line, at, starts, ends, _URL_TOKEN, _URL_BYTE)
+            for at, piece in _stretches(layer, _ESCAPED):
+                _replaced(layers, piece, at, starts, ends, _ESCAPED, _percent)
+                _rebuilt(layers, piece, at, starts, ends, _URL_TOKEN, _URL_BYTE)
         if "\\" in layer or "&#" in layer:
-            for at, line in _lines_with(layer, _UNICODE):
-                _replaced(layers, line, at, starts, ends, _UNICODE, _references)
-                if "\\x" in line:
-                    _rebuilt(layers, line, at, starts, ends, _HEX_TOKEN, _HEX_BYTE)
+            for at, piece in _stretches(layer, _UNICODE):
+                _replaced(layers, piece, at, starts, ends, _UNICODE, _references)
+        if "\\x" in layer:
+            for at, line in _lines_with(layer, _HEX):
+                _rebuilt(layers, line, at, starts, ends, _HEX_TOKEN, _HEX_BYTE)
         wrapped = []
         for m in _WRAPPED.finditer(layer) if "\n" in layer else ():
             places = [i for i in range(m.start(), m.end()) if not layer[i].isspace()]
@@ -335,7 +452,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple], int]:
                 for part in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", run) if re.search(r"[/_+-]", run) else ():
                     at = m.start() + part.start()
                     _unwrap64(layers, part.group(), range(at, at + len(part.group())), starts, ends)
-    return base, sorted(spans), layers.skipped
+    return base, sorted(spans), layers.large
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"

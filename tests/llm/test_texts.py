@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -146,6 +147,28 @@ def test_layers_that_are_not_all_readable(wrap, sign):
     assert all(text.index(inner) <= s < e <= text.index(inner) + len(inner) for s, _, e in spans)
 
 
+def test_large_layers_are_scanned_to_their_end(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_UNWRAPPED", 1 << 16)
+    lines = b"".join(b"line %d of many, that says nothing\n" % i for i in range(20_000))
+    wrapped = base64.encodebytes(lines[:200_000] + SECRET.encode())
+    for compress in (gzip.compress, bz2.compress, lzma.compress, lambda b: gzip.compress(bz2.compress(b))):
+        for inside in (SECRET.encode() + b"\n" + lines, lines + SECRET.encode(), lines[:65_500] + SECRET.encode() + lines[65_500:], lines + wrapped):
+            text = f"data={base64.b64encode(compress(inside)).decode()} Ende"
+            assert {(s, k, e) for s, k, e in secret_scan.scan(text)[1] if k != 1} >= {(5, 0, len(text) - 5), (5, 2, len(text) - 5)}
+
+
+def test_a_long_line_keeps_all_its_layers(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_UNWRAPPED", 1 << 10)
+    plain, other = SECRET, SECRET.replace("token", "secret")
+    twice = urllib.parse.quote("".join(f"\\u{ord(c):04x}" for c in other))
+    once = "password %3D " + urllib.parse.quote('"abcdefg"')
+    text = " ".join(["word"] * 20_000 + [urllib.parse.quote(plain), twice, "&#100;", once] + ["word"] * 20_000)
+    spans = secret_scan.scan(text)[1]
+    for part in (urllib.parse.quote(plain), twice, once):
+        at = text.index(part)
+        assert any(k == 0 and at <= s < e <= at + len(part) for s, k, e in spans)
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 P = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
