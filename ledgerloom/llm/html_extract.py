@@ -207,16 +207,29 @@ def _inner(node: Node) -> set[str]:
     return {c.tag for c in node.children if not isinstance(c, str)}
 
 
+def _highest(node: Node) -> float:
+    """The best score in a node or below it."""
+    found, stack = 0.0, [node]
+    while stack:
+        c = stack.pop()
+        found = max(found, c.score)
+        stack.extend(d for d in c.children if not isinstance(d, str))
+    return found
+
+
 def _chosen(best: Node) -> list:
     """The best container and those siblings that score well or read like text, in page order."""
     while best.parent is not None and best.tag in PARAGRAPH | {"b", "i", "em", "strong", "span", "ul", "ol", "dl", "table", "tbody", "tr"}:
         best = best.parent
-    above = best
+    score, above = best.score, best
     while above is not None and above.tag not in ("article", "main"):
         above = above.parent
     if above is not None and above.length and best.length < above.length:
         best = above
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
+    if best.tag in ("article", "main"):  # what only wraps it has its siblings
+        while best.parent is not None and best.parent.tag not in ("body", "html") and best.parent.length == best.length:
+            best = best.parent
+    if best.parent is None or best.tag in ("body", "html"):
         return [best]
     out = []
     for c in best.parent.children:
@@ -224,7 +237,8 @@ def _chosen(best: Node) -> list:
             out.append(c)
         elif isinstance(c, Node):
             reads = c.tag in PARAGRAPH and (c.length > 80 and _density(c) < 0.25 or 0 < c.length <= 80 and c.linked == 0)
-            if reads or c.score >= max(10, SIBLING_SHARE * best.score) and _density(c) < 0.5:
+            points = _highest(c) if c.tag in ("article", "section", "main") else c.score
+            if reads or points >= max(10, SIBLING_SHARE * score) and _density(c) < 0.5:
                 out.append(c)
     return out
 

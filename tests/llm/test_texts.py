@@ -185,6 +185,16 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    (f"<main><article>{f'<p>{P}' * 5}</article><article>{f'<p>{P}' * 2}</article></main>", " ".join([P] * 7)),
+    (f"<main><h1>Title</h1><article>{f'<p>{P}' * 5}</article><p>{P}</p></main>", " ".join(["Title"] + [P] * 6)),
+    (f"<main><h1>Title</h1><div><article><p>{P}<p>{P}</article></div><article><div><div><div>{f'<p>{P}' * 4}</div></div></div></article></main>", " ".join(["Title"] + [P] * 6)),
+    (f"<body><h1>Title</h1><main><p>{P}<p>{P}</main><article><a href=x>{P}</a></article></body>", f"Title {P} {P}"),
+])
+def test_siblings_of_an_article_stay(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_page_rows(spark):
     rows = [(1, None, None, 3), (None, "u", f"<p>{P}" * 2000, 1), (1, "u", "", 2)]
     found = html_extract.extract(docs(spark, rows, "page_id long, url string, html string, text int")).collect()
