@@ -72,6 +72,12 @@ def test_rows_of_one_id_are_one_vertex(spark):
     assert {r.id: r.component_id for r in J.similar_components(docs(spark, rows)).collect()} == {5: 5, 7: 5, 9: 5, 6: 6}
 
 
+def test_an_id_of_many_texts_links_them_all(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(9, t) for t in texts]
+    assert {(r.id, r.component_id) for r in J.similar_components(docs(spark, rows)).collect()} == {(i, 1) for i in (1, 2, 3, 4, 9)}
+
+
 # --- lines ------------------------------------------------------------------------------------
 
 def test_boilerplate_lines(spark):
