@@ -78,7 +78,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.slice(F.sort_array(F.transform("signs", lambda s: F.hash(F.lit(1), s))), 1, size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
     listed = sets.select("id", size.alias("n"), F.explode(F.array(band, band + 1)).alias("band"), first.alias("first"))
     listed = listed.select("id", "n", "band", F.explode("first").alias("sign"))
-    # lists are met through their first set; the others of a list meet each other only where lengths allow it
+    # all sets of a list meet each other where lengths allow it
     a, b = listed.select("band", "sign", F.col("id").alias("x"), F.col("n").alias("nx")), listed.select("band", "sign", F.col("id").alias("y"), F.col("n").alias("ny"))
     met = a.join(b, ["band", "sign"]).where((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny"))).select("x", "y").distinct()
     pairs = met.join(sets.select(F.col("id").alias("x"), F.col("signs").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("signs").alias("sy")), "y")
