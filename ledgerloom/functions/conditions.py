@@ -1,14 +1,16 @@
 """Rule conditions as data.
 
 A condition is comparisons joined by and / or / not / parentheses. It is read once per rule into a program in
-postfix order (a list of steps) which one Spark expression runs over the fields of an entry, so the number of
-different conditions is not limited by the size of a plan. Equality with a type, with a year and a searched keyword
-among the top conjuncts are taken out as keys for joins; the program keeps the rest.
+postfix order (a list of steps). Equality with a type, with a year and a searched keyword among the top conjuncts are
+taken out as keys for joins; the program keeps the rest, which becomes a list of tests that jump forward: a test is an
+interval of a number, a text or a keyword, and names the test to go on with. One small Spark expression follows the
+jumps, so the number of different conditions is not limited by the size of a plan and only the tests that matter run.
 
 A condition that is well-formed but calls a method, or names an unknown field, cannot be evaluated: it is readable
 and never matches.
 """
 
+import math
 import re
 
 import pyarrow as pa
@@ -25,9 +27,13 @@ WORDS = ("and", "or", "not", "in", "is", "true", "false", "none", "null")
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<text>"[^"]*"|'[^']*')|(?P<number>-?[0-9]+(?:\.[0-9]+)?)(?![A-Za-z0-9_.])|(?P<name>[^\W\d]\w*)|(?P<sign>==|!=|>=|<=|[<>().,]))""", re.ASCII)
-_SIDE = "field:string,text:string,number:double"
-STEP = f"struct<op:string,kind:string,left:struct<{_SIDE}>,right:struct<{_SIDE}>>"
-READ = f"struct<readable:boolean,unknown:array<string>,match_type:string,match_year:int,match_keyword:string,program:array<{STEP}>>"
+#: Where an entry keeps a field: texts and numbers are two arrays, dates count as days among the numbers.
+TEXTS = ("entry_id", "description", "old_type", "notes")
+NUMBERS = ("year", "amount", "quarter", "date")
+#: Where a test jumps to when the condition is decided. Other jumps name a later test.
+HOLDS, FAILS = 1 << 30, -1
+TEST = "struct<at:int,kind:string,left:int,right:int,low:double,high:double,text:string,op:string,negated:boolean,yes:int,no:int>"
+READ = f"struct<readable:boolean,unknown:array<string>,types:array<string>,match_year:int,match_keyword:string,tests:array<{TEST}>>"
 
 
 class _Unreadable(Exception):
@@ -166,13 +172,18 @@ def _conjuncts(tree) -> list:
 
 
 def read_condition(text: str | None) -> dict:
-    """What is known of a condition: the fields of READ."""
+    """What is known of a condition: the fields of READ and, uncompiled, its program.
+
+    `types` are the types one of which an entry must have; a single one among the top conjuncts is `match_type` too
+    and left out of the program.
+    """
     text = text or ""
     names = [m.group("name") for m in _TOKEN.finditer(re.sub(r"\.\s*[^\W\d]\w*", "", re.sub(r"\"[^\"]*\"|'[^']*'", " ", text))) if m.group("name")]
     unknown = [n for n in dict.fromkeys(names) if n.lower() not in WORDS and n not in FIELD_KINDS]
-    out = {"readable": True, "unknown": unknown, "match_type": None, "match_year": None, "match_keyword": None, "program": None}
+    out = {"readable": True, "unknown": unknown, "types": None, "match_type": None, "match_year": None, "match_keyword": None, "program": None}
     try:
         tree = _Reader(text).whole()
+        out["types"] = _types(tree)
     except _Unreadable:
         return out | {"readable": False, "program": [{"op": "error", "kind": None, "left": None, "right": None}]}
     rest = []
@@ -182,7 +193,7 @@ def read_condition(text: str | None) -> dict:
             if sign == "==" and left[0] != "field":
                 left, right = right, left
             if sign == "==" and left == ("field", "old_type") and right[0] == "text" and out["match_type"] is None:
-                out["match_type"] = right[1]
+                out["match_type"], out["types"] = right[1], [right[1]]
                 continue
             if sign == "==" and left == ("field", "year") and right[0] == "number" and right[1] == int(right[1]) and abs(right[1]) < 1e9 and out["match_year"] is None:
                 out["match_year"] = int(right[1])
@@ -199,17 +210,128 @@ def read_condition(text: str | None) -> dict:
     return out
 
 
-_SIDE_TYPE = pa.struct([("field", pa.string()), ("text", pa.string()), ("number", pa.float64())])
+# --- conditions as tests that jump ------------------------------------------------------------
+
+def _place(name: str) -> int:
+    return (NUMBERS if FIELD_KINDS[name] != "text" else TEXTS).index(name)
+
+
+def _test(kind: str, **more) -> dict:
+    return {"kind": kind, "left": None, "right": None, "low": None, "high": None, "text": None, "op": None, "negated": False} | more
+
+
+_ORDER = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b, "in": lambda a, b: a in b}
+_MIRRORED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _range(op: str, value: float) -> tuple[float, float]:
+    """The least and the greatest number for which the comparison holds; nothing is above NaN."""
+    return {"==": (value, value), ">=": (value, math.nan), "<=": (-math.inf, value),
+            ">": (math.nextafter(value, math.inf), math.nan), "<": (-math.inf, math.nextafter(value, -math.inf))}[op]
+
+
+def _as_test(step: dict) -> tuple[dict, list[dict]]:
+    """A step of a program as a test, and the tests that must hold for it to be decidable."""
+    op, kind, left, right = step["op"], step["kind"], step["left"], step["right"]
+    if op in ("true", "false"):
+        return _test("true", negated=op == "false"), []
+    if kind == "null":
+        return _missing(left["field"]) | {"negated": op == "!="}, []
+    negated, op = op == "!=", "==" if op == "!=" else op
+    fields = [s["field"] for s in (left, right)]
+    needed = [] if op == "==" else [_missing(f) | {"negated": True} for f in fields if f]
+    if kind != "date" and None in fields:
+        if fields == [None, None]:
+            name = "text" if kind == "text" else "number"
+            return _test("true", negated=_ORDER[op](left[name], right[name]) == negated), needed
+        if kind == "number":
+            field, value = (fields[0], right["number"]) if fields[0] else (fields[1], left["number"])
+            low, high = _range(op if fields[0] else _MIRRORED.get(op, op), value)
+            return _test("range", left=_place(field), low=low, high=high, negated=negated), needed
+        field, value = (fields[0], right["text"]) if fields[0] else (fields[1], left["text"])
+        if op == "==" or op == "in" and fields[1]:
+            return _test("same" if op == "==" else "has", left=_place(field), text=value, negated=negated), needed
+    text = left["text"] if not fields[0] else right["text"]
+    if kind == "date":
+        # A day is that of the date (-1) or of a text: a field, or the literal.
+        sides = [None if f is None else -1 if FIELD_KINDS[f] == "date" else _place(f) for f in fields]
+        if op != "==":
+            needed += [_test("day", left=side, text=text) for side in sides if side != -1]
+        return _test("days", left=sides[0], right=sides[1], text=text, op=op, negated=negated), needed
+    places = [None if f is None else _place(f) for f in fields]
+    return _test("texts" if kind == "text" else "numbers", left=places[0], right=places[1], text=text, op=op, negated=negated), needed
+
+
+def _missing(field: str) -> dict:
+    return _test("no text" if FIELD_KINDS[field] == "text" else "no number", left=_place(field))
+
+
+def compile_program(program: list[dict] | None) -> list[dict] | None:
+    """The program as tests in order, each naming the test to go on with when it holds and when it fails.
+
+    All jumps lead forward, so one pass decides, and whatever the result no longer depends on is skipped. What must be
+    known for the condition to be decidable is tested first.
+    """
+    if program is None:
+        return None
+    if any(s["op"] == "error" for s in program):
+        return [_test("true", at=0, yes=FAILS, no=FAILS)]
+    needed, stack = {}, []  # a tree node: (number of tests, operator, parts) or (1, None, test)
+    for step in program:
+        if step["op"] in ("and", "or"):
+            right, left = stack.pop(), stack.pop()
+            stack.append((left[0] + right[0], step["op"], (left, right)))
+        elif step["op"] == "not":
+            part = stack.pop()
+            stack.append((part[0], "not", (part,)))
+        else:
+            test, before = _as_test(step)
+            needed.update({tuple(t.items()): t for t in before})
+            stack.append((1, None, test))
+    out = [t | {"at": i, "yes": i + 1, "no": FAILS} for i, t in enumerate(needed.values())]
+    todo = [(stack.pop(), HOLDS, FAILS)]
+    while todo:
+        (size, op, parts), yes, no = todo.pop()
+        if op is None:
+            out.append(parts | {"at": len(out), "yes": yes, "no": no})
+        elif op == "not":
+            todo.append((parts[0], no, yes))
+        else:  # the left part comes first; undecided, it goes on with the first test of the right one
+            after = len(out) + parts[0][0]
+            todo += [(parts[1], yes, no), (parts[0], after if op == "and" else yes, after if op == "or" else no)]
+    return out
+
+
+def _types(tree) -> list[str] | None:
+    """The types of which an entry must have one for the condition to hold; None where any may do."""
+    if tree[0] == "compare":
+        for a, b in ((tree[2], tree[3]), (tree[3], tree[2])):
+            if tree[1] == "==" and a == ("field", "old_type") and b[0] == "text":
+                return [b[1]]
+        return None
+    if tree[0] in ("and", "or"):
+        found = [_types(part) for part in tree[1:]]
+        if tree[0] == "and":
+            return min((f for f in found if f is not None), key=len, default=None)
+        return None if None in found else list(dict.fromkeys(found[0] + found[1]))
+    return None
+
+
+_TEST_TYPE = pa.struct([
+    ("at", pa.int32()), ("kind", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("low", pa.float64()), ("high", pa.float64()),
+    ("text", pa.string()), ("op", pa.string()), ("negated", pa.bool_()), ("yes", pa.int32()), ("no", pa.int32())])
 _READ_TYPE = pa.struct([
-    ("readable", pa.bool_()), ("unknown", pa.list_(pa.string())), ("match_type", pa.string()), ("match_year", pa.int32()), ("match_keyword", pa.string()),
-    ("program", pa.list_(pa.struct([("op", pa.string()), ("kind", pa.string()), ("left", _SIDE_TYPE), ("right", _SIDE_TYPE)])))])
+    ("readable", pa.bool_()), ("unknown", pa.list_(pa.string())), ("types", pa.list_(pa.string())), ("match_year", pa.int32()), ("match_keyword", pa.string()),
+    ("tests", pa.list_(_TEST_TYPE))])
 
 
 def read(condition: Column) -> Column:
     """READ of each condition of a rule table."""
     @F.arrow_udf(READ)
     def reading(texts: pa.Array) -> pa.Array:
-        return pa.array([read_condition(t) for t in texts.to_pylist()], _READ_TYPE)
+        known = [read_condition(t) for t in texts.to_pylist()]
+        rows = [{f.name: k.get(f.name) for f in _READ_TYPE} | {"tests": compile_program(k["program"])} for k in known]
+        return pa.array(rows, _READ_TYPE)
 
     return reading(condition)
 
@@ -224,76 +346,58 @@ def unknown_fields(condition: Column) -> Column:
     return read(condition)["unknown"]
 
 
-# --- running a program over an entry ----------------------------------------------------------
-
-def _value(side: Column, kind: str, entry: Column) -> Column:
-    """An operand as text, number or date: its literal or the field it names."""
-    fields = [f for f, k in FIELD_KINDS.items() if k == kind]
-    if kind == "date":
-        out = F.when(side["field"].isNull(), side["text"].try_cast("date"))
-        for f, k in FIELD_KINDS.items():
-            if k in ("date", "text"):
-                out = out.when(side["field"] == f, entry[f] if k == "date" else entry[f].try_cast("date"))
-        return out
-    out = F.when(side["field"].isNull(), side[kind])
-    for f in fields:
-        out = out.when(side["field"] == f, entry[f])
-    return out
-
-
-def _compared(step: Column, entry: Column) -> Column:
-    """true, false, or null where a missing value cannot be ordered or searched."""
-    op, out = step["op"], None
-    for kind in ("text", "number", "date"):
-        left, right = _value(step["left"], kind, entry), _value(step["right"], kind, entry)
-        here = (F.when(op == "==", left.eqNullSafe(right)).when(op == "!=", ~left.eqNullSafe(right))
-                .when(op == ">", left > right).when(op == ">=", left >= right).when(op == "<", left < right).when(op == "<=", left <= right))
-        if kind == "text":
-            here = here.when(op == "in", F.contains(right, left))
-        out = F.when(step["kind"] == kind, here) if out is None else out.when(step["kind"] == kind, here)
-    missing = F.lit(False)
-    for f in FIELD_KINDS:
-        missing = F.when(step["left"]["field"] == f, entry[f].isNull()).otherwise(missing)
-    return out.when(step["kind"] == "null", missing == (op == "==")).when(op == "true", F.lit(True)).when(op == "false", F.lit(False))
-
+# --- deciding a condition for an entry --------------------------------------------------------
 
 def entry_fields(columns: list[str], prefix: str = "") -> Column:
-    """The fields of a journal row that conditions may name; one that the row lacks is null."""
-    types = {"text": "string", "number": "double", "date": "date"}
-    return F.struct(*[(F.col(f"{prefix}{f}") if f in columns else F.lit(None)).cast(types[k]).alias(f) for f, k in FIELD_KINDS.items()])
-
-
-def holds(program: Column, entry: Column) -> Column:
-    """Whether a program holds for an entry; a missing program does, one that cannot be evaluated does not.
-
-    A stack of results is kept. Comparing a missing value by order, or calling a method, is an error, and an error
-    anywhere means that the rule does not match, whatever the rest says.
+    """The fields of a journal row that conditions may name, as texts and numbers; one that the row lacks is null."""
+    def field(name: str, kind: str) -> Column:
+        return (F.col(f"{prefix}{name}") if name in columns else F.lit(None)).cast(kind)
+
+    numbers = [F.unix_date(field(f, "date")).cast("double") if f == "date" else field(f, "double") for f in NUMBERS]
+    return F.struct(F.array(*[field(f, "string") for f in TEXTS]).alias("texts"), F.array(*numbers).alias("numbers"))
+
+
+def _compared(op: Column, left: Column, right: Column) -> Column:
+    return (F.when(op == "==", left.eqNullSafe(right)).when(op == "<", left < right).when(op == "<=", left <= right)
+            .when(op == ">", left > right).when(op == ">=", left >= right))
+
+
+def _decided(test: Column, entry: Column) -> Column:
+    """Whether a test holds for an entry. The usual kinds come first."""
+    text = lambda place: F.get(entry["texts"], place)
+    number = lambda place: F.get(entry["numbers"], place)
+    own = lambda place: F.when(place.isNull(), test["text"]).otherwise(text(place))
+    day = lambda place: F.when(place == -1, number(F.lit(NUMBERS.index("date")))).otherwise(
+        F.unix_date(own(place).try_cast("date")).cast("double"))
+    kind, op, left, right = test["kind"], test["op"], test["left"], test["right"]
+    holds = (
+        F.when(kind == "range", (number(left) >= test["low"]) & (number(left) <= test["high"]))
+        .when(kind == "same", text(left) == test["text"]).when(kind == "has", F.contains(text(left), test["text"]))
+        .when(kind == "no number", number(left).isNull()).when(kind == "no text", text(left).isNull()).when(kind == "true", F.lit(True))
+        .when(kind == "texts", F.when(op == "in", F.contains(own(right), own(left))).otherwise(_compared(op, own(left), own(right))))
+        .when(kind == "numbers", _compared(op, number(left), number(right)))
+        .when(kind == "days", _compared(op, day(left), day(right))).when(kind == "day", day(left).isNotNull()))
+    return F.coalesce(holds, F.lit(False)) != test["negated"]
+
+
+def holds(tests: Column, entry: Column) -> Column:
+    """Whether a condition holds for an entry; one without tests does, one that cannot be evaluated does not.
+
+    Comparing a missing value by order, or calling a method, is an error, and an error anywhere means that the rule does
+    not match, whatever the rest says.
     """
-    start = F.struct(F.array().cast("array<boolean>").alias("stack"), F.lit(True).alias("ok"))
-
-    def run(state: Column, step: Column) -> Column:
-        stack, op = state["stack"], step["op"]
-        top, below = F.get(stack, F.lit(0)), F.get(stack, F.lit(1))
-        rest = lambda k: F.slice(stack, k + 1, F.greatest(F.size(stack) - k, F.lit(0)))
-        result = _compared(step, entry)
-        push = lambda value, k: F.concat(F.array(value), rest(k))
-        after = (F.when(op == "and", push(top & below, 2)).when(op == "or", push(top | below, 2)).when(op == "not", push(~top, 1))
-                 .otherwise(push(F.coalesce(result, F.lit(False)), 0)))
-        fine = state["ok"] & (op.isin("and", "or", "not") | result.isNotNull())
-        return F.struct(after.alias("stack"), fine.alias("ok"))
+    def run(at: Column, test: Column) -> Column:
+        return F.when(at != test["at"], at).when(_decided(test, entry), test["yes"]).otherwise(test["no"])
 
-    ended = F.aggregate(program, start, run, lambda s: s["ok"] & F.get(s["stack"], F.lit(0)))
-    return F.when(program.isNull(), F.lit(True)).otherwise(F.coalesce(ended, F.lit(False)))
+    return F.when(tests.isNull(), F.lit(True)).otherwise(F.aggregate(tests, F.lit(0), run) == HOLDS)
 
 
 def condition_column(text: str) -> Column:
     """Boolean column that is false where the condition is false or cannot be evaluated."""
-    known = read_condition(text)
-    if not known["readable"]:
+    if not read_condition(text)["readable"]:
         raise ValueError(f"Invalid rule condition: {text}")
-    step = lambda s: F.struct(
-        F.lit(s["op"]).alias("op"), F.lit(s["kind"]).cast("string").alias("kind"), *[F.struct(*[
-            F.lit((s[side] or {}).get(name)).cast(kind).alias(name) for name, kind in (("field", "string"), ("text", "string"), ("number", "double"))]).alias(side)
-            for side in ("left", "right")])
-    program = _program(_Reader(text).whole())
-    return holds(F.array(*[step(s) for s in program]), entry_fields(list(FIELD_KINDS)))
+    tests = compile_program(_program(_Reader(text).whole()))
+    return holds(F.array(*[F.struct(*[F.lit(t[f.name]).cast(_SPARK[f.type]).alias(f.name) for f in _TEST_TYPE]) for t in tests]), entry_fields(list(FIELD_KINDS)))
+
+
+_SPARK = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}

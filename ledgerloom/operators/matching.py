@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import entry_fields, holds
-from ..functions.sizing import compact, fits
+from ..functions.sizing import MAX_BYTES, compact, fits
+from ..functions.staging import settle
 from ..schemas import DEPOSIT_ACCOUNT
 from ..sources.rules import split_condition
 from .accounts import account_index, name_index
@@ -19,6 +20,8 @@ SIDES = {"cr": "CR", "dr": "DR", "free": None}
 MAX_RULES = 20_000
 #: Rules without a type in one block; every journal row is held against every block.
 RULES_PER_BLOCK = 1_000
+#: A type is dealt to several tasks if it has more rows than this part of a task's share.
+HOT_PART = 0.5
 
 
 def prepare_rules(rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
@@ -57,41 +60,43 @@ def _is_side(name: str) -> Column:
 
 
 def _holds(rule: Column) -> Column:
-    """Whether a rule holds for the row, whose type it has."""
+    """Whether a rule holds for the row, which has one of its types."""
     return (
         (rule["match_year"].isNull() | (rule["match_year"] == F.col("year")))
         & (rule["match_keyword"].isNull() | F.col("description").contains(rule["match_keyword"]))
-        & holds(rule["program"], F.col("_entry")))
+        & holds(rule["tests"], F.col("_entry")))
 
 
 class _Plan:
-    """A rule set made ready: measured, prepared, its conditions read."""
+    """A rule set made ready: measured, its conditions read and its accounts resolved, written once.
+
+    Rules are found by the types that their condition names; the others are held against every row.
+    """
 
     def __init__(self, rules: DataFrame, accounts: DataFrame | None, max_rules: int):
         self.small = fits(rules, max_rules)
-        prepared = prepare_rules(compact(rules) if self.small else rules, accounts)
-        self.rules = prepared
+        self.rules = settle(prepare_rules(compact(rules) if self.small else rules, accounts), "rules")
+        self.typed = self.rules.filter(F.col("types").isNotNull()).withColumn("old_type", F.explode("types"))
+        self.other = self.rules.filter(F.col("types").isNull())
 
     def hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
     def candidates(self, journal: DataFrame) -> DataFrame:
-        """Adds per side the held rules of the row as sorted arrays, without shuffling the journal."""
-        rule = F.struct(*_order(), "match_year", "match_keyword", "program")
-        arrays = [F.sort_array(F.collect_list(F.when(_is_side(s), rule))).alias(f"_{s}") for s in SIDES]
-        typed = self.rules.filter(F.col("match_type").isNotNull()).groupBy(
-            F.col("match_type").alias("old_type")).agg(*arrays)
-        other = self.rules.filter(F.col("match_type").isNull()).agg(*arrays).select(F.struct(*[f"_{s}" for s in SIDES]))
-        fields = journal.columns
-        out = journal.join(F.broadcast(typed), "old_type", "left").withColumns({"_other": other.scalar(), "_entry": entry_fields(fields)})
-        held = {s: F.sort_array(F.concat(
-            F.coalesce(F.filter(f"_{s}", _holds), F.array()), F.filter(F.col("_other")[f"_{s}"], _holds))) for s in SIDES}
-        return out.withColumns({f"held_{s}": h for s, h in held.items()}).drop("_other", "_entry", *[f"_{s}" for s in SIDES])
+        """Adds `held`, the rules that hold for the row, without shuffling the journal."""
+        rule = F.collect_list(F.struct(*_order(), "ledger_type", "match_year", "match_keyword", "tests"))
+        typed = self.typed.groupBy("old_type").agg(rule.alias("_typed"))
+        out = journal.join(F.broadcast(typed), "old_type", "left").withColumns(
+            {"_other": self.other.agg(rule).scalar(), "_entry": entry_fields(journal.columns)})
+        asked = F.concat(F.coalesce("_typed", F.array().cast(typed.schema["_typed"].dataType)), "_other")
+        return out.withColumn("held", F.transform(F.filter(asked, _holds), lambda r: F.struct(r["by_priority"], r["rule_ord"], r["ledger_type"]))).drop(
+            "_typed", "_other", "_entry")
 
     def pick(self, journal: DataFrame) -> DataFrame:
         """Journal columns with cr_ord and dr_ord, the best rule per side."""
         if self.small:
-            best = {s: F.get(f"held_{s}", F.lit(0))["rule_ord"] for s in SIDES}
+            of_side = lambda name: (lambda r: r["ledger_type"].isNull() if SIDES[name] is None else r["ledger_type"] == SIDES[name])
+            best = {s: F.array_min(F.filter("held", of_side(s)))["rule_ord"] for s in SIDES}
             picked = self.candidates(journal).select(*journal.columns, *[b.alias(f"{s}_ord") for s, b in best.items()])
         else:
             first = F.struct(*_order())
@@ -103,25 +108,32 @@ class _Plan:
     def matches(self, journal: DataFrame) -> DataFrame:
         """(src_row, rule_ord, priority, ledger_type, rule_id, condition) per rule that holds."""
         columns = ["src_row", "rule_ord", "priority", "ledger_type", "rule_id", "condition"]
-        rule = self.rules.select(
-            F.col("match_type").alias("old_type"), F.col("match_year").alias("rule_year"),
-            "match_keyword", "program", *columns[1:])
-        keyword = F.col("match_keyword").isNull() | F.col("description").contains(F.col("match_keyword"))
-        fits_rule = keyword & holds(F.col("program"), F.col("_entry"))
         slim = journal.select("src_row", "old_type", "year", "description", entry_fields(journal.columns).alias("_entry"))
-        typed = rule.filter(F.col("old_type").isNotNull())
-        dated = slim.join(
-            self.hint(typed.filter("rule_year is not null").withColumn("year", F.col("rule_year"))), ["old_type", "year"])
-        undated = slim.join(self.hint(typed.filter("rule_year is null")), ["old_type"])
-        out = dated.filter(fits_rule).select(*columns).unionByName(undated.filter(fits_rule).select(*columns))
-        # Rules without a type are a stated set that every row is held against, block by block.
-        other = self.rules.filter(F.col("match_type").isNull())
-        blocks = max(1, -(-other.count() // RULES_PER_BLOCK))
-        parts = other.withColumn("block", F.pmod(F.xxhash64("rule_ord"), F.lit(blocks)).cast("int")).groupBy("block").agg(
-            F.collect_list(F.struct("match_year", "match_keyword", "program", *columns[1:])).alias("_part"))
-        asked = slim.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        held = asked.join(self.hint(parts), "block").select("src_row", F.explode(F.filter("_part", _holds)).alias("r"))
-        return out.unionByName(held.select("src_row", *[f"r.{c}" for c in columns[1:]]))
+        rule = self.typed.select("old_type", F.struct("match_year", "match_keyword", "tests").alias("_rule"), *columns[1:])
+        if self.small:
+            met = slim.join(F.broadcast(rule), "old_type")
+        else:
+            met = _dealt(slim, rule)
+        return met.filter(_holds(F.col("_rule"))).select(*columns).unionByName(self._untyped(slim, columns))
+
+    def _untyped(self, slim: DataFrame, columns: list[str]) -> DataFrame:
+        """Rules without a type are a stated set that every row is held against, block by block; no row is copied or moved.
+
+        As many blocks as fit a broadcast are held against a row at a time.
+        """
+        width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in self.other.columns])))
+        size = self.other.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+        rounds = -(-(size["bytes"] or 0) // MAX_BYTES)
+        blocks = max(1, -(-size["n"] // RULES_PER_BLOCK))
+        packed = F.struct("match_year", "match_keyword", "tests", *columns[1:])
+        parts = self.other.withColumns({
+            "_round": F.pmod(F.xxhash64("rule_ord"), F.lit(max(1, rounds))), "_block": F.pmod(F.xxhash64(F.lit("block"), "rule_ord"), F.lit(blocks))}).groupBy(
+                "_round", "_block").agg(F.collect_list(packed).alias("_part"))
+        out = slim.limit(0).select("src_row", *[F.lit(None).cast(self.other.schema[c].dataType).alias(c) for c in columns[1:]])
+        for k in range(rounds):
+            asked = slim.join(F.broadcast(parts.filter(F.col("_round") == k).select("_part")))
+            out = out.unionByName(asked.select("src_row", F.explode(F.filter("_part", _holds)).alias("r")).select("src_row", *[f"r.{c}" for c in columns[1:]]))
+        return out
 
     def details(self, name: str) -> DataFrame:
         """The attributes of the rules under the prefix of a side."""
@@ -129,6 +141,24 @@ class _Plan:
             F.col("rule_ord").alias(f"{name}_ord"), *[F.col(c).alias(f"{name}_{c}") for c in RULE_FIELDS + ACCOUNT_FIELDS])
 
 
+def _dealt(slim: DataFrame, rule: DataFrame) -> DataFrame:
+    """Rows beside the rules of their type and year, by a shuffle in which no type fills a task.
+
+    Rows are counted by type first. A type that has more than a part of a task's share is dealt by row into pieces
+    below that part, and its rules, few beside its rows, go to each piece. Hot types are fewer than pieces.
+    """
+    pieces = int(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")) / HOT_PART)
+    counts = slim.groupBy("old_type").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    hot = counts.filter(F.col("n") * pieces > total).select("old_type", F.ceil(F.col("n") * pieces / total).cast("int").alias("_pieces"))
+    hot = F.broadcast(hot)
+    rows = slim.join(hot, "old_type", "left").withColumn("_piece", F.pmod(F.xxhash64("src_row"), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    rules = rule.join(hot, "old_type", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    dated, undated = rules.filter("_rule.match_year is not null"), rules.filter("_rule.match_year is null")
+    with_year = rows.join(dated.withColumn("year", F.col("_rule.match_year")), ["old_type", "_piece", "year"])
+    return with_year.unionByName(rows.join(undated, ["old_type", "_piece"]))
+
+
 def pick_rules(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None = None,
                max_rules: int = MAX_RULES) -> DataFrame:
     """Adds the structs cr_rule and dr_rule: highest priority, then file order.
@@ -167,8 +197,7 @@ def rule_mismatches(booked: DataFrame, rules: DataFrame, max_rules: int = MAX_RU
     """(src_row, entry_id, rule_id, condition) of applied rules whose condition does not hold."""
     plan = _Plan(rules, None, max_rules)
     if plan.small:
-        ids = F.concat(*[F.coalesce(F.transform(f"held_{s}", lambda c: c["rule_ord"]), F.array()) for s in SIDES])
-        held = plan.candidates(booked).withColumn("held", ids).select("src_row", "entry_id", "held", applied_rules())
+        held = plan.candidates(booked).select("src_row", "entry_id", F.transform("held", lambda r: r["rule_ord"]).alias("held"), applied_rules())
         return held.filter(F.col("r").isNotNull() & ~F.array_contains("held", F.col("r.rule_ord"))).select(
             "src_row", "entry_id", "r.rule_id", "r.condition")
     applied = booked.select("src_row", "entry_id", applied_rules()).filter("r is not null").select(

@@ -187,13 +187,13 @@ def rules_from_old_types(df: DataFrame, accounts: DataFrame | None = None, ord_c
 
 
 def split_condition(rules: DataFrame) -> DataFrame:
-    """Adds match_type / match_year / match_keyword, wherever they stand among the top conjuncts, and `program`.
+    """Adds types / match_year / match_keyword, wherever they stand among the top conjuncts, and `tests`.
 
-    The first three become equality joins and a text search; `program` is what remains of the condition, null when
+    The first three become equality joins and a text search; `tests` are what remains of the condition, null when
     nothing does.
     """
     known = rules.withColumn("_read", read(F.col("condition")))
-    return known.select(*rules.columns, "_read.match_type", "_read.match_year", "_read.match_keyword", "_read.program")
+    return known.select(*rules.columns, "_read.types", "_read.match_year", "_read.match_keyword", "_read.tests")
 
 
 def upsert_rules(rules: DataFrame, deletes: DataFrame, additions: DataFrame) -> DataFrame:
