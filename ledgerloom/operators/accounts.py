@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.containment import containing_pairs
+from ..functions.staging import settle
 from ..functions.issues import check, emit, union_all
 from ..functions.sizing import sized
 
@@ -108,10 +109,10 @@ def map_legacy_codes(df: DataFrame, accounts: DataFrame, key: str = "old_code")
 
     Works on the distinct labels. Containment goes both ways through `containing_pairs`.
     """
-    labels = df.select(strip(F.col(key).cast("string")).alias("old_code")).filter(
-        F.col("old_code") != "").distinct()
-    names = accounts.groupBy("name").agg(F.min(F.struct("ord", "code")).alias("a")).select(
-        "name", F.col("a.ord").alias("ord"), F.col("a.code").alias("code"))
+    labels = settle(df.select(strip(F.col(key).cast("string")).alias("old_code")).filter(
+        F.col("old_code") != "").distinct(), "labels")
+    names = settle(accounts.groupBy("name").agg(F.min(F.struct("ord", "code")).alias("a")).select(
+        "name", F.col("a.ord").alias("ord"), F.col("a.code").alias("code")), "names")
 
     exact = labels.join(accounts.select(F.col("code").alias("old_code"), F.col("code")), "old_code").select(
         "old_code", F.lit(1).alias("match_rank"), F.lit(0).cast("bigint").alias("ord"), "code")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..functions.conditions import KEYWORD
 from ..functions.containment import containing_pairs
+from ..functions.staging import settle
 from ..functions.sizing import fits
 from ..schemas import MISSING_TYPE, REMAP_FLOOR_YEAR
 
@@ -99,9 +100,9 @@ def _suggest_in_row(df: DataFrame, index: DataFrame, only: Column) -> DataFrame:
 
 def _suggest_by_join(df: DataFrame, index: DataFrame, only: Column) -> DataFrame:
     rows = df.withColumn("_digest", F.when(only, F.sha2("description", 256)))
-    texts = rows.filter("_digest is not null").groupBy("_digest").agg(F.first("description").alias("description"))
+    texts = settle(rows.filter("_digest is not null").groupBy("_digest").agg(F.first("description").alias("description")), "texts")
     needles = index.select("keyword").distinct()
-    pairs = containing_pairs(texts, "_digest", "description", needles, "keyword", max_needles=0)
+    pairs = containing_pairs(texts, "_digest", "description", needles, "keyword")
     votes = pairs.join(index, "keyword").groupBy("_digest", "old_type").agg(
         F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_list(_hit())).alias("hits"))
     best = votes.groupBy("_digest").agg(

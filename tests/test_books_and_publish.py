@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.containment import containing_pairs
+from ledgerloom.functions.containment import candidate_pairs, containing_pairs
 from ledgerloom.functions.sizing import fits
 from ledgerloom.functions.staging import settle
 from ledgerloom.functions.text import nan_to_null, utf8_audit
@@ -62,6 +62,33 @@ def test_containment_is_complete(spark, limit):
     assert got == {(i, x) for i, s in enumerate(texts) for x in needles if x in s}
 
 
+def test_a_piece_of_all_texts_makes_no_candidates(spark):
+    texts = [f"transfer {i:04d} of the house {'wallet' if i % 50 == 0 else ''}" for i in range(400)]
+    needles = ["transfer 0007", "house wallet", "the house", "transfer of", "r 00", "日本"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    n = spark.createDataFrame([(x,) for x in needles], "needle string")
+    want = {(i, x) for i, s in enumerate(texts) for x in needles if x in s}
+    found = candidate_pairs(t, "k", "text", n, "needle", hot=40).collect()
+    per_needle = {x: sum(r.needle == x for r in found) for x in needles}
+    assert {(r.k, r.needle) for r in found} >= want and len(found) <= 1.2 * len(want)
+    assert per_needle["transfer 0007"] <= 40 and per_needle["transfer of"] == per_needle["日本"] == 0
+    pairs = containing_pairs(t, "k", "text", n, "needle", hot=40)
+    assert {(r.k, r.needle) for r in pairs.collect()} == want
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_needles_of_every_length(spark):
+    import random
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randrange(0, 60))) for _ in range(40)] + [None, "ab" * 40]
+    needles = sorted({"".join(rng.choice("abé") for _ in range(n)) for n in range(1, 30) for _ in range(3)} | {t[3:3 + n] for t in texts if t for n in range(1, 26)} - {""})
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    n = spark.createDataFrame([(x,) for x in needles] + [(None,), ("",)], "needle string")
+    for hot in (0, 3):
+        got = {(r.k, r.needle) for r in containing_pairs(t, "k", "text", n, "needle", hot).collect()}
+        assert got == {(i, x) for i, s in enumerate(texts) if s for x in needles if x in s}
+
+
 def test_fits_and_settle(spark):
     df = spark.range(100).withColumn("s", F.repeat(F.lit("x"), 100))
     assert fits(df) and not fits(df, max_rows=99) and not fits(df, max_bytes=1000)
