@@ -1,13 +1,15 @@
 """Helpers that several corpus operators share: staged tables, hashed words, components, top-k cuts."""
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at a time; working arrays take about thirty times as much.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,6 +44,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_place(df: DataFrame, column: str) -> int | None:
+    """The place of a text column among the columns; None where it is not a plain string or its name is not unique."""
+    places = [i for i, c in enumerate(df.columns) if c.lower() == column.lower()]
+    return places[0] if len(places) == 1 and df.schema[places[0]].dataType.simpleString() == "string" else None
+
+
+# --- what workers remember -------------------------------------------------------------------
+
+_tenant: list = []
+
+
+def tenant(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called when a task of an operator begins: what a worker remembers between tasks is one operator's at a time.
+
+    Workers outlive operators; the one that remembered before is told to `forget` when another begins.
+    """
+    if _tenant and _tenant[0] != name and _tenant[1] is not None:
+        _tenant[1]()
+    _tenant[:] = [name, forget]
+    pa.default_memory_pool().release_unused()
+
+
 # --- hashing words of a block of texts -------------------------------------------------------
 
 def _random64(n: int, seed: int) -> np.ndarray:

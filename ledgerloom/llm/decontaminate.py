@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import stage, tenant, text_place
 
 WIDTH = 10
 #: Bytes of normalised item text in one automaton; `width` times as many nodes at most.
@@ -116,13 +116,16 @@ def scan(automaton, text: bytes) -> tuple[int, list[int], list[tuple]]:
     return len(words), sorted(found), _spans(text, hit)
 
 
-def _scanned(items, width: int):
+def _scanned(items, width: int, inside: int | None = None):
+    """Scans rows; the text stands beside the carried row, or is its field number `inside`."""
     name = uuid.uuid4().hex
 
     def run(batches):
+        tenant("decontaminate", _automata.clear)
         automaton = _kept(items, width, name)
         for batch in batches:
-            found = [scan(automaton, text.as_py() or b"") for text in batch.column(1)]
+            column = batch.column(1) if inside is None else batch.column(0).field(inside).cast(pa.binary())
+            found = [scan(automaton, text.as_py() or b"") for text in column]
             spans = [[dict(zip(("first", "last", "start", "end"), s)) for s in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(spans, _SPAN)],
@@ -167,7 +170,10 @@ def mark_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     items = [spark.sparkContext.broadcast(part) for part in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     schema = lambda row: T.StructType([row]).add("n_words", "long").add("items", T.ArrayType(T.LongType())).add("spans", T.ArrayType(SPAN))
     if len(items) == 1:
-        found = source.mapInArrow(_scanned(items[0], width), schema(source.schema["row"]))
+        inside = text_place(docs, text_col) if carry is None else None
+        if inside is not None:  # a text goes to Python once, within its row
+            source = source.select("row")
+        found = source.mapInArrow(_scanned(items[0], width, inside), schema(source.schema["row"]))
     else:  # a row's finds come from several passes and meet by its number
         source = stage(source.mapInArrow(_numbered, T.StructType().add("number", "long").add(source.schema["row"]).add("text", "binary")), "numbered")
         asked = source.select(F.col("number").alias("row"), "text")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tenant, text_place
+
 BUCKETS = 1 << 16
 #: Labelled texts used of each language, on average; the same ones every time.
 ROWS_PER_LANGUAGE = 4000
@@ -234,7 +236,8 @@ def label_words(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndar
 SPAN = T.StructType().add("start", "long").add("end", "long").add("lang", "string")
 
 
-def _labelled(model, switch: float):
+def _labelled(model, switch: float, inside: int | None = None):
+    """Labels rows; the text stands beside the carried row, or is its field number `inside`."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def labelled(carried, texts, m):
@@ -267,11 +270,13 @@ def _labelled(model, switch: float):
             names=["row", "lang_pred", "score", "spans"])
 
     def run(batches):
+        tenant("language_id")
         m = model.value
         most = CHARACTERS * 4 // max(4, len(m.languages))
         for batch in batches:
             for at in range(0, len(batch), ROWS):
-                texts = [t or "" for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                column = batch.column(1) if inside is None else batch.column(0).field(inside)
+                texts = [t or "" for t in column.slice(at, ROWS).to_pylist()]
                 for some, parts in _lots(range(at, at + len(texts)), texts, most):
                     yield labelled(batch.column(0).slice(some[0], len(some)), parts, m)
     return run
@@ -287,7 +292,10 @@ def label_rows(docs: DataFrame, model: Model, text_col: str = "text", switch: fl
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select((F.struct("*") if carry is None else carry).alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(SPAN))
-    return rows.mapInArrow(_labelled(sent, switch), schema)
+    inside = text_place(docs, text_col) if carry is None else None
+    if inside is not None:  # a text goes to Python once, within its row
+        rows = rows.select("row")
+    return rows.mapInArrow(_labelled(sent, switch, inside), schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tenant
 
 #: Tokens of a sequence.
 LIMIT = 4096
@@ -30,9 +30,9 @@ ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: Bins filled less than this are packed anew across blocks.
 LOOSE = 0.97
 #: Words whose ids a task remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: A comma or full stop before a space, but after another sign, which the tokenizer keeps together with it.
-_SIGNS_MEET = re.compile(r"(?:[^\w \n\t\r]|[_İ])[.,] ")
+_SIGNS_MEET = re.compile(r"[.,] (?<=(?:[^\w \n\t\r]|[_İ])[.,] )")
 #: Composed Latin letters have one lower case each, which is composed again; other texts are left to the tokenizer.
 _SAME_IN_LOWER_CASE = re.compile(r"[\x00-\u012f\u2000-\u20cf]*")
 #: Characters whose unknown words are encoded together.
@@ -61,14 +61,12 @@ class WordEncoder:
         parts = [_parts(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        found = [list(map(self.known.get, p)) for p in parts]
-        missing = list({w for p, f in zip(parts, found) if None in f for w, ids in zip(p, f) if ids is None})
+        words = set().union(*parts)
+        missing = [w for w in words if w not in self.known]
         for i in range(0, len(missing), 4096):
             self._learn(missing[i:i + 4096])
-        for p, f in zip(parts, found):
-            if None in f:
-                f[:] = map(self.known.__getitem__, p)
-        return [b"".join(f) for f in found]
+        near = {w: self.known[w] for w in words}  # a small table is looked up faster
+        return [b"".join(map(near.__getitem__, p)) for p in parts]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -114,6 +112,7 @@ def _pieces(tokenizer: str, limit: int, end: int):
         return public_tokenizers.path(tokenizer)
 
     def run(batches):
+        tenant("packing", _encoders.clear)
         if tokenizer not in _encoders:
             _encoders[tokenizer] = WordEncoder(path())
         encoder, row = _encoders[tokenizer], TaskContext.get().partitionId() << 40
