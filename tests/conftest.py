@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]").appName("ledgerloom-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.ui.retainedExecutions", "5").config("spark.sql.maxPlanStringLength", "100000")  # plans of a long session add up
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
