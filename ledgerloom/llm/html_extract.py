@@ -7,7 +7,7 @@ share of its text that is in links, and the best one is kept, with siblings that
 """
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,15 +28,25 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Words in a class, id or role that mark what is no article text.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|respond|replies|consent|cookies?|gdpr|notices?|alerts?|popup|modal|overlay|"
-    r"footer|foot|header|masthead|topbar|menu|menubar|nav|navbar|navigation|pagination|pager|promo\w*|related|recommend\w*|share|sharing|sidebar|side|social|sponsor\w*|"
-    r"subscri\w*|newsletter|signup|login|search|skip|tags?|toolbar|widgets?|outbrain|taboola|rating|contentinfo|complementary|search|dialog|alert)(?:$|[\s_-])", re.IGNORECASE)
+    r"(?:^|[\s_-])(?:ads?|advert[^\W_]*+|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|respond|replies|consent|cookies?|gdpr|notices?|alerts?|popup|modal|overlay|"
+    r"footer|foot|header|masthead|topbar|menu|menubar|nav|navbar|navigation|pagination|pager|promo[^\W_]*+|related|recommend[^\W_]*+|share|sharing|sidebar|side|social|sponsor[^\W_]*+|"
+    r"subscri[^\W_]*+|newsletter|signup|login|search|skip|tags?|toolbar|widgets?|outbrain|taboola|rating|contentinfo|complementary|search|dialog|alert)(?:$|[\s_-])", re.IGNORECASE)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|page|post|story|text|blog|hentry)(?:$|[\s_-])", re.IGNORECASE)
 
 #: A sibling of the best container is kept from this share of its score on.
 SIBLING_SHARE = 0.2
 
 
+# What begins a tag, a comment or what browsers read as one. Nothing below steps back, so no page costs more than its length.
+_MARKUP = re.compile(r"<(/?[a-zA-Z])|<!--|<[!?/]")
+_ONE = r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)))?+)"
+_ATTRIBUTE = re.compile(_ONE)
+_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:" + re.sub(r"\((?!\?)", "(?:", _ONE) + r")*+)[\s/]*+>")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.DOTALL)
+_BOGUS = re.compile(r"<[^>]*+>")
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style")}
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "mark", "score", "length", "linked", "commas", "number")
 
@@ -45,56 +55,56 @@ class Node:
         self.score = 0.0
 
 
-class _Tree(HTMLParser):
+class _Tree:
     """Nodes with text pieces as children; elements that are never text are left out."""
 
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
-        self.open: dict[str, int] = {}
+        self.depth = 0
+        self.open: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        self.blocks: list[int] = []  # depths of open blocks
         self.silent = 0
 
-    def updatepos(self, i, j):
-        return j  # line numbers are of no use here
-
     def _push(self, tag: str, mark: str = "") -> None:
         node = Node(tag, self.at, mark)
         self.at.children.append(node)
         self.at = node
-        self.open[tag] = self.open.get(tag, 0) + 1
+        self.depth += 1
+        self.open.setdefault(tag, []).append(self.depth)
+        if tag in BLOCK:
+            self.blocks.append(self.depth)
         self.silent += tag in SILENT
 
     def _pop(self) -> None:
-        self.open[self.at.tag] -= 1
+        self.open[self.at.tag].pop()
+        if self.at.tag in BLOCK:
+            self.blocks.pop()
         self.silent -= self.at.tag in SILENT
         self.at = self.at.parent
+        self.depth -= 1
+
+    def _innermost(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
-    def _close(self, tags, stop) -> None:
-        """Closes the innermost of `tags` that is open before any of `stop`."""
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in tags:
-                while self.at is not node:
-                    self._pop()
-                self._pop()
-                return
-            node = node.parent
+    def _close(self, tags, beyond: int) -> bool:
+        """Closes the innermost of `tags` that is open deeper than `beyond`, with all that it holds."""
+        depth = self._innermost(tags)
+        if depth <= beyond:
+            return False
+        while self.depth >= depth:
+            self._pop()
+        return True
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and self.open.get("p"):
-            self._close({"p"}, {"table", "td", "th", "button", "object"})
+            self._close({"p"}, self._innermost({"table", "td", "th", "button", "object"}))
         if tag in _HEADINGS and self.at.tag in _HEADINGS:
             self._pop()
         if tag in _CLOSES:
-            while any(self.open.get(t) for t in _CLOSES[tag]):
-                before = self.at
-                self._close(_CLOSES[tag], _LIST_ITEMS.get(tag, ()))
-                if self.at is before:
-                    break
+            while self._close(_CLOSES[tag], self._innermost(_LIST_ITEMS.get(tag, ()))):
+                pass
         if tag == "body" and self.open.get("head"):
-            self._close({"head"}, ())
+            self._close({"head"}, 0)
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.at.children.append(Node(tag, self.at))
@@ -105,7 +115,7 @@ class _Tree(HTMLParser):
         for name, value in attrs:
             if value and name in ("class", "id", "role", "aria-label"):
                 mark += " " + value
-            elif name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
+            elif name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*+:\s*+none", value):
                 mark += " overlay"
         self._push(tag, mark)
 
@@ -121,8 +131,8 @@ class _Tree(HTMLParser):
             return
         if tag in ("html", "body"):
             return
-        stop = () if tag in BLOCK or tag in SILENT else BLOCK  # an inline end tag closes nothing beyond its block
-        self._close({tag}, stop)
+        inline = tag not in BLOCK and tag not in SILENT  # its end tag closes nothing beyond its block
+        self._close({tag}, self.blocks[-1] if inline and self.blocks else 0)
 
     def handle_data(self, data):
         if not self.silent:
@@ -130,9 +140,37 @@ class _Tree(HTMLParser):
 
 
 def parse(html: str) -> Node:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    """The tree of a page, in time linear in its length.
+
+    Tags are read as the HTML standard reads them: what the page leaves open at its end, a tag, an attribute's value, a
+    comment or a script, takes the rest of the page; a `<` that begins none of these is text.
+    """
+    tree, at = _Tree(), 0
+    while at < len(html):
+        mark = _MARKUP.search(html, at)
+        end = mark.start() if mark else len(html)
+        if end > at:
+            tree.handle_data(unescape(html[at:end]))
+        if mark is None:
+            break
+        found = (_TAG if mark[1] else _COMMENT if mark[0] == "<!--" else _BOGUS).match(html, end)
+        if found is None:
+            break
+        at = found.end()
+        if not mark[1]:
+            continue
+        tag = found["name"].lower()
+        if found["end"]:
+            tree.handle_endtag(tag)
+            continue
+        attrs = [(m[1].lower(), unescape(m[2] or m[3] or m[4] or "")) for m in _ATTRIBUTE.finditer(found["attributes"]) if m[1]]
+        if found[0].endswith("/>"):
+            tree.handle_startendtag(tag, attrs)
+        else:
+            tree.handle_starttag(tag, attrs)
+            if tag in _RAW:
+                close = _RAW[tag].search(html, at)
+                at = close.start() if close else len(html)
     return tree.root
 
 

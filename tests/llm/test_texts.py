@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import random
+import time
 import urllib.parse
 import zlib
 
@@ -185,6 +186,40 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+ARTICLE = "<body><article><p>" + "A long enough, quiet sentence about stones. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("end", ["", ">", "</article><p>last"])
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<a b='", "<!--", "<!", "</", "</a ", "<script>", "<style>x", "<p><button><div>", "<ul><li><b>", "<i><div><b></i>"])
+def test_broken_markup_costs_its_length(piece, end):
+    """A megabyte of what is never closed; the article before it stays."""
+    begun = time.perf_counter()
+    assert html_extract.main_text(ARTICLE + piece * (2 ** 20 // len(piece)) + end).startswith("A long enough, quiet sentence")
+    assert time.perf_counter() - begun < 60
+
+
+@pytest.mark.parametrize("html", ["<ul><li>" + "<b>" * 50_000 + "<li></li>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 100_000,
+                                  "<p><button>" + "<div>" * 100_000, '<div class="' + "-advert_" * 100_000 + 'x">'])
+def test_deep_pages_cost_their_length(html):
+    begun = time.perf_counter()
+    html_extract.main_text(ARTICLE + html)
+    assert time.perf_counter() - begun < 60
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>x <3 y < z</p>", "x <3 y < z"),
+    ("<p>one<!-->two<!--->three<!-- a > b --!>four</p>", "onetwothreefour"),
+    ("<p>a<?php echo ?>b<![CDATA[c]]>d</ e>f</>g</p>", "abdfg"),
+    ("<P CLASS=x>a<BR/>b</P ><p>c", "a b c"),
+    ("<p title='a > b'>in</p><p title=\"it's > \">out</p>", "in out"),
+    ("<script>if (a </b) '<p>no</p>'</SCRIPT ><p>yes</p>", "yes"),
+    ("<p>kept</p><p title=\"open>lost</p>", "kept"),
+    ("<p>&amp;lt; &#8364; &nosuch; &eacute</p>", "&lt; \u20ac &nosuch; \u00e9"),
+])
+def test_tags_as_browsers_read_them(html, text):
+    assert html_extract.main_text(html) == text
+
+
 @pytest.mark.parametrize("html, text", [
     (f"<main><article>{f'<p>{P}' * 5}</article><article>{f'<p>{P}' * 2}</article></main>", " ".join([P] * 7)),
     (f"<main><h1>Title</h1><article>{f'<p>{P}' * 5}</article><p>{P}</p></main>", " ".join(["Title"] + [P] * 6)),
