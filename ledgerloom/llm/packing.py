@@ -11,6 +11,7 @@ lengths does. Bins of all blocks that stay loose are dissolved and their pieces
 import math
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -35,6 +36,14 @@ REMEMBERED = 200_000
 _SIGNS_MEET = re.compile(r"[.,] (?<=(?:[^\w \n\t\r]|[_İ])[.,] )")
 #: Composed Latin letters have one lower case each, which is composed again; other texts are left to the tokenizer.
 _SAME_IN_LOWER_CASE = re.compile(r"[\x00-\u012f\u2000-\u20cf]*")
+#: Lower-case letters that are composed already, and words of them with printable ASCII signs.
+_LETTERS = re.compile("[a-zß-öø-į]+")
+_PLAIN = re.compile("[!-@\\[-~ß-öø-į]+")
+# The pieces that the tokenizer file's pre-tokenizer makes of such words.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^a-zß-öø-į0-9]+")
+_UNPRINTED = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+#: Bytes that do not print are written as the signs from U+0100 on, in order.
+_SIGN_OF_BYTE = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
 #: Characters whose unknown words are encoded together.
 TOGETHER = 1 << 18
 
@@ -45,17 +54,16 @@ class WordEncoder:
     """Token ids of texts as little-endian bytes, word by word.
 
     The tokenizer lower-cases and never joins characters across white space, nor letters with a comma or full stop
-    after them; so a text's ids are those of its parts, and each distinct part is encoded once.
+    after them; so a text's ids are those of its parts, and each distinct part is encoded once. What a word is made of
+    follows `word_bpe_49k.json`; a file that normalises or takes words apart otherwise needs its own `_PIECE`.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [_parts(t) for t in texts]
@@ -63,29 +71,32 @@ class WordEncoder:
             self.known.clear()
         words = set().union(*parts)
         missing = [w for w in words if w not in self.known]
-        for i in range(0, len(missing), 4096):
-            self._learn(missing[i:i + 4096])
+        self._learn(missing)
         near = {w: self.known[w] for w in words}  # a small table is looked up faster
         return [b"".join(map(near.__getitem__, p)) for p in parts]
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in encode(texts, add_special_tokens=False)]
-
     def _learn(self, words: list[str]) -> None:
-        """Words of letters alone are encoded as one text, whose ids show where a word ends; the others one by one."""
-        plain = [w for w in words if w.isalpha()]
-        ids = np.array(self._ids([" ".join(plain)])[0], dtype="<u4")
-        last = np.flatnonzero(self.ends_word[ids])
-        if len(last) != len(plain):  # letters that the tokenizer takes apart
-            plain, last = [], last[:0]
-        data, at = ids.tobytes(), 0
-        for word, end in zip(plain, (4 * last + 4).tolist()):
-            self.known[word] = data[at:end]
-            at = end
-        others = [w for w in words if w not in self.known]
-        for word, own in zip(others, self._ids(others)):
-            self.known[word] = np.array(own, dtype="<u4").tobytes()
+        """Words that normalisation leaves as they are go to the model piece by piece, the others through the whole tokenizer."""
+        known, others = self.known, []
+        for word in words:
+            if _LETTERS.fullmatch(word) and word.islower():
+                known[word] = self._piece(word)
+            elif _PLAIN.fullmatch(word) and word == word.lower() and "<|" not in word:
+                known[word] = b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(word)])
+            else:
+                others.append(word)
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for i in range(0, len(others), 4096):
+            some = others[i:i + 4096]
+            for word, e in zip(some, encode(some, add_special_tokens=False)):
+                known[word] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer does not take apart; it writes bytes as signs, printable ASCII as itself."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_SIGN_OF_BYTE)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _parts(text: str) -> list[str]:
