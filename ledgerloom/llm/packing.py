@@ -44,12 +44,24 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^a-zß-öø
 _UNPRINTED = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 #: Bytes that do not print are written as the signs from U+0100 on, in order.
 _SIGN_OF_BYTE = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
-#: Characters whose unknown words are encoded together.
+#: Characters of texts that are encoded together.
 TOGETHER = 1 << 18
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Known(dict):
+    """Ids of words; what is not known yet is learned when asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordEncoder:
     """Token ids of texts as little-endian bytes, word by word.
 
@@ -63,33 +75,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._learn)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_parts(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = set().union(*parts)
-        missing = [w for w in words if w not in self.known]
-        self._learn(missing)
-        near = {w: self.known[w] for w in words}  # a small table is looked up faster
-        return [b"".join(map(near.__getitem__, p)) for p in parts]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that normalisation leaves as they are go to the model piece by piece, the others through the whole tokenizer."""
-        known, others = self.known, []
-        for word in words:
-            if _LETTERS.fullmatch(word) and word.islower():
-                known[word] = self._piece(word)
-            elif _PLAIN.fullmatch(word) and word == word.lower() and "<|" not in word:
-                known[word] = b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(word)])
-            else:
-                others.append(word)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(others), 4096):
-            some = others[i:i + 4096]
-            for word, e in zip(some, encode(some, add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype="<u4").tobytes()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, _parts(t))) for t in texts]
+
+    def _learn(self, word: str) -> bytes:
+        """A word that normalisation leaves as it is goes to the model piece by piece, another through the whole tokenizer."""
+        if _LETTERS.fullmatch(word) and word.islower():
+            return self._piece(word)
+        if _PLAIN.fullmatch(word) and word == word.lower() and "<|" not in word:
+            return b"".join([self.known.get(p) or self._piece(p) for p in _PIECE.findall(word)])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Ids of what the pre-tokenizer does not take apart; it writes bytes as signs, printable ASCII as itself."""
@@ -104,7 +104,7 @@ def _parts(text: str) -> list[str]:
     text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
     if _SIGNS_MEET.search(text) is None:
         text = text.replace(", ", " , ").replace(". ", " . ")
-    if "<|" not in text and _SAME_IN_LOWER_CASE.fullmatch(text) is not None:
+    if "<|" not in text and (text.isascii() or _SAME_IN_LOWER_CASE.fullmatch(text) is not None):
         text = text.lower()
     return text.split(" ")
 
