@@ -149,6 +149,20 @@ def test_pieces_are_the_tokenizers_ids(spark, tokenizer):
     assert len(found) == sum(-(-(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) // 100) for _, t in rows)
 
 
+def test_ids_of_words_are_the_tokenizers(tokenizer):
+    """Signs, contractions, control characters and letters of every kind, in words of all forms."""
+    import numpy as np
+    import public_tokenizers
+    rng = random.Random(9)
+    signs = list("aAbBzZ'stredvlm.,!?#$%&*<|>=\"09 \t\n éÉßøÿĀāĭįĺİıſǺªº²½×÷Σσ漢\xa0\xad\u0300\u0307\u200d\u2126\x00\x1f\x7f\x85🙂")
+    texts = ["".join(rng.choice(signs) if rng.random() < 0.9 else rng.choice(["<|endoftext|>", "<|", "'re", "don't", "I'VE"]) for _ in range(rng.randrange(15)))
+             for _ in range(20_000)]
+    texts += [f"x{c}y {c} {c}{c}.a" for c in map(chr, range(0x3000))]
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), ascii(text)
+
+
 @pytest.mark.parametrize("block", [10_000, 40])
 def test_packing_is_gapless_and_tight(spark, block):
     rng = random.Random(block)
