@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, to_int
 from ..schemas import EXTRA_ACCOUNT, MAX_YEAR, MIN_YEAR
+from .journal import number_rows
 
 REQUIRED = ("code", "name", "level", "full_path")
 
@@ -21,7 +22,9 @@ def read_accounts(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     elif fmt == "json":
         df = spark.read.option("multiLine", True).json(path)
         if "accounts" in df.columns:
-            df = df.select(F.inline("accounts"))
+            named = any(f.name == "ord" for f in df.schema["accounts"].dataType.elementType)
+            df = df.select(F.posexplode("accounts").alias("_place", "_account")).select(
+                "_account.*", *([] if named else [F.col("_place").alias("ord")]))
     elif fmt in ("parquet", "jsonl"):
         df = spark.read.parquet(path) if fmt == "parquet" else spark.read.json(path)
     else:
@@ -35,10 +38,10 @@ def standard_accounts(df: DataFrame) -> DataFrame:
     if missing:
         raise InvalidAccounts(f"Missing required columns in account hierarchy: {', '.join(missing)}")
     parent = strip("parent_code") if "parent_code" in df.columns else F.lit(None).cast("string")
-    # A column `ord` names the file order; otherwise it is taken from the scan.
-    order = F.col("ord").cast("bigint") if "ord" in df.columns else F.monotonically_increasing_id()
-    return df.select(
-        order.alias("ord"), strip(F.col("code").cast("string")).alias("code"),
+    # A column `ord` names the file order; otherwise rows are numbered by file and place, however the files are split.
+    rows = df if "ord" in df.columns else number_rows(df, "ord")
+    return rows.select(
+        F.col("ord").cast("bigint").alias("ord"), strip(F.col("code").cast("string")).alias("code"),
         F.col("name").cast("string").alias("name"), to_int(F.col("level").cast("string")).alias("level"),
         parent.alias("parent_code"), F.col("full_path").cast("string").alias("full_path"),
     )

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import sized
 from ..functions.text import account_key, parse_money, strip, to_double
 
 # Words that identify a column of a ledger-style book, in order of preference.
@@ -119,7 +120,7 @@ def read_quarter_labels(df: DataFrame, label: str, order: str = "ord", accumulat
     mapping = df.sparkSession.createDataFrame(labels or QUARTER_LABELS, "row_label string, account string, negate boolean")
     text = df.select(F.col(order).alias("ord"), strip(F.col(f"`{label}`").cast("string")).alias("row_label"),
                      *[F.col(f"`{c}`").cast("string").alias(c) for c in periods])
-    mapped = text.join(F.broadcast(mapping), "row_label")  # the label map is the fixed list above
+    mapped = text.join(sized(mapping) if labels else F.broadcast(mapping), "row_label")  # without `labels` it is the fixed list above
     long = mapped.unpivot(["ord", "row_label", "account", "negate"], periods, "period", "cell")
     value = to_double(F.col("cell"))
     values = long.filter(value.isNotNull()).withColumn("v", F.when(F.col("negate"), -value).otherwise(value))

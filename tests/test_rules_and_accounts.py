@@ -72,6 +72,25 @@ def test_account_files(spark, tmp_path):
         source.read_accounts(spark, "a.xyz")
 
 
+def test_accounts_keep_the_order_of_their_file(spark, tmp_path):
+    """The same numbers whether a file is read whole or by many tasks; lists count from 0; `ord` in the file wins."""
+    rows = [{"code": f"A{i}", "name": "n" * (i % 40), "level": 1, "full_path": "p"} for i in range(500)]
+    (tmp_path / "a.csv").write_text("code,name,level,full_path\n" + "".join(f"{r['code']},{r['name']},1,p\n" for r in rows))
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (tmp_path / "a.json").write_text(json.dumps({"accounts": rows}))
+    (tmp_path / "b.json").write_text(json.dumps({"accounts": [dict(r, ord=7 - i) for i, r in enumerate(rows[:3])]}))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for name in ("a.csv", "a.jsonl", "a.json"):
+                found = source.read_accounts(spark, str(tmp_path / name)).collect()
+                assert sorted((r.ord, r.code) for r in found) == [(i, f"A{i}") for i in range(500)], (name, size)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.ord, r.code) for r in source.read_accounts(spark, str(tmp_path / "b.json")).collect()} == {(7, "A0"), (6, "A1"), (5, "A2")}
+
+
 def test_lookup_prefers_code_then_first_name(make, spark):
     accounts = make.accounts(("1100", "银行存款", 2, "1000"), ("4301", "收入OL", 2, "4000"), ("4302", "收入OL", 2, "4000"), ("收入OL2", "x", 2, "4000"))
     keys = spark.createDataFrame([("1100",), ("收入OL",), ("none",)], "account_code string")
