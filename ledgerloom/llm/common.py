@@ -1,5 +1,7 @@
 """Helpers that several corpus operators share: staged tables, hashed words, components, top-k cuts."""
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -63,7 +65,18 @@ def tenant(name: str, forget: Callable[[], None] | None = None) -> None:
     if _tenant and _tenant[0] != name and _tenant[1] is not None:
         _tenant[1]()
     _tenant[:] = [name, forget]
+    release()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker lives on between tasks, beside the heap of its executor."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 # --- hashing words of a block of texts -------------------------------------------------------

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, tenant, text_place
+from .common import release, stage, tenant, text_place
 
 WIDTH = 10
 #: Bytes of normalised item text in one automaton; `width` times as many nodes at most.
@@ -130,6 +130,7 @@ def _scanned(items, width: int, inside: int | None = None):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(spans, _SPAN)],
                 names=["row", "n_words", "items", "spans"])
+        release()
     return run
 
 

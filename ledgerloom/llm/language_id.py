@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tenant, text_place
+from .common import release, tenant, text_place
 
 BUCKETS = 1 << 16
 #: Labelled texts used of each language, on average; the same ones every time.
@@ -279,6 +279,7 @@ def _labelled(model, switch: float, inside: int | None = None):
                 texts = [t or "" for t in column.slice(at, ROWS).to_pylist()]
                 for some, parts in _lots(range(at, at + len(texts)), texts, most):
                     yield labelled(batch.column(0).slice(some[0], len(some)), parts, m)
+        release()
     return run
 
 

@@ -15,13 +15,12 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, tenant
+from .common import release, stage, tenant
 
 #: Tokens of a sequence.
 LIMIT = 4096
@@ -150,7 +149,8 @@ def _pieces(tokenizer: str, limit: int, end: int):
                     ids, texts, held = [], [], 0
             if ids:
                 yield cut(ids, texts)
-        encoder.known.clear()  # the worker lives on; its memory is for whoever comes next
+        encoder.known.clear()
+        release()
     return run
 
 
@@ -245,27 +245,34 @@ def evolve(lengths: np.ndarray, seeds: list[np.ndarray], limit: int, population:
 ELITE = "block long, island int, bins long, loose double, packing binary"
 
 
-def _sorted(block: pd.DataFrame) -> pd.DataFrame:
-    return block.sort_values(["length", "row"], ascending=[False, True], kind="stable")
+def _sorted(block: pa.Table) -> pa.Table:
+    return block.sort_by([("length", "descending"), ("row", "ascending")])
 
 
 def _island(limit: int, population: int, generations: int, turn: int):
-    def run(key: tuple, block: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+    schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("bins", pa.int64()), ("loose", pa.float64()), ("packing", pa.binary())])
+
+    def run(key: tuple, block: pa.Table, elites: pa.Table) -> pa.Table:
         lengths = _sorted(block)["length"].to_numpy()
-        seeds = [np.frombuffer(p, dtype=np.int32).astype(np.int64) for p in elites["packing"]]
-        rng = np.random.default_rng([turn, int(key[0]), int(key[1])])
+        seeds = [np.frombuffer(p.as_py(), dtype=np.int32).astype(np.int64) for p in elites["packing"]]
+        number, island = (k.as_py() for k in key)
+        rng = np.random.default_rng([turn, number, island])
         best = evolve(lengths, seeds, limit, population, generations, rng)
         bins, loose = fitness(lengths, best, limit)
-        return pd.DataFrame({"block": [key[0]], "island": [key[1]], "bins": [bins], "loose": [loose], "packing": [best.astype(np.int32).tobytes()]})
+        return pa.table([[number], [island], [bins], [loose], [best.astype(np.int32).tobytes()]], schema=schema)
     return run
 
 
-def _placed(key: tuple, block: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+def _placed(key: tuple, block: pa.Table, elites: pa.Table) -> pa.Table:
     block = _sorted(block)
-    block["bin"] = np.frombuffer(elites["packing"].iloc[0], dtype=np.int32).astype(np.int64)
-    block["fill"] = block.groupby("bin")["length"].transform("sum")
-    block["offset"] = block.groupby("bin")["length"].cumsum() - block["length"]
-    return block
+    lengths = block["length"].to_numpy()
+    bins = np.frombuffer(elites["packing"][0].as_py(), dtype=np.int32).astype(np.int64)
+    fill = np.bincount(bins, weights=lengths).astype(np.int64)
+    order = np.argsort(bins, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    offset = np.empty_like(lengths)
+    offset[order] = before - (np.cumsum(fill) - fill)[bins[order]]
+    return block.append_column("bin", pa.array(bins)).append_column("fill", pa.array(fill[bins])).append_column("offset", pa.array(offset))
 
 
 def _packed(small: DataFrame, blocks: int, seed: int, limit: int, islands: int, rounds: int) -> DataFrame:
@@ -276,10 +283,10 @@ def _packed(small: DataFrame, blocks: int, seed: int, limit: int, islands: int,
     for turn in range(rounds):
         handed = elites.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
         elites = stage(on_islands.cogroup(elites.union(handed).groupBy("block", "island"))
-                       .applyInPandas(_island(limit, POPULATION, GENERATIONS, turn), ELITE), "elites")
+                       .applyInArrow(_island(limit, POPULATION, GENERATIONS, turn), ELITE), "elites")
     best = elites.groupBy("block").agg(F.min_by("packing", F.struct("bins", "loose", "island")).alias("packing"))
     schema = f"{PIECES}, block long, bin long, fill long, offset long"
-    return dealt.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(_placed, schema)
+    return dealt.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(_placed, schema)
 
 
 def pack(cut: DataFrame, limit: int = LIMIT, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
