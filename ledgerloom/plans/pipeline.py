@@ -26,7 +26,7 @@ def booked(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None = No
     return booking.book(entries, quality_rules.valid_rules(rules), accounts)
 
 
-def _counts() -> list[Column]:
+def counts() -> list[Column]:
     """Rows, ledger lines (without placeholders) and unmatched rows."""
     return [
         F.count(F.lit(1)).alias("journal_entries"),
@@ -34,9 +34,20 @@ def _counts() -> list[Column]:
         F.count_if("no_match").alias("unmatched_entries")]
 
 
+def skipped_count() -> list[Column]:
+    """Of typed rows, those that booking skips."""
+    return [F.count_if(journal_source.skip_condition()).alias("journal_entries_skipped")]
+
+
+def issue_counts() -> list[Column]:
+    """Errors and warnings of an issue table."""
+    return [F.count_if(F.col("kind") == "error").alias("validation_errors"),
+            F.count_if(F.col("kind") == "warning").alias("validation_warnings")]
+
+
 def statistics(entries: DataFrame, booked_rows: DataFrame, rules: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of run statistics; `entries` are the typed rows before skipping."""
-    return booked_rows.agg(*_counts()).withColumns({
+    """One row of run statistics over tables at hand; `entries` are the typed rows before skipping."""
+    return booked_rows.agg(*counts()).withColumns({
         "journal_entries_skipped": entries.agg(F.count_if(journal_source.skip_condition())).scalar(),
         "rules_applied": rules.agg(F.count(F.lit(1))).scalar(),
         "_issues": issues.agg(F.struct(F.count_if(F.col("kind") == "error").alias("e"), F.count_if(F.col("kind") == "warning").alias("w"))).scalar(),
@@ -45,7 +56,7 @@ def statistics(entries: DataFrame, booked_rows: DataFrame, rules: DataFrame, iss
 
 def sheet_summary(booked_rows: DataFrame) -> DataFrame:
     """Per sheet: rows, lines and unmatched rows; all sheets in one job."""
-    return booked_rows.groupBy("sheet").agg(*_counts())
+    return booked_rows.groupBy("sheet").agg(*counts())
 
 
 def run(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None, directory: str, as_of: Column,
@@ -53,27 +64,30 @@ def run(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None, direct
     """Publish every table of a run under `directory` and return paths and statistics.
 
     Booked rows and issues feed many tables: each is written once to the (shared) output directory
-    and read back, which also cuts the lineage for executors that are lost later.
+    and read back, which also cuts the lineage for executors that are lost later. The statistics are counted
+    while these tables are written. All tables appear together (`publish.published`); a broken run shows none.
     """
     spark = journal.sparkSession
-    prepared = prepare(journal, rules, type_map)
-    entries_path = publish.write_table(prepared, f"{directory}/entries")
-    typed = spark.read.parquet(entries_path)
-    kept = journal_source.drop_skipped(typed)
-    usable = quality_rules.valid_rules(rules)
-    records_path = publish.write_table(booking.book(kept, usable, accounts), f"{directory}/records")
-    records = spark.read.parquet(records_path)
-    issues_path = publish.write_table(
-        quality_input.validate_inputs(kept, rules, accounts, as_of), f"{directory}/issues")
-    issues = spark.read.parquet(issues_path)
-    ledger, rest = booking.ledger(records), booking.unmatched(records)
-    paths = publish.unified_report(ledger, rest, records, issues, accounts, directory, fmt)
-    paths["audit_metadata"] = publish.write_table(
-        audit_tables.metadata(records, run_arguments), f"{directory}/audit_metadata", fmt)
-    paths |= {"entries": entries_path, "records": records_path, "issues": issues_path}
-    stats = statistics(typed, records, rules, issues)
-    paths["statistics"] = publish.write_table(stats, f"{directory}/statistics", fmt)
-    return {"paths": paths, "statistics": stats.first().asDict()}
+    numbers: dict = {}
+
+    def write(folder: str) -> dict[str, str]:
+        paths = {name: f"{folder}/{name}" for name in ("entries", "records", "issues")}
+        skipped = publish.write_counted(prepare(journal, rules, type_map), paths["entries"], skipped_count())
+        kept = journal_source.drop_skipped(spark.read.parquet(paths["entries"]))
+        usable = quality_rules.valid_rules(rules)
+        booked_rows = publish.write_counted(booking.book(kept, usable, accounts), paths["records"], counts())
+        found = publish.write_counted(
+            quality_input.validate_inputs(kept, rules, accounts, as_of), paths["issues"], issue_counts())
+        numbers.update({**booked_rows, **skipped, "rules_applied": rules.count(), **found})
+        records, issues = spark.read.parquet(paths["records"]), spark.read.parquet(paths["issues"])
+        paths |= publish.unified_report(booking.ledger(records), booking.unmatched(records), records, issues, accounts, folder, fmt)
+        paths["audit_metadata"] = publish.write_table(
+            audit_tables.metadata(records, run_arguments), f"{folder}/audit_metadata", fmt)
+        row = spark.createDataFrame([tuple(numbers.values())], ", ".join(f"{n} bigint" for n in numbers))
+        paths["statistics"] = publish.write_table(row, f"{folder}/statistics", fmt)
+        return paths
+
+    return {"paths": publish.publish_set(spark, directory, write), "statistics": numbers}
 
 
 def run_sheets(journal: DataFrame, rules: DataFrame, accounts: DataFrame | None, directory: str,

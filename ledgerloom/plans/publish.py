@@ -1,6 +1,10 @@
 """Published tables."""
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, audit, issue_tables, ordering, review
@@ -26,6 +30,59 @@ def write_tables(tables: dict[str, DataFrame], directory: str, fmt: str = "parqu
     return {name: write_table(df, f"{directory}/{name}", fmt, mode) for name, df in tables.items()}
 
 
+def write_counted(df: DataFrame, path: str, counts: list[Column], fmt: str = "parquet") -> dict:
+    """Writes a table and returns the named counts of its rows, gathered by the writing tasks: no second scan.
+
+    The counts belong to the last stage of the write, in which a task that is repeated counts once. An empty table
+    has counts too.
+    """
+    seen = Observation()
+    write_table(df.observe(seen, *counts), path, fmt)
+    return seen.get
+
+
+MANIFEST = "place long, set string, name string, path string"
+
+
+def _manifest(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per table of every published set; none where nothing was published yet."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{directory}/manifests")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def _last(rows: DataFrame):
+    return rows.agg(F.max(F.struct("place", "set")).alias("last")).first()["last"]
+
+
+def publish_set(spark: SparkSession, directory: str, write: Callable[[str], dict[str, str]]) -> dict[str, str]:
+    """Several tables that appear together: `write(folder)` writes them aside and returns their paths by name.
+
+    Only then does one small file name them, which readers follow (`published`). A run that breaks before leaves the
+    set of the run before it as it was. Of two runs at the same time every reader takes the same one. Folders below
+    `sets` that the manifest does not name, or names for an earlier set, may be removed.
+    """
+    name = uuid.uuid4().hex
+    paths = write(f"{directory}/sets/{name}")
+    last = _last(_manifest(spark, directory))
+    rows = [(1 if last is None else last["place"] + 1, name, table, path.removeprefix(f"{directory}/")) for table, path in paths.items()]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{directory}/manifests")
+    return paths
+
+
+def published(spark: SparkSession, directory: str) -> dict[str, str]:
+    """The paths of the last published set by name; empty where there is none."""
+    rows = _manifest(spark, directory)
+    last = _last(rows)
+    if last is None:
+        return {}
+    found = rows.where((F.col("place") == last["place"]) & (F.col("set") == last["set"])).collect()
+    return {r["name"]: r["path"] if "/" == r["path"][:1] or ":/" in r["path"] else f"{directory}/{r['path']}" for r in found}
+
+
 def unmatched_list(unmatched: DataFrame) -> DataFrame:
     return unmatched.select("src_row", "entry_id", F.coalesce("old_type", F.lit("")).alias("old_type"),
                             "description", "date", "amount", "year")

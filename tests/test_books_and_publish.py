@@ -169,6 +169,47 @@ def test_sheets_run(make, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s1/ledger")).filter("sheet = 2024").count() == 3
 
 
+def test_published_set(make, spark, tmp_path):
+    rows, directory = make.accounts(*ACCOUNTS), str(tmp_path / "set")
+    assert publish.published(spark, directory) == {}
+    first = publish.publish_set(spark, directory, lambda f: publish.write_tables({"a": rows, "b": rows}, f))
+
+    def broken(folder):
+        publish.write_table(rows.limit(1), f"{folder}/a")
+        raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        publish.publish_set(spark, directory, broken)
+    assert publish.published(spark, directory) == first and spark.read.parquet(first["a"]).count() == 5
+    second = publish.publish_set(spark, directory, lambda f: publish.write_tables({"a": rows.limit(2)}, f))
+    assert publish.published(spark, directory) == second and spark.read.parquet(first["b"]).count() == 5
+
+
+def test_run_publishes_at_the_end(make, spark, tmp_path, monkeypatch):
+    journal, rules, accounts = books_of(make)
+    directory, as_of = str(tmp_path / "out"), F.lit("2030-01-01").cast("timestamp")
+    out = pipeline.run(journal, rules, accounts, directory, as_of)
+    assert publish.published(spark, directory) == out["paths"]
+    typed, records, found = (spark.read.parquet(out["paths"][n]) for n in ("entries", "records", "issues"))
+    counted = pipeline.statistics(typed, records, rules, found).first().asDict()
+    assert out["statistics"] == counted == spark.read.parquet(out["paths"]["statistics"]).first().asDict()
+
+    def lost(*args):
+        raise InterruptedError
+
+    monkeypatch.setattr(publish, "unified_report", lost)
+    with pytest.raises(InterruptedError):
+        pipeline.run(journal, rules, accounts, directory, as_of)
+    assert publish.published(spark, directory) == out["paths"] and records.count() == 4
+
+
+def test_counted_write(spark, tmp_path):
+    counts = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("total")]
+    assert publish.write_counted(spark.range(0, 100, 1, 7), str(tmp_path / "a"), counts) == {"n": 100, "total": 4950}
+    assert publish.write_counted(spark.range(0), str(tmp_path / "b"), counts) == {"n": 0, "total": 0}
+    assert publish.write_counted(spark.range(10).repartition(3).where("id < 0"), str(tmp_path / "c"), counts) == {"n": 0, "total": 0}
+
+
 def test_append(make, spark, tmp_path):
     rows = make.accounts(*ACCOUNTS)
     path = publish.write_table(rows, str(tmp_path / "t"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.staging import shared_folder
 from ledgerloom.operators import issue_tables as issues
 from ledgerloom.operators import quality_input as qi
-from ledgerloom.plans import publish
+from ledgerloom.plans import pipeline, publish
 
 from .journal import event_issues
 from .tables import query
@@ -43,6 +43,37 @@ def unified_set(t):
     return _sums(sorted_lines, "categorization").unionByName(_sums(t.spark.read.parquet(paths["unmatched"]), "unmatched"))
 
 
+@query("""SELECT 'entries' AS name, CAST(year AS BIGINT) AS year, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS total FROM entries GROUP BY year
+  UNION ALL SELECT 'unmatched', CAST(year AS BIGINT), count(*), CAST(sum(amount) AS DOUBLE) FROM records WHERE no_match GROUP BY year""", "entries", "records")
+def published_set(t):
+    """Two sets published one after the other, then one that breaks between its tables; what readers find."""
+    folder, columns = _folder(t, "published"), ["year", "amount"]
+    publish.publish_set(t.spark, folder, lambda f: publish.write_tables({"entries": t.journal.select(columns)}, f))
+    publish.publish_set(t.spark, folder, lambda f: publish.write_tables({"entries": t.entries.select(columns), "unmatched": t.unmatched.select(columns)}, f))
+
+    def broken(f):
+        publish.write_table(t.journal.select(columns), f"{f}/entries")
+        raise InterruptedError
+
+    try:
+        publish.publish_set(t.spark, folder, broken)
+    except InterruptedError:
+        pass
+    paths = publish.published(t.spark, folder)
+    return _sums(t.spark.read.parquet(paths["entries"]), "entries").unionByName(_sums(t.spark.read.parquet(paths["unmatched"]), "unmatched"))
+
+
+@query("""SELECT (SELECT count(*) FROM entries) AS journal_entries, (SELECT count(*) FROM ledger) AS ledger_entries,
+  (SELECT count(*) FROM records WHERE no_match) AS unmatched_entries,
+  (SELECT count(*) FROM journal) - (SELECT count(*) FROM entries) AS journal_entries_skipped""", "ledger")
+def counted_writes(t):
+    """Run statistics gathered while the tables of a run are written."""
+    folder = _folder(t, "counted")
+    numbers = {**publish.write_counted(t.records, f"{folder}/records", pipeline.counts()),
+               **publish.write_counted(t.journal, f"{folder}/journal", pipeline.skipped_count())}
+    return t.spark.createDataFrame([tuple(numbers.values())], ", ".join(f"{n} bigint" for n in numbers))
+
+
 @query("""SELECT 'errors' AS name, count(*) AS n_rows FROM events UNION ALL SELECT 'original', count(*) FROM orders
   UNION ALL SELECT 'summary', least(count(*), 1) FROM orders""")
 def error_set(t):
