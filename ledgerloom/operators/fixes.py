@@ -57,17 +57,18 @@ def _masks(text: Column) -> Column:
 def account_fixes(values: DataFrame, accounts: DataFrame) -> DataFrame:
     """(value) -> a code that differs in case (high), else the only code one character away (medium).
 
-    Several close codes give no suggestion. Closeness is an equality join on masked texts.
+    Several close codes give no suggestion. Closeness is an equality join on masked texts. Masks are a row per character,
+    which no estimate of a plan foresees, so these joins are sorted, never broadcast.
     """
     wanted = values.select("value").distinct()
     codes = accounts.groupBy("code").agg(F.min("ord").alias("ord"))
-    cased = wanted.withColumn("u", F.upper("value")).join(codes.withColumn("u", F.upper("code")), "u").filter(
+    cased = wanted.withColumn("u", F.upper("value")).join(codes.withColumn("u", F.upper("code")).hint("merge"), "u").filter(
         F.col("value") != F.col("code")).groupBy("value").agg(F.min_by("code", "ord").alias("cased"))
 
     def masked(df, column):
         return df.withColumn("mask", F.explode(_masks(F.lower(column))))
 
-    close = masked(wanted.filter("value != ''"), "value").join(masked(codes, "code"), "mask").select(
+    close = masked(wanted.filter("value != ''"), "value").join(masked(codes, "code").hint("merge"), "mask").select(
         "value", "code").distinct().groupBy("value").agg(
         F.count(F.lit(1)).alias("n_close"), F.min("code").alias("only"))
     found = wanted.join(cased, "value", "left").join(close, "value", "left")

@@ -157,6 +157,14 @@ def test_fixes(make, spark):
         "a1": ("A1", "high"), "A2": ("A1", "medium"), "B2X": ("B22", "medium"), "B22": ("B22", "medium")}
 
 
+def test_close_codes_are_not_broadcast(spark):
+    codes = spark.range(1000).selectExpr("id AS ord", "concat('C', id) AS code")
+    values = spark.range(1000).selectExpr("concat('C', id, 'x') AS value")
+    fixed = fixes.account_fixes(values, codes)
+    assert "BroadcastHashJoin" not in fixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert fixed.count() == 0
+
+
 def test_severity_and_texts(spark):
     rows = [("error", 0, 4, "account_code", "syntax_error", "Code does not exist", "Z9", "R-7")]
     detected = issues.detect(spark.createDataFrame(rows, "kind string, src_row bigint, row_number bigint, field_name string, issue_type string, message string, actual_value string, entry_id string"), "rule_error")
