@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.conditions import condition_column, read_condition, unknown_fields, well_formed
+from ledgerloom.functions.conditions import compile_program, condition_column, read_condition, unknown_fields, ways, well_formed
 
 ROW = ("JE-1", 2024, "alipay tip", "OL", 1500.0, "2024-01-15", None, None)
 
@@ -70,3 +70,27 @@ def test_calls_are_readable(spark):
     df = spark.createDataFrame([(t,) for t in texts], "c string")
     assert [r[0] for r in df.select(well_formed(F.col("c"))).collect()] == [True, True, True]
     assert [r[0] for r in df.select(unknown_fields(F.col("c"))).collect()] == [[], [], ["x"]]
+
+
+def test_ways_are_found_by_an_interval():
+    found = ways(compile_program(read_condition("(amount > 5 or quarter == 2) and entry_id != 'x' and old_type == 'T'")["program"]))
+    assert [(w["place"], w["tests"], w["other"][0]) for w in found] == [(1, None, "x"), (2, None, "x")]
+    assert found[1]["highs"][1] == 5.0 and found[1]["low"] == found[1]["high"] == 2.0
+    many = " and ".join(f"(amount == {i} or quarter == {i})" for i in range(9))
+    assert [(w["place"], len(w["tests"])) for w in ways(compile_program(read_condition(many)["program"]))] == [(None, 18)]
+
+
+def test_large_rule_sets_match_alike(spark, make):
+    from ledgerloom.operators.matching import matches
+    tails = [
+        "amount > 5", "amount >= 5 or quarter == 1", "not (amount > 5)", "amount != 5 and (amount < 7 or quarter != 2)", "year == 2024 and amount <= 5",
+        "not (quarter == 1 or amount < 5)", "description == 'tip' or entry_id != 'b'", "'ti' in description", "'ti' in description and amount > 4 or quarter == 2",
+        "date >= '2024-03-01' or amount == 5", "notes == null and quarter == null", "notes != 'x' and quarter != 1", "quarter > 1 or amount > 5", "amount == quarter",
+        "entry_id == 'a' and entry_id != 'b' and entry_id != 'c'", "amount > 4 and amount < 6 or quarter >= 1 and not (amount == 5)", "true == true", "foo == 1 or amount > 5"]
+    rules = make.rules(*[(f"R-{i}", f"({tail}) and old_type == '{t}'", "A", 1, "CR") for i, (tail, t) in enumerate((x, t) for x in tails for t in ("T", "U"))])
+    rows = make.journal(*[(e, t, a, d, text, q) for e, t in (("a", "T"), ("b", "T"), ("c", "U")) for a in (4, 5, 6, 8) for d in ("2024-02-01", "2023-04-01")
+                          for text in ("tip", "other") for q in (1, 2, None)])
+    small, large = ({tuple(r) for r in df.collect()} for df in (matches(rows, rules), matches(rows, rules, max_rules=0)))
+    assert small == large and len(small) > 100 and matches(rows, rules, max_rules=0).count() == len(large)
+    narrow = matches(rows, rules, max_rules=0, wanted=("rule_ord",))
+    assert {tuple(r) for r in narrow.collect()} == {(r[0], r[1]) for r in small}
