@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.conditions import FIELD_KINDS, unknown_fields, well_formed
+from ..functions.conditions import FIELD_KINDS, read, unknown_fields, well_formed
 from ..functions.issues import check, emit, union_all
-from ..functions.sizing import compact, fits
+from ..functions.sizing import compact, fits, spread
+from ..functions.staging import settle
 from .accounts import lookup
 
 
@@ -77,15 +78,20 @@ def _keyed(rules: DataFrame) -> DataFrame:
 
 def conflicts(rules: DataFrame, *more: Column) -> DataFrame:
     """Same condition, priority and side but several accounts: counts and extremes per group."""
-    return _keyed(rules).groupBy(*CONFLICT_KEYS).agg(
+    return _grouped(_keyed(rules), *more)
+
+
+def _grouped(keyed: DataFrame, *more: Column) -> DataFrame:
+    return keyed.groupBy(*CONFLICT_KEYS).agg(
         F.count(F.lit(1)).alias("n_rules"), F.min("account_code").alias("lo"), F.max("account_code").alias("hi"),
         F.min("rule_ord").alias("first_ord"), *more,
     ).filter(F.col("lo") != F.col("hi"))
 
 
 def conflict_members(rules: DataFrame) -> DataFrame:
-    """The rules of each conflict, as rows."""
-    return _keyed(rules).join(conflicts(rules).select(*CONFLICT_KEYS), CONFLICT_KEYS).select(
+    """The rules of each conflict, as rows. The rules are read once for their groups and for themselves."""
+    keyed = settle(_keyed(rules), "keyed")
+    return keyed.join(_grouped(keyed).select(*CONFLICT_KEYS), CONFLICT_KEYS).select(
         *CONFLICT_KEYS, "rule_ord", "rule_id", "account_code")
 
 
@@ -108,14 +114,17 @@ def duplicate_rule_ids(rules: DataFrame) -> DataFrame:
 
 def valid_rules(rules: DataFrame) -> DataFrame:
     """Rules that can be applied: readable condition, known fields, a type on one side."""
-    condition = F.col("condition")
-    return rules.filter(well_formed(condition) & (F.size(unknown_fields(condition)) == 0) & ~_without_type()[0])
+    return _valid(rules if fits(rules) else spread(rules, "rule_ord"))
+
+
+def _valid(rules: DataFrame) -> DataFrame:
+    known = read(F.col("condition"))
+    return rules.filter(known["readable"] & (F.size(known["unknown"]) == 0) & ~_without_type()[0])
 
 
 def rule_table_issues(rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """All rule issues. An unreadable condition hides the other checks of that rule."""
-    if fits(rules):
-        rules = compact(rules)
+    rules = compact(rules) if fits(rules) else spread(rules, "rule_ord")
     readable = well_formed(F.col("condition"))
     rows, later = rules, [_without_type()]
     if accounts is not None:
@@ -123,4 +132,4 @@ def rule_table_issues(rules: DataFrame, accounts: DataFrame | None = None) -> Da
     checks = [_syntax(), *[(readable & failed, issue) for failed, issue in later]]
     return union_all([
         emit(rows, checks, "rule_id", "rule_ord"), field_issues(rules.filter(readable)),
-        conflict_issues(valid_rules(rules))])
+        conflict_issues(_valid(rules))])

@@ -117,3 +117,9 @@ def test_upsert(spark):
     out = rule_source.upsert_rules(base, base.filter("old_type = 'b'"), new)
     assert sorted(r.ord for r in out.collect()) == [1, 11, 12]
     assert [tuple(r) for r in rule_source.duplicate_keys(base).collect()] == [(2024, "b", 2)]
+
+
+def test_many_conditions_are_read_in_several_tasks(spark, monkeypatch):
+    rules = spark.range(400, numPartitions=1).selectExpr("id AS rule_ord", "concat('amount > ', id) AS condition", "'T' AS old_type", "'' AS new_type")
+    monkeypatch.setattr(qr, "fits", lambda df: False)
+    assert qr.valid_rules(rules).selectExpr("spark_partition_id() AS part").distinct().count() > 1
