@@ -183,3 +183,12 @@ def test_confidence(make, spark, valid, expected):
     entries = make.journal(*[(f"J{i}", "T", 1, "2024-01-01") for i in range(4)])
     row = issues.validation_summary(issues.detect(table), table.limit(0), entries, valid).first()
     assert (row.confidence, row.overall_status, row.error_rate, row.entries_valid) == (expected, "fail", 0.5, valid or 2)
+
+
+def test_dashboard_checks_the_inputs_once(spark, monkeypatch):
+    from workload import review as queries
+    from workload.tables import QUERIES
+    calls, checked = [], queries.qi.validate_inputs
+    monkeypatch.setattr(queries.qi, "validate_inputs", lambda *a: calls.append(a) or checked(*a))
+    QUERIES["review_dashboard"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

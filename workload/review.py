@@ -146,8 +146,8 @@ def kept_issues(t):
     return settle(qi.validate_inputs(t.entries, t.rules, t.accounts, as_of()), "issues")
 
 
-def all_flags(t):
-    return review.review_flags(t.records, t.ledger, kept_issues(t), t.accounts)
+def all_flags(t, issues=None):
+    return review.review_flags(t.records, t.ledger, kept_issues(t) if issues is None else issues, t.accounts)
 
 
 @query("SELECT entry_id, status, reason, severity, coalesce(source_entry_id, '') AS source_entry_id, count(*) AS occurrences FROM flags GROUP BY ALL",
@@ -256,7 +256,8 @@ def flagged_entries(t):
   (SELECT count(*) FROM input WHERE kind = 'warning') AS warnings_detected FROM flags""", *NEEDED, **FLAG_TABLES)
 def review_dashboard(t):
     t.settled()
-    return review.dashboard(t.entries, t.ledger, all_flags(t), kept_issues(t))
+    found = kept_issues(t)
+    return review.dashboard(t.entries, t.ledger, all_flags(t, found), found)
 
 
 @query("""SELECT status, CASE status WHEN 'no_match' THEN 'No Matching Rule' WHEN 'missing_type' THEN 'Missing Journal Type' WHEN 'validation_error' THEN 'Validation Error'
