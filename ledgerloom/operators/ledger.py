@@ -16,6 +16,8 @@ from ..schemas import (
 from .matching import MAX_RULES, has_rule, pick_rules
 
 BOOKED = ["cr_rule", "dr_rule", "splits", "no_match"]
+#: What a line takes from a rule.
+LINE_FIELDS = ("rule_id", "account_code", "known", "path", "name_code", "name_path", "split_path")
 
 
 def _yes(condition: Column) -> Column:
@@ -65,6 +67,11 @@ def line_numbers(include_unmatched: bool = False) -> Column:
         .when(credit, numbers(1)).when(debit, numbers(2)).otherwise(numbers()))
 
 
+def for_lines(booked: DataFrame) -> DataFrame:
+    """Booked rows with those attributes of their rules that lines and flags are made of."""
+    return booked.withColumns({side: F.struct(*[F.col(f"{side}.{c}") for c in LINE_FIELDS]) for side in ("cr_rule", "dr_rule")})
+
+
 def line(no: Column) -> dict[str, Column]:
     """The columns of line `no` of a booked row."""
     cr, dr, splits, empty = F.col("cr_rule"), F.col("dr_rule"), F.col("splits"), F.col("no_match")

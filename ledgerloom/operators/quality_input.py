@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.issues import any_failed, check, emit, union_all
 from ..functions.sizing import sized
+from ..functions.staging import settle
 from ..functions.text import READER_DATE_FORMATS, blank, parse_date, to_double, to_int
 from ..schemas import LARGE_AMOUNT, MAX_YEAR, MIN_YEAR, MONEY
 from .quality_rules import rule_table_issues, valid_rules
@@ -131,10 +132,11 @@ def duplicate_row_issues(entries: DataFrame) -> DataFrame:
 def duplicate_id_issues(entries: DataFrame) -> DataFrame:
     """One issue per occurrence of an entry id after its first.
 
-    The first row per id is a partially aggregated minimum, so a hot id never sits in one window.
+    The first row per id is a partially aggregated minimum, so a hot id never sits in one window. Repeated ids are
+    written once, so that the entries are not shuffled again where these are few.
     """
-    again = entries.groupBy("entry_id").agg(
-        F.min("src_row").alias("first_row"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = settle(entries.groupBy("entry_id").agg(
+        F.min("src_row").alias("first_row"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
     rows = entries.join(again, "entry_id").filter(F.col("src_row") > F.col("first_row"))
     return emit(rows, [check(
         F.lit(True), "duplicate_entry", "entry_id",
@@ -178,7 +180,7 @@ def mixed_period_warnings(entries: DataFrame) -> DataFrame:
 
     The sets are bounded: at most 101 years and 4 quarters.
     """
-    sets = entries.agg(F.sort_array(F.collect_set("year")).alias("years"),
+    sets = entries.select("year", "quarter").distinct().agg(F.sort_array(F.collect_set("year")).alias("years"),
                        F.sort_array(F.collect_set("quarter")).alias("quarters"))
 
     def spans(field, column, kind):

@@ -1,13 +1,16 @@
 """Review flags, outliers, dashboard, preview, comparison and the flagged list."""
 
+import decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import fits
+from ..functions.staging import settle
 from ..functions.text import strip
 from ..functions.median import double_median, value_counts
-from ..schemas import MISSING_TYPE
+from ..schemas import MISSING_TYPE, MONEY
 from .accounts import lookup
 from .ledger import line, line_numbers
 from .matching import has_rule
@@ -101,6 +104,32 @@ def multiple_rule_flags(booked: DataFrame) -> DataFrame:
     return _flagged(booked, [_multiple_rules()], "entry_id")
 
 
+def _lines_by_source(ledger: DataFrame) -> DataFrame:
+    """(source_entry_id, line_id) with the number of lines and the first and last place.
+
+    Equal lines are counted per line number, so that this needs whole numbers only and no sort; what is left of a
+    source is put together where it meets the issues.
+    """
+    counted = ledger.groupBy("source_entry_id", F.col("entry_id").alias("line_id"), "line_no").agg(
+        F.count(F.lit(1)).alias("n"), F.min("src_row").alias("r0"), F.max("src_row").alias("r1"))
+    return counted.repartition("source_entry_id").groupBy("source_entry_id", "line_id").agg(
+        F.sum("n").alias("n_lines"), F.min(F.struct(F.col("r0").alias("src_row"), "line_no")).alias("l0"),
+        F.max(F.struct(F.col("r1").alias("src_row"), "line_no")).alias("l1"))
+
+
+def _named_lines(issues: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(own_line, line_source) of the lines whose own id an issue may name: the source of the first line of that id.
+
+    Hashes of ids find them, without moving the ids of all lines; the caller joins on the ids themselves.
+    """
+    digest = F.xxhash64("entry_id").alias("_digest")
+    asked = issues.select(digest)
+    asked = F.broadcast(asked) if fits(asked) else asked.hint("merge")  # files of digests are far smaller than a hash table of them
+    met = settle(ledger.select(digest).join(asked, "_digest", "left_semi").distinct(), "line-ids")
+    return ledger.withColumn("_digest", digest).join(met, "_digest", "left_semi").groupBy(F.col("entry_id").alias("own_line")).agg(
+        F.min_by("source_entry_id", F.struct("src_row", "line_no")).alias("line_source"))
+
+
 def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
     """Issues become flags on the ledger lines of the journal entry they name.
 
@@ -115,31 +144,35 @@ def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
     reason = F.when(is_error, F.concat(
         F.col("message"), F.lit(" (Row "), F.col("row_number").cast("string"), F.lit(", Field: "),
         F.col("field_name"), F.lit(")"))).otherwise(F.col("message"))
-    # Errors are ordered by check and then row, warnings by row and then check.
-    place = F.struct(
-        F.when(is_error, 3).otherwise(4).alias("stage"), F.when(is_error, rank).otherwise(0).alias("rank"),
-        F.coalesce("src_row", F.lit(-1).cast("bigint")).alias("row"), F.when(is_error, 0).otherwise(rank).alias("sub"))
+    # Equal issues are counted per check by whole numbers only, then put together where they meet the lines.
     counted = issues.select(
-        "entry_id", reason.alias("reason"),
+        "entry_id", "src_row", rank.alias("check"), reason.alias("reason"),
         F.when(is_error, "validation_error").otherwise("validation_warning").alias("status"),
         F.when(is_error, severity_of(F.col("issue_type"))).otherwise("warning").alias("severity"),
-        place.alias("place"),
-    ).groupBy("entry_id", "reason", "status", "severity").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("p0"), F.max("place").alias("p1"))
+    ).groupBy("entry_id", "reason", "status", "severity", "check").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("src_row", F.lit(-1).cast("bigint"))).alias("r0"),
+        F.max(F.coalesce("src_row", F.lit(-1).cast("bigint"))).alias("r1"))
+
+    def place(row):
+        # Errors are ordered by check and then row, warnings by row and then check.
+        failed = F.col("status") == "validation_error"
+        return F.struct(
+            F.when(failed, 3).otherwise(4).alias("stage"), F.when(failed, F.col("check")).otherwise(0).alias("rank"),
+            F.col(row).alias("row"), F.when(failed, 0).otherwise(F.col("check")).alias("sub"))
+
+    def together(parts):
+        return parts.groupBy("entry_id", "reason", "status", "severity").agg(
+            F.sum("n").alias("n"), F.min(place("r0")).alias("p0"), F.max(place("r1")).alias("p1"))
 
     def at(p, line_row, line):
         return F.struct(F.col(f"{p}.stage"), F.col(f"{p}.rank"), F.col(f"{p}.row"), F.col(f"{p}.sub"),
                         F.coalesce(line_row, F.lit(0).cast("bigint")).alias("line_row"),
                         F.coalesce(line, F.lit(0)).alias("line"))
 
-    named = counted.filter(F.coalesce(F.col("entry_id") != "", F.lit(False)))
-    spot = F.struct("src_row", "line_no")
-    by_source = ledger.groupBy("source_entry_id", F.col("entry_id").alias("line_id")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.min(spot).alias("l0"), F.max(spot).alias("l1"))
-    by_line = by_source.groupBy(F.col("line_id").alias("own_line")).agg(
-        F.min_by("source_entry_id", "l0").alias("line_source"))
+    named = together(counted.filter(F.coalesce(F.col("entry_id") != "", F.lit(False))).repartition("entry_id"))
+    by_source = _lines_by_source(ledger)
     joined = named.join(by_source, named["entry_id"] == by_source["source_entry_id"], "left").join(
-        by_line, F.col("entry_id") == F.col("own_line"), "left")
+        _named_lines(issues, ledger), F.col("entry_id") == F.col("own_line"), "left")
     is_source = F.col("line_id").isNotNull()
     placed = joined.select(
         F.coalesce("line_id", "entry_id").alias("entry_id"), "status", "reason", "severity",
@@ -147,10 +180,9 @@ def issue_flags(issues: DataFrame, ledger: DataFrame) -> DataFrame:
         at("p0", F.col("l0.src_row"), F.col("l0.line_no")).alias("first_at"),
         at("p1", F.col("l1.src_row"), F.col("l1.line_no")).alias("last_at"),
         (F.col("n") * F.coalesce("n_lines", F.lit(1))).alias("occurrences"))
-    first_line = by_source.agg(F.min_by("line_id", "l0")).scalar()
-    nameless = counted.filter(
-        ~F.coalesce(F.col("entry_id") != "", F.lit(False)) & (F.col("status") == "validation_error")
-    ).withColumn("line_id", first_line).filter(F.col("line_id").isNotNull())
+    first_line = ledger.agg(F.min_by("entry_id", F.struct("src_row", "line_no"))).scalar()
+    nameless = together(counted.filter(
+        ~F.coalesce(F.col("entry_id") != "", F.lit(False)) & (F.col("status") == "validation_error"))).withColumn("line_id", first_line).filter(F.col("line_id").isNotNull())
     general = nameless.select(
         F.col("line_id").alias("entry_id"), "status", "reason", "severity",
         F.lit(None).cast("string").alias("source_entry_id"),
@@ -175,25 +207,30 @@ def _cents(column) -> Column:
 
 
 def amount_bounds(ledger: DataFrame) -> Column:
-    """Struct (low, high, med2) in cents x 4 (x 2 for med2) as exact whole numbers, null without spread.
+    """Struct (low, high, med2), null without spread: the least and the greatest amount that is not unusual, exact,
+    and twice the median in cents. A bound beyond every amount is null.
 
-    The lines are counted once per cent value; both medians come from these counts.
+    The lines are counted once per cent value; both medians come from these counts, which are written once.
     """
-    counts = value_counts(ledger, _cents("amount"))
+    counts = settle(value_counts(ledger, _cents("amount")), "cents")
     middle = double_median(counts)
     away = counts.select(F.abs(2 * F.col("v") - middle.select("med2").scalar()).alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
     spread = double_median(away).select(F.col("med2").alias("dev4"))
     row = middle.withColumn("dev4", spread.scalar())
-    far = F.lit(MAD_FACTOR) * F.col("dev4")
+    med4, far = 2 * F.col("med2").cast("decimal(28,0)"), MAD_FACTOR * F.col("dev4").cast("decimal(28,0)")
+
+    def amount(quarters: Column, whole) -> Column:
+        cents = whole(quarters * F.lit(decimal.Decimal("0.25")))
+        return (cents * F.lit(decimal.Decimal("0.01"))).try_cast(MONEY)
+
     bounds = F.when((F.col("n") >= 3) & (F.col("dev4") > 0), F.struct(
-        (2 * F.col("med2") - far).alias("low"), (2 * F.col("med2") + far).alias("high"), F.col("med2")))
+        amount(med4 - far, F.ceil).alias("low"), amount(med4 + far, F.floor).alias("high"), F.col("med2")))
     return row.select(bounds).scalar()
 
 
 def _outlier(bounds: Column) -> tuple[Column, Column]:
     """("large", "small" or NULL, reason) of a line."""
-    four = _cents("amount").cast("decimal(38,0)") * 4
-    size = F.when(four > bounds["high"], "large").when(four < bounds["low"], "small")
+    size = F.when(F.col("amount") > bounds["high"], "large").when(F.col("amount") < bounds["low"], "small")
     return size, F.concat(
         F.lit("Unusually "), size, F.lit(" amount: "), F.format_number("amount", 2),
         F.lit(" (median: "), F.format_number(bounds["med2"] / 200, 2), F.lit(")"))

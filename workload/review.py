@@ -162,6 +162,7 @@ def review_flags(t):
 @query("SELECT entry_id, status, reason, severity, source_entry_id FROM iflags", *NEEDED, **FLAG_TABLES)
 def flag_propagation(t):
     """Issues on journal rows flag the ledger lines of the row, or the row itself."""
+    t.settled()
     return review.issue_flags(kept_issues(t).filter("entry_id is not null"), t.ledger).select(
         "entry_id", "status", "reason", "severity", "source_entry_id")
 

@@ -227,8 +227,9 @@ class Tables:
         return booking.book(self.entries, self.rules, self.accounts)
 
     def settled(self) -> "Tables":
-        """The same tables with the booked rows written once, for results that read them often."""
-        self.records = settle(self.records, "booked")
+        """The same tables with the booked rows, and the entries in them, written once, for results that read them often."""
+        self.records = settle(booking.for_lines(self.records), "booked")
+        self.entries = self.records.select(*self.entries.columns)
         return self
 
     @cached_property
