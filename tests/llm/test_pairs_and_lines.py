@@ -1,11 +1,12 @@
 import random
+import re
 from fractions import Fraction
 
 import pytest
 
 import corpus_pipeline
 from ledgerloom.llm import jaccard_join as J
-from ledgerloom.llm import line_dedup, packing
+from ledgerloom.llm import common, line_dedup, packing
 
 from . import brute
 
@@ -78,6 +79,28 @@ def test_an_id_of_many_texts_links_them_all(spark):
     assert {(r.id, r.component_id) for r in J.similar_components(docs(spark, rows)).collect()} == {(i, 1) for i in (1, 2, 3, 4, 9)}
 
 
+@pytest.mark.parametrize("seed, marks, rows_sent", [(1, 1 << 25, 0), (3, 64, 0), (4, 64, 1 << 16)])
+def test_components_with_crowded_marks_and_sorted_joins(spark, monkeypatch, seed, marks, rows_sent):
+    monkeypatch.setattr(J, "LONG_LIST", 3)
+    monkeypatch.setattr(J, "MARKS", marks)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_sent)
+    rows = near_copies(seed)
+    found = J.similar_components(docs(spark, rows), least_frequent=2).collect()
+    assert {r.id: r.component_id for r in found} == brute.components(rows)
+
+
+def test_what_is_broadcast_does_not_grow_with_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
+    source = spark.range(400).selectExpr("id", "cast(concat_ws(' ', 'a b c d e', id % 7) as binary) as text")
+    pairs = common.stage(spark.range(200).selectExpr("id as x", "id + 200 as y"), "pairs")
+    compared = J._compared(source, pairs, 5, 1 << 64)
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    sent = [plan[at:].split("Scan parquet", 1)[1].split("\n", 1)[0] for at in (m.start() for m in re.finditer("BroadcastExchange", plan))]
+    assert sent and all("bitmap" in s for s in sent)  # none of the ids, none of the pairs
+    want = {(x, x + 200): (1 if x % 7 != (x + 200) % 7 else 2) for x in range(200)}
+    assert {(r.x, r.y): r.shared for r in compared.collect()} == want
+
+
 # --- lines ------------------------------------------------------------------------------------
 
 def test_boilerplate_lines(spark):
