@@ -5,7 +5,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from ledgerloom.llm import packing  # noqa: E402
+from ledgerloom.llm import common, packing  # noqa: E402
 
 from . import brute  # noqa: E402
 
@@ -102,3 +102,12 @@ def test_line_query_equals_its_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
     want = sorted(con.execute(f"SELECT doc_id, text, n_lines, n_removed FROM ({entry.oracle_sql()['op3_line_dedup']})").fetchall())
     assert sorted(tuple(r) for r in entry.queries()["op3_line_dedup"](spark, SMALL).select("doc_id", "text", "n_lines", "n_removed").collect()) == want
+
+
+def test_kept_ids_are_not_broadcast_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(9)), "en", "s", 1, "r", 1) for i in [*range(30), 7, 7]] + [(None, "a b c d e f", "en", "s", 1, "r", 1)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == list(range(30)) and kept.where("doc_id is null").count() == 1
