@@ -94,3 +94,20 @@ def test_large_rule_sets_match_alike(spark, make):
     assert small == large and len(small) > 100 and matches(rows, rules, max_rules=0).count() == len(large)
     narrow = matches(rows, rules, max_rules=0, wanted=("rule_ord",))
     assert {tuple(r) for r in narrow.collect()} == {(r[0], r[1]) for r in small}
+
+
+def test_ways_beside_rows_are_plain_comparisons_with_the_same_result(spark, make):
+    from ledgerloom.operators.matching import matches
+    conditions = [
+        "old_type == 'A' and amount > 5 or old_type == 'B' and amount < 3", "old_type != 'A' and (old_type == 'B' or old_type == 'C')",
+        "(old_type == 'A' or old_type == 'B') and entry_id != 'e1' and year == 2024", "old_type == 'A' and (quarter == 1 or amount <= 3) and notes != 'x'",
+        '"Test" in description and old_type == \'B\' and quarter != 2', "old_type == 'C' and description != 'Test Entry'", "old_type == 'A' and not (amount > 2 and entry_id == 'e3')"]
+    rules = make.rules(*[(f"R{i}", c, "4301", 1, "CR") for i, c in enumerate(conditions * 20)])
+    rows = make.journal(*[(f"e{i % 5}", "ABCD"[i % 4], i % 9, f"202{3 + i % 2}-0{1 + i % 9}-05", "" if i % 7 == 0 else "Test Entry") for i in range(60)])
+    small, large = (df for df in (matches(rows, rules), matches(rows, rules, max_rules=0)))
+    found = sorted(tuple(r) for r in small.collect())
+    assert found == sorted(tuple(r) for r in large.collect()) and len(found) > 500 and len({r[1] % len(conditions) for r in found}) == len(conditions)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    beside = [line for line in plan.split("\n") if "Generate inline(_part" in line and "tests#" not in line]
+    assert beside and not any("_entry#" in line or ".lows" in line for line in beside)  # neither the row's fields nor a way's lists are carried along
+    assert ".lows[" not in plan.split("Generate inline(_part")[0]
